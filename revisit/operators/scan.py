@@ -10,9 +10,11 @@ of row ids), and compute a scan in two levels:
 2. across chunks, with a window over a per-chunk summary that has one row per
    chunk (first row, last row, totals), joined back on ``(key, bucket)``.
 
-The big side is shuffled once on ``(key, bucket)``; later passes with the same
-key and bucket reuse that partitioning (a join or window on ``(key, bucket)`` or
-on a superset of it adds no exchange). Only the per-chunk summaries move again.
+The big side is shuffled once on ``(key, bucket)``. The chunk summary is an
+aggregate of the windowed rows themselves, so it needs no shuffle of its own and
+the join back reuses the same exchange; only the per-chunk summaries move again.
+Passes should not be nested on one another (each would repeat its input's
+operators); ``sequences.sessionize`` fuses its dependent steps into one pass.
 
 Order columns are ascending, NULLs last. Every order should end in a unique
 tie-break column so results do not depend on the physical row order.
@@ -32,14 +34,6 @@ def _order_cols(order: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in order]
 
 
-def _order_key(order: Sequence[str]) -> Column:
-    """A struct that sorts like ``order`` with NULLs last (for min_by / max_by)."""
-    parts = []
-    for i, c in enumerate(order):
-        parts += [F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}")]
-    return F.struct(*parts)
-
-
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on ``keys`` where NULL matches NULL; keeps the left's key columns."""
     r = right
@@ -72,10 +66,10 @@ def with_neighbors(df: DataFrame, keys: Sequence[str], order: Sequence[str], buc
             adds[f"__n_{c}"] = F.lead(c).over(w)
     local = d.withColumns(adds)
 
-    ok = _order_key(order)
+    # The summary is taken from the windowed rows, so both sides share one shuffle.
     payload = F.struct(*[F.col(c) for c in cols])
-    summary = d.groupBy(*keys, _B).agg(F.min_by(payload, ok).alias("__first"),
-                                       F.max_by(payload, ok).alias("__last"))
+    summary = local.groupBy(*keys, _B).agg(F.min_by(payload, "__rn").alias("__first"),
+                                           F.max_by(payload, "__rn").alias("__last"))
     w2 = Window.partitionBy(*keys).orderBy(_B)
     summary = summary.select(*keys, _B,
                              F.lag("__last").over(w2).alias("__pc"),
@@ -119,7 +113,7 @@ def with_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket
         local[f"__l{i}"] = _OPS[op](f"__v{i}").over(frame)
     d2 = d.withColumns(local)
 
-    summary = d.groupBy(*keys, _B).agg(*[_OPS[op](f"__v{i}").alias(f"__t{i}")
+    summary = d2.groupBy(*keys, _B).agg(*[_OPS[op](f"__v{i}").alias(f"__t{i}")
                                          for i, (_, _, op, _) in enumerate(specs)])
     w2 = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.select(*keys, _B, *[_OPS[op](f"__t{i}").over(w2).alias(f"__o{i}")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revisit.functions.columns import nan_to_null, safe_div, seconds_component, time_bucket
@@ -18,6 +18,7 @@ from revisit.operators.scan import with_neighbors, with_prefix
 from revisit.schemas import GAP_COL, RUN_COL, SESSION_COL
 
 DAY = 86_400
+_B = "__chunk"
 
 
 # ---------------------------------------------------------------- B1-B3 explode
@@ -98,7 +99,7 @@ def sessionize(segments: DataFrame, session_thresh: float = 3600, user: str = "u
                video: str = "video_id", time: str = "local_start_time",
                tie: Sequence[str] = ("seg_id",), bucket_seconds: int = DAY,
                gap_mode: str = "total") -> DataFrame:
-    """E1 + E2 + E4 on flat segments.
+    """E1 + E2 + E4 on flat segments, in one chunked pass.
 
     * ``video_consecutive_id`` (E1): per user in time order, +1 whenever the video
       differs from the row before; the first run is 1; a NULL video starts a run.
@@ -109,25 +110,76 @@ def sessionize(segments: DataFrame, session_thresh: float = 3600, user: str = "u
 
     Rows with a NULL user drop out (the reference's group-apply drops them).
     ``gap_mode="seconds_component"`` compares the gap's seconds-of-day field.
+
+    Plan: one shuffle on (user, time bucket). Inside a chunk, windows give the
+    change flags, gaps and running sums for every row whose neighbours are in the
+    chunk; the first row's change flag and the last row's gap depend on the
+    neighbouring chunks and are settled from a one-row-per-chunk summary. With
+    ``S`` the running count of splits over the user, a row's session id is ``S``
+    minus ``S`` at the start of its run.
     """
+    u, v, t = F.col(user), F.col(video), F.col(time)
     order = [time, *tie]
-    bucket = time_bucket(time, bucket_seconds)
-    seg = segments.filter(F.col(user).isNotNull())
+    seg = segments.filter(u.isNotNull()).withColumn(_B, time_bucket(time, bucket_seconds))
     dur = safe_div(F.col("end_point") - F.col("start_point"), F.col("speed"))
-    s = with_neighbors(seg, [user], order, bucket, [video, time])
-    v, pv, nv = F.col(video), F.col(f"prev_{video}"), F.col(f"next_{video}")
-    chg = F.when(~F.col("has_prev") | pv.isNull() | v.isNull() | (pv != v), 1).otherwise(0)
-    same_next = F.col("has_next") & v.isNotNull() & nv.isNotNull() & (nv == v)
-    gap = nan_to_null(F.when(same_next, F.col(f"next_{time}") - (F.col(time) + dur)))
-    s = s.withColumns({"__chg": chg, GAP_COL: gap})
-    s = s.withColumn("__split", _split_flag(F.col(GAP_COL), session_thresh, gap_mode))
-    s = with_prefix(s, [user], order, bucket, [(RUN_COL, F.col("__chg"), "sum", True)])
-    s = with_prefix(s, [user, RUN_COL], order, bucket,
-                    [(SESSION_COL, F.col("__split"), "sum", False)])
-    drop = ["has_prev", "has_next", f"prev_{video}", f"next_{video}", f"prev_{time}",
-            f"next_{time}", "__chg", "__split"]
-    return s.drop(*drop).withColumns({RUN_COL: F.col(RUN_COL).cast("bigint"),
-                                      SESSION_COL: F.col(SESSION_COL).cast("bigint")})
+    w = Window.partitionBy(user, _B).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    run_w = w.rowsBetween(Window.unboundedPreceding, 0)
+    before_w = w.rowsBetween(Window.unboundedPreceding, -1)
+
+    rn, last = F.col("__rn"), F.col("__last")
+    pv, nv = F.lag(video).over(w), F.lead(video).over(w)
+    loc = seg.withColumns({
+        "__rn": F.row_number().over(w),
+        "__last": F.lead(F.lit(1)).over(w).isNull(),
+        "__dur": dur,
+        "__chg": F.when(pv.isNull() | v.isNull() | (pv != v), 1).otherwise(0),
+        "__gap": nan_to_null(F.when(v.isNotNull() & nv.isNotNull() & (nv == v),
+                                    F.lead(time).over(w) - (t + dur))),
+    })
+    loc = loc.withColumns({
+        "__chg": F.when(rn > 1, F.col("__chg")).otherwise(0),
+        "__split": F.when(~last, _split_flag(F.col("__gap"), session_thresh, gap_mode)).otherwise(0),
+    })
+    loc = loc.withColumns({"__c": F.sum("__chg").over(run_w),
+                           "__s": F.coalesce(F.sum("__split").over(before_w), F.lit(0))})
+    loc = loc.withColumn("__r", F.max(F.when(F.col("__chg") == 1, F.col("__s"))).over(run_w))
+
+    summary = loc.groupBy(user, _B).agg(
+        F.min_by(F.struct(v.alias("v"), t.alias("t")), "__rn").alias("first"),
+        F.max_by(F.struct(v.alias("v"), t.alias("t"), F.col("__dur").alias("d")), "__rn").alias("lastrow"),
+        F.sum("__chg").alias("nchg"), F.sum("__split").alias("nsplit"), F.max("__r").alias("rlast"))
+    w2 = Window.partitionBy(user).orderBy(_B)
+    before2 = w2.rowsBetween(Window.unboundedPreceding, -1)
+    pl = F.lag("lastrow").over(w2)
+    summary = summary.withColumn("chg_first", F.when(
+        pl.isNull() | pl["v"].isNull() | F.col("first.v").isNull() | (pl["v"] != F.col("first.v")), 1)
+        .otherwise(0))
+    nf, nchg = F.lead("first").over(w2), F.lead("chg_first").over(w2)
+    summary = summary.withColumn("gap_last", nan_to_null(F.when(
+        nf.isNotNull() & (nchg == 0), nf["t"] - (F.col("lastrow.t") + F.col("lastrow.d")))))
+    summary = summary.withColumn("split_last",
+                                 _split_flag(F.col("gap_last"), session_thresh, gap_mode))
+    summary = summary.withColumns({
+        "run_off": F.coalesce(F.sum(F.col("chg_first") + F.col("nchg")).over(before2), F.lit(0)),
+        "s_off": F.coalesce(F.sum(F.col("nsplit") + F.col("split_last")).over(before2), F.lit(0)),
+    })
+    summary = summary.withColumn("rs_chunk", F.coalesce(
+        F.col("s_off") + F.col("rlast"), F.when(F.col("chg_first") == 1, F.col("s_off"))))
+    summary = summary.select(
+        user, _B, "chg_first", "gap_last", "run_off", "s_off",
+        F.max("rs_chunk").over(before2).alias("rs_prev"))
+
+    j = loc.join(summary, [user, _B], "left")
+    s_row = F.col("s_off") + F.col("__s")
+    run_start = F.coalesce(F.col("s_off") + F.col("__r"),
+                           F.when(F.col("chg_first") == 1, F.col("s_off")), F.col("rs_prev"))
+    out = j.withColumns({
+        RUN_COL: (F.col("run_off") + F.col("chg_first") + F.col("__c")).cast("bigint"),
+        GAP_COL: F.when(last, F.col("gap_last")).otherwise(F.col("__gap")),
+        SESSION_COL: (s_row - run_start).cast("bigint"),
+    })
+    return out.drop(_B, "__rn", "__last", "__dur", "__chg", "__gap", "__split", "__c", "__s", "__r",
+                    "chg_first", "gap_last", "run_off", "s_off", "rs_prev")
 
 
 def _split_flag(gap, thresh, mode: str):
@@ -142,38 +194,59 @@ def consecutive_run_ids(segments: DataFrame, **kw) -> DataFrame:
 
 # ---------------------------------------------------------------- E3, E5, E6 per video
 
-def gaps_by_video(segments: DataFrame, user: str = "user_id", video: str = "video_id",
-                  order: Sequence[str] = ("seg_id",), bucket=None,
-                  rows_per_chunk: int = 1 << 20) -> DataFrame:
-    """Per (user, video), next ``local_start_time`` minus ``local_end_time``.
-
-    Follows the given ``order`` (the stored row order by default, as the reference
-    does not sort before the shift). Needs ``local_end_time`` (B6).
-    """
-    order = list(order)
-    if bucket is None:
-        bucket = F.floor(F.col(order[0]) / F.lit(rows_per_chunk)).cast("bigint")
-    s = with_neighbors(segments, [user, video], order, bucket, ["local_start_time"], prev=False)
-    gap = F.when(F.col("has_next"), F.col("next_local_start_time") - F.col("local_end_time"))
-    return s.withColumn(GAP_COL, nan_to_null(gap)).drop("has_next", "next_local_start_time")
-
-
 def sessions_by_video(segments: DataFrame, session_thresh: float = 3600, user: str = "user_id",
                       video: str = "video_id", order: Sequence[str] = ("seg_id",),
-                      gap_mode: str = "total", out: str = SESSION_COL, bucket=None,
-                      rows_per_chunk: int = 1 << 20) -> DataFrame:
-    """E5: session id per (user, video) from ``gap`` in ``order``; 0-based.
-
-    ``gap_mode="seconds_component"`` is the notebook's literal rule (it compares
-    the seconds field of a timedelta, which drops whole days); ``"total"`` is the
-    evident intent.
+                      rows_per_chunk: int = 1 << 20,
+                      modes: dict[str, str] | None = None) -> DataFrame:
+    """E3 + E5 per (user, video), in one chunked pass over ``order``.
+
+    * ``gap`` (E3): next ``local_start_time`` minus this row's ``local_end_time``
+      (B6), NULL on the last row. It follows the given ``order``: the stored row
+      order by default, as the reference does not sort before the shift.
+    * session ids (E5), 0-based, +1 on the row after a splitting gap. ``modes``
+      maps output column to gap mode: ``"total"`` compares the whole gap (the
+      intent); ``"seconds_component"`` compares the seconds field of a timedelta,
+      which drops whole days (the notebook's literal rule).
+
+    Chunks are blocks of ``rows_per_chunk`` consecutive values of ``order[0]``
+    (a row id), so no chunk exceeds that many rows.
     """
+    modes = modes or {SESSION_COL: "total"}
     order = list(order)
-    if bucket is None:
-        bucket = F.floor(F.col(order[0]) / F.lit(rows_per_chunk)).cast("bigint")
-    flag = _split_flag(F.col(GAP_COL), session_thresh, gap_mode)
-    s = with_prefix(segments, [user, video], order, bucket, [(out, flag, "sum", False)])
-    return s.withColumn(out, F.col(out).cast("bigint"))
+    d = segments.withColumn(_B, F.floor(F.col(order[0]) / F.lit(rows_per_chunk)).cast("bigint"))
+    w = Window.partitionBy(user, video, _B).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    before_w = w.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.col("__last")
+    loc = d.withColumns({
+        "__rn": F.row_number().over(w),
+        "__last": F.lead(F.lit(1)).over(w).isNull(),
+        "__gap": nan_to_null(F.lead("local_start_time").over(w) - F.col("local_end_time")),
+    })
+    names = list(modes)
+    loc = loc.withColumns({f"__sp{i}": F.when(~last, _split_flag(F.col("__gap"), session_thresh, modes[m]))
+                           .otherwise(0) for i, m in enumerate(names)})
+    loc = loc.withColumns({f"__s{i}": F.coalesce(F.sum(f"__sp{i}").over(before_w), F.lit(0))
+                           for i in range(len(names))})
+    summary = loc.groupBy(user, video, _B).agg(
+        F.min_by("local_start_time", "__rn").alias("first_t"),
+        F.max_by("local_end_time", "__rn").alias("last_end"),
+        *[F.sum(f"__sp{i}").alias(f"n{i}") for i in range(len(names))])
+    w2 = Window.partitionBy(user, video).orderBy(_B)
+    before2 = w2.rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.withColumn("gap_last", nan_to_null(F.when(
+        F.lead(_B).over(w2).isNotNull(), F.lead("first_t").over(w2) - F.col("last_end"))))
+    summary = summary.withColumns({f"__sl{i}": _split_flag(F.col("gap_last"), session_thresh, modes[m])
+                                   for i, m in enumerate(names)})
+    summary = summary.select(user, video, _B, "gap_last", *[
+        F.coalesce(F.sum(F.col(f"n{i}") + F.col(f"__sl{i}")).over(before2), F.lit(0)).alias(f"__off{i}")
+        for i in range(len(names))])
+    j = loc.join(summary, [user, video, _B], "left")
+    outs = {GAP_COL: F.when(last, F.col("gap_last")).otherwise(F.col("__gap"))}
+    for i, m in enumerate(names):
+        outs[m] = (F.col(f"__off{i}") + F.col(f"__s{i}")).cast("bigint")
+    drop = [_B, "__rn", "__last", "__gap", "gap_last"]
+    drop += [f"__{p}{i}" for i in range(len(names)) for p in ("sp", "s", "off")]
+    return j.withColumns(outs).drop(*drop)
 
 
 def segment_index(segments: DataFrame, user: str = "user_id", video: str = "video_id",
