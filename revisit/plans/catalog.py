@@ -129,3 +129,361 @@ def q_session2video(spark, sf_dir):
     keys = ["user_id", RUN_COL, SESSION_COL]
     return reps.join(ctx.select(*keys, "seg_id", "video_id"), keys, "left").select(
         *keys, REP_COL, "seg_id", "video_id")
+
+
+# ------------------------------------------------------------------ P-1 cleaning
+
+BLACKLIST_THRESH = 5  # 20 flags nobody in the test tables (see FIXTURES)
+NUNIQUE_CCID = "Brand#13"
+
+
+def _watched(spark, sf_dir):
+    """Exploded sequences mapped to ccids (rows without a ccid are lost on purpose)."""
+    seqs = sequences.explode_sequences(views.seq_view(spark, sf_dir), keep=("row_id", "user_id"))
+    return counts.map_ids(seqs, views.video_ccid_view(spark, sf_dir), "video_id")
+
+
+def _watch_counts(spark, sf_dir):
+    return counts.count_interactions(_watched(spark, sf_dir), "ccid", "user_id", "num_watched")
+
+
+@register
+def q_watch_counts(spark, sf_dir):
+    prepare(spark)
+    return _watch_counts(spark, sf_dir)
+
+
+@register
+def q_blacklist(spark, sf_dir):
+    prepare(spark)
+    return counts.blacklist_users(_watch_counts(spark, sf_dir), "num_watched", BLACKLIST_THRESH)
+
+
+@register
+def q_clean_users(spark, sf_dir):
+    prepare(spark)
+    watched = _watched(spark, sf_dir)
+    bl = counts.blacklist_users(counts.count_interactions(watched, "ccid"), "num_watched", BLACKLIST_THRESH)
+    return counts.remove_users(watched, bl).select("row_id", "user_id", "seq_pos", "video_id", "ccid")
+
+
+@register
+def q_reduction(spark, sf_dir):
+    prepare(spark)
+    raw = views.seq_view(spark, sf_dir)
+    watched = _watched(spark, sf_dir)
+    bl = counts.blacklist_users(counts.count_interactions(watched, "ccid"), "num_watched", BLACKLIST_THRESH)
+    clean = counts.remove_users(watched, bl)
+    return counts.reduction_report(sequences.count_segments(watched), sequences.count_segments(clean),
+                                   bl, raw)
+
+
+@register
+def q_topn(spark, sf_dir):
+    prepare(spark)
+    return counts.top_by_count(_watch_counts(spark, sf_dir), "num_watched", ["ccid", "user_id"], 20)
+
+
+@register
+def q_nunique(spark, sf_dir):
+    prepare(spark)
+    w = _watched(spark, sf_dir).filter(F.col("ccid") == NUNIQUE_CCID).select("video_id", "user_id", "ccid")
+    return counts.nunique_per_group(w, "video_id")
+
+
+@register
+def q_id_map_left(spark, sf_dir):
+    prepare(spark)
+    seqs = sequences.explode_sequences(views.seq_view(spark, sf_dir), keep=("row_id", "user_id"))
+    m = counts.map_ids(seqs, views.video_ccid_view(spark, sf_dir), "video_id", how="left")
+    return m.select("row_id", "user_id", "seq_pos", "video_id", "ccid")
+
+
+@register
+def q_concept_map(spark, sf_dir):
+    prepare(spark)
+    w = _watched(spark, sf_dir).select("video_id", "ccid").distinct()
+    return counts.join_dimension(w, views.concept_ccid_view(spark, sf_dir), "ccid").select(
+        "video_id", "ccid", "concept_id")
+
+
+@register
+def q_translate(spark, sf_dir):
+    prepare(spark)
+    nation = views.table(spark, sf_dir, "nation")
+    region = views.table(spark, sf_dir, "region").select(
+        F.col("r_regionkey").alias("n_regionkey"), F.col("r_name"))
+    return counts.join_dimension(nation, region, "n_regionkey", "left").select("n_name", "r_name")
+
+
+# ------------------------------------------------------------------ P-4 lecture sequences
+
+def _lectures(spark, sf_dir):
+    return sequences.filter_prefix(views.click_view(spark, sf_dir), "l", "item_id")
+
+
+@register
+def q_lecture_filter(spark, sf_dir):
+    prepare(spark)
+    return _lectures(spark, sf_dir)
+
+
+@register
+def q_dedupe(spark, sf_dir):
+    prepare(spark)
+    return sequences.dedupe_consecutive(_lectures(spark, sf_dir))
+
+
+@register
+def q_seq_len_describe(spark, sf_dir):
+    prepare(spark)
+    from revisit.operators import report
+    per_user = sequences.dedupe_consecutive(_lectures(spark, sf_dir)).groupBy("user_id").agg(
+        F.count("item_id").alias("n"))
+    d = report.describe(per_user, "n")
+    return d.select(*[F.round(c, 6).alias(c) for c in d.columns])
+
+
+@register
+def q_monotonic(spark, sf_dir):
+    prepare(spark)
+    from revisit.operators import quality
+    ev = views.click_view(spark, sf_dir)
+    return quality.monotonic_breaks(ev, ["timestamp", "user_id"], "event_id")
+
+
+# ------------------------------------------------------------------ P-5 courses
+
+@register
+def q_alternating_asis(spark, sf_dir):
+    prepare(spark)
+    from revisit.operators import courses
+    return courses.alternation_flags(views.course_view(spark, sf_dir), mode="as_written")
+
+
+@register
+def q_alternating_intent(spark, sf_dir):
+    prepare(spark)
+    from revisit.operators import courses
+    return courses.alternation_flags(views.course_view(spark, sf_dir), mode="intent")
+
+
+@register
+def q_alternating_courses(spark, sf_dir):
+    prepare(spark)
+    from revisit.operators import courses
+    res = views.course_view(spark, sf_dir)
+    flags = courses.alternation_flags(res, mode="as_written").filter(F.col("alternating").isNotNull())
+    info = res.groupBy("id").agg(F.count(F.lit(1)).alias("rsc_count")).filter(F.col("rsc_count") > 0)
+    return counts.keep_keys(info, flags.filter(F.col("alternating")).select("id"), "id")
+
+
+# ------------------------------------------------------------------ P-6 exploration
+
+GAP_QS = [round(0.75 + 0.01 * i, 2) for i in range(25)]  # .75 to .99 by .01 (includes .94)
+
+
+def _filtered_segments(spark, sf_dir):
+    d = sequences.filter_duration(sequences.with_durations(views.seg_view(spark, sf_dir)), 5.0)
+    return sequences.with_end_times(d)
+
+
+def _by_video(spark, sf_dir):
+    return sequences.sessions_by_video(
+        _filtered_segments(spark, sf_dir),
+        modes={SESSION_COL: "total", "session_id_seconds": "seconds_component"})
+
+
+@register
+def q_sessions_by_video(spark, sf_dir):
+    prepare(spark)
+    return _by_video(spark, sf_dir).select("seg_id", "user_id", "video_id", "gap", SESSION_COL,
+                                           "session_id_seconds")
+
+
+@register
+def q_segment_index(spark, sf_dir):
+    prepare(spark)
+    return sequences.segment_index(_filtered_segments(spark, sf_dir)).select(
+        "seg_id", "user_id", "video_id", "segment_idx")
+
+
+@register
+def q_session_counts(spark, sf_dir):
+    prepare(spark)
+    return _by_video(spark, sf_dir).groupBy("user_id", "video_id").agg(
+        F.countDistinct(SESSION_COL).alias("session_count"))
+
+
+@register
+def q_session_summary(spark, sf_dir):
+    prepare(spark)
+    per = _by_video(spark, sf_dir).groupBy("user_id", "video_id").agg(
+        F.countDistinct(SESSION_COL).alias("n"), F.max(SESSION_COL).alias("m"))
+    return per.agg(F.sum("n").cast("bigint").alias("total_sessions"),
+                   F.count(F.lit(1)).alias("n_groups"), F.max("m").alias("max_session_id"))
+
+
+@register
+def q_distinct_sessions(spark, sf_dir):
+    prepare(spark)
+    return _by_video(spark, sf_dir).select("user_id", "video_id", SESSION_COL).dropDuplicates()
+
+
+@register
+def q_gap_quantiles(spark, sf_dir):
+    prepare(spark)
+    from revisit.operators import report
+    q = report.quantiles(_by_video(spark, sf_dir), "gap", GAP_QS)
+    return q.select("q", F.round("value", 6).alias("gap"))
+
+
+@register
+def q_gap_describe(spark, sf_dir):
+    prepare(spark)
+    from revisit.operators import report
+    d = report.describe(_by_video(spark, sf_dir), "gap")
+    return d.select(*[F.round(c, 6).alias(c) for c in d.columns])
+
+
+@register
+def q_min_rows(spark, sf_dir):
+    prepare(spark)
+    return counts.rows_at_min(_by_video(spark, sf_dir), "gap").select("seg_id", "user_id", "video_id", "gap")
+
+
+@register
+def q_float_tolerance(spark, sf_dir):
+    prepare(spark)
+    return sequences.float_tolerance_rows(_filtered_segments(spark, sf_dir)).select(
+        "seg_id", "raw_duration", "diff")
+
+
+@register
+def q_histogram(spark, sf_dir):
+    prepare(spark)
+    from revisit.operators import report
+    d = sequences.filter_positive(sequences.with_durations(views.seg_view(spark, sf_dir)), "raw_duration")
+    return report.histogram(d, "raw_duration", 500)
+
+
+@register
+def q_histogram_head(spark, sf_dir):
+    prepare(spark)
+    from revisit.operators import report
+    d = sequences.filter_positive(sequences.with_durations(views.seg_view(spark, sf_dir)),
+                                  "adjusted_duration")
+    return report.histogram(d, "adjusted_duration", 400).filter(F.col("bin") <= 10)
+
+
+@register
+def q_short_share(spark, sf_dir):
+    prepare(spark)
+    from revisit.operators import quality
+    d = sequences.with_durations(views.seg_view(spark, sf_dir))
+    return quality.conditional_shares(d, {
+        "negative_share": F.col("raw_duration") < 0,
+        "short_raw_share": F.col("raw_duration") < 5,
+        "short_adjusted_share": F.col("adjusted_duration") < 5})
+
+
+@register
+def q_unmapped_share(spark, sf_dir):
+    prepare(spark)
+    from revisit.operators import quality
+    seqs = sequences.explode_sequences(views.seq_view(spark, sf_dir), keep=("row_id", "user_id"))
+    seqs = seqs.filter(F.col("video_id").isNotNull())
+    return quality.unmapped_share(seqs, views.video_ccid_view(spark, sf_dir), "video_id")
+
+
+@register
+def q_uniqueness(spark, sf_dir):
+    prepare(spark)
+    from revisit.operators import quality
+    return quality.key_violations(views.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+# ------------------------------------------------------------------ intervals
+
+@register
+def q_segments_per_video(spark, sf_dir):
+    prepare(spark)
+    return intervals.segments_per_video(views.seg_view(spark, sf_dir))
+
+
+@register
+def q_coverage(spark, sf_dir):
+    prepare(spark)
+    return intervals.coverage(views.seg_view(spark, sf_dir))
+
+
+@register
+def q_mean_speed(spark, sf_dir):
+    prepare(spark)
+    s = intervals.weighted_speed(views.seg_view(spark, sf_dir))
+    return s.select("user_id", "video_id", F.round("mean_speed", 9).alias("mean_speed"))
+
+
+# ------------------------------------------------------------------ P-7 / P-8 recommendation
+
+def _ratings(spark, sf_dir):
+    from revisit.operators import recommend
+    raw = views.rate_view(spark, sf_dir)
+    return recommend.rewatch_ratings(raw, user="user", item="item", count_col="rating")
+
+
+def _filtered_ratings(spark, sf_dir):
+    from revisit.operators import recommend
+    return recommend.filter_min_items(_ratings(spark, sf_dir))
+
+
+@register
+def q_ratings(spark, sf_dir):
+    prepare(spark)
+    return _ratings(spark, sf_dir)
+
+
+@register
+def q_density(spark, sf_dir):
+    prepare(spark)
+    return counts.density(_filtered_ratings(spark, sf_dir))
+
+
+@register
+def q_folds(spark, sf_dir):
+    prepare(spark)
+    from revisit.operators import recommend
+    return recommend.user_folds(_filtered_ratings(spark, sf_dir))
+
+
+@register
+def q_tfidf(spark, sf_dir):
+    prepare(spark)
+    from revisit.operators import recommend
+    t = recommend.tfidf_confidence(_filtered_ratings(spark, sf_dir))
+    return t.select("user", "item", F.round("weight", 9).alias("weight"))
+
+
+@register
+def q_pivot(spark, sf_dir):
+    prepare(spark)
+    from revisit.operators import recommend
+    return recommend.pivot_ratings(_filtered_ratings(spark, sf_dir))
+
+
+@register
+def q_als(spark, sf_dir):
+    prepare(spark)
+    from revisit.operators import recommend
+    folded = recommend.user_folds(_filtered_ratings(spark, sf_dir))
+    return recommend.als_recommend(folded)
+
+
+@register
+def q_metrics(spark, sf_dir):
+    prepare(spark)
+    from revisit.operators import recommend
+    folded = recommend.user_folds(_filtered_ratings(spark, sf_dir))
+    recs = recommend.als_recommend(folded)
+    test = folded.filter("is_test").select("user", "item")
+    return recommend.mean_metrics(recommend.topn_metrics(recs, test, k=10))

@@ -129,3 +129,231 @@ SQL["q_session2video"] = f"""
 WITH {reps_ctes(3600)}
 SELECT r.user_id, r.video_consecutive_id, r.session_id, r.seg_rep_count, c.seg_id, c.video_id
 FROM reps r LEFT JOIN ctx c USING (user_id, video_consecutive_id, session_id)"""
+
+
+# ------------------------------------------------------------------ P-1 cleaning
+
+BLACKLIST_THRESH = 5
+
+SEQ_CTES = """pv AS (
+  SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS video_id, count(*) AS n
+  FROM lineitem GROUP BY 1, 2),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY video_id) - 1 AS seq_pos FROM pv),
+watched AS (
+  SELECT o.o_orderkey AS row_id, o.o_custkey AS user_id, r.seq_pos, r.video_id,
+         p.p_brand AS ccid, r.n AS n_seg
+  FROM orders o JOIN ranked r ON o.o_orderkey = r.l_orderkey
+  JOIN part p ON CAST(p.p_partkey AS VARCHAR) = r.video_id),
+watch_counts AS (
+  SELECT ccid, user_id, count(*) AS num_watched FROM watched GROUP BY 1, 2),
+blacklist AS (
+  SELECT DISTINCT user_id FROM watch_counts WHERE num_watched > """ + str(BLACKLIST_THRESH) + """),
+clean AS (
+  SELECT * FROM watched w WHERE NOT EXISTS (SELECT 1 FROM blacklist b WHERE b.user_id = w.user_id))"""
+
+SQL["q_watch_counts"] = f"WITH {SEQ_CTES} SELECT * FROM watch_counts"
+SQL["q_blacklist"] = f"WITH {SEQ_CTES} SELECT user_id FROM blacklist"
+SQL["q_clean_users"] = f"WITH {SEQ_CTES} SELECT row_id, user_id, seq_pos, video_id, ccid FROM clean"
+SQL["q_reduction"] = f"""
+WITH {SEQ_CTES},
+b AS (SELECT CAST(sum(n_seg) AS BIGINT) AS v FROM watched),
+a AS (SELECT CAST(sum(n_seg) AS BIGINT) AS v FROM clean)
+SELECT b.v AS segments_before, a.v AS segments_after, 1.0 - a.v / b.v AS reduction,
+       1.0 - (b.v / a.v) * 100.0 AS reduction_as_written,
+       (SELECT count(*) FROM blacklist) AS n_blacklisted,
+       (SELECT count(DISTINCT o_custkey) FROM orders) AS n_users
+FROM a, b"""
+SQL["q_topn"] = f"""WITH {SEQ_CTES}
+SELECT ccid, user_id, num_watched FROM watch_counts ORDER BY num_watched DESC, ccid, user_id LIMIT 20"""
+SQL["q_nunique"] = f"""WITH {SEQ_CTES}
+SELECT video_id, count(DISTINCT user_id) AS n_user_id, count(DISTINCT ccid) AS n_ccid
+FROM watched WHERE ccid = 'Brand#13' GROUP BY video_id"""
+SQL["q_id_map_left"] = f"""WITH {SEQ_CTES}
+SELECT o.o_orderkey AS row_id, o.o_custkey AS user_id, r.seq_pos, r.video_id, p.p_brand AS ccid
+FROM orders o LEFT JOIN ranked r ON o.o_orderkey = r.l_orderkey
+LEFT JOIN part p ON CAST(p.p_partkey AS VARCHAR) = r.video_id"""
+SQL["q_concept_map"] = f"""WITH {SEQ_CTES},
+cm AS (SELECT DISTINCT p_type AS concept_id, p_brand AS ccid FROM part)
+SELECT w.video_id, w.ccid, cm.concept_id
+FROM (SELECT DISTINCT video_id, ccid FROM watched) w JOIN cm ON w.ccid = cm.ccid"""
+SQL["q_translate"] = """
+SELECT n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey"""
+
+# ------------------------------------------------------------------ P-4 lecture sequences
+
+CLICK_V = """click_v AS (
+  SELECT event_id, user_id, epoch_us(ts) // 1000 AS "timestamp",
+         (CASE WHEN event_type IN ('view', 'click') THEN 'l' ELSE 'q' END)
+         || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS VARCHAR) AS item_id
+  FROM events),
+lectures AS (SELECT * FROM click_v WHERE starts_with(item_id, 'l')),
+dedup AS (
+  SELECT event_id, user_id, "timestamp", item_id FROM (
+    SELECT *, lag(item_id) OVER (PARTITION BY user_id ORDER BY "timestamp", event_id) AS prev,
+              row_number() OVER (PARTITION BY user_id ORDER BY "timestamp", event_id) AS rn
+    FROM lectures)
+  WHERE rn = 1 OR prev IS NULL OR item_id IS NULL OR prev <> item_id)"""
+
+
+def describe_sql(src: str, col: str) -> str:
+    x = f"CAST({col} AS DOUBLE)"
+    return f"""SELECT round(count({x}), 6)::DOUBLE AS count, round(avg({x}), 6) AS mean,
+       round(stddev_samp({x}), 6) AS std, round(min({x}), 6) AS min,
+       round(quantile_cont({x}, 0.25), 6) AS p25, round(quantile_cont({x}, 0.5), 6) AS p50,
+       round(quantile_cont({x}, 0.75), 6) AS p75, round(max({x}), 6) AS max FROM {src}"""
+
+
+SQL["q_lecture_filter"] = f"WITH {CLICK_V} SELECT * FROM lectures"
+SQL["q_dedupe"] = f"WITH {CLICK_V} SELECT * FROM dedup"
+SQL["q_seq_len_describe"] = f"""WITH {CLICK_V},
+per AS (SELECT user_id, count(item_id) AS n FROM dedup GROUP BY user_id)
+{describe_sql("per", "n")}"""
+SQL["q_monotonic"] = f"""WITH {CLICK_V},
+l AS (SELECT *, lag("timestamp") OVER (ORDER BY event_id) AS pt,
+             lag(user_id) OVER (ORDER BY event_id) AS pu FROM click_v),
+c AS (SELECT CAST(sum(CASE WHEN "timestamp" < pt THEN 1 ELSE 0 END) AS BIGINT) AS timestamp_breaks,
+             CAST(sum(CASE WHEN user_id < pu THEN 1 ELSE 0 END) AS BIGINT) AS user_id_breaks FROM l)
+SELECT timestamp_breaks, user_id_breaks, timestamp_breaks = 0 AS timestamp_sorted,
+       user_id_breaks = 0 AS user_id_sorted FROM c"""
+
+# ------------------------------------------------------------------ P-5 courses
+
+COURSE_V = """course_v AS (
+  SELECT CAST(conv_id AS VARCHAR) AS id, turn AS pos,
+         (CASE WHEN length(text) % 3 = 0 THEN 'V_' ELSE 'E_' END) || CAST(turn AS VARCHAR) AS resource_id
+  FROM conversations),
+nv AS (
+  SELECT id, sum(CASE WHEN starts_with(resource_id, 'V_') THEN 1 ELSE 0 END) AS nv
+  FROM course_v GROUP BY id)"""
+
+SQL["q_alternating_asis"] = f"""WITH {COURSE_V}
+SELECT id, CASE WHEN nv = 0 THEN NULL ELSE nv = 1 END AS alternating FROM nv"""
+SQL["q_alternating_intent"] = f"""WITH {COURSE_V},
+l AS (SELECT id, starts_with(resource_id, 'V_') AS v,
+             lag(starts_with(resource_id, 'V_')) OVER (PARTITION BY id ORDER BY pos) AS pv FROM course_v),
+g AS (SELECT id, sum(CASE WHEN v THEN 1 ELSE 0 END) AS nv, bool_or(v AND coalesce(pv, false)) AS adj
+      FROM l GROUP BY id)
+SELECT id, CASE WHEN nv = 0 THEN NULL WHEN adj THEN false ELSE true END AS alternating FROM g"""
+SQL["q_alternating_courses"] = f"""WITH {COURSE_V}
+SELECT id, count(*) AS rsc_count FROM course_v
+WHERE id IN (SELECT id FROM nv WHERE nv = 1) GROUP BY id HAVING count(*) > 0"""
+
+# ------------------------------------------------------------------ P-6 exploration
+
+GAP_QS = [round(0.75 + 0.01 * i, 2) for i in range(25)]  # .75 to .99 by .01 (includes .94)
+_QLIST = "[" + ", ".join(f"{q}::DOUBLE" for q in GAP_QS) + "]"
+
+BY_VIDEO = SEG_V + """,
+fs AS (
+  SELECT *, end_point - start_point AS raw_duration, (end_point - start_point) / speed AS adjusted_duration,
+         local_start_time + (end_point - start_point) / speed AS local_end_time
+  FROM seg_v WHERE (end_point - start_point) / speed >= 5),
+bv AS (
+  SELECT *, lead(local_start_time) OVER (PARTITION BY user_id, video_id ORDER BY seg_id)
+            - local_end_time AS gap FROM fs),
+bv2 AS (
+  SELECT *,
+    CAST(coalesce(sum(CASE WHEN gap >= 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, video_id
+         ORDER BY seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS session_id,
+    CAST(coalesce(sum(CASE WHEN ((CAST(floor(gap) AS BIGINT) % 86400) + 86400) % 86400 >= 3600
+         THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, video_id
+         ORDER BY seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS session_id_seconds
+  FROM bv)"""
+
+SQL["q_sessions_by_video"] = f"""WITH {BY_VIDEO}
+SELECT seg_id, user_id, video_id, gap, session_id, session_id_seconds FROM bv2"""
+SQL["q_segment_index"] = f"""WITH {BY_VIDEO}
+SELECT seg_id, user_id, video_id,
+       row_number() OVER (PARTITION BY user_id, video_id ORDER BY local_start_time, seg_id) - 1 AS segment_idx
+FROM fs"""
+SQL["q_session_counts"] = f"""WITH {BY_VIDEO}
+SELECT user_id, video_id, count(DISTINCT session_id) AS session_count FROM bv2 GROUP BY 1, 2"""
+SQL["q_session_summary"] = f"""WITH {BY_VIDEO},
+per AS (SELECT user_id, video_id, count(DISTINCT session_id) AS n, max(session_id) AS m FROM bv2 GROUP BY 1, 2)
+SELECT CAST(sum(n) AS BIGINT) AS total_sessions, count(*) AS n_groups, max(m) AS max_session_id FROM per"""
+SQL["q_distinct_sessions"] = f"""WITH {BY_VIDEO}
+SELECT DISTINCT user_id, video_id, session_id FROM bv2"""
+SQL["q_gap_quantiles"] = f"""WITH {BY_VIDEO}
+SELECT unnest({_QLIST}) AS q, round(unnest(quantile_cont(gap, {_QLIST})), 6) AS gap FROM bv2"""
+SQL["q_gap_describe"] = f"""WITH {BY_VIDEO}
+{describe_sql("bv2", "gap")}"""
+SQL["q_min_rows"] = f"""WITH {BY_VIDEO}
+SELECT seg_id, user_id, video_id, gap FROM bv2 WHERE gap = (SELECT min(gap) FROM bv2)"""
+SQL["q_float_tolerance"] = f"""WITH {BY_VIDEO},
+t AS (SELECT seg_id, raw_duration, local_end_time - local_start_time AS diff FROM fs)
+SELECT seg_id, raw_duration, diff FROM t WHERE diff <> raw_duration AND abs(raw_duration - diff) < 1e-7"""
+
+
+def histogram_sql(expr: str, bins: int, head: int | None = None) -> str:
+    where = f"WHERE g.bin <= {head}" if head else ""
+    return f"""WITH {SEG_V},
+h AS (SELECT {expr} AS x FROM seg_v WHERE {expr} > 0),
+st AS (SELECT min(x) AS mn, max(x) AS mx, count(*) AS n FROM h),
+b AS (SELECT CAST(least({bins}, greatest(1, ceil((x - mn) / ((mx - mn) / {bins}.0)))) AS BIGINT) AS bin
+      FROM h, st),
+c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin),
+g AS (SELECT range AS bin FROM range(1, {bins + 1}))
+SELECT g.bin, CAST(coalesce(c.n, 0) AS BIGINT) AS n, coalesce(c.n, 0) / (SELECT n FROM st) AS share
+FROM g LEFT JOIN c USING (bin) {where}"""
+
+
+SQL["q_histogram"] = histogram_sql("end_point - start_point", 500)
+SQL["q_histogram_head"] = histogram_sql("(end_point - start_point) / speed", 400, 10)
+SQL["q_short_share"] = f"""WITH {SEG_V}
+SELECT avg(CASE WHEN end_point - start_point < 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS negative_share,
+       avg(CASE WHEN end_point - start_point < 5 THEN 1.0 ELSE 0.0 END)::DOUBLE AS short_raw_share,
+       avg(CASE WHEN (end_point - start_point) / speed < 5 THEN 1.0 ELSE 0.0 END)::DOUBLE
+         AS short_adjusted_share
+FROM seg_v"""
+SQL["q_unmapped_share"] = f"""WITH {SEQ_CTES}
+SELECT avg(CASE WHEN p.p_partkey IS NULL THEN 1.0 ELSE 0.0 END)::DOUBLE AS unmapped_share
+FROM ranked r LEFT JOIN part p ON CAST(p.p_partkey AS VARCHAR) = r.video_id"""
+SQL["q_uniqueness"] = """
+SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1"""
+
+# ------------------------------------------------------------------ intervals
+
+SQL["q_segments_per_video"] = f"""WITH {SEG_V}
+SELECT user_id, video_id, count(*) AS n_segments FROM seg_v GROUP BY 1, 2"""
+SQL["q_coverage"] = f"""WITH {SEG_V},
+ps AS (SELECT user_id, video_id, start_point AS s, max(end_point) AS e
+       FROM seg_v WHERE end_point > start_point GROUP BY 1, 2, 3),
+pm AS (SELECT *, max(e) OVER (PARTITION BY user_id, video_id ORDER BY s
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ps)
+SELECT user_id, video_id, round(sum(greatest(0.0, e - greatest(s, coalesce(m, s)))), 6) AS covered
+FROM pm GROUP BY 1, 2"""
+SQL["q_mean_speed"] = f"""WITH {SEG_V}
+SELECT user_id, video_id,
+       round(sum(speed * (end_point - start_point)) / sum(end_point - start_point), 9) AS mean_speed
+FROM seg_v WHERE end_point - start_point > 0 GROUP BY 1, 2"""
+
+# ------------------------------------------------------------------ recommendation
+
+RATE_CTES = """rate_v AS (
+  SELECT o_custkey AS "user", l_suppkey AS item, count(*) AS rating
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+ratings AS (SELECT * FROM rate_v WHERE rating > 1),
+filt AS (SELECT * FROM ratings WHERE "user" IN
+         (SELECT "user" FROM ratings GROUP BY "user" HAVING count(rating) > 1))"""
+
+SQL["q_ratings"] = f"WITH {RATE_CTES} SELECT * FROM ratings"
+SQL["q_density"] = f"""WITH {RATE_CTES}
+SELECT count(*) AS n_rows, count(DISTINCT "user") AS n_users, count(DISTINCT item) AS n_items,
+       count(*) / (count(DISTINCT item) * count(DISTINCT "user")) AS density FROM filt"""
+SQL["q_folds"] = f"""WITH {RATE_CTES}
+SELECT "user", item, rating,
+       CAST(CAST('0x' || substr(md5(CAST("user" AS VARCHAR) || '|42'), 1, 8) AS BIGINT) % 5 AS BIGINT) AS fold,
+       item = arg_min(item, md5(CAST("user" AS VARCHAR) || '|' || CAST(item AS VARCHAR) || '|42'))
+              OVER (PARTITION BY "user") AS is_test
+FROM filt"""
+SQL["q_tfidf"] = f"""WITH {RATE_CTES},
+n AS (SELECT count(DISTINCT "user") AS n FROM filt),
+df AS (SELECT item, count(DISTINCT "user") AS df FROM filt GROUP BY item),
+w AS (SELECT f."user", f.item,
+             f.rating * (ln((CAST(1.0 AS DOUBLE) + n.n) / (CAST(1.0 AS DOUBLE) + df.df)) + 1.0) AS w
+      FROM filt f JOIN df USING (item), n),
+nm AS (SELECT "user", sqrt(sum(w * w)) AS norm FROM w GROUP BY "user")
+SELECT w."user", w.item, round(w.w / nm.norm, 9) AS weight FROM w JOIN nm USING ("user")"""
+SQL["q_pivot"] = f"""WITH {RATE_CTES}
+PIVOT filt ON item USING first(rating) GROUP BY "user" """
