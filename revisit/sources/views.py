@@ -48,6 +48,9 @@ def seq_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct((start + F.col("l_quantity")).alias("end_point"), start.alias("start_point"),
                  F.lit(1.0).alias("speed"),
                  epoch_seconds("l_shipdate").alias("local_start_time")).alias("seg"))
+    # Cluster once on the order key: both aggregations (order, part) and (order)
+    # and the join with orders then reuse that partitioning (one shuffle).
+    lines = lines.repartition("l_orderkey")
     per_video = lines.groupBy("l_orderkey", "video_id").agg(
         F.array_sort(F.collect_list("seg")).alias("segment"))
     per_order = per_video.groupBy("l_orderkey").agg(

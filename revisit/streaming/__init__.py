@@ -1,0 +1,7 @@
+"""Incremental (Structured Streaming) forms of the sequence operators.
+
+The reference is batch only; these run the same semantics on a stream of
+events arriving in time order per key.
+"""
+
+from revisit.streaming.lectures import dedupe_stream  # noqa: F401

@@ -1,0 +1,54 @@
+"""E7 as a stateful streaming operator: drop consecutive repeats per user.
+
+Each micro-batch is grouped by user; a user's new rows are ordered by
+(time, tie) and compared with the last item kept in the user's state, so the
+result over all batches equals ``sequences.dedupe_consecutive`` on the whole
+log, provided each user's rows arrive in time order across batches. State is
+one row per user (last item and whether it is NULL).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+STATE_SCHEMA = "last_item string, last_is_null boolean"
+
+
+def _dedupe_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState, item: str, time: str,
+                  tie: str) -> Iterator[pd.DataFrame]:
+    batch = pd.concat(list(pdfs), ignore_index=True).sort_values([time, tie], kind="stable")
+    if state.exists:
+        last, last_null = state.get
+        prev = [None if last_null else last]
+        have_prev = True
+    else:
+        prev, have_prev = [None], False
+    items = batch[item].tolist()
+    keep = []
+    for i, cur in enumerate(items):
+        p = prev[0] if i == 0 else items[i - 1]
+        first = i == 0 and not have_prev
+        keep.append(first or p is None or cur is None or (isinstance(cur, float) and pd.isna(cur))
+                    or p != cur)
+    if items:
+        lst = items[-1]
+        is_null = lst is None or (isinstance(lst, float) and pd.isna(lst))
+        state.update(("" if is_null else lst, bool(is_null)))
+    yield batch[keep]
+
+
+def dedupe_stream(events: DataFrame, user: str = "user_id", item: str = "item_id",
+                  time: str = "timestamp", tie: str = "event_id") -> DataFrame:
+    """Streaming E7 over a streaming DataFrame; output mode ``append``."""
+    schema = events.schema
+
+    def fn(key, pdfs, state):
+        return _dedupe_group(key, pdfs, state, item, time, tie)
+
+    return events.groupBy(user).applyInPandasWithState(
+        fn, outputStructType=schema, stateStructType=STATE_SCHEMA,
+        outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)

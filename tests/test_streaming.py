@@ -1,0 +1,27 @@
+import tempfile
+
+from revisit.operators import sequences
+from revisit.sources import views
+from revisit.streaming import dedupe_stream
+
+from conftest import SF_SMALL
+
+
+def test_streaming_dedupe_equals_batch(spark):
+    lectures = sequences.filter_prefix(views.click_view(spark, SF_SMALL), "l")
+    d = tempfile.mkdtemp(prefix="revisit-stream-")
+    # two files in time order: the second batch continues each user's sequence
+    cut = lectures.selectExpr("percentile(timestamp, 0.5)").first()[0]
+    lectures.filter(f"timestamp <= {cut}").coalesce(1).write.parquet(f"{d}/in/a")
+    lectures.filter(f"timestamp > {cut}").coalesce(1).write.parquet(f"{d}/in/b")
+    src = (spark.readStream.schema(lectures.schema).option("maxFilesPerTrigger", 1)
+           .option("recursiveFileLookup", "true").parquet(f"{d}/in"))
+    q = (dedupe_stream(src).writeStream.format("memory").queryName("dedupe_out")
+         .option("checkpointLocation", f"{d}/ckpt").outputMode("append").start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {r[0] for r in spark.sql("select event_id from dedupe_out").collect()}
+    want = {r[0] for r in sequences.dedupe_consecutive(lectures).select("event_id").collect()}
+    assert got == want
