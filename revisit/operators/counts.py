@@ -133,3 +133,30 @@ def rows_at_min(df: DataFrame, col: str) -> DataFrame:
     """F5 + D7: rows whose ``col`` equals its global minimum (a scalar subquery)."""
     m = df.agg(F.min(col)).scalar()
     return df.filter(F.col(col) == m)
+
+
+def join_validated(left: DataFrame, right: DataFrame, keys, how: str = "inner",
+                   validate: str = "many_to_one") -> tuple[DataFrame, DataFrame]:
+    """Join with a cardinality rule; returns ``(joined, violations)``.
+
+    ``validate`` is ``one_to_many`` (keys unique on the left), ``many_to_one``
+    (unique on the right) or ``one_to_one``. ``violations`` lists key values that
+    break the rule (empty when it holds); nothing is executed here.
+    """
+    keys = list(keys)
+    sides = {"one_to_many": [left], "many_to_one": [right], "one_to_one": [left, right]}[validate]
+    bad = None
+    for side in sides:
+        v = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(*keys)
+        bad = v if bad is None else bad.unionByName(v).distinct()
+    return left.join(right, keys, how), bad
+
+
+def filter_ids(df: DataFrame, col: str, ids) -> DataFrame:
+    """Keep rows whose explicit row key is in a literal list."""
+    return df.filter(F.col(col).isin(list(ids)))
+
+
+def with_group_count(rows: DataFrame, counts_df: DataFrame, keys) -> DataFrame:
+    """Attach a per-group aggregate back to every row of the group (by key join)."""
+    return rows.join(counts_df, list(keys), "left")

@@ -58,8 +58,10 @@ def als_recommend(folded: DataFrame, n: int = 100, rank: int = 50, max_iter: int
     unrated items to the fold's test users. Rows ``algorithm, fold, user, item, rank, score``.
 
     Ratings are treated as implicit (all 1, confidence weight ``alpha``). Items
-    the user has in train are excluded exactly: each user is asked for ``n`` plus
-    the largest train-list length, then the train items are removed.
+    the user has in train are excluded exactly: a user with ``m`` train items is
+    asked for ``n + m'`` items (``m'`` = ``m`` rounded up to a power of two) and
+    the train items are then removed. Users are grouped by ``m'``, so the list
+    sizes stay linear in the train rows even when one user has a huge history.
     """
     from pyspark.ml.recommendation import ALS
 
@@ -68,23 +70,26 @@ def als_recommend(folded: DataFrame, n: int = 100, rank: int = 50, max_iter: int
     out = None
     for f in folds:
         train = folded.filter(~(F.col("is_test") & (F.col("fold") == f)))
-        users = folded.filter(F.col("is_test") & (F.col("fold") == f)).select(
-            F.col("user").cast("int").alias("user")).distinct()
-        margin = train.join(users, "user", "left_semi").groupBy("user").count().agg(F.max("count")).first()[0] or 0
+        test_users = folded.filter(F.col("is_test") & (F.col("fold") == f)).select("user").distinct()
+        sizes = (train.join(test_users, "user", "left_semi").groupBy("user").count()
+                 .select("user", F.pow(F.lit(2), F.ceil(F.log2(F.col("count")))).cast("bigint").alias("m")))
         als = ALS(rank=rank, maxIter=max_iter, regParam=reg, alpha=alpha, implicitPrefs=True,
                   userCol="user", itemCol="item", ratingCol="r", seed=seed, coldStartStrategy="drop")
         model = als.fit(train.select(F.col("user").cast("int").alias("user"),
                                      F.col("item").cast("int").alias("item"), F.lit(1.0).alias("r")))
-        recs = model.recommendForUserSubset(users, n + int(margin))
-        flat = recs.select("user", F.posexplode("recommendations").alias("pos", "rec")).select(
-            F.col("user").cast("bigint").alias("user"), F.col("rec.item").cast("bigint").alias("item"),
-            F.col("rec.rating").alias("score"), "pos")
-        flat = flat.join(train.select("user", "item"), ["user", "item"], "left_anti")
-        w = Window.partitionBy("user").orderBy(F.col("pos"))
-        top = flat.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= n)
-        top = top.select(F.lit(algorithm).alias("algorithm"), F.lit(f).cast("bigint").alias("fold"),
-                         "user", "item", "rank", "score")
-        out = top if out is None else out.unionByName(top)
+        margins = sorted(r[0] for r in sizes.select("m").distinct().collect())
+        for m in margins:
+            users = sizes.filter(F.col("m") == m).select(F.col("user").cast("int").alias("user"))
+            recs = model.recommendForUserSubset(users, n + int(m))
+            flat = recs.select("user", F.posexplode("recommendations").alias("pos", "rec")).select(
+                F.col("user").cast("bigint").alias("user"), F.col("rec.item").cast("bigint").alias("item"),
+                F.col("rec.rating").alias("score"), "pos")
+            flat = flat.join(train.select("user", "item"), ["user", "item"], "left_anti")
+            w = Window.partitionBy("user").orderBy(F.col("pos"))
+            top = flat.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= n)
+            top = top.select(F.lit(algorithm).alias("algorithm"), F.lit(f).cast("bigint").alias("fold"),
+                             "user", "item", "rank", "score")
+            out = top if out is None else out.unionByName(top)
     if out is None:
         return spark.createDataFrame([], "algorithm string, fold bigint, user bigint, item bigint, "
                                          "rank bigint, score float")

@@ -121,6 +121,17 @@ def q_session_share(spark, sf_dir):
     return counts.share_over(counts.sessions_per_user(_reps(spark, sf_dir, 3600)))
 
 
+@register
+def q_session2video_inner(spark, sf_dir):
+    """Segments joined many-to-one to their session's count (inner)."""
+    prepare(spark)
+    ctx = _ctx(spark, sf_dir, 3600)
+    keys = ["user_id", RUN_COL, SESSION_COL]
+    joined, _ = counts.join_validated(ctx.select(*keys, "seg_id", "video_id"),
+                                      intervals.repetition_counts(ctx), keys, "inner", "many_to_one")
+    return joined.select(*keys, REP_COL, "seg_id", "video_id")
+
+
 @register
 def q_session2video(spark, sf_dir):
     prepare(spark)
@@ -315,6 +326,15 @@ def q_session_counts(spark, sf_dir):
         F.countDistinct(SESSION_COL).alias("session_count"))
 
 
+@register
+def q_session_count_rows(spark, sf_dir):
+    """Every segment with its (user, video) session count."""
+    prepare(spark)
+    bv = _by_video(spark, sf_dir)
+    per = bv.groupBy("user_id", "video_id").agg(F.countDistinct(SESSION_COL).alias("session_count"))
+    return counts.with_group_count(bv.select("seg_id", "user_id", "video_id"), per, ["user_id", "video_id"])
+
+
 @register
 def q_session_summary(spark, sf_dir):
     prepare(spark)

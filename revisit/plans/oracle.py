@@ -125,6 +125,11 @@ WITH {reps_ctes(3600)}, per AS (SELECT user_id, count(*) AS n FROM reps GROUP BY
 SELECT avg(CASE WHEN n > 5 THEN 1.0 ELSE 0.0 END)::DOUBLE AS share_over_5,
        avg(CASE WHEN n > 10 THEN 1.0 ELSE 0.0 END)::DOUBLE AS share_over_10 FROM per"""
 
+SQL["q_session2video_inner"] = f"""
+WITH {reps_ctes(3600)}
+SELECT c.user_id, c.video_consecutive_id, c.session_id, r.seg_rep_count, c.seg_id, c.video_id
+FROM ctx c JOIN reps r USING (user_id, video_consecutive_id, session_id)"""
+
 SQL["q_session2video"] = f"""
 WITH {reps_ctes(3600)}
 SELECT r.user_id, r.video_consecutive_id, r.session_id, r.seg_rep_count, c.seg_id, c.video_id
@@ -269,6 +274,9 @@ SELECT seg_id, user_id, video_id,
 FROM fs"""
 SQL["q_session_counts"] = f"""WITH {BY_VIDEO}
 SELECT user_id, video_id, count(DISTINCT session_id) AS session_count FROM bv2 GROUP BY 1, 2"""
+SQL["q_session_count_rows"] = f"""WITH {BY_VIDEO},
+per AS (SELECT user_id, video_id, count(DISTINCT session_id) AS session_count FROM bv2 GROUP BY 1, 2)
+SELECT b.seg_id, b.user_id, b.video_id, p.session_count FROM bv2 b LEFT JOIN per p USING (user_id, video_id)"""
 SQL["q_session_summary"] = f"""WITH {BY_VIDEO},
 per AS (SELECT user_id, video_id, count(DISTINCT session_id) AS n, max(session_id) AS m FROM bv2 GROUP BY 1, 2)
 SELECT CAST(sum(n) AS BIGINT) AS total_sessions, count(*) AS n_groups, max(m) AS max_session_id FROM per"""
