@@ -29,10 +29,10 @@ def quantiles(df: DataFrame, col: str, qs: Sequence[float], partitions: int | No
     spark = df.sparkSession
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vals = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    hist = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    hist = hist.repartitionByRange(n_parts, "x").withColumn("__part", F.spark_partition_id())
+    counts = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    n = counts.agg(F.sum("c")).scalar()  # shares the aggregation's shuffle
+    hist = counts.repartitionByRange(n_parts, "x").withColumn("__part", F.spark_partition_id())
     hist = with_prefix(hist, [], ["x"], F.col("__part"), [("before", F.col("c"), "sum", False)])
-    n = vals.agg(F.count(F.lit(1))).scalar()
     qdf = spark.createDataFrame([(float(q),) for q in qs], T.StructType([T.StructField("q", T.DoubleType())]))
     pos = (n - F.lit(1)).cast("double") * F.col("q")
     targets = qdf.select("q", F.floor(pos).cast("bigint").alias("lo"),
