@@ -68,13 +68,15 @@ def _conform(col: Column, src: T.DataType, dst: T.DataType, path: str) -> Column
         missing = [f.name for f in dst.fields if f.name not in have]
         if missing:
             raise TypeError(f"{path}: missing fields {missing}")
-        return F.struct(*[_conform(col[f.name], have[f.name], f.dataType, f"{path}.{f.name}").alias(f.name)
-                          for f in dst.fields])
+        return F.when(col.isNotNull(), F.struct(*[
+            _conform(col[f.name], have[f.name], f.dataType, f"{path}.{f.name}").alias(f.name)
+            for f in dst.fields]))
     if isinstance(dst, T.ArrayType):
         if not isinstance(src, T.ArrayType):
             raise TypeError(f"{path}: expected array, found {src.simpleString()}")
         if isinstance(dst.elementType, (T.StructType, T.ArrayType)):
-            return F.transform(col, lambda x: _conform(x, src.elementType, dst.elementType, f"{path}[]"))
+            return F.when(col.isNotNull(), F.transform(
+                col, lambda x: _conform(x, src.elementType, dst.elementType, f"{path}[]")))
         return col.cast(dst)
     if isinstance(src, (T.StructType, T.ArrayType, T.MapType)):
         raise TypeError(f"{path}: expected {dst.simpleString()}, found {src.simpleString()}")
