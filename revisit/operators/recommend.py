@@ -53,30 +53,32 @@ def user_folds(ratings: DataFrame, n_folds: int = 5, seed: int = 42) -> DataFram
 
 def als_recommend(folded: DataFrame, n: int = 100, rank: int = 50, max_iter: int = 20,
                   reg: float = 0.1, alpha: float = 40.0, seed: int = 42,
-                  algorithm: str = "ImplicitALS") -> DataFrame:
+                  algorithm: str = "ImplicitALS", min_margin: int = 64, n_folds: int = 5) -> DataFrame:
     """J6 + J7: per fold, fit implicit ALS on the train rows and recommend ``n``
     unrated items to the fold's test users. Rows ``algorithm, fold, user, item, rank, score``.
 
     Ratings are treated as implicit (all 1, confidence weight ``alpha``). Items
     the user has in train are excluded exactly: a user with ``m`` train items is
     asked for ``n + m'`` items (``m'`` = ``m`` rounded up to a power of two) and
-    the train items are then removed. Users are grouped by ``m'``, so the list
-    sizes stay linear in the train rows even when one user has a huge history.
+    the train items are then removed. ``m'`` is at least ``min_margin`` (one
+    call serves almost every user); above it users are grouped by ``m'``, so
+    list sizes stay linear in the train rows even for a huge history.
     """
     from pyspark.ml.recommendation import ALS
 
     spark = folded.sparkSession
-    folds = sorted(r[0] for r in folded.select("fold").distinct().collect())
     out = None
-    for f in folds:
+    for f in range(n_folds):  # one model per fold: the loop is over the fold parameter
         train = folded.filter(~(F.col("is_test") & (F.col("fold") == f)))
         test_users = folded.filter(F.col("is_test") & (F.col("fold") == f)).select("user").distinct()
         sizes = (train.join(test_users, "user", "left_semi").groupBy("user").count()
-                 .select("user", F.pow(F.lit(2), F.ceil(F.log2(F.col("count")))).cast("bigint").alias("m")))
+                 .select("user", F.greatest(F.lit(min_margin), F.pow(F.lit(2), F.ceil(F.log2(F.col("count")))))
+                         .cast("bigint").alias("m")))
         als = ALS(rank=rank, maxIter=max_iter, regParam=reg, alpha=alpha, implicitPrefs=True,
                   userCol="user", itemCol="item", ratingCol="r", seed=seed, coldStartStrategy="drop")
         model = als.fit(train.select(F.col("user").cast("int").alias("user"),
                                      F.col("item").cast("int").alias("item"), F.lit(1.0).alias("r")))
+        # distinct list sizes: powers of two up to the longest history (a handful)
         margins = sorted(r[0] for r in sizes.select("m").distinct().collect())
         for m in margins:
             users = sizes.filter(F.col("m") == m).select(F.col("user").cast("int").alias("user"))

@@ -111,7 +111,9 @@ def sessionize(segments: DataFrame, session_thresh: float = 3600, user: str = "u
     Rows with a NULL user drop out (the reference's group-apply drops them).
     ``gap_mode="seconds_component"`` compares the gap's seconds-of-day field.
 
-    Plan: one shuffle on (user, time bucket). Inside a chunk, windows give the
+    Plan: a shuffle on (user, time bucket); the chunk summary shuffles its own
+    narrower copy of the key, order, video and duration columns (the two are not
+    reused because Catalyst prunes them differently). Inside a chunk, windows give the
     change flags, gaps and running sums for every row whose neighbours are in the
     chunk; the first row's change flag and the last row's gap depend on the
     neighbouring chunks and are settled from a one-row-per-chunk summary. With
@@ -120,8 +122,12 @@ def sessionize(segments: DataFrame, session_thresh: float = 3600, user: str = "u
     """
     u, v, t = F.col(user), F.col(video), F.col(time)
     order = [time, *tie]
-    seg = segments.filter(u.isNotNull()).withColumn(_B, time_bucket(time, bucket_seconds))
-    dur = safe_div(F.col("end_point") - F.col("start_point"), F.col("speed"))
+    # The duration is computed before the shuffle: the row branch then carries
+    # one column instead of end, start and speed unless the caller keeps them.
+    seg = segments.filter(u.isNotNull()).withColumns({
+        _B: time_bucket(time, bucket_seconds),
+        "__dur": safe_div(F.col("end_point") - F.col("start_point"), F.col("speed"))})
+    dur = F.col("__dur")
     w = Window.partitionBy(user, _B).orderBy(*[F.col(c).asc_nulls_last() for c in order])
     run_w = w.rowsBetween(Window.unboundedPreceding, 0)
     before_w = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -131,7 +137,6 @@ def sessionize(segments: DataFrame, session_thresh: float = 3600, user: str = "u
     loc = seg.withColumns({
         "__rn": F.row_number().over(w),
         "__last": F.lead(F.lit(1)).over(w).isNull(),
-        "__dur": dur,
         "__chg": F.when(pv.isNull() | v.isNull() | (pv != v), 1).otherwise(0),
         "__gap": nan_to_null(F.when(v.isNotNull() & nv.isNotNull() & (nv == v),
                                     F.lead(time).over(w) - (t + dur))),

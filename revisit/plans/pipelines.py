@@ -143,7 +143,7 @@ def rewatch_recommendation(counts_df: DataFrame, out_dir: str | None = None, n:
     """P-7: rewatch ratings, user folds, implicit ALS top-n lists, metrics per algorithm."""
     ratings = recommend.filter_min_items(recommend.rewatch_ratings(counts_df))
     folded = recommend.user_folds(ratings, n_folds, seed)
-    recs = recommend.als_recommend(folded, n=n, seed=seed)
+    recs = recommend.als_recommend(folded, n=n, seed=seed, n_folds=n_folds)
     test = folded.filter("is_test").select("user", "item")
     metrics = recommend.topn_metrics(recs, test, k)
     means = recommend.mean_metrics(metrics)

@@ -95,7 +95,7 @@ def test_als_excludes_train_items(spark):
     rows = [(u, i, 2) for u in range(30) for i in range(12) if (u * 7 + i * 3) % 5 < 3]
     r = spark.createDataFrame(rows, "user long, item long, rating long")
     folded = recommend.user_folds(recommend.filter_min_items(r), n_folds=2)
-    recs = recommend.als_recommend(folded, n=5, rank=4, max_iter=3)
+    recs = recommend.als_recommend(folded, n=5, rank=4, max_iter=3, n_folds=2)
     train = folded.filter(~F.col("is_test")).select("user", "item")
     assert recs.join(train, ["user", "item"]).count() == 0
     per = recs.groupBy("user").agg(F.max("rank").alias("m"), F.count("*").alias("c"))
