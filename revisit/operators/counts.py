@@ -75,8 +75,9 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Frequency of each value, and its share of all rows, in frequency order.
 
     The reference's value_counts on a Series normalizes, so its "frequency" is a
-    share; both columns are given. The share's window runs over the small table
-    of distinct values only.
+    share; both columns are given. The share's window has no partition key but
+    runs over the grouped table, one row per distinct value; a scalar subquery
+    for the total would instead re-run the whole upstream plan.
     """
     g = df.groupBy(col).agg(F.count(F.lit(1)).alias("frequency"))
     total = F.sum("frequency").over(Window.partitionBy())
