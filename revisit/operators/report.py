@@ -30,20 +30,21 @@ def quantiles(df: DataFrame, col: str, qs: Sequence[float], partitions: int | No
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vals = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
     counts = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    n = counts.agg(F.sum("c")).scalar()  # shares the aggregation's shuffle
     hist = counts.repartitionByRange(n_parts, "x").withColumn("__part", F.spark_partition_id())
-    hist = with_prefix(hist, [], ["x"], F.col("__part"), [("before", F.col("c"), "sum", False)])
+    # "before" = rows with a smaller value; "n" = all rows. Both come from the
+    # per-partition summary, so the input is not re-read for the total.
+    hist = with_prefix(hist, [], ["x"], F.col("__part"), [("before", F.col("c"), "sum", False)],
+                       total="n")
     qdf = spark.createDataFrame([(float(q),) for q in qs], T.StructType([T.StructField("q", T.DoubleType())]))
-    pos = (n - F.lit(1)).cast("double") * F.col("q")
-    targets = qdf.select("q", F.floor(pos).cast("bigint").alias("lo"),
-                         F.ceil(pos).cast("bigint").alias("hi"),
-                         (pos - F.floor(pos)).alias("frac"))
-    inside = lambda r: (F.col("before") <= F.col(r)) & (F.col(r) < F.col("before") + F.col("c"))
-    picked = hist.join(F.broadcast(targets), inside("lo") | inside("hi"))
+    pos = (F.col("n") - F.lit(1)).cast("double") * F.col("q")
+    lo, hi = F.floor(pos), F.ceil(pos)
+    inside = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("c"))
+    picked = hist.join(F.broadcast(qdf), inside(lo) | inside(hi)).select(
+        "q", "x", inside(lo).alias("is_lo"), inside(hi).alias("is_hi"), (pos - lo).alias("frac"))
     per_q = picked.groupBy("q").agg(
-        F.max(F.when(inside("lo"), F.col("x"))).alias("lo_v"),
-        F.max(F.when(inside("hi"), F.col("x"))).alias("hi_v"),
-        F.first("frac").alias("frac"))
+        F.max(F.when(F.col("is_lo"), F.col("x"))).alias("lo_v"),
+        F.max(F.when(F.col("is_hi"), F.col("x"))).alias("hi_v"),
+        F.max("frac").alias("frac"))
     value = F.when(F.col("frac") == 0, F.col("lo_v")).otherwise(
         F.col("lo_v") + (F.col("hi_v") - F.col("lo_v")) * F.col("frac"))
     return per_q.select("q", value.alias("value"))
@@ -77,12 +78,13 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     """
     x = F.col(col)
     vals = df.select(x.alias("x")).filter(F.col("x").isNotNull())
-    mn = vals.agg(F.min("x")).scalar()
-    mx = vals.agg(F.max("x")).scalar()
+    # one scalar subquery (min, max, count); its three uses share one execution
+    stats = vals.agg(F.struct(F.min("x").alias("mn"), F.max("x").alias("mx"),
+                              F.count(F.lit(1)).alias("n"))).scalar()
+    mn, mx, total = stats["mn"], stats["mx"], stats["n"]
     w = (mx - mn) / F.lit(float(bins))
     b = F.least(F.lit(bins), F.greatest(F.lit(1), F.ceil(F.try_divide(F.col("x") - mn, w)))).cast("bigint")
     counts = vals.groupBy(F.coalesce(b, F.lit(1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    total = vals.agg(F.count(F.lit(1))).scalar()
     grid = df.sparkSession.range(1, bins + 1).select(F.col("id").alias("bin"))
     return (grid.join(counts, "bin", "left")
             .select("bin", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
