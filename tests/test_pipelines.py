@@ -103,3 +103,21 @@ def test_als_excludes_train_items(spark):
     test = folded.filter("is_test").select("user", "item")
     m = recommend.mean_metrics(recommend.topn_metrics(recs, test, k=10)).collect()
     assert len(m) == 1 and 0 <= m[0]["precision"] <= 1
+
+
+def test_command_line_clean_and_sessions(spark):
+    from revisit.plans import run
+    d = _tmp()
+    seq = views.seq_view(spark, SF_SMALL).select(F.col("user_id").cast("string").alias("user_id"), "seq")
+    seq.write.json(f"{d}/uv.json")  # a folder of JSON-lines parts
+    with open(f"{d}/map.txt", "w") as f:
+        for r in views.video_ccid_view(spark, SF_SMALL).collect():
+            f.write(f"{r[0]}\t{r[1]}\n")
+    run.main(["clean", "--sequences", f"{d}/uv.json", "--video-ccid", f"{d}/map.txt",
+              "--out", f"{d}/clean", "--thresh", "2"])
+    rep = spark.read.parquet(f"{d}/clean/report").collect()[0]
+    assert rep["segments_before"] >= rep["segments_after"] > 0
+    run.main(["sessions", "--sequences", f"{d}/uv.json", "--out", f"{d}/sessions"])
+    reps = spark.read.parquet(f"{d}/sessions/segments_w_repetition_count")
+    ctx = spark.read.parquet(f"{d}/sessions/segments_w_context")
+    assert reps.count() == ctx.select("user_id", "video_consecutive_id", "session_id").distinct().count()
