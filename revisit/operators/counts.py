@@ -98,22 +98,32 @@ def share_over(per_user: DataFrame, col: str = "n_sessions", thresholds: Sequenc
                           for t in thresholds])
 
 
-def reduction_report(before: DataFrame, after: DataFrame, blacklist: DataFrame,
-                     users: DataFrame) -> DataFrame:
-    """D15 + D10: segments before / after cleaning and the share removed. One row.
-
-    ``reduction`` = 1 - after / before; ``reduction_as_written`` is the
-    reference's printed ``1 - 100 * before / after``.
+def reduction_report(mapped: DataFrame, blacklist: DataFrame, users: DataFrame,
+                     user: str = "user_id") -> DataFrame:
+    """D3 + D15 + D10: segments before / after removing blacklisted users. One row.
+
+    ``mapped`` holds the exploded sequences (with ``seq.segment``), ``users`` the
+    raw table whose distinct users are counted. ``reduction`` = 1 - after / before;
+    ``reduction_as_written`` is the reference's printed ``1 - 100 * before / after``.
+    One pass flags blacklisted rows and sums both totals; the user count comes
+    from its own aggregate, and the two one-row results are combined by a union.
     """
-    b = before.select(F.col("n_segments").alias("before")).scalar()
-    a = after.select(F.col("n_segments").alias("after")).scalar()
-    nb = blacklist.agg(F.count(F.lit(1))).scalar()
-    nu = users.agg(F.countDistinct("user_id")).scalar()
-    return before.sparkSession.range(1).select(
-        b.alias("segments_before"), a.alias("segments_after"),
-        (F.lit(1.0) - a / b).alias("reduction"),
-        (F.lit(1.0) - (b / a) * F.lit(100.0)).alias("reduction_as_written"),
-        nb.alias("n_blacklisted"), nu.alias("n_users"))
+    n = F.when(F.col("seq.segment").isNotNull(), F.size("seq.segment"))
+    flagged = mapped.join(blacklist.select(user).withColumn("__bl", F.lit(True)), user, "left")
+    a = flagged.agg(F.sum(n).cast("bigint").alias("segments_before"),
+                    F.sum(F.when(F.col("__bl").isNull(), n)).cast("bigint").alias("segments_after"),
+                    F.countDistinct(F.when(F.col("__bl"), F.col(user))).alias("n_blacklisted"),
+                    F.lit(None).cast("bigint").alias("n_users"))
+    b = users.agg(F.lit(None).cast("bigint").alias("segments_before"),
+                  F.lit(None).cast("bigint").alias("segments_after"),
+                  F.lit(None).cast("bigint").alias("n_blacklisted"),
+                  F.countDistinct(user).alias("n_users"))
+    cols = ["segments_before", "segments_after", "n_blacklisted", "n_users"]
+    one = a.unionByName(b).agg(*[F.max(c).alias(c) for c in cols])
+    bef, aft = F.col("segments_before"), F.col("segments_after")
+    return one.select(bef, aft, (F.lit(1.0) - aft / bef).alias("reduction"),
+                      (F.lit(1.0) - (bef / aft) * F.lit(100.0)).alias("reduction_as_written"),
+                      "n_blacklisted", "n_users")
 
 
 def density(ratings: DataFrame, user: str = "user", item: str = "item") -> DataFrame:

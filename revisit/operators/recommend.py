@@ -63,10 +63,19 @@ def als_recommend(folded: DataFrame, n: int = 100, rank: int = 50, max_iter: int
     the train items are then removed. ``m'`` is at least ``min_margin`` (one
     call serves almost every user); above it users are grouped by ``m'``, so
     list sizes stay linear in the train rows even for a huge history.
+    Runs the fits eagerly; the returned lists are checkpointed (shared
+    ``spark.checkpoint.dir``), so later metrics do not refit.
     """
+    from pyspark import StorageLevel
     from pyspark.ml.recommendation import ALS
 
+    from revisit.session import ensure_checkpoint_dir
+
     spark = folded.sparkSession
+    ensure_checkpoint_dir(spark)
+    # The folds are read by every fit and every exclusion join: keep them for the
+    # duration of this call, then cut the result's lineage with a checkpoint.
+    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
     out = None
     for f in range(n_folds):  # one model per fold: the loop is over the fold parameter
         train = folded.filter(~(F.col("is_test") & (F.col("fold") == f)))
@@ -93,8 +102,10 @@ def als_recommend(folded: DataFrame, n: int = 100, rank: int = 50, max_iter: int
                              "user", "item", "rank", "score")
             out = top if out is None else out.unionByName(top)
     if out is None:
-        return spark.createDataFrame([], "algorithm string, fold bigint, user bigint, item bigint, "
-                                         "rank bigint, score float")
+        out = spark.createDataFrame([], "algorithm string, fold bigint, user bigint, item bigint, "
+                                        "rank bigint, score float")
+    out = out.checkpoint()  # reliable: written to spark.checkpoint.dir
+    folded.unpersist()
     return out
 
 

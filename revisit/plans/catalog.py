@@ -184,9 +184,7 @@ def q_reduction(spark, sf_dir):
     raw = views.seq_view(spark, sf_dir)
     watched = _watched(spark, sf_dir)
     bl = counts.blacklist_users(counts.count_interactions(watched, "ccid"), "num_watched", BLACKLIST_THRESH)
-    clean = counts.remove_users(watched, bl)
-    return counts.reduction_report(sequences.count_segments(watched), sequences.count_segments(clean),
-                                   bl, raw)
+    return counts.reduction_report(watched, bl, raw)
 
 
 @register

@@ -41,8 +41,7 @@ def clean_repeaters(user_video: DataFrame, video_ccid: DataFrame, out_dir: str |
         io.write_csv(bl, f"{out_dir}/blacklist")
         io.write_parquet(clean, f"{out_dir}/clean")
         clean = mapped.sparkSession.read.parquet(f"{out_dir}/clean")
-    rep = counts.reduction_report(sequences.count_segments(mapped), sequences.count_segments(clean),
-                                  bl, user_video)
+    rep = counts.reduction_report(mapped, bl, user_video)
     return CleanResult(c, bl, clean, rep)
 
 

@@ -51,6 +51,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder of its own.
     """
     sc = spark.sparkContext
+    try:  # a folder already set on the context (e.g. by the caller) is kept
+        current = sc._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            return current.get()
+    except Exception:  # noqa: BLE001 - no JVM handle
+        pass
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         try:
