@@ -137,10 +137,20 @@ def segment_exploration(segments: DataFrame, video_ccid: DataFrame | None = None
     }
 
 
+def _ratings_table(counts_df: DataFrame, out_dir: str | None) -> DataFrame:
+    """J1 + J2, written once under ``out_dir`` (and read back) when given: every
+    later step reads the small ratings table instead of recomputing the counts."""
+    ratings = recommend.filter_min_items(recommend.rewatch_ratings(counts_df))
+    if out_dir:
+        io.write_parquet(ratings, f"{out_dir}/ratings")
+        ratings = counts_df.sparkSession.read.parquet(f"{out_dir}/ratings")
+    return ratings
+
+
 def rewatch_recommendation(counts_df: DataFrame, out_dir: str | None = None, n: int = 100, k: int = 10,
                            n_folds: int = 5, seed: int = 42) -> dict[str, DataFrame]:
     """P-7: rewatch ratings, user folds, implicit ALS top-n lists, metrics per algorithm."""
-    ratings = recommend.filter_min_items(recommend.rewatch_ratings(counts_df))
+    ratings = _ratings_table(counts_df, out_dir)
     folded = recommend.user_folds(ratings, n_folds, seed)
     recs = recommend.als_recommend(folded, n=n, seed=seed, n_folds=n_folds)
     test = folded.filter("is_test").select("user", "item")
@@ -152,7 +162,6 @@ def rewatch_recommendation(counts_df: DataFrame, out_dir: str | None = None, n:
             "metrics": metrics, "means": means}
 
 
-def rewatch_confidence(counts_df: DataFrame) -> DataFrame:
+def rewatch_confidence(counts_df: DataFrame, out_dir: str | None = None) -> DataFrame:
     """P-8: TF-IDF confidence weights of the filtered rewatch ratings (long form)."""
-    ratings = recommend.filter_min_items(recommend.rewatch_ratings(counts_df))
-    return recommend.tfidf_confidence(ratings)
+    return recommend.tfidf_confidence(_ratings_table(counts_df, out_dir))

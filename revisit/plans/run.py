@@ -69,7 +69,7 @@ def main(argv=None) -> None:
         res = pipelines.rewatch_recommendation(io.read_parquet(spark, a.counts), a.out)
         io.write_parquet(res["means"], f"{a.out}/means", compression=None)
     else:
-        io.write_parquet(pipelines.rewatch_confidence(io.read_parquet(spark, a.counts)),
+        io.write_parquet(pipelines.rewatch_confidence(io.read_parquet(spark, a.counts), a.out),
                          f"{a.out}/confidence")
 
 
