@@ -15,58 +15,67 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from revisit.operators.scan import with_prefix
 
 
+def _ranked(df: DataFrame, col: str, partitions: int | None) -> DataFrame:
+    """(value ``x``, count ``c``) with ``before`` (rows with a smaller value), the
+    total ``n`` and the sum of values ``sx`` on every row: one chunked pass."""
+    spark = df.sparkSession
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    vals = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
+    counts = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    hist = counts.repartitionByRange(n_parts, "x").withColumn("__part", F.spark_partition_id())
+    return with_prefix(hist, [], ["x"], F.col("__part"),
+                       [("before", F.col("c"), "sum", False), ("__sx", F.col("x") * F.col("c"), "sum", False)],
+                       totals=("n", "sx")).drop("__sx")
+
+
+def _quantile_aggs(qs: Sequence[float]) -> list:
+    """Per requested q: the value at rank position (n - 1) * q, linear in between.
+
+    One aggregate per q over the ranked rows (the q list is a parameter)."""
+    out = []
+    for i, q in enumerate(qs):
+        pos = (F.col("n") - F.lit(1)).cast("double") * F.lit(float(q))
+        lo, hi = F.floor(pos), F.ceil(pos)
+        inside = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("c"))
+        lo_v = F.max(F.when(inside(lo), F.col("x")))
+        hi_v = F.max(F.when(inside(hi), F.col("x")))
+        frac = F.max(pos - lo)
+        out.append(F.when(frac == 0, lo_v).otherwise(lo_v + (hi_v - lo_v) * frac).alias(f"__q{i}"))
+    return out
+
+
 def quantiles(df: DataFrame, col: str, qs: Sequence[float], partitions: int | None = None) -> DataFrame:
     """Exact quantiles of ``col`` (NULLs skipped): columns ``q`` and ``value``.
 
     Rank position ``(n - 1) * q``; between two ranks the value is
     ``lo + (hi - lo) * frac``.
     """
-    spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    vals = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    counts = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    hist = counts.repartitionByRange(n_parts, "x").withColumn("__part", F.spark_partition_id())
-    # "before" = rows with a smaller value; "n" = all rows. Both come from the
-    # per-partition summary, so the input is not re-read for the total.
-    hist = with_prefix(hist, [], ["x"], F.col("__part"), [("before", F.col("c"), "sum", False)],
-                       total="n")
-    qdf = spark.createDataFrame([(float(q),) for q in qs], T.StructType([T.StructField("q", T.DoubleType())]))
-    pos = (F.col("n") - F.lit(1)).cast("double") * F.col("q")
-    lo, hi = F.floor(pos), F.ceil(pos)
-    inside = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("c"))
-    picked = hist.join(F.broadcast(qdf), inside(lo) | inside(hi)).select(
-        "q", "x", inside(lo).alias("is_lo"), inside(hi).alias("is_hi"), (pos - lo).alias("frac"))
-    per_q = picked.groupBy("q").agg(
-        F.max(F.when(F.col("is_lo"), F.col("x"))).alias("lo_v"),
-        F.max(F.when(F.col("is_hi"), F.col("x"))).alias("hi_v"),
-        F.max("frac").alias("frac"))
-    value = F.when(F.col("frac") == 0, F.col("lo_v")).otherwise(
-        F.col("lo_v") + (F.col("hi_v") - F.col("lo_v")) * F.col("frac"))
-    return per_q.select("q", value.alias("value"))
-
-
-def describe(df: DataFrame, col: str) -> DataFrame:
+    qs = list(dict.fromkeys(float(q) for q in qs))
+    one = _ranked(df, col, partitions).agg(*_quantile_aggs(qs))
+    pairs = F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"__q{i}").alias("value")) for i, q in enumerate(qs)])
+    return one.select(F.explode(pairs).alias("e")).select("e.q", "e.value")
+
+
+def describe(df: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
     """L1: count, mean, sample std, min, 25/50/75 %, max of ``col``. One row of DOUBLEs.
 
-    The std of a single value is NULL (pandas gives NaN).
+    One (value, count) histogram of the input, one chunked pass for ranks and
+    totals, one aggregation: the mean from the totals, the sample std as
+    ``sqrt(sum(c * (x - mean)^2) / (n - 1))`` (two-pass form, no cancellation),
+    the quantiles as in ``quantiles``. The std of a single value is NULL.
     """
-    stats = df.agg(F.count(col).cast("double").alias("count"), F.avg(col).alias("mean"),
-                   F.stddev_samp(col).alias("std"), F.min(col).cast("double").alias("min"),
-                   F.max(col).cast("double").alias("max"))
-    names = ["count", "mean", "std", "min", "max"]
-    long = stats.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v"))
-                                             for c in names])).alias("e")).select("e.k", "e.v")
-    qs = quantiles(df, col, [0.25, 0.5, 0.75])
-    long = long.unionByName(qs.select(
-        F.concat(F.lit("p"), (F.col("q") * 100).cast("int").cast("string")).alias("k"),
-        F.col("value").alias("v")))
-    out = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
-    return long.agg(*[F.max(F.when(F.col("k") == c, F.col("v"))).alias(c) for c in out])
+    ranked = _ranked(df, col, partitions).withColumn("__mean", F.col("sx") / F.col("n"))
+    d = F.col("x") - F.col("__mean")
+    one = ranked.agg(F.max("n").cast("double").alias("count"), F.max("__mean").alias("mean"),
+                     F.sum(F.col("c") * d * d).alias("__m2"), F.min("x").alias("min"),
+                     F.max("x").alias("max"), *_quantile_aggs([0.25, 0.5, 0.75]))
+    std = F.when(F.col("count") > 1, F.sqrt(F.col("__m2") / (F.col("count") - F.lit(1.0))))
+    return one.select("count", "mean", std.alias("std"), "min", F.col("__q0").alias("p25"),
+                      F.col("__q1").alias("p50"), F.col("__q2").alias("p75"), "max")
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:

@@ -95,13 +95,14 @@ _OPS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def with_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
-                specs: Sequence[tuple[str, Column, str, bool]], total: str | None = None) -> DataFrame:
+                specs: Sequence[tuple[str, Column, str, bool]],
+                totals: Sequence[str | None] = ()) -> DataFrame:
     """Running aggregates within each key, in ``order``.
 
     ``specs`` holds ``(out_name, value, op, inclusive)`` with ``op`` in
     ``sum | max | min``. ``inclusive=False`` aggregates the rows strictly before.
-    A sum over no rows is 0; a max / min over no rows is NULL. With ``total``,
-    the first spec's aggregate over the whole key is added under that name.
+    A sum over no rows is 0; a max / min over no rows is NULL. ``totals[i]``, if
+    given, names a column with spec ``i``'s aggregate over the whole key.
     """
     keys, order = list(keys), list(order)
     d = df.withColumn(_B, bucket)
@@ -117,10 +118,8 @@ def with_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket
     summary = d2.groupBy(*keys, _B).agg(*[_OPS[op](f"__v{i}").alias(f"__t{i}")
                                          for i, (_, _, op, _) in enumerate(specs)])
     w2 = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    extra = []
-    if total:
-        op0 = specs[0][2]
-        extra = [_OPS[op0]("__t0").over(Window.partitionBy(*keys)).alias(total)]
+    extra = [_OPS[specs[i][2]](f"__t{i}").over(Window.partitionBy(*keys)).alias(name)
+             for i, name in enumerate(totals) if name]
     summary = summary.select(*keys, _B, *[_OPS[op](f"__t{i}").over(w2).alias(f"__o{i}")
                                           for i, (_, _, op, _) in enumerate(specs)], *extra)
     j = _null_safe_join(d2, summary, keys + [_B])
