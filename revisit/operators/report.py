@@ -33,9 +33,8 @@ def _ranked(df: DataFrame, col: str, partitions: int | None) -> DataFrame:
 
 
 def _quantile_aggs(qs: Sequence[float]) -> list:
-    """Per requested q: the value at rank position (n - 1) * q, linear in between.
-
-    One aggregate per q over the ranked rows (the q list is a parameter)."""
+    """Per requested q: the value at rank position (n - 1) * q, linear in between,
+    as aggregates over the ranked rows (for a few fixed q, e.g. quartiles)."""
     out = []
     for i, q in enumerate(qs):
         pos = (F.col("n") - F.lit(1)).cast("double") * F.lit(float(q))
@@ -52,12 +51,25 @@ def quantiles(df: DataFrame, col: str, qs: Sequence[float], partitions: int | No
     """Exact quantiles of ``col`` (NULLs skipped): columns ``q`` and ``value``.
 
     Rank position ``(n - 1) * q``; between two ranks the value is
-    ``lo + (hi - lo) * frac``.
+    ``lo + (hi - lo) * frac``. The rows holding the wanted ranks are picked by
+    a join against the broadcast table of requested quantiles (its size is the
+    number of quantiles asked for).
     """
-    qs = list(dict.fromkeys(float(q) for q in qs))
-    one = _ranked(df, col, partitions).agg(*_quantile_aggs(qs))
-    pairs = F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"__q{i}").alias("value")) for i, q in enumerate(qs)])
-    return one.select(F.explode(pairs).alias("e")).select("e.q", "e.value")
+    ranked = _ranked(df, col, partitions)
+    spark = df.sparkSession
+    qdf = spark.createDataFrame([(q,) for q in dict.fromkeys(float(q) for q in qs)], "q double")
+    pos = (F.col("n") - F.lit(1)).cast("double") * F.col("q")
+    lo, hi = F.floor(pos), F.ceil(pos)
+    inside = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("c"))
+    picked = ranked.join(F.broadcast(qdf), inside(lo) | inside(hi)).select(
+        "q", "x", inside(lo).alias("is_lo"), inside(hi).alias("is_hi"), (pos - lo).alias("frac"))
+    per_q = picked.groupBy("q").agg(
+        F.max(F.when(F.col("is_lo"), F.col("x"))).alias("lo_v"),
+        F.max(F.when(F.col("is_hi"), F.col("x"))).alias("hi_v"),
+        F.max("frac").alias("frac"))
+    value = F.when(F.col("frac") == 0, F.col("lo_v")).otherwise(
+        F.col("lo_v") + (F.col("hi_v") - F.col("lo_v")) * F.col("frac"))
+    return per_q.select("q", value.alias("value"))
 
 
 def describe(df: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
