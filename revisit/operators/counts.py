@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from revisit.schemas import REPEAT_THRESH, SHARE_THRESHOLDS
+
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -50,7 +52,7 @@ def count_interactions(rows: DataFrame, item: str = "ccid", user: str = "user_id
             .agg(F.count(F.lit(1)).alias(out)))
 
 
-def blacklist_users(counts: DataFrame, count_col: str = "num_watched", rep_thresh: int = 20,
+def blacklist_users(counts: DataFrame, count_col: str = "num_watched", rep_thresh: int = REPEAT_THRESH,
                     user: str = "user_id") -> DataFrame:
     """Distinct users with any count ``> rep_thresh``."""
     return counts.filter(F.col(count_col) > rep_thresh).select(user).distinct()
@@ -92,7 +94,7 @@ def sessions_per_user(reps: DataFrame, user: str = "user_id", out: str = "n_sess
     return reps.groupBy(user).agg(F.count(F.lit(1)).alias(out))
 
 
-def share_over(per_user: DataFrame, col: str = "n_sessions", thresholds: Sequence[int] = (5, 10)) -> DataFrame:
+def share_over(per_user: DataFrame, col: str = "n_sessions", thresholds: Sequence[int] = SHARE_THRESHOLDS) -> DataFrame:
     """Share of rows whose ``col`` is above each threshold. One row."""
     return per_user.agg(*[F.avg(F.when(F.col(col) > t, 1.0).otherwise(0.0)).alias(f"share_over_{t}")
                           for t in thresholds])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revisit.schemas import VIDEO_PREFIX
+
 
 def explode_resources(courses: DataFrame, course: str = "id", min_count: int = 0) -> DataFrame:
     """B10 + B1: courses with ``rsc_count > min_count``, one row per resource with its list position."""
@@ -15,7 +17,7 @@ def explode_resources(courses: DataFrame, course: str = "id", min_count: int = 0
 
 def alternation_flags(resources: DataFrame, course: str = "id", pos: str = "pos",
                       rid: str = "resource_id", mode: str = "as_written",
-                      prefix: str = "V_", out: str = "alternating") -> DataFrame:
+                      prefix: str = VIDEO_PREFIX, out: str = "alternating") -> DataFrame:
     """Tri-state flag per course; NULL when the course has no video resource.
 
     ``mode="as_written"``: the reference's loop never resets its flag, so it is

@@ -24,12 +24,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revisit.schemas import REP_COL, RUN_COL, SESSION_COL
+from revisit.schemas import OVERLAP_THRESH_S, REP_COL, RUN_COL, SESSION_COL
 
 SESSION_KEYS = ("user_id", RUN_COL, SESSION_COL)
 
 
-def repetition_counts(ctx: DataFrame, overlap_thresh: float = 5.0,
+def repetition_counts(ctx: DataFrame, overlap_thresh: float = OVERLAP_THRESH_S,
                       keys: Sequence[str] = SESSION_KEYS, start: str = "start_point",
                       end: str = "end_point", out: str = REP_COL) -> DataFrame:
     """One row per session key with its repetition count (0 without pairs).
@@ -55,7 +55,7 @@ def repetition_counts(ctx: DataFrame, overlap_thresh: float = 5.0,
     return per.select(*keys, count.cast("bigint").alias(out))
 
 
-def repetition_counts_pairs(ctx: DataFrame, overlap_thresh: float = 5.0,
+def repetition_counts_pairs(ctx: DataFrame, overlap_thresh: float = OVERLAP_THRESH_S,
                             keys: Sequence[str] = SESSION_KEYS, pos: str = "seg_id",
                             start: str = "start_point", end: str = "end_point",
                             out: str = REP_COL) -> DataFrame:

@@ -12,18 +12,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revisit.functions.columns import hash_bucket
+from revisit.schemas import ALS_RANK, METRIC_K, MIN_ITEMS, MIN_REWATCH, N_FOLDS, N_RECS
 
 # ---------------------------------------------------------------- J1, J2 ratings
 
 
 def rewatch_ratings(counts: DataFrame, user: str = "user_id", item: str = "ccid",
-                    count_col: str = "num_watched", min_count: int = 1) -> DataFrame:
+                    count_col: str = "num_watched", min_count: int = MIN_REWATCH) -> DataFrame:
     """Items watched more than ``min_count`` times, as ``user, item, rating``."""
     return counts.filter(F.col(count_col) > min_count).select(
         F.col(user).alias("user"), F.col(item).alias("item"), F.col(count_col).alias("rating"))
 
 
-def filter_min_items(ratings: DataFrame, min_items: int = 1) -> DataFrame:
+def filter_min_items(ratings: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
     """Keep users with more than ``min_items`` rated items (non-NULL ratings)."""
     users = (ratings.groupBy("user").agg(F.count("rating").alias("__n"))
              .filter(F.col("__n") > min_items).select("user"))
@@ -32,7 +33,7 @@ def filter_min_items(ratings: DataFrame, min_items: int = 1) -> DataFrame:
 
 # ---------------------------------------------------------------- J3 folds
 
-def user_folds(ratings: DataFrame, n_folds: int = 5, seed: int = 42) -> DataFrame:
+def user_folds(ratings: DataFrame, n_folds: int = N_FOLDS, seed: int = 42) -> DataFrame:
     """Users into ``n_folds`` folds; per user one held-out test item.
 
     ``fold`` = md5 bucket of the user; the test item is the user's item with the
@@ -51,9 +52,9 @@ def user_folds(ratings: DataFrame, n_folds: int = 5, seed: int = 42) -> DataFram
 
 # ---------------------------------------------------------------- J6, J7 ALS
 
-def als_recommend(folded: DataFrame, n: int = 100, rank: int = 50, max_iter: int = 20,
+def als_recommend(folded: DataFrame, n: int = N_RECS, rank: int = ALS_RANK, max_iter: int = 20,
                   reg: float = 0.1, alpha: float = 40.0, seed: int = 42,
-                  algorithm: str = "ImplicitALS", min_margin: int = 64, n_folds: int = 5) -> DataFrame:
+                  algorithm: str = "ImplicitALS", min_margin: int = 64, n_folds: int = N_FOLDS) -> DataFrame:
     """J6 + J7: per fold, fit implicit ALS on the train rows and recommend ``n``
     unrated items to the fold's test users. Rows ``algorithm, fold, user, item, rank, score``.
 
@@ -119,7 +120,7 @@ def discount_expr(rank_col, mode: str = "library"):
     return F.lit(1.0) / F.greatest(F.lit(1.0), F.log2(r))
 
 
-def topn_metrics(recs: DataFrame, test: DataFrame, k: int = 10, discount: str = "library") -> DataFrame:
+def topn_metrics(recs: DataFrame, test: DataFrame, k: int = METRIC_K, discount: str = "library") -> DataFrame:
     """nDCG@k, precision@k, recall@k per (algorithm, user).
 
     ``recs``: algorithm, user, item, rank (1-based). ``test``: user, item (relevant).

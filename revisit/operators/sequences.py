@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from revisit.functions.columns import nan_to_null, safe_div, seconds_component, time_bucket
 from revisit.operators.scan import with_neighbors, with_prefix
-from revisit.schemas import GAP_COL, RUN_COL, SESSION_COL
+from revisit.schemas import (DURATION_THRESH_S, GAP_COL, LECTURE_PREFIX, RUN_COL, SESSION_COL,
+                             SESSION_THRESH_S)
 
 DAY = 86_400
 _B = "__chunk"
@@ -63,7 +64,7 @@ def with_durations(segments: DataFrame) -> DataFrame:
                                  "adjusted_duration": nan_to_null(safe_div(raw, F.col("speed")))})
 
 
-def filter_duration(segments: DataFrame, threshold: float = 5.0, inclusive: bool = True,
+def filter_duration(segments: DataFrame, threshold: float = DURATION_THRESH_S, inclusive: bool = True,
                     col: str = "adjusted_duration") -> DataFrame:
     """Keep segments with ``col >= threshold`` (``> threshold`` if not inclusive)."""
     c = F.col(col)
@@ -95,7 +96,7 @@ def float_tolerance_rows(segments: DataFrame, tol: float = 1e-7) -> DataFrame:
 
 # ---------------------------------------------------------------- E1, E2, E4 sessions
 
-def sessionize(segments: DataFrame, session_thresh: float = 3600, user: str = "user_id",
+def sessionize(segments: DataFrame, session_thresh: float = SESSION_THRESH_S, user: str = "user_id",
                video: str = "video_id", time: str = "local_start_time",
                tie: Sequence[str] = ("seg_id",), bucket_seconds: int = DAY,
                gap_mode: str = "total") -> DataFrame:
@@ -199,7 +200,7 @@ def consecutive_run_ids(segments: DataFrame, **kw) -> DataFrame:
 
 # ---------------------------------------------------------------- E3, E5, E6 per video
 
-def sessions_by_video(segments: DataFrame, session_thresh: float = 3600, user: str = "user_id",
+def sessions_by_video(segments: DataFrame, session_thresh: float = SESSION_THRESH_S, user: str = "user_id",
                       video: str = "video_id", order: Sequence[str] = ("seg_id",),
                       rows_per_chunk: int = 1 << 20,
                       modes: dict[str, str] | None = None) -> DataFrame:
@@ -266,7 +267,7 @@ def segment_index(segments: DataFrame, user: str = "user_id", video: str = "vide
 
 # ---------------------------------------------------------------- E7 dedupe, B9 prefix
 
-def filter_prefix(events: DataFrame, prefix: str = "l", col: str = "item_id") -> DataFrame:
+def filter_prefix(events: DataFrame, prefix: str = LECTURE_PREFIX, col: str = "item_id") -> DataFrame:
     """Keep rows whose ``col`` starts with ``prefix`` (NULL ids drop out)."""
     return events.filter(F.col(col).startswith(prefix))
 

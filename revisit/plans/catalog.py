@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from revisit.operators import counts, intervals, sequences
 from revisit.plans.oracle import REP_THRESH
-from revisit.schemas import REP_COL, RUN_COL, SESSION_COL
+from revisit.schemas import ADJUSTED_BINS, GAP_QUANTILES, RAW_BINS, REP_COL, RUN_COL, SESSION_COL
 from revisit.session import prepare
 from revisit.sources import views
 
@@ -278,7 +278,7 @@ def q_alternating_intent(spark, sf_dir):
 
 
 @register
-def q_alternating_courses(spark, sf_dir):
+def q_course_info_alternating(spark, sf_dir):
     prepare(spark)
     from revisit.operators import courses
     res = views.course_view(spark, sf_dir)
@@ -289,7 +289,7 @@ def q_alternating_courses(spark, sf_dir):
 
 # ------------------------------------------------------------------ P-6 exploration
 
-GAP_QS = [round(0.75 + 0.01 * i, 2) for i in range(25)]  # .75 to .99 by .01 (includes .94)
+GAP_QS = GAP_QUANTILES  # .75 to .99 by .01 (includes .94)
 
 
 def _filtered_segments(spark, sf_dir):
@@ -382,7 +382,7 @@ def q_histogram(spark, sf_dir):
     prepare(spark)
     from revisit.operators import report
     d = sequences.filter_positive(sequences.with_durations(views.seg_view(spark, sf_dir)), "raw_duration")
-    return report.histogram(d, "raw_duration", 500)
+    return report.histogram(d, "raw_duration", RAW_BINS)
 
 
 @register
@@ -391,7 +391,7 @@ def q_histogram_head(spark, sf_dir):
     from revisit.operators import report
     d = sequences.filter_positive(sequences.with_durations(views.seg_view(spark, sf_dir)),
                                   "adjusted_duration")
-    return report.histogram(d, "adjusted_duration", 400).filter(F.col("bin") <= 10)
+    return report.histogram(d, "adjusted_duration", ADJUSTED_BINS).filter(F.col("bin") <= 10)
 
 
 @register

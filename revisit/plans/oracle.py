@@ -240,7 +240,7 @@ l AS (SELECT id, starts_with(resource_id, 'V_') AS v,
 g AS (SELECT id, sum(CASE WHEN v THEN 1 ELSE 0 END) AS nv, bool_or(v AND coalesce(pv, false)) AS adj
       FROM l GROUP BY id)
 SELECT id, CASE WHEN nv = 0 THEN NULL WHEN adj THEN false ELSE true END AS alternating FROM g"""
-SQL["q_alternating_courses"] = f"""WITH {COURSE_V}
+SQL["q_course_info_alternating"] = f"""WITH {COURSE_V}
 SELECT id, count(*) AS rsc_count FROM course_v
 WHERE id IN (SELECT id FROM nv WHERE nv = 1) GROUP BY id HAVING count(*) > 0"""
 

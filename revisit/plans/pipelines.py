@@ -45,7 +45,7 @@ def clean_repeaters(user_video: DataFrame, video_ccid: DataFrame, out_dir: str |
     return CleanResult(c, bl, clean, rep)
 
 
-def partition_sequences(user_video: DataFrame, out_path: str, n: int = 30) -> None:
+def layout_by_user(user_video: DataFrame, out_path: str, n: int = 30) -> None:
     """P-2: hash-partition cleaned sequences by user into ``n`` parts, pinned schema."""
     io.write_nested(io.partition_by_user(user_video, n), out_path, SEQ_SCHEMA, compression=None)
 
@@ -103,7 +103,7 @@ def lecture_sequences(events: DataFrame, out_dir: str | None = None, prefix: str
     return single, desc
 
 
-def alternating_courses(course_ext: DataFrame, mode: str = "as_written") -> DataFrame:
+def courses_alternating_videos(course_ext: DataFrame, mode: str = "as_written") -> DataFrame:
     """P-5: courses whose video resources alternate, with known user counts."""
     res = courses.explode_resources(course_ext, min_count=0)
     flags = courses.alternation_flags(res, mode=mode)

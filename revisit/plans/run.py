@@ -54,7 +54,7 @@ def main(argv=None) -> None:
                                         a.out, rep_thresh=a.thresh)
         io.write_parquet(res.report, f"{a.out}/report", compression=None)
     elif a.pipeline == "partition":
-        pipelines.partition_sequences(_sequences(spark, a.sequences), a.out, a.parts)
+        pipelines.layout_by_user(_sequences(spark, a.sequences), a.out, a.parts)
     elif a.pipeline == "sessions":
         seqs = sequences.explode_sequences(_sequences(spark, a.sequences))
         segs = sequences.explode_segments(seqs, keep=("user_id", "video_id", "seq_pos"))
@@ -63,8 +63,8 @@ def main(argv=None) -> None:
     elif a.pipeline == "lectures":
         pipelines.lecture_sequences(io.read_parquet(spark, a.events), a.out)
     elif a.pipeline == "courses":
-        io.write_parquet(pipelines.alternating_courses(io.read_parquet(spark, a.courses), a.mode),
-                         f"{a.out}/alternating_courses")
+        io.write_parquet(pipelines.courses_alternating_videos(io.read_parquet(spark, a.courses), a.mode),
+                         f"{a.out}/courses_alternating_videos")
     elif a.pipeline == "recommend":
         res = pipelines.rewatch_recommendation(io.read_parquet(spark, a.counts), a.out)
         io.write_parquet(res["means"], f"{a.out}/means", compression=None)

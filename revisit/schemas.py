@@ -39,7 +39,7 @@ CONCEPT_CCID_SCHEMA = T.StructType([
     T.StructField("ccid", T.StringType()),
 ])
 
-EDNET_SCHEMA = T.StructType([
+CLICK_LOG_SCHEMA = T.StructType([
     T.StructField("timestamp", T.LongType()),
     T.StructField("action_type", T.StringType()),
     T.StructField("item_id", T.StringType()),
@@ -64,3 +64,23 @@ RUN_COL = "video_consecutive_id"
 GAP_COL = "gap"
 SESSION_COL = "session_id"
 REP_COL = "seg_rep_count"
+
+# ---------------------------------------------------------------------------
+# These must equal the reference's for the same results.
+SESSION_THRESH_S = 3600      # a gap >= this many seconds starts a new session
+DURATION_THRESH_S = 5        # keep segments whose adjusted duration is >= this
+OVERLAP_THRESH_S = 5         # two segments repeat when they overlap by >= this
+REPEAT_THRESH = 20           # a user watching one item more often than this is blacklisted
+MIN_REWATCH = 1              # a watch count above this is a rewatch
+MIN_ITEMS = 1                # users need more rewatched items than this to be evaluated
+USER_PARTS = 30              # parts of the by-user layout
+LECTURE_PREFIX = "l"         # item ids of lecture events start with this
+VIDEO_PREFIX = "V_"          # resource ids of videos start with this
+N_RECS = 100                 # recommendations per user
+METRIC_K = 10                # cutoff of nDCG, precision and recall
+N_FOLDS = 5                  # user folds, one held-out item per user
+ALS_RANK = 50                # features of the implicit factorization
+RAW_BINS = 500               # histogram bins of raw durations
+ADJUSTED_BINS = 400          # histogram bins of adjusted durations
+SHARE_THRESHOLDS = (5, 10)   # shares of users with more sessions than these
+GAP_QUANTILES = [round(0.75 + 0.01 * i, 2) for i in range(25)]  # .75 to .99 by .01

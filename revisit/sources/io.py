@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revisit.schemas import SEQ_SCHEMA, VIDEO_CCID_SCHEMA
+from revisit.schemas import SEQ_SCHEMA, USER_PARTS, VIDEO_CCID_SCHEMA
 
 
 # ---------------------------------------------------------------- scans
@@ -108,7 +108,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool =
 
 # ---------------------------------------------------------------- layout
 
-def partition_by_user(df: DataFrame, n: int = 30, user: str = "user_id") -> DataFrame:
+def partition_by_user(df: DataFrame, n: int = USER_PARTS, user: str = "user_id") -> DataFrame:
     """Hash-partition on the user into ``n`` parts, sorted by user inside each part.
 
     Written out, every user lies in exactly one part file.
@@ -116,7 +116,7 @@ def partition_by_user(df: DataFrame, n: int = 30, user: str = "user_id") -> Data
     return df.repartition(n, user).sortWithinPartitions(user)
 
 
-def write_bucketed(df: DataFrame, table: str, n: int = 30, user: str = "user_id",
+def write_bucketed(df: DataFrame, table: str, n: int = USER_PARTS, user: str = "user_id",
                    mode: str = "overwrite") -> None:
     """A7 as a table: bucketed and sorted by user, so later joins / windows on the
     user need no shuffle."""

@@ -33,10 +33,10 @@ def test_clean_repeaters_from_json(spark):
     assert os.path.isdir(f"{d}/out/blacklist") and os.path.isdir(f"{d}/out/clean")
 
 
-def test_partition_sequences_pins_schema(spark):
+def test_layout_by_user_pins_schema(spark):
     d = _tmp()
     seq = views.seq_view(spark, SF_SMALL).select(F.col("user_id").cast("string").alias("user_id"), "seq")
-    pipelines.partition_sequences(seq, f"{d}/parts", n=4)
+    pipelines.layout_by_user(seq, f"{d}/parts", n=4)
     back = spark.read.parquet(f"{d}/parts")
     assert back.schema == SEQ_SCHEMA and back.count() == seq.count()
 
@@ -67,13 +67,13 @@ def test_lecture_sequences(spark):
     assert desc.collect()[0]["count"] == single.select("user_id").distinct().count()
 
 
-def test_alternating_courses_pipeline(spark):
+def test_courses_alternating_videos_pipeline(spark):
     rows = [("c1", "x", 3, [{"resource_id": "E_1"}, {"resource_id": "V_2"}, {"resource_id": "E_3"}], 10),
             ("c2", "x", 2, [{"resource_id": "V_1"}, {"resource_id": "V_2"}], 5),
             ("c3", "x", 1, [{"resource_id": "V_1"}], None),
             ("c4", "x", 0, [], 7)]
     c = spark.createDataFrame(rows, COURSE_SCHEMA)
-    assert [r["id"] for r in pipelines.alternating_courses(c).collect()] == ["c1"]
+    assert [r["id"] for r in pipelines.courses_alternating_videos(c).collect()] == ["c1"]
 
 
 def test_segment_exploration_outputs(spark):
