@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def seg_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat segments from ``events``: one per event, ``seg_id`` = event id."""
     ev = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("double")
+    k = F.from_json("props", "k double")["k"]  # one parse per row, schema given
     return ev.select(
         F.col("event_id").alias("seg_id"),
         "user_id",
@@ -96,7 +96,7 @@ def rate_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def click_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Click log from ``events``: lecture items ``l*`` for views and clicks, ``q*`` otherwise."""
     ev = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("bigint")
+    k = F.from_json("props", "k bigint")["k"]
     kind = F.when(F.col("event_type").isin("view", "click"), F.lit("l")).otherwise(F.lit("q"))
     return ev.select(
         "event_id", "user_id",
