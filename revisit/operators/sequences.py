@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revisit.functions.columns import nan_to_null, safe_div, seconds_component, time_bucket
-from revisit.operators.scan import with_neighbors, with_prefix
+from revisit.functions.columns import nan_to_null, safe_div, seconds_component
+from revisit.operators.scan import add_time_chunks, with_neighbors, with_prefix
 from revisit.schemas import (DURATION_THRESH_S, GAP_COL, LECTURE_PREFIX, RUN_COL, SESSION_COL,
                              SESSION_THRESH_S)
 
@@ -99,7 +99,7 @@ def float_tolerance_rows(segments: DataFrame, tol: float = 1e-7) -> DataFrame:
 def sessionize(segments: DataFrame, session_thresh: float = SESSION_THRESH_S, user: str = "user_id",
                video: str = "video_id", time: str = "local_start_time",
                tie: Sequence[str] = ("seg_id",), bucket_seconds: int = DAY,
-               gap_mode: str = "total") -> DataFrame:
+               gap_mode: str = "total", target_rows: int | None = None) -> DataFrame:
     """E1 + E2 + E4 on flat segments, in one chunked pass.
 
     * ``video_consecutive_id`` (E1): per user in time order, +1 whenever the video
@@ -112,7 +112,12 @@ def sessionize(segments: DataFrame, session_thresh: float = SESSION_THRESH_S, us
     Rows with a NULL user drop out (the reference's group-apply drops them).
     ``gap_mode="seconds_component"`` compares the gap's seconds-of-day field.
 
-    Plan: a shuffle on (user, time bucket); the chunk summary shuffles its own
+    Chunks are user-days (``bucket_seconds``): a user with a third of all rows
+    is spread over all the days of its history. For bursty sources set
+    ``target_rows``: a counting pass then finds user-days with more rows and
+    cuts them into equal time slices (``scan.add_time_chunks``).
+
+    Plan: a shuffle on (user, chunk); the chunk summary shuffles its own
     narrower copy of the key, order, video and duration columns (the two are not
     reused because Catalyst prunes them differently). Inside a chunk, windows give the
     change flags, gaps and running sums for every row whose neighbours are in the
@@ -125,9 +130,8 @@ def sessionize(segments: DataFrame, session_thresh: float = SESSION_THRESH_S, us
     order = [time, *tie]
     # The duration is computed before the shuffle: the row branch then carries
     # one column instead of end, start and speed unless the caller keeps them.
-    seg = segments.filter(u.isNotNull()).withColumns({
-        _B: time_bucket(time, bucket_seconds),
-        "__dur": safe_div(F.col("end_point") - F.col("start_point"), F.col("speed"))})
+    seg = add_time_chunks(segments.filter(u.isNotNull()), [user], time, bucket_seconds, target_rows)
+    seg = seg.withColumn("__dur", safe_div(F.col("end_point") - F.col("start_point"), F.col("speed")))
     dur = F.col("__dur")
     w = Window.partitionBy(user, _B).orderBy(*[F.col(c).asc_nulls_last() for c in order])
     run_w = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -257,12 +261,13 @@ def sessions_by_video(segments: DataFrame, session_thresh: float = SESSION_THRES
 
 def segment_index(segments: DataFrame, user: str = "user_id", video: str = "video_id",
                   time: str = "local_start_time", tie: Sequence[str] = ("seg_id",),
-                  bucket_seconds: int = DAY, out: str = "segment_idx") -> DataFrame:
+                  bucket_seconds: int = DAY, out: str = "segment_idx",
+                  target_rows: int | None = None) -> DataFrame:
     """0-based index of each segment per (user, video) in time order."""
     order = [time, *tie]
-    s = with_prefix(segments, [user, video], order, time_bucket(time, bucket_seconds),
-                    [(out, F.lit(1), "sum", False)])
-    return s.withColumn(out, F.col(out).cast("bigint"))
+    d = add_time_chunks(segments, [user, video], time, bucket_seconds, target_rows, out="__tc")
+    s = with_prefix(d, [user, video], order, F.col("__tc"), [(out, F.lit(1), "sum", False)])
+    return s.withColumn(out, F.col(out).cast("bigint")).drop("__tc")
 
 
 # ---------------------------------------------------------------- E7 dedupe, B9 prefix
@@ -274,14 +279,15 @@ def filter_prefix(events: DataFrame, prefix: str = LECTURE_PREFIX, col: str = "i
 
 def dedupe_consecutive(events: DataFrame, user: str = "user_id", item: str = "item_id",
                        time: str = "timestamp", tie: Sequence[str] = ("event_id",),
-                       bucket_width: int = DAY * 1000) -> DataFrame:
+                       bucket_width: int = DAY * 1000, target_rows: int | None = None) -> DataFrame:
     """Per user in time order keep a row when its item differs from the row before.
 
     The first row of a user is kept; a NULL item is always kept and always lets
     the next row through. ``bucket_width`` is in units of ``time``.
     """
     order = [time, *tie]
-    s = with_neighbors(events, [user], order, time_bucket(time, bucket_width), [item], nxt=False)
+    d = add_time_chunks(events, [user], time, bucket_width, target_rows, out="__tc")
+    s = with_neighbors(d, [user], order, F.col("__tc"), [item], nxt=False)
     p, c = F.col(f"prev_{item}"), F.col(item)
     keep = ~F.col("has_prev") | p.isNull() | c.isNull() | (p != c)
-    return s.filter(keep).drop("has_prev", f"prev_{item}")
+    return s.filter(keep).drop("has_prev", f"prev_{item}", "__tc")

@@ -29,9 +29,10 @@ def test_sessionize_matches_brute_force_across_chunks(spark):
     rows = _random_segments()
     df = spark.createDataFrame(rows, SEG_SCHEMA)
     expect = brute.sessions(rows, 3600)
-    for bucket in (7, 3600, 10**9):  # many chunks, some, one per user
+    # many chunks, some, one per user; then heavy days split into time slices
+    for bucket, target in ((7, None), (3600, None), (10**9, None), (10**9, 5), (86400, 3)):
         got = {r["seg_id"]: (r["video_consecutive_id"], r["gap"], r["session_id"])
-               for r in sequences.sessionize(df, bucket_seconds=bucket).collect()}
+               for r in sequences.sessionize(df, bucket_seconds=bucket, target_rows=target).collect()}
         assert got.keys() == expect.keys()
         for k, (run, gap, sess) in expect.items():
             g = got[k]
@@ -109,7 +110,7 @@ def test_dedupe_matches_brute_force_and_is_idempotent(spark):
     rows = [{"event_id": i, "user_id": rnd.randrange(4), "timestamp": rnd.randrange(0, 10**6),
              "item_id": rnd.choice(["l1", "l1", "l2", None])} for i in range(300)]
     df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, timestamp bigint, item_id string")
-    once = sequences.dedupe_consecutive(df, bucket_width=50_000)
+    once = sequences.dedupe_consecutive(df, bucket_width=10**9, target_rows=7)
     assert {r[0] for r in once.select("event_id").collect()} == brute.dedupe(rows)
     twice = sequences.dedupe_consecutive(once, bucket_width=50_000)
     kept = {r[0] for r in once.select("event_id").collect()}
@@ -141,7 +142,7 @@ def test_duration_filter_inclusive(spark):
 def test_segment_index_dense_per_video(spark):
     rows = _random_segments(seed=9)
     df = spark.createDataFrame(rows, SEG_SCHEMA).filter("video_id is not null")
-    out = sequences.segment_index(df, bucket_seconds=50).groupBy("user_id", "video_id").agg(
+    out = sequences.segment_index(df, bucket_seconds=10**9, target_rows=4).groupBy("user_id", "video_id").agg(
         F.min("segment_idx").alias("lo"), F.max("segment_idx").alias("hi"), F.count("*").alias("n"))
     for r in out.collect():
         assert r["lo"] == 0 and r["hi"] == r["n"] - 1
