@@ -154,24 +154,26 @@ def add_time_chunks(df: DataFrame, keys: Sequence[str], time: str, width: float,
     where one key has more than ``target_rows`` rows in a bucket.
 
     A pre-count per (key, bucket), with map-side partial aggregation, finds the
-    heavy buckets; only those go into a broadcast table (at most
-    rows / ``target_rows`` entries, a proven bound). A heavy bucket is cut into
-    ``ceil(count / target_rows)`` equal time slices, so chunk ids stay monotone
-    in time and a burst inside one bucket is spread over several tasks. Rows
-    with a NULL time get the last chunk.
+    heavy buckets and their observed time range; only those go into a broadcast
+    table (at most rows / ``target_rows`` entries, a proven bound). A heavy
+    bucket's observed range is cut into ``ceil(count / target_rows)`` equal
+    slices, so chunk ids stay monotone in time and a burst inside one bucket is
+    spread over several tasks (evenly when the burst itself is spread over its
+    range). Rows with a NULL time get the last chunk.
     """
     t = F.col(time)
     base = F.floor(t / F.lit(float(width))).cast("bigint")
     if not target_rows:
         return df.withColumn(out, F.coalesce(base * F.lit(SPLIT), F.lit(MAX_CHUNK)))
-    counts = (df.filter(t.isNotNull()).groupBy(*keys, base.alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
-              .filter(F.col("__n") > target_rows)
-              .select(*keys, "__b", F.least(F.ceil(F.col("__n") / F.lit(target_rows)),
-                                            F.lit(SPLIT)).cast("bigint").alias("__k")))
-    d = df.withColumn("__b", base)
-    j = d.join(F.broadcast(counts), [*keys, "__b"], "left")
-    frac = (t - F.col("__b") * F.lit(float(width))) / F.lit(float(width))
+    heavy = (df.filter(t.isNotNull()).groupBy(*keys, base.alias("__b"))
+             .agg(F.count(F.lit(1)).alias("__n"), F.min(t).alias("__lo"), F.max(t).alias("__hi"))
+             .filter(F.col("__n") > target_rows)
+             .select(*keys, "__b", "__lo", "__hi",
+                     F.least(F.ceil(F.col("__n") / F.lit(target_rows)), F.lit(SPLIT)).cast("bigint").alias("__k")))
+    j = df.withColumn("__b", base).join(F.broadcast(heavy), [*keys, "__b"], "left")
+    span = (F.col("__hi") - F.col("__lo")).cast("double")
+    frac = F.when(span > 0, (t - F.col("__lo")).cast("double") / span).otherwise(F.lit(0.0))
     sub = F.when(F.col("__k").isNotNull(),
                  F.least(F.floor(frac * F.col("__k")), F.col("__k") - 1)).otherwise(F.lit(0))
     chunk = F.coalesce(F.col("__b") * F.lit(SPLIT) + sub.cast("bigint"), F.lit(MAX_CHUNK))
-    return j.withColumn(out, chunk).drop("__b", "__k")
+    return j.withColumn(out, chunk).drop("__b", "__k", "__lo", "__hi")

@@ -146,3 +146,18 @@ def test_segment_index_dense_per_video(spark):
         F.min("segment_idx").alias("lo"), F.max("segment_idx").alias("hi"), F.count("*").alias("n"))
     for r in out.collect():
         assert r["lo"] == 0 and r["hi"] == r["n"] - 1
+
+
+def test_add_time_chunks_splits_heavy_buckets_monotonically(spark):
+    from revisit.operators.scan import SPLIT, add_time_chunks
+    rows = [("hot", t) for t in range(0, 1000)] + [("cold", t) for t in range(0, 1000, 100)] + [("hot", None)]
+    df = spark.createDataFrame(rows, "user_id string, t long")
+    out = add_time_chunks(df, ["user_id"], "t", 10_000, target_rows=100, out="c").collect()
+    hot = sorted((r["t"], r["c"]) for r in out if r["user_id"] == "hot" and r["t"] is not None)
+    chunks = [c for _, c in hot]
+    assert chunks == sorted(chunks)  # monotone in time
+    assert len(set(chunks)) == 10  # ceil(1000 / 100) slices of the one heavy bucket
+    assert max(chunks.count(c) for c in set(chunks)) <= 100
+    assert {r["c"] for r in out if r["user_id"] == "cold"} == {0}
+    assert [r["c"] for r in out if r["t"] is None][0] > max(chunks)
+    assert SPLIT > 10
