@@ -67,3 +67,9 @@ def hex_prefix_int(s) -> Column:
 def hash_bucket(s, n: int) -> Column:
     """Deterministic bucket in [0, n) from the md5 prefix of ``s``."""
     return F.pmod(hex_prefix_int(s), F.lit(n))
+
+
+def seconds_to_interval(seconds) -> Column:
+    """Seconds (DOUBLE) as a day-time interval, for output like a timedelta."""
+    s = _c(seconds)
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), s.cast("decimal(18,6)"))

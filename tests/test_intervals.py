@@ -54,3 +54,19 @@ def test_coverage_is_union_length(spark):
         assert abs(got[k] - brute.union_length(iv)) < 1e-5
 
 
+
+
+def test_coverage_fraction_with_video_length(spark):
+    df = spark.createDataFrame([("u", "v", 1, 0.0, 10.0), ("u", "v", 2, 5.0, 20.0), ("u", "v", 3, 30.0, 40.0)],
+                               "user_id string, video_id string, seg_id long, start_point double, end_point double")
+    lengths = spark.createDataFrame([("v", 100.0)], "video_id string, length double")
+    r = intervals.coverage(df, video_length=lengths).collect()[0]
+    assert r["covered"] == 30.0 and r["fraction"] == 0.3
+
+
+def test_seconds_to_interval(spark):
+    import datetime
+    from revisit.functions.columns import seconds_to_interval
+    df = spark.createDataFrame([(86410.5,), (-17.25,)], "g double")
+    got = [r[0] for r in df.select(seconds_to_interval("g")).collect()]
+    assert got == [datetime.timedelta(days=1, seconds=10, microseconds=500000), datetime.timedelta(seconds=-17.25)]

@@ -67,3 +67,17 @@ def test_line_aligned_dictionary(spark):
     t = io.read_line_aligned(spark, f"{d}/a.txt", f"{d}/b.txt")
     rows = t.collect()
     assert len(rows) == 81 and all(r["field_zh"][2:] == r["field_en"][2:] for r in rows)
+
+
+def test_bucketed_table_needs_no_shuffle_for_user_aggregates(spark):
+    name = f"revisit_bucketed_{os.getpid()}"
+    df = spark.range(1000).select((F.col("id") % 37).alias("user_id"), "id")
+    io.write_bucketed(df, name, n=4)
+    try:
+        t = spark.table(name)
+        agg = t.groupBy("user_id").agg(F.count("*").alias("n"))
+        plan = agg._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        assert agg.count() == 37
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
