@@ -1,9 +1,12 @@
 """Watch sequences: explode, durations, consecutive runs, gaps, sessions, dedupe.
 
-Every ordered step runs through the chunked scans of ``revisit.operators.scan``:
-a user's rows are split into time buckets (``bucket_seconds``), so one very
-active user does not end up in one task. The defaults follow the reference:
-session threshold 3600 s, duration threshold 5 s.
+Every ordered step is a chunked scan: a key's rows are split into time buckets
+(or blocks of row ids), windows run inside the chunks, and boundary state moves
+through a one-row-per-chunk summary, so one very active user does not end up in
+one task. ``sessionize`` and ``sessions_by_video`` fuse their dependent steps
+into a single such pass; the dedupe and the segment index use the generic
+helpers of ``revisit.operators.scan``. Defaults are the fixed values of
+``revisit.schemas`` (session threshold 3600 s, duration threshold 5 s).
 """
 
 from __future__ import annotations
