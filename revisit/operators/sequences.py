@@ -114,6 +114,8 @@ def sessionize(segments: DataFrame, session_thresh: float = SESSION_THRESH_S, us
 
     Rows with a NULL user drop out (the reference's group-apply drops them).
     ``gap_mode="seconds_component"`` compares the gap's seconds-of-day field.
+    ``tie`` must make (time, tie) unique per user (e.g. a row id): the row and
+    summary branches number rows separately and must agree on the order.
 
     Chunks are user-days (``bucket_seconds``): a user with a third of all rows
     is spread over all the days of its history. For bursty sources set
@@ -222,7 +224,8 @@ def sessions_by_video(segments: DataFrame, session_thresh: float = SESSION_THRES
       which drops whole days (the notebook's literal rule).
 
     Chunks are blocks of ``rows_per_chunk`` consecutive values of ``order[0]``
-    (a row id), so no chunk exceeds that many rows.
+    (a row id), so no chunk exceeds that many rows. ``order`` must be unique
+    within a (user, video).
     """
     modes = modes or {SESSION_COL: "total"}
     order = list(order)
