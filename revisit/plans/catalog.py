@@ -218,11 +218,14 @@ def q_concept_map(spark, sf_dir):
 
 @register
 def q_translate(spark, sf_dir):
+    """Translate keys of a growing table through two small dictionaries."""
     prepare(spark)
-    nation = views.table(spark, sf_dir, "nation")
+    cust = views.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    nation = views.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = views.table(spark, sf_dir, "region").select(
         F.col("r_regionkey").alias("n_regionkey"), F.col("r_name"))
-    return counts.join_dimension(nation, region, "n_regionkey", "left").select("n_name", "r_name")
+    named = counts.join_dimension(cust, nation, "n_nationkey", "left")
+    return counts.join_dimension(named, region, "n_regionkey", "left").select("c_custkey", "n_name", "r_name")
 
 
 # ------------------------------------------------------------------ P-4 lecture sequences

@@ -2,7 +2,7 @@
 
 Written from the semantics, not from the Spark plans: plain windows over whole
 users, the quadratic pair join for the repetition count, etc. The tables
-``events orders lineitem part conversations nation region`` are views.
+``events orders lineitem part customer conversations nation region`` are views.
 """
 
 from __future__ import annotations
@@ -183,7 +183,9 @@ cm AS (SELECT DISTINCT p_type AS concept_id, p_brand AS ccid FROM part)
 SELECT w.video_id, w.ccid, cm.concept_id
 FROM (SELECT DISTINCT video_id, ccid FROM watched) w JOIN cm ON w.ccid = cm.ccid"""
 SQL["q_translate"] = """
-SELECT n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey"""
+SELECT c.c_custkey, n.n_name, r.r_name
+FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+LEFT JOIN region r ON n.n_regionkey = r.r_regionkey"""
 
 # ------------------------------------------------------------------ P-4 lecture sequences
 
