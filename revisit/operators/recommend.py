@@ -33,17 +33,23 @@ def filter_min_items(ratings: DataFrame, min_items: int = MIN_ITEMS) -> DataFram
 
 # ---------------------------------------------------------------- J3 folds
 
-def user_folds(ratings: DataFrame, n_folds: int = N_FOLDS, seed: int = 42) -> DataFrame:
+def user_folds(ratings: DataFrame, n_folds: int = N_FOLDS, seed: int = 42,
+               min_items: int | None = None) -> DataFrame:
     """Users into ``n_folds`` folds; per user one held-out test item.
 
     ``fold`` = md5 bucket of the user; the test item is the user's item with the
     smallest md5 of (user, item, seed). Deterministic, one pass for all folds.
-    Adds ``fold`` and ``is_test``.
+    Adds ``fold`` and ``is_test``. With ``min_items`` the J2 filter (more than
+    ``min_items`` rated items) is applied in the same per-user aggregation, so
+    the ratings are joined back once.
     """
     s = F.lit(str(seed))
     h = F.md5(F.concat_ws("|", F.col("user").cast("string"), F.col("item").cast("string"), s))
-    test = ratings.groupBy("user").agg(F.min_by("item", h).alias("__test"))
-    out = ratings.join(test, "user")
+    test = ratings.groupBy("user").agg(F.min_by("item", h).alias("__test"),
+                                       F.count("rating").alias("__n"))
+    if min_items is not None:
+        test = test.filter(F.col("__n") > min_items)
+    out = ratings.join(test.select("user", "__test"), "user")
     return out.select(*ratings.columns,
                       hash_bucket(F.concat_ws("|", F.col("user").cast("string"), s), n_folds)
                       .cast("bigint").alias("fold"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from revisit.operators import counts, courses, intervals, quality, recommend, report, sequences
 from revisit.plans.oracle import REP_THRESH
-from revisit.schemas import ADJUSTED_BINS, GAP_QUANTILES, RAW_BINS, REP_COL, RUN_COL, SESSION_COL
+from revisit.schemas import ADJUSTED_BINS, GAP_QUANTILES, MIN_ITEMS, RAW_BINS, REP_COL, RUN_COL, SESSION_COL
 from revisit.session import prepare
 from revisit.sources import views
 
@@ -459,7 +459,7 @@ def q_density(spark, sf_dir):
 @register
 def q_folds(spark, sf_dir):
     prepare(spark)
-    return recommend.user_folds(_filtered_ratings(spark, sf_dir))
+    return recommend.user_folds(_ratings(spark, sf_dir), min_items=MIN_ITEMS)
 
 
 @register

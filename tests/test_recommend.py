@@ -62,3 +62,12 @@ def test_tfidf_unit_norm_and_formula(spark):
 def test_min_items_filter(spark):
     r = spark.createDataFrame([(1, 1, 2), (1, 2, 2), (2, 1, 3)], "user long, item long, rating long")
     assert sorted(x["user"] for x in recommend.filter_min_items(r).collect()) == [1, 1]
+
+
+def test_folds_with_min_items_equal_filter_then_folds(spark):
+    r = _ratings(spark, n_users=50, seed=5).union(
+        spark.createDataFrame([(900, 1, 3)], "user long, item long, rating long"))  # a one-item user
+    a = recommend.user_folds(recommend.filter_min_items(r)).collect()
+    b = recommend.user_folds(r, min_items=1).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    assert all(x["user"] != 900 for x in b)
