@@ -47,14 +47,23 @@ def _quantile_aggs(qs: Sequence[float]) -> list:
     return out
 
 
-def quantiles(df: DataFrame, col: str, qs: Sequence[float], partitions: int | None = None) -> DataFrame:
+def quantiles(df: DataFrame, col: str, qs: Sequence[float], partitions: int | None = None,
+              approx_accuracy: int | None = None) -> DataFrame:
     """Exact quantiles of ``col`` (NULLs skipped): columns ``q`` and ``value``.
 
     Rank position ``(n - 1) * q``; between two ranks the value is
     ``lo + (hi - lo) * frac``. The rows holding the wanted ranks are picked by
     a join against the broadcast table of requested quantiles (its size is the
-    number of quantiles asked for).
+    number of quantiles asked for). With ``approx_accuracy`` Spark's
+    ``percentile_approx`` (a mergeable sketch, one pass, no interpolation) is
+    used instead: rank error about 1 / accuracy.
     """
+    if approx_accuracy:
+        qlist = list(dict.fromkeys(float(q) for q in qs))
+        one = df.agg(F.percentile_approx(F.col(col).cast("double"), qlist, approx_accuracy).alias("__v"))
+        return one.select(F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in qlist]).alias("q"),
+                                                 F.col("__v").alias("value"))).alias("e")).select(
+            F.col("e.q").alias("q"), F.col("e.value").alias("value"))
     ranked = _ranked(df, col, partitions)
     spark = df.sparkSession
     qdf = spark.createDataFrame([(q,) for q in dict.fromkeys(float(q) for q in qs)], "q double")

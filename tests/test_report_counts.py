@@ -85,3 +85,16 @@ def test_rows_at_min_and_density(spark):
     d = counts.density(r).collect()[0]
     assert (d["n_rows"], d["n_users"], d["n_items"]) == (3, 2, 2) and d["density"] == 0.75
     _ = F  # noqa
+
+
+def test_approximate_options_are_close(spark):
+    vals = [(float(i % 97),) for i in range(5000)]
+    df = spark.createDataFrame(vals, "x double")
+    exact = {r["q"]: r["value"] for r in report.quantiles(df, "x", [0.25, 0.5, 0.9]).collect()}
+    approx = {r["q"]: r["value"] for r in report.quantiles(df, "x", [0.25, 0.5, 0.9], approx_accuracy=10000).collect()}
+    assert exact.keys() == approx.keys()
+    assert all(abs(exact[q] - approx[q]) <= 1.0 for q in exact)
+    r = spark.range(3000).selectExpr("id % 300 as user", "id % 40 as item")
+    a = counts.density(r, approx_rsd=0.02).collect()[0]
+    e = counts.density(r).collect()[0]
+    assert abs(a["n_users"] - e["n_users"]) <= 0.1 * e["n_users"] and a["n_rows"] == e["n_rows"]
