@@ -43,3 +43,30 @@ def test_sessionize_matches_brute_force(spark, rows, bucket):
         g = got[k]
         assert (g[0], g[2]) == (run, sess)
         assert (g[1] is None and gap is None) or abs(g[1] - gap) < 1e-9
+
+
+events = st.lists(st.tuples(st.integers(0, 2), st.integers(0, 5000), st.sampled_from(["l1", "l2", None])),
+                  min_size=1, max_size=30)
+
+
+@given(events, st.sampled_from([50, 1000, 10**9]), st.sampled_from([None, 2, 5]))
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_dedupe_matches_brute_force(spark, evs, width, target):
+    rows = [{"event_id": i, "user_id": u, "timestamp": t, "item_id": it} for i, (u, t, it) in enumerate(evs)]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, timestamp bigint, item_id string")
+    got = {r[0] for r in sequences.dedupe_consecutive(df, bucket_width=width, target_rows=target)
+           .select("event_id").collect()}
+    assert got == brute.dedupe(rows)
+
+
+@given(st.lists(st.sampled_from([-3.5, 0.0, 1.0, 1.0, 2.25, 7.0, 1e6]), min_size=1, max_size=40))
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_quantiles_match_numpy(spark, vals):
+    import numpy as np
+
+    from revisit.operators import report
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    qs = [0.0, 0.1, 0.5, 0.94, 1.0]
+    got = {r["q"]: r["value"] for r in report.quantiles(df, "x", qs, partitions=3).collect()}
+    for q in qs:
+        assert abs(got[q] - np.quantile(np.array(vals), q)) <= 1e-9 * max(1.0, abs(got[q]))
