@@ -70,3 +70,15 @@ def test_quantiles_match_numpy(spark, vals):
     got = {r["q"]: r["value"] for r in report.quantiles(df, "x", qs, partitions=3).collect()}
     for q in qs:
         assert abs(got[q] - np.quantile(np.array(vals), q)) <= 1e-9 * max(1.0, abs(got[q]))
+
+
+@given(st.lists(st.tuples(st.integers(0, 1), points, points), min_size=1, max_size=20))
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_coverage_is_union_length(spark, segs):
+    from revisit.operators import intervals
+    rows = [(f"u{u}", "v", i, s, e) for i, (u, s, e) in enumerate(segs)]
+    df = spark.createDataFrame(rows, "user_id string, video_id string, seg_id long, start_point double, end_point double")
+    got = {r["user_id"]: r["covered"] for r in intervals.coverage(df).collect()}
+    for u in {r[0] for r in rows}:
+        want = brute.union_length([(s, e) for uu, _, _, s, e in rows if uu == u])
+        assert abs(got.get(u, 0.0) - want) < 1e-6
