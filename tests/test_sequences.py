@@ -161,3 +161,26 @@ def test_add_time_chunks_splits_heavy_buckets_monotonically(spark):
     assert {r["c"] for r in out if r["user_id"] == "cold"} == {0}
     assert [r["c"] for r in out if r["t"] is None][0] > max(chunks)
     assert SPLIT > 10
+
+
+def test_sessions_by_video_in_time_order(spark):
+    rows = _random_segments(seed=13)
+    for r in rows:
+        r["local_end_time"] = r["local_start_time"] + (r["end_point"] - r["start_point"])
+    df = spark.createDataFrame(rows, SEG_SCHEMA + ", local_end_time double").filter("video_id is not null")
+    got = {r["seg_id"]: r for r in sequences.sessions_by_video(
+        df, 3600, order=("local_start_time", "seg_id"), rows_per_chunk=5000).collect()}
+    groups = {}
+    for r in rows:
+        if r["video_id"] is not None:
+            groups.setdefault((r["user_id"], r["video_id"]), []).append(r)
+    for rs in groups.values():
+        rs.sort(key=lambda r: (r["local_start_time"], r["seg_id"]))
+        sess = 0
+        for i, r in enumerate(rs):
+            gap = rs[i + 1]["local_start_time"] - r["local_end_time"] if i + 1 < len(rs) else None
+            g = got[r["seg_id"]]
+            assert (g["gap"] is None and gap is None) or abs(g["gap"] - gap) < 1e-9
+            assert g["session_id"] == sess
+            if gap is not None and gap >= 3600:
+                sess += 1
