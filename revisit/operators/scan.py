@@ -137,12 +137,6 @@ def with_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket
     return j.drop(*drop)
 
 
-def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
-              name: str = "rank0") -> DataFrame:
-    """0-based position of each row within its key, in ``order`` (chunked row_number)."""
-    return with_prefix(df, keys, order, bucket, [(name, F.lit(1), "sum", False)])
-
-
 # Sub-chunks per base bucket are numbered below this (chunk = bucket * SPLIT + sub).
 SPLIT = 1 << 16
 MAX_CHUNK = (1 << 63) - 1
