@@ -13,8 +13,20 @@ from pyspark.sql import functions as F
 from revisit.functions.columns import epoch_micros, epoch_seconds, floor_div
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables. Its schema is read from the Parquet footers once
+    and then passed explicitly, which skips the footer inference on later reads
+    (each read is still a fresh relation)."""
+    path = f"{sf_dir}/{name}.parquet"
+    schema = _SCHEMAS.get(path)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[path] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
 
 
 def seg_view(spark: SparkSession, sf_dir: str) -> DataFrame:
