@@ -6,20 +6,34 @@ for those that SQL can express.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revisit.llm import chat, hilbert, mcd
+from revisit.llm import chat, hilbert, mcd, ngram_join, sentencepiece_bpe, templates
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"), size=5, percent=80)
+
+
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.hilbert_shards(read(spark, sf_dir, "documents"), shards=16)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepiece_bpe.digest_columns(sentencepiece_bpe.encode_decode(read(spark, sf_dir, "documents"), model))
+
+
+def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(
         F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
@@ -33,7 +47,8 @@ def op8_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mcd.judge(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_shards, op7_chat_format, op8_robust_outliers)}
+QUERIES = {f.__name__: f for f in (
+    op1_ngram_jaccard, op2_hilbert_shards, op4_sentencepiece, op6_templates, op7_chat_format, op8_robust_outliers)}
 
 SQL = {
     "op7_chat_format": r"""

@@ -84,10 +84,11 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) > window, let(hashes, once)).otherwise(F.lit(0))
 
 
-def text_counts(docs: DataFrame) -> DataFrame:
-    """The fixed counts of every whole text, and the hard rules' verdict."""
+def text_counts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The fixed counts of every whole text, and the hard rules' verdict. ``carry``: more
+    columns of the input to keep."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"),
+    rows = docs.select("doc_id", *carry, F.coalesce("lang", F.lit("")).alias("lang"),
                        F.coalesce("source", F.lit("")).alias("source"), text.alias("text"))
     words = F.filter(F.split("text", _SPACE), lambda w: w != "")
     lines = F.filter(F.split("text", "\n"), lambda l: l.rlike("[^\\x20\\x09-\\x0D]"))
@@ -96,10 +97,10 @@ def text_counts(docs: DataFrame) -> DataFrame:
         repeated_words(w).cast("bigint").alias("n_repeat_words")))
     of_lines = let(lines, lambda l: F.struct(F.size(l).alias("n"), (F.size(l) - F.size(F.array_distinct(l))).alias("dup")))
     out = rows.select(
-        "doc_id", "lang", "source", of_words.alias("w"), of_lines.alias("l"),
+        "doc_id", *carry, "lang", "source", of_words.alias("w"), of_lines.alias("l"),
         (F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]", ""))).cast("bigint").alias("n_symbols"))
     return out.select(
-        "doc_id", "lang", "source", "w.n_words", "w.word_chars", "n_symbols",
+        "doc_id", *carry, "lang", "source", "w.n_words", "w.word_chars", "n_symbols",
         F.col("l.n").cast("bigint").alias("n_lines"), F.col("l.dup").cast("bigint").alias("n_dup_lines"),
         "w.n_repeat_words",
         ((F.col("w.n_words") < 20) | (F.col("w.n_repeat_words") * 100 > F.col("w.n_words") * 30)).alias("base_failed"))
@@ -185,10 +186,10 @@ def with_vectors(counts: DataFrame, median: DataFrame, how: str) -> DataFrame:
         "x3": F.col("n_repeat_words") / n})
 
 
-def judge(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+def judge(docs: DataFrame, min_rows: int = MIN_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: the counts, ``base_failed``, ``robust_d2`` (null where no estimate
     applies) and ``kept``."""
-    counts = keep(with_groups(text_counts(docs), min_rows), "mcd-counts")
+    counts = keep(with_groups(text_counts(docs, carry), min_rows), "mcd-counts")
     good = counts.filter(~F.col("base_failed") & F.col("grp").isNotNull())
     median = keep(group_quantile(good, F.col("word_chars") / F.col("n_words"), 0.01, 0.5), "mcd-median")
     xs = [f"x{i}" for i in range(DIMS)]
@@ -199,5 +200,5 @@ def judge(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
         estimate = keep(moments(nearest(distances(x, estimate))), f"mcd-step{step}")
     judged = distances(with_vectors(counts, median, "left"), estimate, "left")
     return judged.withColumn("robust_d2", F.when(~F.col("base_failed"), F.col("d2"))).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "robust_d2",
+        "doc_id", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "robust_d2",
         (~F.col("base_failed") & F.coalesce(F.col("robust_d2") <= F.lit(CUT), F.lit(True))).alias("kept"))
