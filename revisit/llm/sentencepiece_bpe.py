@@ -242,10 +242,10 @@ def decode(ids: np.ndarray, length: np.ndarray, v: Vocabulary) -> list[str]:
 def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
     """``doc_id, ids, decoded`` per document. The vocabulary's arrays (a few MB, set by
     the model alone) are broadcast; no text is moved between tasks."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load(model_path))
+    vocabulary = docs.sparkSession.sparkContext.broadcast(vars(load(model_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
+        v = Vocabulary(**vocabulary.value)
         words = WordIds(v)
         for batch in batches:
             for lo in range(0, batch.num_rows, CHUNK):
