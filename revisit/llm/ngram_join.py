@@ -46,8 +46,9 @@ from pyspark.sql import functions as F
 
 from revisit.llm.graph import components
 from revisit.llm.shared import keep, shuffle_parts
-from revisit.llm.words import WordHashes, as_bytes, fold, mix, shingles
+from revisit.llm.words import WordHashes, fold, mix, shingles
 
+PART = 1_000_000  # tokens of a block batch
 HEAVY = 64  # counts stop here: the order of tokens at least so frequent is by hash
 RARE = 16  # a token in more documents is frequent
 SUBGROUP = 8  # a subgroup of frequent tokens per so many tokens of a text
@@ -80,37 +81,49 @@ def unpack_steps(raw: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(raw, "<u4" if raw[0] == 4 else "u1", offset=1), dtype=np.int64)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], size: int):
+    """Ids, and the distinct tokens of each text, of some texts at a time: enough for
+    about ``PART`` tokens, so a task's memory does not depend on how long texts are."""
+    hashes = WordHashes()
+    ids, sets, held = [], [], 0
+    for batch in batches:
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids.append(i)
+            sets.append(shingles(hashes.of(text.as_py()), size))
+            held += len(sets[-1]) + 20
+            if held >= PART:
+                yield ids, sets
+                ids, sets, held = [], [], 0
+    if ids:
+        yield ids, sets
+
+
 def _blocks(buckets: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            ns, s1, s2, firsts, sets = [], [], [], [], []
-            seen: dict[tuple, int] = {}
-            for i, text in enumerate(as_bytes(batch.column(1))):
-                s = shingles(hashes.of(text), size)
-                key = (len(s), int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix(s))) if len(s) else 0)
-                ns.append(key[0])
-                s1.append(key[1])
-                s2.append(key[2])
-                if len(s) and ids[i] is not None and key not in seen:
-                    seen[key] = i
+        for ids, every in _parts(batches, size):
+            n = np.array([len(s) for s in every], np.int64)
+            s1 = np.array([s.sum(dtype=np.uint64) for s in every], np.uint64)
+            s2 = np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in every], np.uint64)
+            seen: set[tuple] = set()
+            firsts = []
+            for i, key in enumerate(zip(n.tolist(), s1.tolist(), s2.tolist())):
+                if key[0] and ids[i] is not None and key not in seen:
+                    seen.add(key)
                     firsts.append(i)
-                    sets.append(s)
-            head = {"ids": ids, "n": np.array(ns, np.int64), "s1": np.array(s1, np.uint64), "s2": np.array(s2, np.uint64),
-                    "firsts": np.array(firsts, np.int64)}
-            name = xxhash.xxh64_intdigest(pickle.dumps((ids, ns, s1))) >> 1
+            head = {"ids": ids, "n": n, "s1": s1, "s2": s2, "firsts": np.array(firsts, np.int64),
+                    "heavy_doc": np.zeros(0, np.int64), "heavy_token": np.zeros(0, np.uint64)}
+            name = xxhash.xxh64_intdigest(pickle.dumps((ids, n.tolist(), s1.tolist()))) >> 1
             rows: list[tuple] = []
-            head["heavy_doc"], head["heavy_token"] = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-            if sets:
-                tokens = np.concatenate(sets)
-                doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            if firsts:
+                tokens = np.concatenate([every[i] for i in firsts])
+                doc = np.repeat(np.arange(len(firsts)), n[firsts])
+                del every
                 bucket = (tokens >> np.uint64(40)) % np.uint64(buckets)
                 tokens = (bucket << np.uint64(40)) | (tokens & LOW)
                 ordered = np.sort(tokens)
                 # A run of HEAVY equal tokens: a token equals the one HEAVY - 1 places on.
-                often = np.unique(ordered[HEAVY - 1:][ordered[HEAVY - 1:] == ordered[:len(ordered) - HEAVY + 1]]) \
-                    if len(ordered) >= HEAVY else ordered[:0]
+                often = ordered[HEAVY - 1:]
+                often = np.unique(often[often == ordered[:len(often)]])
                 if len(often):
                     at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
                     heavy = often[at] == tokens
@@ -119,12 +132,11 @@ def _blocks(buckets: int, size: int):
                     owner = (often >> np.uint64(40)).astype(np.int64)
                     for b in np.unique(owner).tolist():
                         rows.append((b, name, _MARKS, pack40(often[owner == b] & LOW)))
-                order = np.argsort(bucket.astype(np.int64) * len(sets) + doc, kind="stable")
-                tokens, doc, bucket = tokens[order], doc[order], bucket[order].astype(np.int64)
+                order = np.argsort(bucket.astype(np.int64) * len(firsts) + doc)
+                tokens, doc, bucket = tokens[order] & LOW, doc[order], bucket[order].astype(np.int64)
                 cuts = np.flatnonzero(np.diff(bucket)) + 1 if len(bucket) else []
                 for lo, hi in itertools.pairwise([0, *cuts, len(bucket)] if len(bucket) else [0]):
-                    steps = pack_steps(doc[lo:hi])
-                    rows.append((int(bucket[lo]), name, _POSTINGS, pack40(tokens[lo:hi] & LOW) + steps))
+                    rows.append((int(bucket[lo]), name, _POSTINGS, pack40(tokens[lo:hi]) + pack_steps(doc[lo:hi])))
             rows.append((name % buckets, name, _HEAD, pickle.dumps(head, 5)))
             for part in itertools.batched(rows, 4096):
                 yield pa.RecordBatch.from_arrays(
@@ -270,7 +282,7 @@ def token_table(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     it can have partners, signatures and shared tokens."""
     spark = docs.sparkSession
     buckets = min(8 * shuffle_parts(spark), 1 << 16)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     # Batches, and so their names, must be the same if a task runs again.
     blocks = rows.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(_blocks(buckets, size), _BLOCK)
     counted = blocks.groupBy("bucket").applyInArrow(_count, "batch long, bucket long, kind tinyint, payload binary")

@@ -33,7 +33,7 @@ def fold(columns: list[np.ndarray], seed: int = 0) -> np.ndarray:
 class WordHashes(dict):
     """Hash of a word, kept for the words met so far (at most ``most`` of them)."""
 
-    def __init__(self, most: int = 1_000_000) -> None:
+    def __init__(self, most: int = 300_000) -> None:
         super().__init__()
         self.most = most
 
