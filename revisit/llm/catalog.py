@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revisit.llm import chat, hilbert, mcd, ngram_join, sentencepiece_bpe, templates
+from revisit.llm import chat, hilbert, kneser_ney, licences, mcd, ngram_join, sentencepiece_bpe, templates, warc
+from revisit.llm.shared import new_folder
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digest_columns(sentencepiece_bpe.encode_decode(read(spark, sf_dir, "documents"), model))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write_captures(read(spark, sf_dir, "pages"), folder)
+    return warc.page_columns(warc.assemble(warc.read_records(spark, folder, payloads=False)))
+
+
 def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -47,8 +54,18 @@ def op8_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mcd.judge(read(spark, sf_dir, "documents"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(read(spark, sf_dir, "documents"))
+
+
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return kneser_ney.score(docs, kneser_ney.fit(docs))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard, op2_hilbert_shards, op4_sentencepiece, op6_templates, op7_chat_format, op8_robust_outliers)}
+    op1_ngram_jaccard, op2_hilbert_shards, op4_sentencepiece, op5_warc, op6_templates, op7_chat_format,
+    op8_robust_outliers, op9_licences, op10_kneser_ney)}
 
 SQL = {
     "op7_chat_format": r"""
