@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revisit.llm import chat, hilbert, kneser_ney, licences, mcd, ngram_join, sentencepiece_bpe, templates, warc
+from revisit.llm import chat, hilbert, html_crf, kneser_ney, licences, mcd, ngram_join, sentencepiece_bpe, templates, warc
 from revisit.llm.shared import new_folder
 
 
@@ -26,6 +26,10 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.hilbert_shards(read(spark, sf_dir, "documents"), shards=16)
 
 
+def op3_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(read(spark, sf_dir, "pages"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return sentencepiece_bpe.digest_columns(sentencepiece_bpe.encode_decode(read(spark, sf_dir, "documents"), model))
@@ -64,8 +68,8 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard, op2_hilbert_shards, op4_sentencepiece, op5_warc, op6_templates, op7_chat_format,
-    op8_robust_outliers, op9_licences, op10_kneser_ney)}
+    op1_ngram_jaccard, op2_hilbert_shards, op3_html_crf, op4_sentencepiece, op5_warc, op6_templates,
+    op7_chat_format, op8_robust_outliers, op9_licences, op10_kneser_ney)}
 
 SQL = {
     "op7_chat_format": r"""
