@@ -76,8 +76,8 @@ class Canonical(dict):
         self.hash, self.kind, self.ends = [], [], []  # of words met since the last chunk
         self.known = (np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool))
 
-    def of(self, texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-        """Canonical hashes, kinds and raw words of each text."""
+    def of(self, texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+        """Hashes of the plain and of the canonical words, kinds and raw words of each text."""
         if len(self) > self.most:
             self.clear()
             self.__init__(self.most)
@@ -95,7 +95,7 @@ class Canonical(dict):
             beside = np.append(False, shout[:-1])[:len(i)] | np.append(shout[1:], False)[:len(i)]
             kind = np.where(kind == _LETTER, np.where(beside, WORD, NAME), np.where(shout, WORD, kind))
             kind = np.where(((kind == NAME) & after_end) | ((kind == UNIT) & ~after_number), WORD, kind)
-            out.append((np.where(kind == WORD, hashes, kind.astype(np.uint64)), kind, raw))
+            out.append((hashes, np.where(kind == WORD, hashes, kind.astype(np.uint64)), kind, raw))
         return out
 
 
@@ -107,18 +107,22 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = 256):
             yield part.column(0).to_pylist(), as_bytes(part.column(1))
 
 
-def windows(hashes: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every window of ``size`` words, and whether enough of it is outside slots."""
-    n = len(hashes) - size + 1
+def windows(plain: np.ndarray, canonical: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every window of ``size`` words, and whether enough of it is outside slots.
+    A window's first word is no name slot: a sentence's first word has a capital too, and
+    a passage put inside another sentence would look different there."""
+    n = len(plain) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    plain = np.concatenate([[0], np.cumsum(kind == WORD)])
-    return fold([hashes[i:i + n] for i in range(size)], seed=size), (plain[size:] - plain[:-size]) * 2 >= size
+    first = np.where(kind == NAME, plain, canonical)[:n]
+    outside = np.concatenate([[0], np.cumsum(kind == WORD)])
+    outside = outside[size:] - outside[:-size] + (kind[:n] == NAME)
+    return fold([first, *(canonical[i:i + n] for i in range(1, size))], seed=size), outside * 2 >= size
 
 
 def _slots(kind: np.ndarray, raw: list[bytes], at: int, size: int) -> list[str]:
     return [f"{kind[i]}" + (raw[i].strip(_ENDS) or raw[i]).decode("utf-8", "replace").lower()
-            for i in range(at, at + size) if kind[i] != WORD]
+            for i in range(at, at + size) if kind[i] != WORD and not (i == at and kind[i] == NAME)]
 
 
 _SCHEMA = "id long, size int, at long, hash long, slots array<string>, total long"
@@ -134,11 +138,11 @@ def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Canonical()
     for ids, texts in chunks(batches):
         rows = []
-        for i, (hashes, kind, raw) in zip(ids, words.of(texts)):
+        for i, (plain, canonical, kind, raw) in zip(ids, words.of(texts)):
             size = min(WINDOW, len(raw))
             if i is None or size < LEAST:
                 continue
-            h, good = windows(hashes, kind, size)
+            h, good = windows(plain, canonical, kind, size)
             at = np.flatnonzero(good)
             rows += [(i, size, p, v, _slots(kind, raw, p, size), len(at)) for p, v in zip(at.tolist(), h[at].view(np.int64).tolist())]
         yield _emit(rows)
@@ -186,11 +190,11 @@ def _matching(known):
         words = Canonical()
         for ids, texts in chunks(batches):
             rows = []
-            for i, (hashes, kind, raw) in zip(ids, words.of(texts)):
+            for i, (plain, canonical, kind, raw) in zip(ids, words.of(texts)):
                 if i is None:
                     continue
                 for size, table in known.value.items():
-                    h, good = windows(hashes, kind, size)
+                    h, good = windows(plain, canonical, kind, size)
                     if not len(h) or not len(table):
                         continue
                     hit = good & (table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h)

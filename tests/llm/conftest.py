@@ -1,0 +1,7 @@
+import pytest
+
+
+@pytest.fixture()
+def rows(spark):
+    """Make a DataFrame from tuples and a schema."""
+    return lambda data, schema: spark.createDataFrame(data, schema)
