@@ -50,6 +50,7 @@ HELD = 1  # documents with crc32(doc_id) % 5 == HELD are held out
 FOLDS = 5
 LOOK_ROWS = 2000  # rows in which frequent histories are looked for
 LOOK_SHARE = 1e-3
+PART = 2_000_000  # tokens that a task counts or scores at a time
 W48 = np.uint64((1 << 48) - 1)
 # A word holds no space, so no word has the hash of these.
 START, END, STOP = (np.uint64(xxhash.xxh64_intdigest(m)) for m in (b" start", b" end", b" stop"))
@@ -96,6 +97,23 @@ class BatchWords(dict):
         return out
 
 
+def _portions(batches: Iterator[pa.RecordBatch], all_rows: bool):
+    """Ids, numbered texts and their words, for about ``PART`` tokens at a time; only
+    training documents unless all are wanted."""
+    ids, texts, words, held = [], [], BatchWords(), 0
+    for batch in batches:
+        for i, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+            if all_rows or not held_out(i):
+                ids.append(i)
+                texts.append(words.of(t))
+                held += len(texts[-1])
+            if held >= PART:
+                yield ids, texts, words
+                ids, texts, words, held = [], [], BatchWords(), 0
+    if texts:
+        yield ids, texts, words
+
+
 def _pairs(texts: list[np.ndarray], n: int) -> np.ndarray:
     """``history * n + word`` of each pair of neighbours, text by text."""
     flat = np.concatenate(texts)
@@ -133,11 +151,7 @@ def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 def _count(buckets: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = BatchWords()
-            texts = [words.of(t) for i, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))) if not held_out(i)]
-            if not texts:
-                continue
+        for _, texts, words in _portions(batches, all_rows=False):
             hashes = np.array(words.hashes, np.uint64)
             key, count = np.unique(_pairs(texts, len(hashes)), return_counts=True)
             h, w = hashes[key // len(hashes)], hashes[key % len(hashes)] & W48
@@ -191,7 +205,7 @@ def _add_up(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[heads], np.add.reduceat(values, heads, axis=0) if len(keys) else values
 
 
-def _merge(buckets: int, folder: str):
+def _merge(groups: int, folder: str):
     def run(group: pa.Table) -> pa.Table:
         """All pairs of one bucket."""
         bucket = group.column("bucket")[0].as_py()
@@ -203,7 +217,7 @@ def _merge(buckets: int, folder: str):
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         stats = np.add.reduceat(np.stack([c, c == 1, c == 2, c >= 3], axis=1).astype(np.int64), first)
         rows = []
-        target = spot(h[first], buckets)
+        target = spot(h[first], groups)
         for b in np.unique(target).tolist():
             own = target == b
             rows.append((b, _HISTORY, h[first][own].tobytes() + stats[own].astype("<u4").tobytes()))
@@ -214,14 +228,14 @@ def _merge(buckets: int, folder: str):
             order = np.argsort(key)
             _store(f"{folder}/pairs-{bucket}", key[order], c[order][:, None])
             follower, n = np.unique(w, return_counts=True)
-            target = spot(follower, buckets)
+            target = spot(follower, groups)
             order = np.argsort(target, kind="stable")
             follower, n, target = follower[order], n[order], target[order]
             cuts = np.flatnonzero(np.diff(target)) + 1
             for lo, hi in itertools.pairwise([0, *cuts.tolist(), len(target)]):
                 rows.append((int(target[lo]), _CONT, np.uint32(hi - lo).tobytes() + _narrow(n[lo:hi]) + _pack48(follower[lo:hi])))
         # Counts of counts, for the discounts.
-        rows.append((bucket, _PAIRS, np.array([np.count_nonzero(c == i) for i in (1, 2, 3, 4)], "<u8").tobytes()))
+        rows.append((bucket % groups, _PAIRS, np.array([np.count_nonzero(c == i) for i in (1, 2, 3, 4)], "<u8").tobytes()))
         return pa.Table.from_batches(_rows(rows))
     return run
 
@@ -297,20 +311,22 @@ def fit(docs: DataFrame) -> dict:
         raise ValueError("the shared folder must be mounted, so that workers can map the model's files")
     folder = url.path
     os.makedirs(folder, exist_ok=True)
-    buckets = min(8 * shuffle_parts(spark), 1 << 16)
+    # Each pair bucket sends a block to each word group, so there are fewer of these: the
+    # vocabulary grows more slowly than the text.
+    buckets, groups = 2 * shuffle_parts(spark), min(max(1, shuffle_parts(spark) // 2), 4096)
     hot = frequent(docs)
     blocks = _texts(docs).mapInArrow(_count(buckets, hot), _BLOCK)
-    merged = blocks.groupBy("bucket").applyInArrow(_merge(buckets, folder), _BLOCK)
+    merged = blocks.groupBy("bucket").applyInArrow(_merge(groups, folder), _BLOCK)
     totals = merged.groupBy("bucket").applyInArrow(_words(folder), ", ".join(f"{n} long" for n in _TOTALS))
     row = totals.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _TOTALS]).first()
-    return {"folder": folder, "buckets": buckets, "hot": hot, **row.asDict()}
+    return {"folder": folder, "buckets": buckets, "groups": groups, "hot": hot, **row.asDict()}
 
 
 class Model:
     """Look-ups in a fitted model's files, for one task."""
 
     def __init__(self, fitted: dict) -> None:
-        self.folder, self.buckets, self.hot = fitted["folder"], fitted["buckets"], fitted["hot"]
+        self.folder, self.buckets, self.groups, self.hot = (fitted[k] for k in ("folder", "buckets", "groups", "hot"))
         self.tokens, self.words, self.pairs = fitted["tokens"], fitted["words"], fitted["pairs"]
         self.high = discounts(*[fitted[f"n{i}"] for i in (1, 2, 3, 4)])
         self.low = discounts(*[fitted[f"m{i}"] for i in (1, 2, 3, 4)])
@@ -341,7 +357,7 @@ class Model:
         return out
 
     def word_stats(self, hashes: np.ndarray) -> np.ndarray:
-        return self.look_up("words", spot(hashes, self.buckets), hashes, 5)
+        return self.look_up("words", spot(hashes, self.groups), hashes, 5)
 
     def log10_pairs(self, hashes: np.ndarray, stats: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log10 p(word | history) of pairs of the given words (numbers into ``hashes``)."""
@@ -362,12 +378,7 @@ def score(docs: DataFrame, fitted: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(fitted)
         total = fitted["tokens"] + 0.5 * (fitted["words"] + 1)
-        for batch in batches:
-            words = BatchWords()
-            ids = batch.column(0).to_pylist()
-            texts = [words.of(t) for t in as_bytes(batch.column(1))]
-            if not texts:
-                continue
+        for ids, texts, words in _portions(batches, all_rows=True):
             hashes = np.array(words.hashes, np.uint64)
             stats = model.word_stats(hashes)
             n = len(hashes)
