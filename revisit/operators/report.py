@@ -4,9 +4,8 @@ Quantiles are exact (linear interpolation between the two nearest ranks, as the
 pandas default) and distributed: values are first reduced to (value, count)
 with partial aggregation, range-partitioned by value, and each distinct value's
 rank range comes from a chunked running sum (one chunk per range partition).
-The rows at the wanted ranks are picked with a join against the small table of
-wanted ranks (one or two rows per requested quantile). No step holds all values
-in one task.
+The rows at the wanted ranks are picked by one aggregation. No step holds all
+values in one task.
 """
 
 from __future__ import annotations
@@ -17,19 +16,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revisit.operators.scan import with_prefix
+from revisit.session import ensure_checkpoint_dir
 
 
 def _ranked(df: DataFrame, col: str, partitions: int | None) -> DataFrame:
     """(value ``x``, count ``c``) with ``before`` (rows with a smaller value), the
-    total ``n`` and the sum of values ``sx`` on every row: one chunked pass."""
+    total ``n`` and the sum of values ``sx`` on every row: one chunked pass.
+
+    The (value, count) table is range-partitioned and written (a checkpoint in the
+    shared folder) with its partition number as the chunk. Both branches of the
+    chunked pass read that table, so they agree on the chunks whatever the planner
+    reuses, and the input runs once.
+    """
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vals = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
     counts = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    hist = counts.repartitionByRange(n_parts, "x").withColumn("__part", F.spark_partition_id())
-    return with_prefix(hist, [], ["x"], F.col("__part"),
+    hist = counts.repartitionByRange(n_parts, "x").withColumn("chunk", F.spark_partition_id()).checkpoint()
+    return with_prefix(hist, [], ["x"], F.col("chunk"),
                        [("before", F.col("c"), "sum", False), ("__sx", F.col("x") * F.col("c"), "sum", False)],
-                       totals=("n", "sx")).drop("__sx")
+                       totals=("n", "sx")).drop("__sx", "chunk")
 
 
 def _quantile_aggs(qs: Sequence[float]) -> list:
@@ -52,9 +59,8 @@ def quantiles(df: DataFrame, col: str, qs: Sequence[float], partitions: int | No
     """Exact quantiles of ``col`` (NULLs skipped): columns ``q`` and ``value``.
 
     Rank position ``(n - 1) * q``; between two ranks the value is
-    ``lo + (hi - lo) * frac``. The rows holding the wanted ranks are picked by
-    a join against the broadcast table of requested quantiles (its size is the
-    number of quantiles asked for). With ``approx_accuracy`` Spark's
+    ``lo + (hi - lo) * frac``. The values at the wanted ranks are picked by two
+    conditional maxima per quantile in one aggregation over the ranked values. With ``approx_accuracy`` Spark's
     ``percentile_approx`` (a mergeable sketch, one pass, no interpolation) is
     used instead: rank error about 1 / accuracy.
     """
@@ -64,21 +70,10 @@ def quantiles(df: DataFrame, col: str, qs: Sequence[float], partitions: int | No
         return one.select(F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in qlist]).alias("q"),
                                                  F.col("__v").alias("value"))).alias("e")).select(
             F.col("e.q").alias("q"), F.col("e.value").alias("value"))
-    ranked = _ranked(df, col, partitions)
-    spark = df.sparkSession
-    qdf = spark.createDataFrame([(q,) for q in dict.fromkeys(float(q) for q in qs)], "q double")
-    pos = (F.col("n") - F.lit(1)).cast("double") * F.col("q")
-    lo, hi = F.floor(pos), F.ceil(pos)
-    inside = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("c"))
-    picked = ranked.join(F.broadcast(qdf), inside(lo) | inside(hi)).select(
-        "q", "x", inside(lo).alias("is_lo"), inside(hi).alias("is_hi"), (pos - lo).alias("frac"))
-    per_q = picked.groupBy("q").agg(
-        F.max(F.when(F.col("is_lo"), F.col("x"))).alias("lo_v"),
-        F.max(F.when(F.col("is_hi"), F.col("x"))).alias("hi_v"),
-        F.max("frac").alias("frac"))
-    value = F.when(F.col("frac") == 0, F.col("lo_v")).otherwise(
-        F.col("lo_v") + (F.col("hi_v") - F.col("lo_v")) * F.col("frac"))
-    return per_q.select("q", value.alias("value"))
+    wanted = list(dict.fromkeys(float(q) for q in qs))
+    one = _ranked(df, col, partitions).agg(*_quantile_aggs(wanted))
+    pairs = F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"__q{i}").alias("value")) for i, q in enumerate(wanted)])
+    return one.select(F.explode(pairs).alias("e")).select("e.q", "e.value")
 
 
 def describe(df: DataFrame, col: str, partitions: int | None = None) -> DataFrame:

@@ -98,3 +98,27 @@ def test_approximate_options_are_close(spark):
     a = counts.density(r, approx_rsd=0.02).collect()[0]
     e = counts.density(r).collect()[0]
     assert abs(a["n_users"] - e["n_users"]) <= 0.1 * e["n_users"] and a["n_rows"] == e["n_rows"]
+
+
+def test_quantiles_do_not_depend_on_the_planner(spark):
+    """Many distinct values: exact with and without exchange reuse and adaptive plans."""
+    df = spark.range(400_000).select((F.pmod(F.xxhash64("id"), F.lit(1_000_000_007)) / 2).cast("double").alias("x"))
+    arr = np.sort([r[0] for r in df.collect()])
+    qs = [0.0, 0.25, 0.5, 0.75, 0.94, 1.0]
+    keys = ("spark.sql.exchange.reuse", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for reuse in ("true", "false"):
+            for adaptive in ("true", "false"):
+                spark.conf.set(keys[0], reuse)
+                spark.conf.set(keys[1], adaptive)
+                got = {r["q"]: r["value"] for r in report.quantiles(df, "x", qs, partitions=8).collect()}
+                assert len(got) == len(qs)
+                for q in qs:
+                    assert abs(got[q] - np.quantile(arr, q)) < 1e-6, (reuse, adaptive, q)
+                d = report.describe(df, "x", partitions=8).first()
+                assert d["count"] == 400_000 and abs(d["p50"] - np.quantile(arr, 0.5)) < 1e-6
+                assert abs(d["mean"] - arr.mean()) < 1e-3 and abs(d["std"] - arr.std(ddof=1)) < 1e-3
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
