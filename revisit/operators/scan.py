@@ -27,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revisit.session import ensure_checkpoint_dir
+
 _B = "__chunk"
 
 
@@ -137,37 +139,63 @@ def with_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket
     return j.drop(*drop)
 
 
-# Sub-chunks per base bucket are numbered below this (chunk = bucket * SPLIT + sub).
-SPLIT = 1 << 16
-MAX_CHUNK = (1 << 63) - 1
+TARGET_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000  # a table of heavy buckets up to this size is broadcast
+_LAST = (1 << 63) - 1
 
 
 def add_time_chunks(df: DataFrame, keys: Sequence[str], time: str, width: float,
-                    target_rows: int | None = 1_000_000, out: str = _B) -> DataFrame:
-    """Chunk id per row: the time bucket ``floor(time / width)``, split further
-    where one key has more than ``target_rows`` rows in a bucket.
-
-    A pre-count per (key, bucket), with map-side partial aggregation, finds the
-    heavy buckets and their observed time range; only those go into a broadcast
-    table (at most rows / ``target_rows`` entries, a proven bound). A heavy
-    bucket's observed range is cut into ``ceil(count / target_rows)`` equal
-    slices, so chunk ids stay monotone in time and a burst inside one bucket is
-    spread over several tasks (evenly when the burst itself is spread over its
-    range). Rows with a NULL time get the last chunk.
+                    target_rows: int | None = TARGET_ROWS, out: str = _B, tie: str | None = None) -> DataFrame:
+    """Chunk per row, monotone in (time, tie): a struct of two BIGINTs (start, part).
+
+    A chunk is the time bucket of ``width``, cut further where one key has more than
+    ``target_rows`` rows in a bucket. A counting job (map-side partial aggregation)
+    finds those heavy buckets and their observed time range; usually there are none,
+    and nothing else happens. A heavy bucket is cut into ``ceil(count / target_rows)``
+    equal slices of its range, and a single time that alone has too many rows is cut
+    by equal slices of the numeric column ``tie`` (so a burst at one instant is spread
+    too; integral time columns only, others are taken to the microsecond).
+
+    The table of heavy buckets has at most rows / ``target_rows`` entries. It is
+    checkpointed, counted, and broadcast only up to ``BROADCAST_ROWS`` entries; a
+    larger one is joined by shuffle. Rows with a NULL time get the last chunk.
     """
-    t = F.col(time)
-    base = F.floor(t / F.lit(float(width))).cast("bigint")
+    integral = df.schema[time].dataType.typeName() in ("long", "integer", "short", "byte")
+    t = F.col(time).cast("bigint") if integral else F.floor(F.col(time) * F.lit(1e6)).cast("bigint")
+    wide = F.lit(max(1, int(width if integral else width * 1e6))).cast("bigint")
+    base = t - F.pmod(t, wide)
+    chunk = lambda start, part: F.struct(F.coalesce(start, F.lit(_LAST)).alias("start"), part.cast("bigint").alias("part"))
     if not target_rows:
-        return df.withColumn(out, F.coalesce(base * F.lit(SPLIT), F.lit(MAX_CHUNK)))
-    heavy = (df.filter(t.isNotNull()).groupBy(*keys, base.alias("__b"))
-             .agg(F.count(F.lit(1)).alias("__n"), F.min(t).alias("__lo"), F.max(t).alias("__hi"))
-             .filter(F.col("__n") > target_rows)
-             .select(*keys, "__b", "__lo", "__hi",
-                     F.least(F.ceil(F.col("__n") / F.lit(target_rows)), F.lit(SPLIT)).cast("bigint").alias("__k")))
-    j = df.withColumn("__b", base).join(F.broadcast(heavy), [*keys, "__b"], "left")
-    span = (F.col("__hi") - F.col("__lo")).cast("double")
-    frac = F.when(span > 0, (t - F.col("__lo")).cast("double") / span).otherwise(F.lit(0.0))
-    sub = F.when(F.col("__k").isNotNull(),
-                 F.least(F.floor(frac * F.col("__k")), F.col("__k") - 1)).otherwise(F.lit(0))
-    chunk = F.coalesce(F.col("__b") * F.lit(SPLIT) + sub.cast("bigint"), F.lit(MAX_CHUNK))
-    return j.withColumn(out, chunk).drop("__b", "__k", "__lo", "__hi")
+        return df.withColumn(out, chunk(base, F.lit(0)))
+    ensure_checkpoint_dir(df.sparkSession)
+    n = F.count(F.lit(1))
+    slices = lambda rows: F.ceil(rows / F.lit(target_rows)).cast("bigint")
+    tied = F.col(tie).cast("double") if tie else F.lit(0.0)
+    timed = df.filter(t.isNotNull()).select(*keys, base.alias("__b"), t.alias("__t"), tied.alias("__tie"))
+    heavy = (timed.groupBy(*keys, "__b").agg(n.alias("__n"), F.min("__t").alias("__lo"), F.max("__t").alias("__hi"))
+             .filter(F.col("__n") > target_rows).checkpoint())
+    size = heavy.count()
+    if not size:
+        return df.withColumn(out, chunk(base, F.lit(0)))
+    small = F.broadcast if size <= BROADCAST_ROWS else (lambda x: x)
+    bursts = (timed.join(small(heavy.select(*keys, "__b")), [*keys, "__b"], "left_semi").groupBy(*keys, "__b", "__t")
+              .agg(n.alias("__n"), F.min("__tie").alias("lo"), F.max("__tie").alias("hi"))
+              .filter((F.col("__n") > target_rows) & F.lit(integral))
+              .groupBy(*keys, "__b").agg(F.collect_list(F.struct(F.col("__t").alias("t"), "lo", "hi", slices(F.col("__n")).alias("k")))
+                                         .alias("__bursts")))  # at most rows / target_rows in all
+    cuts = (_null_safe_join(heavy, bursts, [*keys, "__b"]).withColumn("__k", slices(F.col("__n")))
+            .select(*keys, "__b", "__lo", "__hi", "__k", "__bursts"))
+    j = df.withColumn("__b", base).join(small(cuts), [*keys, "__b"], "left")
+    span = F.col("__hi") - F.col("__lo") + 1
+    step = F.floor((t - F.col("__lo")) * F.col("__k") / span)
+    start = F.when(F.col("__k").isNotNull(), F.col("__lo") + F.floor(step * span / F.col("__k"))).otherwise(base).cast("bigint")
+    # The last burst at or before the row, if it lies in the row's slice.
+    last = F.array_max(F.filter("__bursts", lambda x: x["t"] <= t))
+    j = j.withColumn("__start", start).withColumn("__burst", last)
+    after = F.coalesce(F.col("__burst.t") >= F.col("__start"), F.lit(False))
+    tie_span = F.col("__burst.hi") - F.col("__burst.lo")
+    piece = F.when(tie_span > 0, F.least(F.floor((tied - F.col("__burst.lo")) / tie_span * F.col("__burst.k")),
+                                         F.col("__burst.k") - 1)).otherwise(F.lit(0))
+    part = F.when(after & (F.col("__burst.t") == t), piece + 1).when(after, F.lit(1 << 62)).otherwise(F.lit(0))
+    chunked = chunk(F.when(after, F.col("__burst.t")).otherwise(F.col("__start")), part)
+    return j.withColumn(out, chunked).drop("__b", "__k", "__lo", "__hi", "__bursts", "__burst", "__start")

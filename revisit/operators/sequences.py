@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revisit.functions.columns import nan_to_null, safe_div, seconds_component
-from revisit.operators.scan import add_time_chunks, with_neighbors, with_prefix
+from revisit.operators.scan import TARGET_ROWS, add_time_chunks, with_neighbors, with_prefix
 from revisit.schemas import (DURATION_THRESH_S, GAP_COL, LECTURE_PREFIX, RUN_COL, SESSION_COL,
                              SESSION_THRESH_S)
 
@@ -102,7 +102,7 @@ def float_tolerance_rows(segments: DataFrame, tol: float = 1e-7) -> DataFrame:
 def sessionize(segments: DataFrame, session_thresh: float = SESSION_THRESH_S, user: str = "user_id",
                video: str = "video_id", time: str = "local_start_time",
                tie: Sequence[str] = ("seg_id",), bucket_seconds: int = DAY,
-               gap_mode: str = "total", target_rows: int | None = None) -> DataFrame:
+               gap_mode: str = "total", target_rows: int | None = TARGET_ROWS) -> DataFrame:
     """E1 + E2 + E4 on flat segments, in one chunked pass.
 
     * ``video_consecutive_id`` (E1): per user in time order, +1 whenever the video
@@ -118,9 +118,9 @@ def sessionize(segments: DataFrame, session_thresh: float = SESSION_THRESH_S, us
     summary branches number rows separately and must agree on the order.
 
     Chunks are user-days (``bucket_seconds``): a user with a third of all rows
-    is spread over all the days of its history. For bursty sources set
-    ``target_rows``: a counting pass then finds user-days with more rows and
-    cuts them into equal time slices (``scan.add_time_chunks``).
+    is spread over all the days of its history. A counting pass finds user-days
+    with more than ``target_rows`` rows and cuts them into slices of time, and a
+    burst at one instant by the first ``tie`` column (``scan.add_time_chunks``).
 
     Plan: a shuffle on (user, chunk); the chunk summary shuffles its own
     narrower copy of the key, order, video and duration columns (the two are not
@@ -135,7 +135,7 @@ def sessionize(segments: DataFrame, session_thresh: float = SESSION_THRESH_S, us
     order = [time, *tie]
     # The duration is computed before the shuffle: the row branch then carries
     # one column instead of end, start and speed unless the caller keeps them.
-    seg = add_time_chunks(segments.filter(u.isNotNull()), [user], time, bucket_seconds, target_rows)
+    seg = add_time_chunks(segments.filter(u.isNotNull()), [user], time, bucket_seconds, target_rows, tie=tie[0] if tie else None)
     seg = seg.withColumn("__dur", safe_div(F.col("end_point") - F.col("start_point"), F.col("speed")))
     dur = F.col("__dur")
     w = Window.partitionBy(user, _B).orderBy(*[F.col(c).asc_nulls_last() for c in order])
@@ -225,11 +225,13 @@ def sessions_by_video(segments: DataFrame, session_thresh: float = SESSION_THRES
 
     Chunks are blocks of ``rows_per_chunk`` consecutive values of ``order[0]``
     (a row id), so no chunk exceeds that many rows. ``order`` must be unique
-    within a (user, video).
+    within a (user, video). Rows with a NULL user or video drop out, as in the
+    reference's group-apply.
     """
     modes = modes or {SESSION_COL: "total"}
     order = list(order)
-    d = segments.withColumn(_B, F.floor(F.col(order[0]) / F.lit(rows_per_chunk)).cast("bigint"))
+    d = segments.filter(F.col(user).isNotNull() & F.col(video).isNotNull())
+    d = d.withColumn(_B, F.floor(F.col(order[0]) / F.lit(rows_per_chunk)).cast("bigint"))
     w = Window.partitionBy(user, video, _B).orderBy(*[F.col(c).asc_nulls_last() for c in order])
     before_w = w.rowsBetween(Window.unboundedPreceding, -1)
     last = F.col("__last")
@@ -268,10 +270,12 @@ def sessions_by_video(segments: DataFrame, session_thresh: float = SESSION_THRES
 def segment_index(segments: DataFrame, user: str = "user_id", video: str = "video_id",
                   time: str = "local_start_time", tie: Sequence[str] = ("seg_id",),
                   bucket_seconds: int = DAY, out: str = "segment_idx",
-                  target_rows: int | None = None) -> DataFrame:
-    """0-based index of each segment per (user, video) in time order."""
+                  target_rows: int | None = TARGET_ROWS) -> DataFrame:
+    """0-based index of each segment per (user, video) in time order; rows with a
+    NULL user or video drop out."""
     order = [time, *tie]
-    d = add_time_chunks(segments, [user, video], time, bucket_seconds, target_rows, out="__tc")
+    d = segments.filter(F.col(user).isNotNull() & F.col(video).isNotNull())
+    d = add_time_chunks(d, [user, video], time, bucket_seconds, target_rows, out="__tc", tie=tie[0] if tie else None)
     s = with_prefix(d, [user, video], order, F.col("__tc"), [(out, F.lit(1), "sum", False)])
     return s.withColumn(out, F.col(out).cast("bigint")).drop("__tc")
 
@@ -285,14 +289,16 @@ def filter_prefix(events: DataFrame, prefix: str = LECTURE_PREFIX, col: str = "i
 
 def dedupe_consecutive(events: DataFrame, user: str = "user_id", item: str = "item_id",
                        time: str = "timestamp", tie: Sequence[str] = ("event_id",),
-                       bucket_width: int = DAY * 1000, target_rows: int | None = None) -> DataFrame:
+                       bucket_width: int = DAY * 1000, target_rows: int | None = TARGET_ROWS) -> DataFrame:
     """Per user in time order keep a row when its item differs from the row before.
 
     The first row of a user is kept; a NULL item is always kept and always lets
-    the next row through. ``bucket_width`` is in units of ``time``.
+    the next row through. Rows with a NULL user drop out. ``bucket_width`` is in
+    units of ``time``.
     """
     order = [time, *tie]
-    d = add_time_chunks(events, [user], time, bucket_width, target_rows, out="__tc")
+    d = add_time_chunks(events.filter(F.col(user).isNotNull()), [user], time, bucket_width, target_rows, out="__tc",
+                        tie=tie[0] if tie else None)
     s = with_neighbors(d, [user], order, F.col("__tc"), [item], nxt=False)
     p, c = F.col(f"prev_{item}"), F.col(item)
     keep = ~F.col("has_prev") | p.isNull() | c.isNull() | (p != c)

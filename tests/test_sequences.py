@@ -149,18 +149,17 @@ def test_segment_index_dense_per_video(spark):
 
 
 def test_add_time_chunks_splits_heavy_buckets_monotonically(spark):
-    from revisit.operators.scan import SPLIT, add_time_chunks
+    from revisit.operators.scan import add_time_chunks
     rows = [("hot", t) for t in range(0, 1000)] + [("cold", t) for t in range(0, 1000, 100)] + [("hot", None)]
     df = spark.createDataFrame(rows, "user_id string, t long")
     out = add_time_chunks(df, ["user_id"], "t", 10_000, target_rows=100, out="c").collect()
-    hot = sorted((r["t"], r["c"]) for r in out if r["user_id"] == "hot" and r["t"] is not None)
+    hot = sorted((r["t"], tuple(r["c"])) for r in out if r["user_id"] == "hot" and r["t"] is not None)
     chunks = [c for _, c in hot]
     assert chunks == sorted(chunks)  # monotone in time
     assert len(set(chunks)) == 10  # ceil(1000 / 100) slices of the one heavy bucket
     assert max(chunks.count(c) for c in set(chunks)) <= 100
-    assert {r["c"] for r in out if r["user_id"] == "cold"} == {0}
-    assert [r["c"] for r in out if r["t"] is None][0] > max(chunks)
-    assert SPLIT > 10
+    assert {tuple(r["c"]) for r in out if r["user_id"] == "cold"} == {(0, 0)}
+    assert tuple([r["c"] for r in out if r["t"] is None][0]) > max(chunks)
 
 
 def test_sessions_by_video_in_time_order(spark):
@@ -184,3 +183,83 @@ def test_sessions_by_video_in_time_order(spark):
             assert g["session_id"] == sess
             if gap is not None and gap >= 3600:
                 sess += 1
+
+
+def _plain_sessions(rows, thresh=3600):
+    """(run, session) per seg_id by a loop over each user's rows in order."""
+    out = {}
+    for u in {r[1] for r in rows if r[1] is not None}:
+        run = session = 0
+        prev = None
+        for r in sorted((r for r in rows if r[1] == u), key=lambda r: (r[3], r[0])):
+            if prev is None or prev[2] != r[2]:
+                run, session = run + 1, 0
+            elif r[3] - (prev[3] + (prev[5] - prev[4]) / prev[6]) >= thresh:
+                session += 1
+            out[r[0]] = (run, session)
+            prev = r
+    return out
+
+
+def _hot_rows():
+    """One user with a third of all rows on one day, most of them at one instant, and one
+    session with as many; the rest of the users are small."""
+    rnd = random.Random(9)
+    rows, n = [], 0
+    def add(user, video, t):
+        nonlocal n
+        rows.append((n, user, video, t, float(rnd.randrange(50)), float(rnd.randrange(50, 90)), 1.0))
+        n += 1
+    for _ in range(260):
+        add("hot", rnd.choice("ab"), 86_400 * 5 + 777)
+    for _ in range(60):
+        add("hot", rnd.choice("ab"), 86_400 * 5 + rnd.randrange(86_400))
+    for _ in range(300):
+        add("one", "v", 86_400 * 9 + rnd.randrange(400))
+    for u in range(40):
+        for _ in range(8):
+            add(f"u{u}", rnd.choice("abc"), rnd.randrange(86_400 * 12))
+    return rows
+
+
+SEG_SCHEMA = ("seg_id bigint, user_id string, video_id string, local_start_time bigint, "
+              "start_point double, end_point double, speed double")
+
+
+def test_hot_user_day_and_burst_are_split(spark):
+    from pyspark.sql import functions as F
+
+    from revisit.operators import intervals, scan, sequences
+    rows = _hot_rows()
+    df = spark.createDataFrame(rows, SEG_SCHEMA)
+    got = {r["seg_id"]: (r["video_consecutive_id"], r["session_id"])
+           for r in sequences.sessionize(df, target_rows=20).collect()}
+    assert got == _plain_sessions(rows)
+    chunked = scan.add_time_chunks(df, ["user_id"], "local_start_time", 86_400, 20, tie="seg_id")
+    largest = chunked.groupBy("user_id", "__chunk").count().agg(F.max("count")).first()[0]
+    assert largest <= 60, largest  # whole user-days hold 320 and 300 rows
+    # The chunk is monotone in (time, tie).
+    flat = sorted(((r["user_id"], r["local_start_time"], r["seg_id"]), tuple(r["__chunk"])) for r in chunked.collect())
+    assert all(a[1] <= b[1] for a, b in zip(flat, flat[1:]) if a[0][0] == b[0][0])
+    # The other ordered operators give what they give without a split.
+    a = sequences.segment_index(df, target_rows=20).select("seg_id", "segment_idx").collect()
+    assert sorted(a) == sorted(sequences.segment_index(df, target_rows=None).select("seg_id", "segment_idx").collect())
+    ded = lambda t: sorted(r[0] for r in sequences.dedupe_consecutive(
+        df, item="video_id", time="local_start_time", tie=("seg_id",), bucket_width=86_400, target_rows=t).select("seg_id").collect())
+    assert ded(20) == ded(None)
+    ctx = sequences.sessionize(df, target_rows=20)
+    sweep = intervals.repetition_counts(ctx, chunk=7.0).collect()
+    assert sorted(sweep) == sorted(intervals.repetition_counts_pairs(ctx).collect())
+    cov = lambda c: {(r[0], r[1]): round(r[2], 9) for r in intervals.coverage(df, chunk=c).collect()}
+    assert cov(3.0) == cov(1e9)
+
+
+def test_null_keys_drop_out(spark):
+    from revisit.operators import sequences
+    rows = [(1, None, "v", 0, 0.0, 9.0, 1.0), (2, "u", None, 5, 0.0, 9.0, 1.0), (3, "u", "v", 9, 0.0, 9.0, 1.0), (4, "u", "v", 99999, 0.0, 9.0, 1.0)]
+    df = sequences.with_end_times(sequences.with_durations(spark.createDataFrame(rows, SEG_SCHEMA)))
+    by = {r["seg_id"]: r["session_id"] for r in sequences.sessions_by_video(df).collect()}
+    assert by == {3: 0, 4: 1}
+    assert sorted(r["seg_id"] for r in sequences.segment_index(df).collect()) == [3, 4]
+    kept = sequences.dedupe_consecutive(df, item="video_id", time="local_start_time", tie=("seg_id",)).collect()
+    assert sorted(r["seg_id"] for r in kept) == [2, 3]
