@@ -12,26 +12,29 @@ point, the number of shifted end points strictly below it: a running sum over
 the session's *distinct* points. Rows are first pre-aggregated to one row per
 (session, point) with partial aggregation before the shuffle, so a session that
 repeats the same passages millions of times shrinks to its distinct points, and
-the running sum is a window over those distinct points: its size per session is
-bounded by the number of distinct positions in a video, not by how often they
-were watched. No self-join, no pair is emitted.
+the running sum runs over those distinct points, cut into chunks of
+``POINT_CHUNK`` seconds of video whose totals are carried over, so a session's points
+are spread as well. No self-join, no pair is emitted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revisit.functions.columns import safe_div
+from revisit.operators.scan import with_prefix
 from revisit.schemas import OVERLAP_THRESH_S, REP_COL, RUN_COL, SESSION_COL
 
 SESSION_KEYS = ("user_id", RUN_COL, SESSION_COL)
+POINT_CHUNK = 600.0  # seconds of video position in a chunk of a running sum or maximum
 
 
 def repetition_counts(ctx: DataFrame, overlap_thresh: float = OVERLAP_THRESH_S,
                       keys: Sequence[str] = SESSION_KEYS, start: str = "start_point",
-                      end: str = "end_point", out: str = REP_COL) -> DataFrame:
+                      end: str = "end_point", out: str = REP_COL, chunk: float = POINT_CHUNK) -> DataFrame:
     """One row per session key with its repetition count (0 without pairs).
 
     A segment with a NULL point matches nothing but still keeps its session.
@@ -46,10 +49,12 @@ def repetition_counts(ctx: DataFrame, overlap_thresh: float = OVERLAP_THRESH_S,
         F.struct(F.when(valid, e_shift).alias("p"), F.lit(0).alias("ns"), one.alias("ne")),
     )).alias("x")).select(*keys, "x.p", "x.ns", "x.ne")
     pts = ev.groupBy(*keys, "p").agg(F.sum("ns").alias("ns"), F.sum("ne").alias("ne"))
-    w = Window.partitionBy(*keys).orderBy(F.col("p").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    pts = pts.withColumn("ends_before", F.coalesce(F.sum("ne").over(w), F.lit(0)))
-    per = pts.groupBy(*keys).agg(F.sum("ns").cast("bigint").alias("n"),
+    # Both branches of the running sum need the same columns of ``pts``, so its exchange,
+    # and with it everything before, runs once.
+    pts = with_prefix(pts, keys, ["p"], F.floor(F.col("p") / F.lit(float(chunk))),
+                      [("ends_before", F.col("ne"), "sum", False), ("starts_before", F.col("ns"), "sum", False)],
+                      totals=(None, "n_starts"))
+    per = pts.groupBy(*keys).agg(F.max("n_starts").cast("bigint").alias("n"),
                                  F.sum(F.col("ns") * F.col("ends_before")).cast("bigint").alias("apart"))
     count = F.expr("n * (n - 1) div 2") - F.col("apart")
     return per.select(*keys, count.cast("bigint").alias(out))
@@ -82,25 +87,24 @@ def segments_per_video(segments: DataFrame, keys: Sequence[str] = ("user_id", "v
 
 def coverage(segments: DataFrame, keys: Sequence[str] = ("user_id", "video_id"),
              start: str = "start_point", end: str = "end_point",
-             video_length: DataFrame | None = None) -> DataFrame:
+             video_length: DataFrame | None = None, chunk: float = POINT_CHUNK) -> DataFrame:
     """Length of the union of a user's watched intervals of a video (speed ignored).
 
     Segments with ``end > start`` only. They are first reduced to one row per
     distinct start (its largest end); in start order each start adds
-    ``max(0, end - max(start, M))`` where ``M`` is the largest end before it.
-    The window runs over distinct start positions only. With ``video_length``
-    (``video_id``, ``length``) the fraction of the video is added.
+    ``max(0, end - max(start, M))`` where ``M`` is the largest end before it, a
+    running maximum carried over chunks of ``chunk`` seconds. With ``video_length``
+    (``video_id``, ``length``) the ``fraction`` of the video is added (NULL for a
+    length of 0 or without one).
     """
     keys = list(keys)
     seg = segments.filter(F.col(end) > F.col(start))
     per_start = seg.groupBy(*keys, F.col(start).alias("s")).agg(F.max(end).alias("e"))
-    w = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    per_start = per_start.withColumn("m", F.max("e").over(w))
+    per_start = with_prefix(per_start, keys, ["s"], F.floor(F.col("s") / F.lit(float(chunk))), [("m", F.col("e"), "max", False)])
     add = F.greatest(F.lit(0.0), F.col("e") - F.greatest(F.col("s"), F.coalesce("m", F.col("s"))))
-    cov = per_start.groupBy(*keys).agg(F.round(F.sum(add), 6).alias("covered"))
+    cov = per_start.groupBy(*keys).agg(F.sum(add).alias("covered"))
     if video_length is not None:
-        cov = cov.join(video_length, "video_id", "left").withColumn(
-            "fraction", F.col("covered") / F.col("length"))
+        cov = cov.join(video_length, "video_id", "left").withColumn("fraction", safe_div("covered", "length"))
     return cov
 
 

@@ -7,8 +7,11 @@ from conftest import SF_SMALL
 
 
 def _final_plan(df):
-    df.write.format("noop").mode("overwrite").save()
-    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    """The plan that ran: collecting runs this very frame, a write would run a copy."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan or "AdaptiveSparkPlan" not in plan
+    return plan.split("== Initial Plan ==")[0]
 
 
 def test_sessions_plan_is_one_chunked_pass(spark):
@@ -27,8 +30,11 @@ def test_sessions_plan_is_one_chunked_pass(spark):
 def test_repetition_has_no_join_between_segments(spark):
     p = _final_plan(E.queries()["q_repetition"](spark, SF_SMALL))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
-    # the only joins are the chunk-summary join backs (never a segment self-join)
-    assert len(re.findall(r"(SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin)", p)) <= 1
+    # the only joins are the chunk-summary join backs (never a segment self-join), and the
+    # rows and the summary of the running sum share what comes before them
+    assert "ReusedExchange" in p and len(re.findall(r"FileScan parquet", p)) <= 2
+    for keys in re.findall(r"(?:SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin) \[([^\]]*)\]", p):
+        assert "chunk" in keys
 
 
 def test_dimension_join_broadcasts_small_map(spark):
