@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revisit.schemas import REPEAT_THRESH, SHARE_THRESHOLDS
@@ -74,16 +74,14 @@ def top_by_count(counts: DataFrame, count_col: str, keys: Sequence[str], n: int)
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """Frequency of each value, and its share of all rows, in frequency order.
+    """Frequency of each value, and its share of all rows.
 
     The reference's value_counts on a Series normalizes, so its "frequency" is a
-    share; both columns are given. The share's window has no partition key but
-    runs over the grouped table, one row per distinct value; a scalar subquery
-    for the total would instead re-run the whole upstream plan.
+    share; both columns are given. The total is a scalar subquery over the grouped
+    table; both uses share the grouped table's exchange.
     """
     g = df.groupBy(col).agg(F.count(F.lit(1)).alias("frequency"))
-    total = F.sum("frequency").over(Window.partitionBy())
-    return g.withColumn("share", F.col("frequency") / total)
+    return g.withColumn("share", F.col("frequency") / g.agg(F.sum("frequency")).scalar())
 
 
 def sessions_per_user(reps: DataFrame, user: str = "user_id", out: str = "n_sessions") -> DataFrame:
@@ -100,29 +98,43 @@ def share_over(per_user: DataFrame, col: str = "n_sessions", thresholds: Sequenc
                           for t in thresholds])
 
 
-def reduction_report(mapped: DataFrame, blacklist: DataFrame, users: DataFrame,
-                     user: str = "user_id") -> DataFrame:
+def segment_count(rows: DataFrame) -> DataFrame:
+    """Exploded sequences with ``n_segments`` (NULL for a NULL list) in place of the
+    nested list, so later steps carry one number per row."""
+    n = F.when(F.col("seq.segment").isNotNull(), F.size("seq.segment"))
+    return rows.withColumn("n_segments", n.cast("bigint")).drop("seq")
+
+
+def reduction_report(rows: DataFrame, blacklist: DataFrame | None = None, user: str = "user_id", item: str = "ccid",
+                     rep_thresh: int = REPEAT_THRESH) -> DataFrame:
     """D3 + D15 + D10: segments before / after removing blacklisted users. One row.
 
-    ``mapped`` holds the exploded sequences (with ``seq.segment``), ``users`` the
-    raw table whose distinct users are counted. ``reduction`` = 1 - after / before;
+    ``rows``: the exploded sequences of all users left-joined to the id map, with
+    ``n_segments`` (see ``segment_count``); a row without an ``item`` has no mapping and
+    counts for the users only. ``reduction`` = 1 - after / before;
     ``reduction_as_written`` is the reference's printed ``1 - 100 * before / after``.
-    One pass flags blacklisted rows and sums both totals; the user count comes
-    from its own aggregate, and the two one-row results are combined by a union.
+
+    Without a given ``blacklist`` everything comes from one pass: segments and watches per
+    (user, item), then per user whether any count is above ``rep_thresh``, then totals.
     """
-    n = F.when(F.col("seq.segment").isNotNull(), F.size("seq.segment"))
-    flagged = mapped.join(blacklist.select(user).withColumn("__bl", F.lit(True)), user, "left")
-    a = flagged.agg(F.sum(n).cast("bigint").alias("segments_before"),
-                    F.sum(F.when(F.col("__bl").isNull(), n)).cast("bigint").alias("segments_after"),
-                    F.countDistinct(F.when(F.col("__bl"), F.col(user))).alias("n_blacklisted"),
-                    F.lit(None).cast("bigint").alias("n_users"))
-    b = users.agg(F.lit(None).cast("bigint").alias("segments_before"),
-                  F.lit(None).cast("bigint").alias("segments_after"),
-                  F.lit(None).cast("bigint").alias("n_blacklisted"),
-                  F.countDistinct(user).alias("n_users"))
-    cols = ["segments_before", "segments_after", "n_blacklisted", "n_users"]
-    one = a.unionByName(b).agg(*[F.max(c).alias(c) for c in cols])
+    if blacklist is None:
+        per_item = rows.groupBy(user, item).agg(F.sum("n_segments").alias("s"), F.count(item).alias("c"))
+        per_user = per_item.groupBy(user).agg(
+            F.sum(F.when(F.col(item).isNotNull(), F.col("s"))).alias("s"),
+            (F.max("c") > rep_thresh).alias("listed"))
+    else:
+        sums = rows.groupBy(user).agg(F.sum(F.when(F.col(item).isNotNull(), F.col("n_segments"))).alias("s"),
+                                      F.count(item).alias("c"))
+        listed = blacklist.select(user).withColumn("listed", F.lit(True))
+        per_user = sums.join(listed, user, "left").withColumn(
+            "listed", F.coalesce("listed", F.lit(False)) & (F.col("c") > 0))
+    known = F.col(user).isNotNull()
+    listed = F.col("listed") & known
     bef, aft = F.col("segments_before"), F.col("segments_after")
+    one = per_user.agg(F.sum("s").cast("bigint").alias("segments_before"),
+                       F.sum(F.when(~listed, F.col("s"))).cast("bigint").alias("segments_after"),
+                       F.count(F.when(listed, 1)).alias("n_blacklisted"),
+                       F.count(F.when(known, 1)).alias("n_users"))
     return one.select(bef, aft, (F.lit(1.0) - aft / bef).alias("reduction"),
                       (F.lit(1.0) - (bef / aft) * F.lit(100.0)).alias("reduction_as_written"),
                       "n_blacklisted", "n_users")
@@ -157,21 +169,43 @@ def rows_at_min(df: DataFrame, col: str) -> DataFrame:
     return df.filter(F.col(col) == m)
 
 
-def join_validated(left: DataFrame, right: DataFrame, keys, how: str = "inner",
-                   validate: str = "many_to_one") -> tuple[DataFrame, DataFrame]:
-    """Join with a cardinality rule; returns ``(joined, violations)``.
+_SIDES = {"one_to_many": (True, False), "many_to_one": (False, True), "one_to_one": (True, True)}
+
+
+def unique_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` itself; running it fails if a key (NULLs included) occurs twice.
 
-    ``validate`` is ``one_to_many`` (keys unique on the left), ``many_to_one``
-    (unique on the right) or ``one_to_one``. ``violations`` lists key values that
-    break the rule (empty when it holds); nothing is executed here.
+    Grouped by the key, which a side that is an aggregate on that key already is, so it
+    costs that side no shuffle of its own.
     """
     keys = list(keys)
-    sides = {"one_to_many": [left], "many_to_one": [right], "one_to_one": [left, right]}[validate]
+    rest = [c for c in df.columns if c not in keys]
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*rest) if rest else F.lit(1)).alias("__row"))
+    message = F.concat(F.lit(f"keys {keys} are not unique: "), F.to_json(F.struct(*keys)))
+    g = g.filter(F.when(F.col("__n") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    return g.select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in df.columns])
+
+
+def join_violations(left: DataFrame, right: DataFrame, keys, validate: str = "many_to_one") -> DataFrame:
+    """Key values that break a join's cardinality rule (empty when it holds)."""
+    keys = list(keys)
     bad = None
-    for side in sides:
-        v = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(*keys)
-        bad = v if bad is None else bad.unionByName(v).distinct()
-    return left.join(right, keys, how), bad
+    for side, must in zip((left, right), _SIDES[validate]):
+        if must:
+            v = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(*keys)
+            bad = v if bad is None else bad.unionByName(v).distinct()
+    return bad
+
+
+def join_validated(left: DataFrame, right: DataFrame, keys, how: str = "inner",
+                   validate: str = "many_to_one") -> DataFrame:
+    """Join with an enforced cardinality rule: running it fails if the rule is
+    broken. ``validate`` is ``one_to_many`` (keys unique on the left), ``many_to_one``
+    (unique on the right) or ``one_to_one``.
+    """
+    keys = list(keys)
+    left, right = (unique_rows(side, keys) if must else side for side, must in zip((left, right), _SIDES[validate]))
+    return left.join(right, keys, how)
 
 
 def filter_ids(df: DataFrame, col: str, ids) -> DataFrame:

@@ -58,62 +58,104 @@ def user_folds(ratings: DataFrame, n_folds: int = N_FOLDS, seed: int = 42,
 
 # ---------------------------------------------------------------- J6, J7 ALS
 
+ID_BUCKETS = 4096
+
+
+def dense_ids(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Distinct values of ``col`` (any type) numbered 0, 1, 2, ... as ``out``.
+
+    Values are numbered inside hash buckets and shifted by the sizes of the buckets
+    before (a window over ``ID_BUCKETS`` counts), so no task holds all of them.
+    """
+    ids = df.select(col).filter(F.col(col).isNotNull()).distinct().withColumn(
+        "__b", F.pmod(F.xxhash64(col), F.lit(ID_BUCKETS)))
+    sizes = ids.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy().orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("__b").orderBy(col)
+    return (ids.withColumn("__i", F.row_number().over(inside)).join(base, "__b")
+            .select(col, (F.col("__base") + F.col("__i") - 1).cast("int").alias(out)))
+
+
 def als_recommend(folded: DataFrame, n: int = N_RECS, rank: int = ALS_RANK, max_iter: int = 20,
                   reg: float = 0.1, alpha: float = 40.0, seed: int = 42,
                   algorithm: str = "ImplicitALS", min_margin: int = 64, n_folds: int = N_FOLDS) -> DataFrame:
     """J6 + J7: per fold, fit implicit ALS on the train rows and recommend ``n``
     unrated items to the fold's test users. Rows ``algorithm, fold, user, item, rank, score``.
 
-    Ratings are treated as implicit (all 1, confidence weight ``alpha``). Items
-    the user has in train are excluded exactly: a user with ``m`` train items is
-    asked for ``n + m'`` items (``m'`` = ``m`` rounded up to a power of two) and
-    the train items are then removed. ``m'`` is at least ``min_margin`` (one
-    call serves almost every user); above it users are grouped by ``m'``, so
-    list sizes stay linear in the train rows even for a huge history.
-    Runs the fits eagerly; the returned lists are checkpointed (shared
-    ``spark.checkpoint.dir``), so later metrics do not refit.
+    ``user`` and ``item`` may be of any type; they are numbered densely for the fits
+    (Spark's ALS wants integers) and the lists carry the original ids. Ratings are
+    treated as implicit (all 1, confidence weight ``alpha``). Items the user has in
+    train are excluded exactly: a user with ``m`` train items is asked for
+    ``n + m'`` items (``m'`` = ``m`` rounded up to a power of two) and the train
+    items are then removed. ``m'`` is at least ``min_margin`` (one call serves almost
+    every user); above it users are grouped by ``m'``, so list sizes stay linear in
+    the train rows even for a huge history. Runs the fits eagerly; the id tables, the
+    folds and the returned lists are checkpointed (shared ``spark.checkpoint.dir``),
+    so later metrics do not refit.
     """
-    from pyspark import StorageLevel
     from pyspark.ml.recommendation import ALS
 
     from revisit.session import ensure_checkpoint_dir
 
     spark = folded.sparkSession
     ensure_checkpoint_dir(spark)
-    # The folds are read by every fit and every exclusion join: keep them for the
-    # duration of this call, then cut the result's lineage with a checkpoint.
-    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    users, items = dense_ids(folded, "user", "u").checkpoint(), dense_ids(folded, "item", "i").checkpoint()
+    folded = folded.join(users, "user").join(items, "item").select("u", "i", "fold", "is_test").checkpoint()
     out = None
     for f in range(n_folds):  # one model per fold: the loop is over the fold parameter
-        train = folded.filter(~(F.col("is_test") & (F.col("fold") == f)))
-        test_users = folded.filter(F.col("is_test") & (F.col("fold") == f)).select("user").distinct()
-        sizes = (train.join(test_users, "user", "left_semi").groupBy("user").count()
-                 .select("user", F.greatest(F.lit(min_margin), F.pow(F.lit(2), F.ceil(F.log2(F.col("count")))))
+        train = folded.filter(~(F.col("is_test") & (F.col("fold") == f))).select("u", "i")
+        test_users = folded.filter(F.col("is_test") & (F.col("fold") == f)).select("u").distinct()
+        sizes = (train.join(test_users, "u", "left_semi").groupBy("u").count()
+                 .select("u", F.greatest(F.lit(min_margin), F.pow(F.lit(2), F.ceil(F.log2(F.col("count")))))
                          .cast("bigint").alias("m")))
         als = ALS(rank=rank, maxIter=max_iter, regParam=reg, alpha=alpha, implicitPrefs=True,
-                  userCol="user", itemCol="item", ratingCol="r", seed=seed, coldStartStrategy="drop")
-        model = als.fit(train.select(F.col("user").cast("int").alias("user"),
-                                     F.col("item").cast("int").alias("item"), F.lit(1.0).alias("r")))
+                  userCol="u", itemCol="i", ratingCol="r", seed=seed, coldStartStrategy="drop")
+        model = als.fit(train.withColumn("r", F.lit(1.0)))
         # distinct list sizes: powers of two up to the longest history (a handful)
         margins = sorted(r[0] for r in sizes.select("m").distinct().collect())
         for m in margins:
-            users = sizes.filter(F.col("m") == m).select(F.col("user").cast("int").alias("user"))
-            recs = model.recommendForUserSubset(users, n + int(m))
-            flat = recs.select("user", F.posexplode("recommendations").alias("pos", "rec")).select(
-                F.col("user").cast("bigint").alias("user"), F.col("rec.item").cast("bigint").alias("item"),
-                F.col("rec.rating").alias("score"), "pos")
-            flat = flat.join(train.select("user", "item"), ["user", "item"], "left_anti")
-            w = Window.partitionBy("user").orderBy(F.col("pos"))
+            recs = model.recommendForUserSubset(sizes.filter(F.col("m") == m).select("u"), n + int(m))
+            flat = recs.select("u", F.posexplode("recommendations").alias("pos", "rec")).select(
+                "u", F.col("rec.i").alias("i"), F.col("rec.rating").alias("score"), "pos")
+            flat = flat.join(train, ["u", "i"], "left_anti")
+            w = Window.partitionBy("u").orderBy(F.col("pos"))
             top = flat.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= n)
             top = top.select(F.lit(algorithm).alias("algorithm"), F.lit(f).cast("bigint").alias("fold"),
-                             "user", "item", "rank", "score")
+                             "u", "i", "rank", "score")
             out = top if out is None else out.unionByName(top)
     if out is None:
-        out = spark.createDataFrame([], "algorithm string, fold bigint, user bigint, item bigint, "
-                                        "rank bigint, score float")
-    out = out.checkpoint()  # reliable: written to spark.checkpoint.dir
-    folded.unpersist()
-    return out
+        out = spark.createDataFrame([], "algorithm string, fold bigint, u int, i int, rank bigint, score float")
+    out = out.join(users, "u").join(items, "i").select("algorithm", "fold", "user", "item", "rank", "score")
+    return out.checkpoint()  # reliable: written to spark.checkpoint.dir
+
+
+def popular_recommend(folded: DataFrame, n: int = N_RECS, candidates: int = 2 * N_RECS,
+                      algorithm: str = "Popular") -> DataFrame:
+    """per fold, the ``n`` most popular items that a test user has not in train, out of
+    the fold's ``candidates`` most popular. Rows ``algorithm, fold, user, item, rank``.
+
+    Popularity is an item's number of train rows in the fold (all rows but the fold's test
+    rows); ties go to the smaller item. A deterministic baseline of the same shape as
+    ``als_recommend``: the candidate list of a fold (a fixed number of items) is an array,
+    so users meet it without a cross join.
+    """
+    held = folded.filter("is_test").groupBy("item", "fold").agg(F.count(F.lit(1)).alias("h"))
+    folds = folded.select("fold").distinct()
+    total = folded.groupBy("item").agg(F.count(F.lit(1)).alias("c"))
+    numbers = folds.agg(F.array_sort(F.collect_set("fold"))).scalar()  # the folds: a handful
+    per_fold = (total.withColumn("fold", F.explode(numbers)).join(held, ["item", "fold"], "left")
+                .withColumn("c", F.col("c") - F.coalesce("h", F.lit(0))).filter("c > 0"))
+    w = Window.partitionBy("fold").orderBy(F.desc("c"), "item")  # limited to the first rows before the shuffle
+    best = (per_fold.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= candidates).groupBy("fold")
+            .agg(F.array_sort(F.collect_list(F.struct("r", "item"))).alias("best")))
+    users = folded.filter("is_test").select("user", "fold").distinct().join(best, "fold")
+    lists = users.select("user", "fold", F.explode("best").alias("b")).select("user", "fold", "b.r", "b.item")
+    train = folded.filter(~F.col("is_test")).select("user", "item")  # a user's other rows are in train in every fold
+    left = lists.join(train, ["user", "item"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("user", "fold").orderBy("r")).cast("bigint")
+    return left.withColumn("rank", rank).filter(F.col("rank") <= n).select(
+        F.lit(algorithm).alias("algorithm"), F.col("fold").cast("bigint").alias("fold"), "user", "item", "rank")
 
 
 # ---------------------------------------------------------------- J8 metrics
@@ -164,15 +206,12 @@ def mean_metrics(metrics: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- J9, J10
 
-def pivot_ratings(ratings: DataFrame, items: list | None = None) -> DataFrame:
-    """User x item matrix of ratings (missing cells NULL).
-
-    Columns are item values; Spark caps an open list at
-    ``spark.sql.pivotMaxValues`` (10,000). Prefer the long form for more items.
+def pivot_ratings(ratings: DataFrame, items: list) -> DataFrame:
+    """User x item matrix of ratings over a stated list of items (missing cells NULL),
+    one column per item. All items at once are the long form (``ratings`` itself): a
+    matrix with a column for each of an open number of items does not scale.
     """
-    g = ratings.groupBy("user")
-    g = g.pivot("item", items) if items is not None else g.pivot("item")
-    return g.agg(F.first("rating"))
+    return ratings.groupBy("user").pivot("item", list(items)).agg(F.first("rating"))
 
 
 def tfidf_confidence(ratings: DataFrame) -> DataFrame:
@@ -187,5 +226,3 @@ def tfidf_confidence(ratings: DataFrame) -> DataFrame:
     w = ratings.join(df, "item").withColumn("w", F.col("rating") * idf)
     norm = w.groupBy("user").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__norm"))
     return w.join(norm, "user").select("user", "item", (F.col("w") / F.col("__norm")).alias("weight"))
-
-
