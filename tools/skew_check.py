@@ -9,15 +9,15 @@ are compared. Usage: python tools/skew_check.py [sf_dir] [repeat]
 from __future__ import annotations
 
 import sys
-import tempfile
 import time
+import uuid
 
 sys.path.insert(0, ".")
 
 from pyspark.sql import functions as F  # noqa: E402
 
 from revisit.operators import sequences  # noqa: E402
-from revisit.session import build_session  # noqa: E402
+from revisit.session import build_session, ensure_checkpoint_dir  # noqa: E402
 from revisit.sources import views  # noqa: E402
 
 
@@ -32,7 +32,7 @@ def main():
                       F.when(F.col("seg_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")).alias("user_id"),
                       "video_id", (F.col("local_start_time") + F.col("r") * span).alias("local_start_time"),
                       "start_point", "end_point", "speed"))
-    path = tempfile.mkdtemp(prefix="revisit-skew-") + "/segments.parquet"
+    path = f"{ensure_checkpoint_dir(spark)}/skew-segments-{uuid.uuid4().hex}"
     skewed.write.parquet(path)
     s = spark.read.parquet(path)
     print("rows", s.count(), "hot user rows", s.filter("user_id = 0").count())
