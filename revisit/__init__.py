@@ -7,7 +7,6 @@ Operators are plain functions ``DataFrame -> DataFrame`` built from
 * ``functions`` column helpers (null-safe division, time conversions, hashes)
 * ``operators`` sequence, interval, count, report, quality and recommender ops
 * ``plans``     end-to-end pipelines and the registered query catalog
-* ``streaming`` incremental (micro-batch) forms of the sequence operators
 """
 
 __version__ = "0.1.0"

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Sentinel bucket for rows whose order value is NULL: they sort last.
-NULL_BUCKET = 9_007_199_254_740_991
-
-
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -24,12 +20,6 @@ def nan_to_null(c) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def size_or_null(c) -> Column:
-    """Length of an array, NULL for a NULL array (legacy mode would give -1)."""
-    c = _c(c)
-    return F.when(c.isNotNull(), F.size(c))
-
-
 def epoch_micros(ts) -> Column:
     """Microseconds since the epoch of a TIMESTAMP_NTZ, independent of session zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _c(ts))
@@ -54,11 +44,6 @@ def seconds_component(gap_seconds) -> Column:
     return F.pmod(F.floor(_c(gap_seconds)), F.lit(86400))
 
 
-def time_bucket(c, width) -> Column:
-    """Monotone bucket of an order value: floor(c / width); NULL sorts last."""
-    return F.coalesce(F.floor(_c(c) / F.lit(float(width))).cast("bigint"), F.lit(NULL_BUCKET))
-
-
 def hex_prefix_int(s) -> Column:
     """First 8 hex digits of md5(s) as a BIGINT (same value in DuckDB)."""
     return F.conv(F.substring(F.md5(_c(s).cast("string")), 1, 8), 16, 10).cast("bigint")

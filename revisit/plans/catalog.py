@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revisit.operators import counts, courses, intervals, quality, recommend, report, sequences
-from revisit.plans.oracle import REP_THRESH
+from revisit.plans.oracle import PIVOT_ITEMS, REP_THRESH, ROW_IDS
 from revisit.schemas import ADJUSTED_BINS, GAP_QUANTILES, MIN_ITEMS, RAW_BINS, REP_COL, RUN_COL, SESSION_COL
 from revisit.session import prepare
 from revisit.sources import views
@@ -60,6 +60,21 @@ def q_duration_filter(spark, sf_dir):
     return d.select("seg_id", "adjusted_duration")
 
 
+@register
+def q_duration_filter_strict(spark, sf_dir):
+    """B7, the strict form (``>``)."""
+    prepare(spark)
+    d = sequences.filter_duration(sequences.with_durations(views.seg_view(spark, sf_dir)), 5.0, inclusive=False)
+    return d.select("seg_id", "adjusted_duration")
+
+
+@register
+def q_row_filter(spark, sf_dir):
+    """Rows whose key is in a literal list."""
+    prepare(spark)
+    return counts.filter_ids(views.seg_view(spark, sf_dir), "video_id", ROW_IDS).select("seg_id", "video_id")
+
+
 @register
 def q_end_times(spark, sf_dir):
     prepare(spark)
@@ -127,8 +142,8 @@ def q_session2video_inner(spark, sf_dir):
     prepare(spark)
     ctx = _ctx(spark, sf_dir, 3600)
     keys = ["user_id", RUN_COL, SESSION_COL]
-    joined, _ = counts.join_validated(ctx.select(*keys, "seg_id", "video_id"),
-                                      intervals.repetition_counts(ctx), keys, "inner", "many_to_one")
+    joined = counts.join_validated(ctx.select(*keys, "seg_id", "video_id"),
+                                   intervals.repetition_counts(ctx), keys, "inner", "many_to_one")
     return joined.select(*keys, REP_COL, "seg_id", "video_id")
 
 
@@ -138,10 +153,18 @@ def q_session2video(spark, sf_dir):
     ctx = _ctx(spark, sf_dir, 3600)
     reps = intervals.repetition_counts(ctx)
     keys = ["user_id", RUN_COL, SESSION_COL]
-    return reps.join(ctx.select(*keys, "seg_id", "video_id"), keys, "left").select(
+    return counts.join_validated(reps, ctx.select(*keys, "seg_id", "video_id"), keys, "left", "one_to_many").select(
         *keys, REP_COL, "seg_id", "video_id")
 
 
+@register
+def q_join_violations(spark, sf_dir):
+    """Keys that would break a many-to-one join of orders to their lines."""
+    prepare(spark)
+    o = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    return counts.join_violations(o, views.table(spark, sf_dir, "lineitem").select("l_orderkey"), ["l_orderkey"], "many_to_one")
+
+
 # ------------------------------------------------------------------ P-1 cleaning
 
 BLACKLIST_THRESH = 5  # 20 flags nobody in the test tables (see FIXTURES)
@@ -181,10 +204,9 @@ def q_clean_users(spark, sf_dir):
 @register
 def q_reduction(spark, sf_dir):
     prepare(spark)
-    raw = views.seq_view(spark, sf_dir)
-    watched = _watched(spark, sf_dir)
-    bl = counts.blacklist_users(counts.count_interactions(watched, "ccid"), "num_watched", BLACKLIST_THRESH)
-    return counts.reduction_report(watched, bl, raw)
+    seqs = sequences.explode_sequences(views.seq_view(spark, sf_dir), keep=("row_id", "user_id"))
+    rows = counts.map_ids(counts.segment_count(seqs), views.video_ccid_view(spark, sf_dir), "video_id", how="left")
+    return counts.reduction_report(rows, rep_thresh=BLACKLIST_THRESH)
 
 
 @register
@@ -343,7 +365,8 @@ def q_session_summary(spark, sf_dir):
 @register
 def q_distinct_sessions(spark, sf_dir):
     prepare(spark)
-    return _by_video(spark, sf_dir).select("user_id", "video_id", SESSION_COL).dropDuplicates()
+    rows = counts.map_ids(_by_video(spark, sf_dir), views.event_ccid_view(spark, sf_dir), "video_id", how="left")
+    return rows.select("user_id", "video_id", SESSION_COL, "ccid").dropDuplicates()
 
 
 @register
@@ -423,7 +446,17 @@ def q_segments_per_video(spark, sf_dir):
 @register
 def q_coverage(spark, sf_dir):
     prepare(spark)
-    return intervals.coverage(views.seg_view(spark, sf_dir))
+    c = intervals.coverage(views.seg_view(spark, sf_dir))
+    return c.select("user_id", "video_id", F.round("covered", 6).alias("covered"))
+
+
+@register
+def q_coverage_fraction(spark, sf_dir):
+    """I3 with the length of each video: the fraction of it that a user watched."""
+    prepare(spark)
+    seg = views.seg_view(spark, sf_dir)
+    c = intervals.coverage(seg, video_length=views.video_length_view(seg))
+    return c.select("user_id", "video_id", F.round("fraction", 9).alias("fraction"))
 
 
 @register
@@ -471,8 +504,33 @@ def q_tfidf(spark, sf_dir):
 
 @register
 def q_pivot(spark, sf_dir):
+    """J9 over a stated list of items (the long form of all items is q_ratings)."""
     prepare(spark)
-    return recommend.pivot_ratings(_filtered_ratings(spark, sf_dir))
+    return recommend.pivot_ratings(_filtered_ratings(spark, sf_dir), PIVOT_ITEMS)
+
+
+def _popular(spark, sf_dir):
+    folded = recommend.user_folds(_ratings(spark, sf_dir), min_items=MIN_ITEMS)
+    return folded, recommend.popular_recommend(folded, n=100, candidates=150)
+
+
+@register
+def q_recs_popular(spark, sf_dir):
+    """the top 100 unrated items of every test user, by popularity."""
+    prepare(spark)
+    return _popular(spark, sf_dir)[1]
+
+
+@register
+def q_metrics_fixed(spark, sf_dir):
+    """J8 and D11 on lists that do not depend on a random fit, in both discount modes."""
+    prepare(spark)
+    folded, recs = _popular(spark, sf_dir)
+    test = folded.filter("is_test").select("user", "item")
+    modes = [recommend.mean_metrics(recommend.topn_metrics(recs, test, k=10, discount=m)).withColumn("discount", F.lit(m))
+             for m in ("library", "textbook")]
+    out = modes[0].unionByName(modes[1])
+    return out.select("algorithm", "discount", *[F.round(c, 9).alias(c) for c in ("ndcg", "precision", "recall")])
 
 
 @register

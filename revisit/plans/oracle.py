@@ -56,6 +56,9 @@ reps AS (
 
 REP_THRESH = 172800  # session threshold for the repetition queries (see FIXTURES)
 
+ROW_IDS = ["view", "purchase"]  # literal list of q_row_filter
+PIVOT_ITEMS = list(range(1, 13))  # stated items of q_pivot
+
 SQL: dict[str, str] = {}
 
 SQL["q_explode_sequences"] = """
@@ -86,6 +89,13 @@ WITH {SEG_V}
 SELECT seg_id, (end_point - start_point) / speed AS adjusted_duration
 FROM seg_v WHERE (end_point - start_point) / speed >= 5"""
 
+SQL["q_duration_filter_strict"] = f"""
+WITH {SEG_V}
+SELECT seg_id, (end_point - start_point) / speed AS adjusted_duration
+FROM seg_v WHERE (end_point - start_point) / speed > 5"""
+
+SQL["q_row_filter"] = "SELECT event_id AS seg_id, event_type AS video_id FROM events WHERE event_type IN ('view', 'purchase')"
+
 SQL["q_end_times"] = f"""
 WITH {SEG_V}, d AS (
   SELECT seg_id, local_start_time, (end_point - start_point) / speed AS adjusted_duration FROM seg_v)
@@ -135,6 +145,8 @@ WITH {reps_ctes(3600)}
 SELECT r.user_id, r.video_consecutive_id, r.session_id, r.seg_rep_count, c.seg_id, c.video_id
 FROM reps r LEFT JOIN ctx c USING (user_id, video_consecutive_id, session_id)"""
 
+SQL["q_join_violations"] = "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1"
+
 
 # ------------------------------------------------------------------ P-1 cleaning
 
@@ -283,7 +295,7 @@ SQL["q_session_summary"] = f"""WITH {BY_VIDEO},
 per AS (SELECT user_id, video_id, count(DISTINCT session_id) AS n, max(session_id) AS m FROM bv2 GROUP BY 1, 2)
 SELECT CAST(sum(n) AS BIGINT) AS total_sessions, count(*) AS n_groups, max(m) AS max_session_id FROM per"""
 SQL["q_distinct_sessions"] = f"""WITH {BY_VIDEO}
-SELECT DISTINCT user_id, video_id, session_id FROM bv2"""
+SELECT DISTINCT user_id, video_id, session_id, 'C_' || upper(video_id) AS ccid FROM bv2"""
 SQL["q_gap_quantiles"] = f"""WITH {BY_VIDEO}
 SELECT unnest({_QLIST}) AS q, round(unnest(quantile_cont(gap, {_QLIST})), 6) AS gap FROM bv2"""
 SQL["q_gap_describe"] = f"""WITH {BY_VIDEO}
@@ -333,6 +345,14 @@ pm AS (SELECT *, max(e) OVER (PARTITION BY user_id, video_id ORDER BY s
                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ps)
 SELECT user_id, video_id, round(sum(greatest(0.0, e - greatest(s, coalesce(m, s)))), 6) AS covered
 FROM pm GROUP BY 1, 2"""
+SQL["q_coverage_fraction"] = f"""WITH {SEG_V},
+len AS (SELECT video_id, max(end_point) AS length FROM seg_v GROUP BY 1),
+ps AS (SELECT user_id, video_id, start_point AS s, max(end_point) AS e
+       FROM seg_v WHERE end_point > start_point GROUP BY 1, 2, 3),
+pm AS (SELECT *, max(e) OVER (PARTITION BY user_id, video_id ORDER BY s
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ps),
+c AS (SELECT user_id, video_id, sum(greatest(0.0, e - greatest(s, coalesce(m, s)))) AS covered FROM pm GROUP BY 1, 2)
+SELECT user_id, video_id, round(covered / nullif(length, 0), 9) AS fraction FROM c LEFT JOIN len USING (video_id)"""
 SQL["q_mean_speed"] = f"""WITH {SEG_V}
 SELECT user_id, video_id,
        round(sum(speed * (end_point - start_point)) / sum(end_point - start_point), 9) AS mean_speed
@@ -366,4 +386,38 @@ w AS (SELECT f."user", f.item,
 nm AS (SELECT "user", sqrt(sum(w * w)) AS norm FROM w GROUP BY "user")
 SELECT w."user", w.item, round(w.w / nm.norm, 9) AS weight FROM w JOIN nm USING ("user")"""
 SQL["q_pivot"] = f"""WITH {RATE_CTES}
-PIVOT filt ON item USING first(rating) GROUP BY "user" """
+SELECT "user", {', '.join(f'max(CASE WHEN item = {i} THEN rating END) AS "{i}"' for i in PIVOT_ITEMS)}
+FROM filt GROUP BY "user" """
+
+# Popular lists: per fold, items by their number of train rows; the user's own train items go.
+POPULAR_CTES = RATE_CTES + """,
+folded AS (
+  SELECT "user", item,
+         CAST(CAST('0x' || substr(md5(CAST("user" AS VARCHAR) || '|42'), 1, 8) AS BIGINT) % 5 AS BIGINT) AS fold,
+         item = arg_min(item, md5(CAST("user" AS VARCHAR) || '|' || CAST(item AS VARCHAR) || '|42'))
+                OVER (PARTITION BY "user") AS is_test
+  FROM filt),
+pop AS (
+  SELECT f.fold, t.item, count(*) AS c
+  FROM (SELECT DISTINCT fold FROM folded) f, folded t
+  WHERE NOT (t.is_test AND t.fold = f.fold) GROUP BY 1, 2),
+best AS (
+  SELECT * FROM (SELECT fold, item, row_number() OVER (PARTITION BY fold ORDER BY c DESC, item) AS r FROM pop) WHERE r <= 150),
+lists AS (
+  SELECT u."user", u.fold, b.item, row_number() OVER (PARTITION BY u."user", u.fold ORDER BY b.r) AS rank
+  FROM (SELECT DISTINCT "user", fold FROM folded WHERE is_test) u JOIN best b ON u.fold = b.fold
+  WHERE NOT EXISTS (SELECT 1 FROM folded t WHERE t."user" = u."user" AND t.item = b.item AND NOT t.is_test)),
+recs AS (SELECT 'Popular' AS algorithm, fold, "user", item, rank FROM lists WHERE rank <= 100)"""
+SQL["q_recs_popular"] = f"WITH {POPULAR_CTES} SELECT algorithm, fold, \"user\", item, rank FROM recs"
+SQL["q_metrics_fixed"] = f"""WITH {POPULAR_CTES},
+top AS (SELECT r.*, EXISTS (SELECT 1 FROM folded t WHERE t.is_test AND t."user" = r."user" AND t.item = r.item) AS hit
+        FROM recs r WHERE rank <= 10),
+per AS (
+  SELECT "user", count(*) AS n, sum(CASE WHEN hit THEN 1 ELSE 0 END) AS good,
+         sum(CASE WHEN hit THEN 1.0::DOUBLE / greatest(1.0::DOUBLE, log2(rank::DOUBLE)) ELSE 0 END) AS dcg_library,
+         sum(CASE WHEN hit THEN 1.0::DOUBLE / log2(rank::DOUBLE + 1) ELSE 0 END) AS dcg_textbook
+  FROM top GROUP BY 1)
+SELECT 'Popular' AS algorithm, d.discount,
+       round(avg(CASE WHEN d.discount = 'library' THEN dcg_library ELSE dcg_textbook END), 9) AS ndcg,
+       round(avg(good / n), 9) AS precision, round(avg(good / 1.0::DOUBLE), 9) AS recall
+FROM per, (VALUES ('library'), ('textbook')) d(discount) GROUP BY d.discount"""

@@ -1,7 +1,7 @@
 """Command line for the pipelines (the reference's scripts as Spark jobs).
 
     python -m revisit.plans.run clean      --sequences uv.json --video-ccid video_id-ccid.txt --out DIR [--thresh 20]
-    python -m revisit.plans.run partition  --sequences clean.parquet --out DIR [--parts 30]
+    python -m revisit.plans.run partition  --sequences DIR/clean --out DIR [--parts 30]
     python -m revisit.plans.run sessions   --sequences parts/ --out DIR [--session-thresh 3600]
     python -m revisit.plans.run lectures   --events events.parquet --out DIR
     python -m revisit.plans.run courses    --courses course_ext.parquet --out DIR [--mode as_written|intent]
@@ -20,14 +20,14 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from revisit.operators import sequences
 from revisit.plans import pipelines
 from revisit.session import ensure_checkpoint_dir, prepare
 from revisit.sources import io
 
 
 def _sequences(spark, path):
-    """Nested sequences: JSON lines (``*.json`` file or folder) or Parquet."""
+    """Sequences: JSON lines (``*.json`` file or folder) or Parquet (raw lists, or P-1's or
+    P-2's table)."""
     return io.read_json(spark, path) if path.rstrip("/").endswith(".json") else io.read_parquet(spark, path)
 
 
@@ -56,10 +56,9 @@ def main(argv=None) -> None:
     elif a.pipeline == "partition":
         pipelines.layout_by_user(_sequences(spark, a.sequences), a.out, a.parts)
     elif a.pipeline == "sessions":
-        seqs = sequences.explode_sequences(_sequences(spark, a.sequences))
-        segs = sequences.explode_segments(seqs, keep=("user_id", "video_id", "seq_pos"))
+        segs = pipelines.to_segments(_sequences(spark, a.sequences), a.out)
         pipelines.session_repetition(segs, a.out, session_thresh=a.session_thresh,
-                                     tie=("seq_pos", "seg_pos"))
+                                     tie=("src_row", "seq_pos", "seg_pos"))
     elif a.pipeline == "lectures":
         pipelines.lecture_sequences(io.read_parquet(spark, a.events), a.out)
     elif a.pipeline == "courses":

@@ -20,6 +20,25 @@ SEQ_SCHEMA = T.StructType([
     T.StructField("seq", T.ArrayType(SEQ_ITEM)),
 ])
 
+# The cleaned table: one row per element of the list, ``seq`` a struct, with the ids that
+# were added and the place of the element in its source (see pipelines.clean_repeaters).
+EXPLODED_ITEM = T.StructType([
+    T.StructField("segment", T.ArrayType(SEGMENT)),
+    T.StructField("video_id", T.StringType()),
+])
+
+EXPLODED_SCHEMA = T.StructType([
+    T.StructField("user_id", T.StringType()),
+    T.StructField("seq", EXPLODED_ITEM),
+    T.StructField("video_id", T.StringType()),
+    T.StructField("ccid", T.StringType()),
+])
+
+PLACE_SCHEMA = T.StructType([
+    T.StructField("src_row", T.LongType()),
+    T.StructField("seq_pos", T.LongType()),
+])
+
 SEGMENTS_SCHEMA = T.StructType([
     T.StructField("user_id", T.StringType()),
     T.StructField("video_id", T.StringType()),

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revisit.schemas import SEQ_SCHEMA, USER_PARTS, VIDEO_CCID_SCHEMA
+from revisit.schemas import EXPLODED_SCHEMA, PLACE_SCHEMA, SEQ_SCHEMA, USER_PARTS, VIDEO_CCID_SCHEMA
 
 
 # ---------------------------------------------------------------- scans
@@ -33,18 +33,23 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
+def read_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Lines of text files with their number ``line`` (0-based, over all files in the order
+    of their paths). Each file is read whole, so its numbers do not depend on how it is
+    split; meant for dictionaries, not for logs."""
+    files = (spark.read.option("wholetext", "true").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n").alias("lines")))
+    order = Window.partitionBy().orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    first = F.coalesce(F.sum(F.size("lines")).over(order), F.lit(0))
+    return files.withColumn("first", first).select("first", F.posexplode("lines").alias("pos", name)).select(
+        (F.col("first") + F.col("pos")).cast("bigint").alias("line"), name)
+
+
 def read_line_aligned(spark: SparkSession, left: str, right: str,
                       names: tuple[str, str] = ("field_zh", "field_en")) -> DataFrame:
-    """Two text files zipped by line number into a two-column dictionary.
-
-    Line numbers come from ``zipWithIndex`` on the text scan, which keeps file
-    order across partitions; the files are joined on that number.
-    """
-    def numbered(path: str, name: str) -> DataFrame:
-        rdd = spark.read.text(path).rdd.zipWithIndex().map(lambda r: (r[1], r[0][0]))
-        return spark.createDataFrame(rdd, T.StructType([
-            T.StructField("line", T.LongType()), T.StructField(name, T.StringType())]))
-    return numbered(left, names[0]).join(numbered(right, names[1]), "line", "full")
+    """Text files zipped by line number into a two-column dictionary; a line that one
+    side lacks is NULL there."""
+    return read_lines(spark, left, names[0]).join(read_lines(spark, right, names[1]), "line", "full")
 
 
 # ---------------------------------------------------------------- sinks
@@ -96,9 +101,17 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
                        for f in schema.fields])
 
 
-def write_nested(df: DataFrame, path: str, schema: T.StructType = SEQ_SCHEMA, **kw) -> None:
-    """A5: Parquet sink with a pinned nested schema."""
-    write_parquet(conform(df, schema), path, **kw)
+def sequence_schema(df: DataFrame) -> T.StructType:
+    """The pinned schema that fits ``df``: raw lists (``seq`` an array) or the cleaned,
+    exploded table (``seq`` a struct), with the place columns if it has them."""
+    if isinstance(df.schema["seq"].dataType, T.ArrayType):
+        return SEQ_SCHEMA
+    return T.StructType(EXPLODED_SCHEMA.fields + [f for f in PLACE_SCHEMA.fields if f.name in df.columns])
+
+
+def write_nested(df: DataFrame, path: str, schema: T.StructType | None = None, **kw) -> None:
+    """A5: Parquet sink with a pinned nested schema (by default the one that fits)."""
+    write_parquet(conform(df, schema or sequence_schema(df)), path, **kw)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool = True) -> None:

@@ -13,20 +13,9 @@ from pyspark.sql import functions as F
 from revisit.functions.columns import epoch_micros, epoch_seconds, floor_div
 
 
-_SCHEMAS: dict[str, object] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables. Its schema is read from the Parquet footers once
-    and then passed explicitly, which skips the footer inference on later reads
-    (each read is still a fresh relation)."""
-    path = f"{sf_dir}/{name}.parquet"
-    schema = _SCHEMAS.get(path)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[path] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
+    """One of the given tables."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def seg_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,15 +74,15 @@ def concept_ccid_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_type").alias("concept_id"), F.col("p_brand").alias("ccid")).distinct()
 
 
-def watch_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat watch rows: ``lineitem`` join ``orders`` join ``part`` (user, video, ccid)."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    j = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(p, li["l_partkey"] == p["p_partkey"])
-    return j.select(F.col("o_custkey").alias("user_id"),
-                    F.col("l_partkey").cast("string").alias("video_id"),
-                    F.col("p_brand").alias("ccid"))
+def event_ccid_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Video-to-ccid map of the segments made from ``events`` (see ``seg_view``)."""
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("video_id")).distinct().select(
+        "video_id", F.concat(F.lit("C_"), F.upper("video_id")).alias("ccid"))
+
+
+def video_length_view(segments: DataFrame) -> DataFrame:
+    """Length per video: the largest end point that any segment reaches."""
+    return segments.groupBy("video_id").agg(F.max("end_point").alias("length"))
 
 
 def rate_view(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,3 +81,29 @@ def test_bucketed_table_needs_no_shuffle_for_user_aggregates(spark):
         assert agg.count() == 37
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_rebalance(spark):
+    df = spark.range(100, numPartitions=3)
+    assert io.rebalance(df, 7).rdd.getNumPartitions() == 7 and io.rebalance(df, 7).count() == 100
+    assert io.rebalance(df, 2, shuffle=False).rdd.getNumPartitions() == 2
+
+
+def test_line_numbers_do_not_depend_on_splits(spark):
+    """Several files and tiny splits: numbers follow the files' order and lines."""
+    d = _tmp()
+    os.makedirs(f"{d}/a")
+    lines = [f"zh {i} " + "x" * (i % 50) for i in range(3000)]
+    for k in range(3):
+        with open(f"{d}/a/{k}.txt", "w") as f:
+            f.write("\n".join(lines[k * 1000:(k + 1) * 1000]) + "\n")
+    with open(f"{d}/b.txt", "w") as f:
+        f.write("\r\n".join(f"en {i}" for i in range(3001)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = io.read_line_aligned(spark, f"{d}/a", f"{d}/b.txt").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = {r.line: (r.field_zh, r.field_en) for r in rows}
+    assert got == {i: (lines[i] if i < 3000 else None, f"en {i}") for i in range(3001)}
