@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revisit.llm import mcd, ngram_join, sentencepiece_bpe, templates
-from revisit.llm.shared import keep
+from revisit.llm.shared import give_back, keep, named
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +63,11 @@ ORACLE_SQL = None  # no stage but the last can be told in SQL; see tests/llm/tes
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is written to the shared folder."""
+    """All stages over ``documents``; each one's result is written to the shared folder,
+    and what a stage wrote on its way there is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = named()
     for name, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        give_back(spark, before, docs)
     return docs

@@ -26,6 +26,7 @@ import html as entities
 import random
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -370,6 +371,7 @@ def labelled_pages(count: int, seed: int = _SEED) -> list[tuple[str, list[int]]]
     return out
 
 
+@cache
 def default_field(count: int = TRAIN_PAGES) -> Field:
     return train([(features(blocks(page)), labels) for page, labels in labelled_pages(count)])
 

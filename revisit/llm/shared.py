@@ -30,9 +30,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_MADE: list[str] = []  # folders that this process has named and not given back
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
+    return path
+
+
+def give_back(spark: SparkSession, since: int, kept: DataFrame | None = None) -> None:
+    """Delete the folders named after the first ``since`` ones, but for those that
+    ``kept`` reads. For callers that have written a result which needs them no more."""
+    used = [] if kept is None else [f.rsplit("/", 1)[0] for f in kept.inputFiles()]
+    for path in _MADE[since:]:
+        if not any(u.endswith(path.split(":", 1)[-1]) for u in used):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _MADE.remove(path)
+
+
+def named() -> int:
+    """How many folders are named so far (for ``give_back``)."""
+    return len(_MADE)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from revisit.llm import catalog, mcd, ngram_join, templates
-from revisit.llm.shared import keep
+from revisit.llm.shared import keep, named
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -38,7 +38,10 @@ def test_run_is_its_stages_by_hand(spark):
     for i in left:
         ids = model.encode(docs[i].text)
         want.add((i, len(ids), sha(",".join(map(str, ids))), sha(model.decode(ids))))
-    assert {tuple(r) for r in corpus_pipeline.run(spark, d).collect()} == want
+    before = named()
+    result = corpus_pipeline.run(spark, d)
+    assert {tuple(r) for r in result.collect()} == want
+    assert named() == before + 1  # only the result's folder is left
 
 
 def test_stages_keep_the_columns(spark):
