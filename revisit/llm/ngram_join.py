@@ -20,10 +20,11 @@ Steps, all spread by hash:
 2. Buckets count tokens and send back those in two or more documents. A document with
    ``tau + 1`` tokens of its own has no partner and is done.
 3. The rest emit signatures. Signature lists propose pairs: first each document with the
-   list member that it shares most lists with, then, until no list joins two components,
-   the members outside the list's largest component with everyone in other components.
-   Pairs within a component need no test: it is one class already. Proposed pairs are
-   verified on the token sets.
+   members of its lists that are nearest to the middle of their group, then the members
+   outside a list's largest component with everyone in other components. Pairs within a
+   component need no test: it is one class already. A pair must meet in a signature that
+   lies in the prefix of both for just their two sizes. Proposed pairs are verified on the
+   token sets.
 4. Links become components by star contractions.
 
 Defined results: null, empty or blank text has no tokens and links with nothing; texts
@@ -41,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revisit.llm.graph import components
@@ -51,11 +52,12 @@ from revisit.llm.words import WordHashes, fold, mix, shingles
 PART = 1_000_000  # tokens of a block batch
 HEAVY = 64  # counts stop here: the order of tokens at least so frequent is by hash
 RARE = 16  # a token in more documents is frequent
+TURNS, TESTS = 2, 2  # turns of tests with one text of a list; tests of a text in a turn
 SUBGROUP = 8  # a subgroup of frequent tokens per so many tokens of a text
 LOW = np.uint64((1 << 40) - 1)
 
 _BLOCK = "bucket long, batch long, kind tinyint, payload binary"
-_DOC = "doc_id long, n long, s1 long, s2 long, sigs array<long>, toks array<long>"
+_DOC = "doc_id long, n long, s1 long, s2 long, sigs array<long>, places array<int>, toks array<long>"
 _HEAD, _POSTINGS, _MARKS = 0, 1, 2
 
 
@@ -195,15 +197,18 @@ def _count(group: pa.Table) -> pa.Table:
                     ["batch", "bucket", "kind", "payload"])
 
 
-def signatures(n: int, tokens: np.ndarray, counts: np.ndarray, missing: int) -> np.ndarray | None:
+def signatures(n: int, tokens: np.ndarray, counts: np.ndarray, missing: int) -> tuple[np.ndarray, np.ndarray] | None:
     """Signatures of a document with ``n`` tokens, of which ``tokens`` occur elsewhere,
-    ordered rare first; it tolerates ``missing``. None if it can have no partner."""
-    need = missing + 1 - (n - len(tokens))
+    ordered rare first; it tolerates ``missing``. Each has its place: what the tokens
+    before it cover. A partner for which fewer tokens may be missing meets only the
+    signatures at places up to that number. None if there can be no partner."""
+    alone = n - len(tokens)
+    need = missing + 1 - alone
     if need <= 0 or n < 2:
         return None
     rare = int(np.searchsorted(counts, RARE, side="right"))
     single = tokens[:min(rare, need)]
-    out = [fold([single], seed=1)]
+    out, places, spare = [fold([single], seed=1)], [alone + np.arange(len(single))], [np.zeros(len(single), bool)]
     need -= rare
     if need > 0:
         often = tokens[rare:]
@@ -218,17 +223,26 @@ def signatures(n: int, tokens: np.ndarray, counts: np.ndarray, missing: int) ->
             first[np.unique(sub, return_index=True)[1]] = True
             cover = np.cumsum(~first)
             stop = int(np.searchsorted(cover, need)) + 1
-            t, g = often[:stop], sub[:stop]
-            order = np.lexsort((t, g))
-            t, g = t[order], g[order]
+            order = np.lexsort((np.arange(len(sub[:stop])), sub[:stop]))
+            g = sub[order]
             cuts = np.flatnonzero(np.diff(g)) + 1
             left, right = [], []
             for lo, hi in itertools.pairwise([0, *cuts, len(g)]):
                 a, b = np.triu_indices(hi - lo, 1)
-                left.append(t[lo + a])
-                right.append(t[lo + b])
-            out.append(fold([np.concatenate(left), np.concatenate(right)], seed=lv + 2))
-    return np.unique(np.concatenate(out))
+                left.append(order[lo + a])
+                right.append(order[lo + b])  # the later of the two in the order
+            left, right = np.concatenate(left), np.concatenate(right)
+            x, y = often[left], often[right]
+            out.append(fold([np.minimum(x, y), np.maximum(x, y)], seed=lv + 2))
+            places.append(alone + rare + cover[right] - 1)
+            spare.append(np.full(len(right), lv != level))
+    # The lowest bit tells a signature of the next level: two documents of one level meet
+    # at that level, so two such signatures need not meet.
+    sig, place = np.concatenate(out), np.concatenate(places) * 2 + np.concatenate(spare)
+    order = np.lexsort((place, sig))
+    sig, place = sig[order], place[order]
+    new = np.append(True, sig[1:] != sig[:-1])
+    return sig[new], place[new]
 
 
 def _sign(percent: int):
@@ -251,17 +265,18 @@ def _sign(percent: int):
         doc, token, count = doc[order], token[order], count[order]
         ids, n = head["ids"], head["n"].tolist()
         sigs: list = [None] * len(ids)
+        places: list = [None] * len(ids)
         toks: list = [None] * len(ids)
         bounds = np.searchsorted(doc, np.arange(len(head["firsts"]) + 1))
         for j, i in enumerate(head["firsts"].tolist()):
             lo, hi = bounds[j], bounds[j + 1]
             s = signatures(n[i], token[lo:hi], count[lo:hi], n[i] - -(-percent * n[i] // 100)) if hi > lo else None
             if s is not None:
-                sigs[i], toks[i] = s.view(np.int64), np.sort(token[lo:hi]).view(np.int64)
+                sigs[i], places[i], toks[i] = s[0].view(np.int64), s[1], np.sort(token[lo:hi]).view(np.int64)
         longs = pa.list_(pa.int64())
         return pa.table([pa.array(ids, pa.int64()), pa.array(head["n"]), pa.array(head["s1"].view(np.int64)),
-                         pa.array(head["s2"].view(np.int64)), pa.array(sigs, longs), pa.array(toks, longs)],
-                        ["doc_id", "n", "s1", "s2", "sigs", "toks"])
+                         pa.array(head["s2"].view(np.int64)), pa.array(sigs, longs), pa.array(places, pa.list_(pa.int32())),
+                         pa.array(toks, longs)], ["doc_id", "n", "s1", "s2", "sigs", "places", "toks"])
     return run
 
 
@@ -281,7 +296,7 @@ def token_table(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Steps 1 and 2: per document its set's size and digest (``n, s1, s2``) and, where
     it can have partners, signatures and shared tokens."""
     spark = docs.sparkSession
-    buckets = min(8 * shuffle_parts(spark), 1 << 16)
+    buckets = min(2 * shuffle_parts(spark), 1 << 22)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     # Batches, and so their names, must be the same if a task runs again.
     blocks = rows.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(_blocks(buckets, size), _BLOCK)
@@ -289,30 +304,52 @@ def token_table(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     return keep(counted.groupBy("batch").applyInArrow(_sign(percent), _DOC), "ngram-docs")
 
 
+def _named(post: DataFrame, links_: DataFrame) -> DataFrame:
+    """The rows of the signature lists with the component ``c`` of each document so far;
+    lists within one component are finished and go."""
+    comp = components(links_, "ngram-components")
+    named = post.join(comp.withColumnRenamed("node", "d"), "d", "left").withColumn("c", F.coalesce("component", "d")).drop("component")
+    main = (named.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("sig")
+            .agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.max("m").alias("mm"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("k")))
+    return keep(named.drop("main", "mm", "m").join(main.filter("k > 1").drop("k"), "sig"), "ngram-open")
+
+
 def links(table: DataFrame, percent: int = 80) -> DataFrame:
-    """Steps 3: verified links ``a, b`` (a < b) between representatives of equal sets,
-    enough of them that their components are those of all links."""
-    fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
+    """Step 3: verified links ``a, b`` (a < b) between representatives of equal sets, enough
+    of them that their components are those of all links."""
+    # Two sets similar enough have this overlap; what each misses bounds the places at
+    # which they must meet (and so their sizes).
+    overlap = lambda n, m: F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
+    meet = lambda n, at, s, m, to, r: ((F.col(s) + F.col(r) < 2) & (F.col(at) <= F.col(n) - overlap(n, m))
+                                       & (F.col(to) <= F.col(m) - overlap(n, m)))
     reps = table.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    signed = table.filter(F.col("sigs").isNotNull()).select("doc_id", "n", "sigs").join(reps, "doc_id", "left_semi")
-    post = signed.select(F.col("doc_id").alias("d"), "n", F.explode("sigs").alias("sig"))
-    lists = post.groupBy("sig").agg(F.min("d").alias("pivot"), F.max("d").alias("last"), F.min_by("n", "d").alias("pn"))
-    post = keep(post.join(lists.filter("pivot < last").drop("last"), "sig"), "ngram-lists")
-    most = (post.filter((F.col("d") != F.col("pivot")) & fits("n", "pn")).groupBy("d", "pivot").agg(F.count(F.lit(1)).alias("c"))
-            .groupBy("d").agg(F.max(F.struct("c", (-F.col("pivot")).alias("p"))).alias("best")))
-    found = _verified(most.select((-F.col("best.p")).alias("a"), F.col("d").alias("b")), table, percent, "ngram-links")
-    comp = components(found, "ngram-components")
-    # Every pair of list members in different components that has not been tested.
-    named = post.select("sig", "d", "n").join(comp.withColumnRenamed("node", "d"), "d", "left").select(
-        "sig", "d", "n", F.coalesce("component", "d").alias("c"))
-    parts = named.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("m"))
-    main = parts.groupBy("sig").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("k"))
-    open_ = keep(named.join(main.filter("k > 1").drop("k"), "sig"), "ngram-open")
-    outside = open_.filter("c != main").select("sig", F.col("d").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    cross = (outside.join(open_, "sig").filter((F.col("c") != F.col("cx")) & ((F.col("c") == F.col("main")) | (F.col("x") < F.col("d"))))
-             .filter(fits("n", "nx")).select(F.least("x", "d").alias("a"), F.greatest("x", "d").alias("b")).distinct())
-    more = _verified(cross, table, percent, "ngram-links")
-    return found.unionByName(more)
+    signed = table.filter(F.col("sigs").isNotNull()).select("doc_id", "n", "sigs", "places").join(reps, "doc_id", "left_semi")
+    post = signed.select(F.col("doc_id").alias("d"), "n", F.explode(F.arrays_zip("sigs", "places")).alias("s")).select(
+        "d", "n", F.col("s.sigs").alias("sig"), F.col("s.places").bitwiseAND(1).alias("spare"),
+        F.shiftright("s.places", 1).alias("at"))
+    lists = post.groupBy("sig").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count(F.lit(1)).alias("m"),
+                                    F.min("spare").alias("spares"))
+    post = keep(post.join(lists.filter("first < last and spares = 0").select("sig", "m"), "sig"), "ngram-lists")
+    # A text in the middle of its group is in long lists: it is tested first.
+    middle = post.groupBy("d").agg(F.sum("m").alias("weight"))
+    post = keep(post.drop("m").join(middle, "d"), "ngram-lists")
+    open_ = post.withColumns({"c": F.col("d"), "main": F.lit(None).cast("bigint")})
+    found = None
+    for turn in range(TURNS):
+        order = F.struct("weight", "d") if turn == 0 else F.struct(F.xxhash64("d", F.lit(turn)), "d")
+        pivots = open_.groupBy("sig").agg(F.max_by(F.struct(F.col("d").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("at").alias("pat"), F.col("spare").alias("ps")), order).alias("x"))
+        near = open_.join(pivots.select("sig", "x.*"), "sig").filter((F.col("c") != F.col("pc")) & meet("n", "at", "spare", "pn", "pat", "ps"))
+        most = Window.partitionBy("d").orderBy(F.desc("k"), "p")  # a text has as many pivots as lists at most
+        pairs = (near.groupBy("d", "p").agg(F.count(F.lit(1)).alias("k")).withColumn("r", F.row_number().over(most)).filter(f"r <= {TESTS}")
+                 .select(F.least("d", "p").alias("a"), F.greatest("d", "p").alias("b")).distinct())
+        new = _verified(pairs, table, percent, "ngram-links")
+        found = new if found is None else found.unionByName(new)
+        open_ = _named(post, found)
+    # Whatever list still holds several components: all its pairs between them.
+    outside = open_.filter("c != main").select("sig", F.col("d").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("at").alias("xat"), F.col("spare").alias("xs"))
+    apart = (F.col("c") != F.col("cx")) & ((F.col("c") == F.col("main")) | (F.col("x") < F.col("d")))
+    cross = (outside.join(open_, "sig").filter(apart & meet("n", "at", "spare", "nx", "xat", "xs")).select(F.least("x", "d").alias("a"), F.greatest("x", "d").alias("b")).distinct())
+    return found.unionByName(_verified(cross, table, percent, "ngram-links"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
