@@ -9,8 +9,8 @@ request, and emits one nested row per capture.
 
 Of captures with equal payloads of ``REVISIT_BYTES`` or more, the one with the smallest
 ``page_id`` (then URL) is a response, the others are revisits that refer to it. Groups of
-equal payloads are found by an aggregate over digests; payloads move once, by capture,
-so a payload that a third of the pages share is spread like any other.
+equal payloads are found by an aggregate over digests; payloads are written by the task
+that reads them, so one that a third of the pages share is spread like any other.
 
 Defined results: null html is an empty payload; a null URL is empty; line breaks in a URL
 are dropped in the archive; rows equal in id, URL and html are one capture; a null
@@ -52,13 +52,15 @@ def _record(fields: dict[str, Column], block: Column) -> Column:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """``key, page_id, url, digest, bytes`` and, for revisits, the response's ``refers_key``."""
-    rows = keep(_keyed(pages).drop("html").distinct(), "warc-captures")
+    """``key, page_id, url, digest, bytes``, how often the row stands (``copies``) and, for
+    revisits, the response's ``refers_key``."""
+    rows = keep(_keyed(pages).groupBy("key", "page_id", "url", "digest", "bytes").agg(F.count(F.lit(1)).alias("copies")),
+                "warc-captures")
     order = F.struct(F.col("page_id").isNull().alias("a"), F.col("page_id").alias("b"), F.col("url").alias("c"))
     first = (rows.filter(F.col("bytes") >= REVISIT_BYTES).groupBy("digest")
              .agg(F.min_by("key", order).alias("refers_key"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     again = rows.join(first, "digest").filter("key != refers_key").select("key", "refers_key")
-    return rows.join(again, "key", "left")
+    return keep(rows.join(again, "key", "left"), "warc-captures")
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
@@ -72,10 +74,17 @@ def _keyed(pages: DataFrame) -> DataFrame:
 def write_captures(pages: DataFrame, folder: str) -> None:
     """Write the archives below ``folder``."""
     found = captures(pages)
-    total = found.filter(F.col("refers_key").isNull()).agg(F.sum("bytes")).first()[0] or 0
-    files = max(1, -(-total // FILE_BYTES))
-    refers = found.filter(F.col("refers_key").isNotNull()).select("key", "refers_key")
-    rows = _keyed(pages).repartition(files, "key").dropDuplicates(["key"]).join(refers, "key", "left")
+    size = found.agg(F.sum(F.when(F.col("refers_key").isNull(), F.col("bytes")).otherwise(0)).alias("bytes"), F.count(F.lit(1)).alias("n"),
+                     F.count(F.when(F.col("copies") > 1, 1)).alias("repeated")).first()
+    per_file = max(1, int(FILE_BYTES / (1000 + (size["bytes"] or 0) / max(size["n"], 1))))
+    # Payloads are written from where they are read: revisits and repeated rows are small
+    # written tables, which Spark broadcasts below its threshold and else joins by shuffle.
+    refers = keep(found.filter(F.col("refers_key").isNotNull()).select("key", "refers_key"), "warc-refers")
+    rows = _keyed(pages)
+    if size["repeated"]:
+        repeated = keep(found.filter("copies > 1").select("key"), "warc-repeated")
+        rows = rows.join(repeated, "key", "left_anti").unionByName(rows.join(repeated, "key", "left_semi").dropDuplicates(["key"]))
+    rows = rows.join(refers, "key", "left")
     me, revisit = _uuid("response", F.col("key")), F.col("refers_key").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "),
                     F.col("bytes").cast("string"), F.lit(_END * 2))
@@ -97,8 +106,8 @@ def write_captures(pages: DataFrame, folder: str) -> None:
                         "WARC-Concurrent-To": _uuid("request", F.col("key")), "Content-Type": F.lit("application/warc-fields")},
                        F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(_END)))
     sep = F.lit(_END * 2)
-    rows.select(F.concat(F.when(revisit, again).otherwise(response), sep, request, sep, metadata).alias("value")).write.text(
-        folder, compression="gzip", lineSep=_END * 2)
+    text = rows.select(F.concat(F.when(revisit, again).otherwise(response), sep, request, sep, metadata).alias("value"))
+    text.write.option("maxRecordsPerFile", per_file).text(folder, compression="gzip", lineSep=_END * 2)
 
 
 def inflate(raw: bytes) -> bytes:
@@ -178,6 +187,7 @@ def assemble(records: DataFrame) -> DataFrame:
     null where there is none), ``n_requests`` and ``n_metadata`` (the struct holds the one
     with the smallest id). Revisits stand as ``response``. A request or metadata record
     that leads to no response is a capture without one."""
+    records = keep(records, "warc-records")  # the archives are parsed once
     answer = F.col("type").isin("response", "revisit", "resource")
     ids = records.select("record_id", answer.alias("answer"))
     named = records.select(F.col("record_id").alias("x"), answer.alias("ax"), F.explode("concurrent_to").alias("y"))
