@@ -59,7 +59,7 @@ def op8_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.licences(read(spark, sf_dir, "documents"))
+    return licences.licences(read(spark, sf_dir, "documents")).drop("places")
 
 
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,13 +90,17 @@ def running_base(counts: DataFrame, parent: list[str], by: str) -> DataFrame:
     return counts.withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0)))
 
 
-def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 4) -> DataFrame:
-    """``doc_id, size, text_crc32, curve, law, shard, slot, grown_shard`` per document.
+def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, size, text_crc32, curve, law, shard, slot, grown_shard`` per document, and
+    the columns named in ``carry`` as one struct ``row``.
 
     The law is ``rows``: shard sizes differ by one row at most; ``slot`` numbers a
     shard's rows from 0. Equal texts of one cell lie together (same text bucket)."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    more = ["row"] if carry else []
+    docs = docs.select("doc_id", "text", "lang", "source", *([F.struct(*carry).alias("row")] if carry else []))
     raw = docs.select(
+        *more,
         "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
         (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
@@ -104,10 +108,10 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 4) -> DataFram
                           as_number(F.col("source")).alias("source_no")), "hilbert-meta")
     dims = {"lang_no": F.col("lang_no"), "source_no": F.col("source_no"), "size": F.col("size")}
     cuts = cut_points(raw, dims, bits)
-    cells = raw.select("doc_id", "size", "text_crc32", "text_hash",
+    cells = raw.select(*more, "doc_id", "size", "text_crc32", "text_hash",
                        *[cell(c, cuts[n]).alias(f"cell_{n}") for n, c in dims.items()])
     rows = cells.select(
-        "doc_id", "size", "text_crc32", "text_hash",
+        *more, "doc_id", "size", "text_crc32", "text_hash",
         curve_index([F.col(f"cell_{n}") for n in dims], bits).alias("curve"),
         F.pmod("text_hash", F.lit(TEXT_BUCKETS)).alias("tb"),
         F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(ROW_BUCKETS)).alias("rb"))
@@ -128,4 +132,14 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 4) -> DataFram
     first = F.expr(f"(shard * total + {shards - 1}) div {shards}")  # the shard's first rank
     return ranked.select("doc_id", "size", "text_crc32", "curve", F.lit("rows").alias("law"),
                          F.col("shard").cast("int").alias("shard"), (F.col("rank") - first).alias("slot"),
-                         F.lit(None).cast("int").alias("grown_shard"))
+                         F.lit(None).cast("int").alias("grown_shard"), *more)
+
+
+def write_shards(docs: DataFrame, path: str, files: int, shards: int = 16, bits: int = 4) -> None:
+    """Write the documents in curve order: a folder per shard, in it files that each hold a
+    run of the curve, so a reader's filter on language, source or size skips most files by
+    their minima and maxima. ``files``: about how many files in all."""
+    out = hilbert_shards(docs, shards, bits, carry=tuple(docs.columns))
+    out = out.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot")
+    columns = [F.col(f"row.`{c}`").alias(f"doc_{c}" if c in own else c) for c in docs.columns]
+    out.select(*own, *columns).write.partitionBy("shard").parquet(path)

@@ -140,18 +140,21 @@ def automaton() -> ahocorasick.Automaton:
 
 def scan(text: bytes, a: ahocorasick.Automaton) -> tuple:
     """``n_words``, base places (count, first, last word), base labels, all labels, score,
-    expressions in postfix order, whether all expressions are permissive (None: none)."""
+    expressions in postfix order, whether all expressions are permissive (None: none), and
+    every place of a phrase: first word, number of words, label."""
     words = text.translate(_WORD_BYTES).split()
     line = (b" " + b" ".join(words) + b" ").decode("latin-1")  # a byte is a character
-    starts, sure, base_labels, tagged = [], {}, set(), False
+    starts, places, sure, base_labels, tagged = [], [], {}, set(), False
     for end, (phrase, label, base) in a.iter(line):
         if label is None:
             tagged = True
             continue
         weight = WEIGHT_BASE if base else WEIGHT_LONG if phrase.count(" ") >= 4 else WEIGHT_SHORT
         sure[label] = max(sure.get(label, 0.0), weight)
+        at = line.count(" ", 0, end - len(phrase)) - 1
+        places.append((at, phrase.count(" ") + 1, label))
         if base:
-            starts.append(line.count(" ", 0, end - len(phrase)) - 1)
+            starts.append(at)
             base_labels.add(label)
     expressions, permissive = [], None
     if tagged:
@@ -166,11 +169,12 @@ def scan(text: bytes, a: ahocorasick.Automaton) -> tuple:
     for weight in sure.values():
         doubt *= 1 - weight
     return (len(words), len(starts), min(starts, default=None), max(starts, default=None),
-            ",".join(sorted(base_labels)), ",".join(sorted(sure)), 1 - doubt, expressions, permissive)
+            ",".join(sorted(base_labels)), ",".join(sorted(sure)), 1 - doubt, expressions, permissive, [dict(zip(("word", "words", "label"), p)) for p in sorted(places)])
 
 
-_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.bool_())
-_NAMES = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions", "permissive")
+_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.bool_(),
+          pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64()), ("label", pa.string())])))
+_NAMES = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions", "permissive", "places")
 
 
 def licences(docs: DataFrame) -> DataFrame:
@@ -186,4 +190,5 @@ def licences(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, "
-                                "labels string, score double, expressions array<string>, permissive boolean")
+                                "labels string, score double, expressions array<string>, permissive boolean, "
+                                "places array<struct<word: long, words: long, label: string>>")

@@ -64,3 +64,22 @@ def test_odd_rows(rows):
     few = [(1, "a", "en", "s"), (2, "b", "en", "s")]
     laws(hilbert.hilbert_shards(rows(few, SCHEMA)).collect(), few, 16)
     assert hilbert.hilbert_shards(rows([], SCHEMA)).collect() == []
+
+
+def test_written_files_prune(spark, tmp_path):
+    """Files hold the documents, and their minima and maxima rule most of them out."""
+    import glob
+
+    import pyarrow.parquet as pq
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    hilbert.write_shards(docs, str(tmp_path / "out"), files=48)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.select(*docs.columns).collect())) == sorted(map(tuple, docs.collect()))
+    files = glob.glob(f"{tmp_path}/out/shard=*/*.parquet")
+    met = 0
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        names = [meta.schema.column(i).name for i in range(meta.num_columns)]
+        stats = {n: meta.row_group(0).column(names.index(n)).statistics for n in ("lang", "source")}
+        met += stats["lang"].min <= "fr" <= stats["lang"].max and stats["source"].min <= "src5" <= stats["source"].max
+    assert len(files) >= 48 and met < 0.4 * len(files)

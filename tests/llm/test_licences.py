@@ -16,6 +16,19 @@ def brute(text):
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits}))
 
 
+def words_of(text):
+    return re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def phrase(text, place):
+    return " ".join(words_of(text)[place.word:place.word + place.words])
+
+
+def places(text):
+    words = words_of(text)
+    return [(i, label) for p, label in BASE.items() for i in range(len(words)) if words[i:i + len(p.split())] == p.split()]
+
+
 def check(df, data):
     got = {r.doc_id: r for r in lic.licences(df).collect()}
     assert len(got) == len(data)
@@ -24,6 +37,8 @@ def check(df, data):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(text), text
         labels = r.labels.split(",") if r.labels else []
         assert labels == sorted(set(labels)) and set(filter(None, r.base_labels.split(","))) <= set(labels)
+        assert [p.word for p in r.places if p.label in BASE.values() and lic.BASE.get(phrase(text, p)) == p.label] == sorted(
+            q for q, _ in places(text))
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(labels)
 
 
