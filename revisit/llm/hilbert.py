@@ -138,7 +138,9 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 4, carry: tupl
 def write_shards(docs: DataFrame, path: str, files: int, shards: int = 16, bits: int = 4) -> None:
     """Write the documents in curve order: a folder per shard, in it files that each hold a
     run of the curve, so a reader's filter on language, source or size skips most files by
-    their minima and maxima. ``files``: about how many files in all."""
+    their minima and maxima. ``files``: about how many files in all.
+    Document columns named like the three added ones get the prefix ``doc_``."""
+    own = ("shard", "slot", "curve")
     out = hilbert_shards(docs, shards, bits, carry=tuple(docs.columns))
     out = out.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot")
     columns = [F.col(f"row.`{c}`").alias(f"doc_{c}" if c in own else c) for c in docs.columns]
