@@ -64,7 +64,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset
             path = None
     if not path:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         path = tempfile.mkdtemp(prefix="revisit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
