@@ -1,21 +1,24 @@
 """Registered queries: one per operator group of the inventory.
 
 Each entry takes ``(spark, sf_dir)`` and returns a DataFrame over the whole
-test tables. Column names match the SQL in ``revisit.plans.oracle``.
+test tables. Column names match the SQL in ``revisit.plans.oracle``. The ``q_p`` queries
+run whole pipelines, with their files in the shared folder.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revisit.operators import counts, courses, intervals, quality, recommend, report, sequences
+from revisit.plans import pipelines
 from revisit.plans.oracle import PIVOT_ITEMS, REP_THRESH, ROW_IDS
 from revisit.schemas import ADJUSTED_BINS, GAP_QUANTILES, MIN_ITEMS, RAW_BINS, REP_COL, RUN_COL, SESSION_COL
-from revisit.session import prepare
-from revisit.sources import views
+from revisit.session import ensure_checkpoint_dir, prepare
+from revisit.sources import io, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -238,6 +241,16 @@ def q_concept_map(spark, sf_dir):
         "video_id", "ccid", "concept_id")
 
 
+@register
+def q_concept_field(spark, sf_dir):
+    """Video -> concept -> field, the field named by a dictionary of the concepts."""
+    prepare(spark)
+    w = _watched(spark, sf_dir).select("video_id", "ccid").distinct()
+    concepts = counts.join_dimension(w, views.concept_ccid_view(spark, sf_dir), "ccid")
+    return counts.join_dimension(concepts, views.concept_field_view(spark, sf_dir), "concept_id", "left").select(
+        "video_id", "concept_id", "field")
+
+
 @register
 def q_translate(spark, sf_dir):
     """Translate keys of a growing table through two small dictionaries."""
@@ -547,3 +560,62 @@ def q_metrics(spark, sf_dir):
     recs = recommend.als_recommend(folded)
     test = folded.filter("is_test").select("user", "item")
     return recommend.mean_metrics(recommend.topn_metrics(recs, test, k=10))
+
+
+# ------------------------------------------------------------------ whole pipelines (P-1 to P-6, P-8; A1-A7)
+
+def _folder(spark, name):
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@register
+def q_p1_p2_clean_layout(spark, sf_dir):
+    """P-1 and P-2 over files: raw lists as JSON, the id map as TSV, the blacklist as CSV, the
+    clean table laid out by user and read back (A1-A7)."""
+    prepare(spark)
+    d = _folder(spark, "p1")
+    views.seq_view(spark, sf_dir).select(F.col("user_id").cast("string").alias("user_id"), "seq").write.json(f"{d}/uv.json")
+    views.video_ccid_view(spark, sf_dir).write.option("sep", "\t").csv(f"{d}/map.txt")
+    res = pipelines.clean_repeaters(io.read_json(spark, f"{d}/uv.json"), io.read_tsv(spark, f"{d}/map.txt"), d, BLACKLIST_THRESH)
+    pipelines.layout_by_user(res.clean, f"{d}/parts", 8)
+    back = io.read_parquet(spark, f"{d}/parts")
+    return back.select("user_id", "video_id", "ccid", F.size("seq.segment").cast("bigint").alias("n_segments"))
+
+
+@register
+def q_p3_sessions(spark, sf_dir):
+    prepare(spark)
+    return pipelines.session_repetition(views.seg_view(spark, sf_dir), _folder(spark, "p3"), REP_THRESH).repetitions
+
+
+@register
+def q_p4_lectures(spark, sf_dir):
+    prepare(spark)
+    return pipelines.lecture_sequences(views.click_view(spark, sf_dir), _folder(spark, "p4"))[0]
+
+
+@register
+def q_p5_courses(spark, sf_dir):
+    prepare(spark)
+    c = views.course_view(spark, sf_dir).groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "resource_id"))).alias("r"))
+    ext = c.select("id", F.lit("").alias("about"), F.size("r").cast("bigint").alias("rsc_count"),
+                   F.transform("r", lambda x: F.struct(x["resource_id"].alias("resource_id"))).alias("resource"),
+                   F.size("r").cast("bigint").alias("Number of users"))
+    return pipelines.courses_alternating_videos(ext).select("id", "rsc_count")
+
+
+@register
+def q_p6_exploration(spark, sf_dir):
+    prepare(spark)
+    return pipelines.segment_exploration(views.seg_view(spark, sf_dir), views.event_ccid_view(spark, sf_dir),
+                                         out_dir=_folder(spark, "p6"))["session_counts"]
+
+
+@register
+def q_p8_confidence(spark, sf_dir):
+    prepare(spark)
+    c = views.rate_view(spark, sf_dir).select(
+        F.col("user").alias("user_id"), F.col("item").alias("ccid"), F.col("rating").alias("num_watched"))
+    t = pipelines.rewatch_confidence(c, _folder(spark, "p8"))
+    return t.select("user", "item", F.round("weight", 9).alias("weight"))

@@ -194,6 +194,10 @@ SQL["q_concept_map"] = f"""WITH {SEQ_CTES},
 cm AS (SELECT DISTINCT p_type AS concept_id, p_brand AS ccid FROM part)
 SELECT w.video_id, w.ccid, cm.concept_id
 FROM (SELECT DISTINCT video_id, ccid FROM watched) w JOIN cm ON w.ccid = cm.ccid"""
+SQL["q_concept_field"] = f"""WITH {SEQ_CTES},
+cm AS (SELECT DISTINCT p_type AS concept_id, p_brand AS ccid FROM part)
+SELECT w.video_id, cm.concept_id, list_extract(string_split(cm.concept_id, ' '), -1) AS field
+FROM (SELECT DISTINCT video_id, ccid FROM watched) w JOIN cm ON w.ccid = cm.ccid"""
 SQL["q_translate"] = """
 SELECT c.c_custkey, n.n_name, r.r_name
 FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
@@ -421,3 +425,12 @@ SELECT 'Popular' AS algorithm, d.discount,
        round(avg(CASE WHEN d.discount = 'library' THEN dcg_library ELSE dcg_textbook END), 9) AS ndcg,
        round(avg(good / n), 9) AS precision, round(avg(good / 1.0::DOUBLE), 9) AS recall
 FROM per, (VALUES ('library'), ('textbook')) d(discount) GROUP BY d.discount"""
+
+# Pipelines give what the operators give.
+SQL["q_p1_p2_clean_layout"] = f"""WITH {SEQ_CTES}
+SELECT CAST(user_id AS VARCHAR) AS user_id, video_id, ccid, n_seg AS n_segments FROM clean"""
+SQL["q_p3_sessions"] = SQL["q_repetition"]
+SQL["q_p4_lectures"] = SQL["q_dedupe"]
+SQL["q_p5_courses"] = SQL["q_course_info_alternating"]
+SQL["q_p6_exploration"] = SQL["q_session_counts"]
+SQL["q_p8_confidence"] = SQL["q_tfidf"]

@@ -74,6 +74,12 @@ def concept_ccid_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_type").alias("concept_id"), F.col("p_brand").alias("ccid")).distinct()
 
 
+def concept_field_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dictionary of concepts: the field is the last word of a concept's name."""
+    return table(spark, sf_dir, "part").select(F.col("p_type").alias("concept_id")).distinct().select(
+        "concept_id", F.substring_index("concept_id", " ", -1).alias("field"))
+
+
 def event_ccid_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Video-to-ccid map of the segments made from ``events`` (see ``seg_view``)."""
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("video_id")).distinct().select(
