@@ -18,7 +18,8 @@ Steps, all spread by hash:
    Tokens in ``HEAVY`` or more documents of a batch are known to be frequent; the bucket
    gets one mark from that batch instead of a posting per document.
 2. Buckets count tokens and send back those in two or more documents. A document with
-   ``tau + 1`` tokens of its own has no partner and is done.
+   ``tau + 1`` tokens of its own has no partner and is done. One document of each distinct
+   set is left and counted once more among its like, so that exact copies count once.
 3. The rest emit signatures. Signature lists propose pairs: first each document with the
    members of its lists that are nearest to the middle of their group, then the members
    outside a list's largest component with everyone in other components. Pairs within a
@@ -57,7 +58,8 @@ SUBGROUP = 8  # a subgroup of frequent tokens per so many tokens of a text
 LOW = np.uint64((1 << 40) - 1)
 
 _BLOCK = "bucket long, batch long, kind tinyint, payload binary"
-_DOC = "doc_id long, n long, s1 long, s2 long, sigs array<long>, places array<int>, toks array<long>"
+_DOC = "doc_id long, n long, s1 long, s2 long, toks array<long>"
+_SIGNED = "doc_id long, n long, weight long, sigs array<long>, places array<int>, toks array<long>"
 _HEAD, _POSTINGS, _MARKS = 0, 1, 2
 
 
@@ -83,45 +85,62 @@ def unpack_steps(raw: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(raw, "<u4" if raw[0] == 4 else "u1", offset=1), dtype=np.int64)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], size: int):
-    """Ids, and the distinct tokens of each text, of some texts at a time: enough for
-    about ``PART`` tokens, so a task's memory does not depend on how long texts are."""
-    hashes = WordHashes()
-    ids, sets, held = [], [], 0
+def _of_texts(buckets: int, size: int):
+    """From ids and texts: ids, sizes, digests and token sets, ``PART`` tokens at a time,
+    so a task's memory does not depend on how long texts are. A token is its bucket and
+    40 bits of its hash."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        hashes = WordHashes()
+        ids, sums, sets, held = [], [], [], 0
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h = shingles(hashes.of(text.as_py()), size)
+                ids.append(i)
+                sums.append((len(h), int(h.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix(h))) if len(h) else 0))
+                sets.append((((h >> np.uint64(40)) % np.uint64(buckets)) << np.uint64(40)) | (h & LOW))
+                held += len(h) + 20
+                if held >= PART:
+                    yield ids, sums, sets
+                    ids, sums, sets, held = [], [], [], 0
+        if ids:
+            yield ids, sums, sets
+    return run
+
+
+def _of_tokens(batches: Iterator[pa.RecordBatch]):
+    """The same from ids, sizes and tokens; here every row counts for itself."""
+    ids, sums, sets, held = [], [], [], 0
     for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for i, n, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             ids.append(i)
-            sets.append(shingles(hashes.of(text.as_py()), size))
+            sums.append((n, len(ids), 0))
+            sets.append(tokens.values.to_numpy().view(np.uint64))
             held += len(sets[-1]) + 20
             if held >= PART:
-                yield ids, sets
-                ids, sets, held = [], [], 0
+                yield ids, sums, sets
+                ids, sums, sets, held = [], [], [], 0
     if ids:
-        yield ids, sets
+        yield ids, sums, sets
 
 
-def _blocks(buckets: int, size: int):
+def _blocks(parts, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, every in _parts(batches, size):
-            n = np.array([len(s) for s in every], np.int64)
-            s1 = np.array([s.sum(dtype=np.uint64) for s in every], np.uint64)
-            s2 = np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in every], np.uint64)
+        for ids, sums, every in parts(batches):
             seen: set[tuple] = set()
             firsts = []
-            for i, key in enumerate(zip(n.tolist(), s1.tolist(), s2.tolist())):
+            for i, key in enumerate(sums):
                 if key[0] and ids[i] is not None and key not in seen:
                     seen.add(key)
                     firsts.append(i)
+            n, s1, s2 = (np.array(x, t) for x, t in zip(zip(*sums), (np.int64, np.uint64, np.uint64)))
             head = {"ids": ids, "n": n, "s1": s1, "s2": s2, "firsts": np.array(firsts, np.int64),
                     "heavy_doc": np.zeros(0, np.int64), "heavy_token": np.zeros(0, np.uint64)}
-            name = xxhash.xxh64_intdigest(pickle.dumps((ids, n.tolist(), s1.tolist()))) >> 1
+            name = xxhash.xxh64_intdigest(pickle.dumps((ids, sums))) >> 1
             rows: list[tuple] = []
             if firsts:
                 tokens = np.concatenate([every[i] for i in firsts])
-                doc = np.repeat(np.arange(len(firsts)), n[firsts])
+                doc = np.repeat(np.arange(len(firsts)), [len(every[i]) for i in firsts])
                 del every
-                bucket = (tokens >> np.uint64(40)) % np.uint64(buckets)
-                tokens = (bucket << np.uint64(40)) | (tokens & LOW)
                 ordered = np.sort(tokens)
                 # A run of HEAVY equal tokens: a token equals the one HEAVY - 1 places on.
                 often = ordered[HEAVY - 1:]
@@ -130,12 +149,13 @@ def _blocks(buckets: int, size: int):
                     at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
                     heavy = often[at] == tokens
                     head["heavy_doc"], head["heavy_token"] = doc[heavy], tokens[heavy]
-                    tokens, doc, bucket = tokens[~heavy], doc[~heavy], bucket[~heavy]
+                    tokens, doc = tokens[~heavy], doc[~heavy]
                     owner = (often >> np.uint64(40)).astype(np.int64)
                     for b in np.unique(owner).tolist():
                         rows.append((b, name, _MARKS, pack40(often[owner == b] & LOW)))
-                order = np.argsort(bucket.astype(np.int64) * len(firsts) + doc)
-                tokens, doc, bucket = tokens[order] & LOW, doc[order], bucket[order].astype(np.int64)
+                bucket = (tokens >> np.uint64(40)).astype(np.int64)
+                order = np.argsort(bucket * len(firsts) + doc)
+                tokens, doc, bucket = tokens[order] & LOW, doc[order], bucket[order]
                 cuts = np.flatnonzero(np.diff(bucket)) + 1 if len(bucket) else []
                 for lo, hi in itertools.pairwise([0, *cuts, len(bucket)] if len(bucket) else [0]):
                     rows.append((int(bucket[lo]), name, _POSTINGS, pack40(tokens[lo:hi]) + pack_steps(doc[lo:hi])))
@@ -245,63 +265,100 @@ def signatures(n: int, tokens: np.ndarray, counts: np.ndarray, missing: int) ->
     return sig[new], place[new]
 
 
+def _returned(group: pa.Table):
+    """A batch's header, and of each of its documents the shared tokens, rare first."""
+    head, docs, tokens, counts = None, [], [], []
+    for bucket, kind, raw in zip(*(group.column(c).to_pylist() for c in ("bucket", "kind", "payload"))):
+        if kind == _HEAD:
+            head = pickle.loads(raw)
+            continue
+        m = int(np.frombuffer(raw, "<u4", 1)[0])
+        tokens.append(unpack40(memoryview(raw)[4:4 + 5 * m]) | np.uint64(bucket << 40))
+        counts.append(np.frombuffer(raw, "u1", m, 4 + 5 * m))
+        docs.append(unpack_steps(raw[4 + 6 * m:]))
+    docs.append(head["heavy_doc"])
+    tokens.append(head["heavy_token"])
+    counts.append(np.full(len(head["heavy_doc"]), HEAVY, np.uint8))
+    doc, token, count = np.concatenate(docs), np.concatenate(tokens), np.concatenate(counts)
+    order = np.lexsort((token, count, doc))
+    doc, token, count = doc[order], token[order], count[order]
+    bounds = np.searchsorted(doc, np.arange(len(head["firsts"]) + 1))
+    return head, [(i, token[lo:hi], count[lo:hi]) for i, lo, hi in zip(head["firsts"].tolist(), bounds, bounds[1:])]
+
+
+def _candidates(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        """All documents of one batch, with their shared tokens where partners are possible."""
+        head, shared = _returned(group)
+        n = head["n"].tolist()
+        toks: list = [None] * len(n)
+        for i, token, _ in shared:
+            if n[i] - len(token) <= _missing(n[i], percent) and n[i] >= 2:
+                toks[i] = np.sort(token).view(np.int64)
+        return pa.table([pa.array(head["ids"], pa.int64()), pa.array(head["n"]), pa.array(head["s1"].view(np.int64)),
+                         pa.array(head["s2"].view(np.int64)), pa.array(toks, pa.list_(pa.int64()))],
+                        ["doc_id", "n", "s1", "s2", "toks"])
+    return run
+
+
+def _missing(n: int, percent: int) -> int:
+    """Tokens that a partner of a document of ``n`` tokens may lack."""
+    return n - -(-percent * n // 100)
+
+
 def _sign(percent: int):
     def run(group: pa.Table) -> pa.Table:
-        """All documents of one batch, with signatures where partners are possible."""
-        head, docs, tokens, counts = None, [], [], []
-        for bucket, kind, raw in zip(*(group.column(c).to_pylist() for c in ("bucket", "kind", "payload"))):
-            if kind == _HEAD:
-                head = pickle.loads(raw)
-                continue
-            m = int(np.frombuffer(raw, "<u4", 1)[0])
-            tokens.append(unpack40(memoryview(raw)[4:4 + 5 * m]) | np.uint64(bucket << 40))
-            counts.append(np.frombuffer(raw, "u1", m, 4 + 5 * m))
-            docs.append(unpack_steps(raw[4 + 6 * m:]))
-        docs.append(head["heavy_doc"])
-        tokens.append(head["heavy_token"])
-        counts.append(np.full(len(head["heavy_doc"]), HEAVY, np.uint8))
-        doc, token, count = np.concatenate(docs), np.concatenate(tokens), np.concatenate(counts)
-        order = np.lexsort((token, count, doc))
-        doc, token, count = doc[order], token[order], count[order]
-        ids, n = head["ids"], head["n"].tolist()
-        sigs: list = [None] * len(ids)
-        places: list = [None] * len(ids)
-        toks: list = [None] * len(ids)
-        bounds = np.searchsorted(doc, np.arange(len(head["firsts"]) + 1))
-        for j, i in enumerate(head["firsts"].tolist()):
-            lo, hi = bounds[j], bounds[j + 1]
-            s = signatures(n[i], token[lo:hi], count[lo:hi], n[i] - -(-percent * n[i] // 100)) if hi > lo else None
+        """Signatures of the candidates of one batch that can still have partners."""
+        head, shared = _returned(group)
+        rows = []
+        for i, token, count in shared:
+            n = int(head["n"][i])
+            s = signatures(n, token, count, _missing(n, percent))
             if s is not None:
-                sigs[i], places[i], toks[i] = s[0].view(np.int64), s[1], np.sort(token[lo:hi]).view(np.int64)
+                rows.append((head["ids"][i], n, int(count.sum()), s[0].view(np.int64), s[1], np.sort(token).view(np.int64)))
         longs = pa.list_(pa.int64())
-        return pa.table([pa.array(ids, pa.int64()), pa.array(head["n"]), pa.array(head["s1"].view(np.int64)),
-                         pa.array(head["s2"].view(np.int64)), pa.array(sigs, longs), pa.array(places, pa.list_(pa.int32())),
-                         pa.array(toks, longs)], ["doc_id", "n", "s1", "s2", "sigs", "places", "toks"])
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, (
+            pa.int64(), pa.int64(), pa.int64(), longs, pa.list_(pa.int32()), longs))],
+            ["doc_id", "n", "weight", "sigs", "places", "toks"])
     return run
 
 
-def _verified(pairs: DataFrame, table: DataFrame, percent: int, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, signed: DataFrame, percent: int, name: str) -> DataFrame:
     """Of the pairs ``a, b`` those whose sets are similar enough. A token that only one
     document has is in no intersection, so the shared tokens and the sizes suffice."""
-    sets = table.filter(F.col("toks").isNotNull())
-    a = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
+    a = signed.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
+    b = signed.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
     good = pairs.join(b, "b").join(a, "a").withColumn("i", both)
     return keep(good.filter(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent)
                 .select("a", "b").distinct(), name)
 
 
+def _exchange(blocks: DataFrame, then, schema: str) -> DataFrame:
+    """Blocks to their buckets, shared tokens back to their batches."""
+    counted = blocks.groupBy("bucket").applyInArrow(_count, "batch long, bucket long, kind tinyint, payload binary")
+    return counted.groupBy("batch").applyInArrow(then, schema)
+
+
 def token_table(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Steps 1 and 2: per document its set's size and digest (``n, s1, s2``) and, where
-    it can have partners, signatures and shared tokens."""
-    spark = docs.sparkSession
-    buckets = min(2 * shuffle_parts(spark), 1 << 22)
+    it can have partners, its shared tokens."""
+    buckets = min(2 * shuffle_parts(docs.sparkSession), 1 << 22)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     # Batches, and so their names, must be the same if a task runs again.
-    blocks = rows.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(_blocks(buckets, size), _BLOCK)
-    counted = blocks.groupBy("bucket").applyInArrow(_count, "batch long, bucket long, kind tinyint, payload binary")
-    return keep(counted.groupBy("batch").applyInArrow(_sign(percent), _DOC), "ngram-docs")
+    blocks = rows.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(_blocks(_of_texts(buckets, size), buckets), _BLOCK)
+    return keep(_exchange(blocks, _candidates(percent), _DOC), "ngram-docs")
+
+
+def signed_table(table: DataFrame, percent: int = 80) -> DataFrame:
+    """Step 2 again, over one document of each distinct set that can have partners: tokens
+    are counted among these alone, so exact copies, and texts that turned out to have no
+    partner, make no token look shared. What is left gets signatures."""
+    buckets = min(2 * shuffle_parts(table.sparkSession), 1 << 22)
+    reps = table.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    rows = table.filter(F.col("toks").isNotNull()).select("doc_id", "n", "toks").join(reps, "doc_id", "left_semi")
+    blocks = rows.select("doc_id", "n", "toks").sortWithinPartitions("doc_id").mapInArrow(_blocks(_of_tokens, buckets), _BLOCK)
+    return keep(_exchange(blocks, _sign(percent), _SIGNED), "ngram-signed")
 
 
 def _named(post: DataFrame, links_: DataFrame) -> DataFrame:
@@ -314,7 +371,7 @@ def _named(post: DataFrame, links_: DataFrame) -> DataFrame:
     return keep(named.drop("main", "mm", "m").join(main.filter("k > 1").drop("k"), "sig"), "ngram-open")
 
 
-def links(table: DataFrame, percent: int = 80) -> DataFrame:
+def links(signed: DataFrame, percent: int = 80) -> DataFrame:
     """Step 3: verified links ``a, b`` (a < b) between representatives of equal sets, enough
     of them that their components are those of all links."""
     # Two sets similar enough have this overlap; what each misses bounds the places at
@@ -322,40 +379,37 @@ def links(table: DataFrame, percent: int = 80) -> DataFrame:
     overlap = lambda n, m: F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
     meet = lambda n, at, s, m, to, r: ((F.col(s) + F.col(r) < 2) & (F.col(at) <= F.col(n) - overlap(n, m))
                                        & (F.col(to) <= F.col(m) - overlap(n, m)))
-    reps = table.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    signed = table.filter(F.col("sigs").isNotNull()).select("doc_id", "n", "sigs", "places").join(reps, "doc_id", "left_semi")
-    post = signed.select(F.col("doc_id").alias("d"), "n", F.explode(F.arrays_zip("sigs", "places")).alias("s")).select(
-        "d", "n", F.col("s.sigs").alias("sig"), F.col("s.places").bitwiseAND(1).alias("spare"),
+    post = signed.select(F.col("doc_id").alias("d"), "n", "weight", F.explode(F.arrays_zip("sigs", "places")).alias("s")).select(
+        "d", "n", "weight", F.col("s.sigs").alias("sig"), F.col("s.places").bitwiseAND(1).alias("spare"),
         F.shiftright("s.places", 1).alias("at"))
-    lists = post.groupBy("sig").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count(F.lit(1)).alias("m"),
-                                    F.min("spare").alias("spares"))
-    post = keep(post.join(lists.filter("first < last and spares = 0").select("sig", "m"), "sig"), "ngram-lists")
-    # A text in the middle of its group is in long lists: it is tested first.
-    middle = post.groupBy("d").agg(F.sum("m").alias("weight"))
-    post = keep(post.drop("m").join(middle, "d"), "ngram-lists")
+    lists = post.groupBy("sig").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.min("spare").alias("spares"))
+    post = keep(post.join(lists.filter("first < last and spares = 0").select("sig"), "sig"), "ngram-lists")
     open_ = post.withColumns({"c": F.col("d"), "main": F.lit(None).cast("bigint")})
     found = None
     for turn in range(TURNS):
-        order = F.struct("weight", "d") if turn == 0 else F.struct(F.xxhash64("d", F.lit(turn)), "d")
+        # A text early in whose order the signature stands can meet most of the list; one
+        # whose tokens are shared by many is in the middle of its group.
+        early = (F.col("at") <= F.floor(F.col("n") * (100 - percent) / (100 + percent))).cast("int")
+        order = F.struct(early, "weight", "d") if turn == 0 else F.struct(early, F.xxhash64("d", F.lit(turn)), F.col("d"))
         pivots = open_.groupBy("sig").agg(F.max_by(F.struct(F.col("d").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("at").alias("pat"), F.col("spare").alias("ps")), order).alias("x"))
         near = open_.join(pivots.select("sig", "x.*"), "sig").filter((F.col("c") != F.col("pc")) & meet("n", "at", "spare", "pn", "pat", "ps"))
         most = Window.partitionBy("d").orderBy(F.desc("k"), "p")  # a text has as many pivots as lists at most
         pairs = (near.groupBy("d", "p").agg(F.count(F.lit(1)).alias("k")).withColumn("r", F.row_number().over(most)).filter(f"r <= {TESTS}")
                  .select(F.least("d", "p").alias("a"), F.greatest("d", "p").alias("b")).distinct())
-        new = _verified(pairs, table, percent, "ngram-links")
+        new = _verified(pairs, signed, percent, "ngram-links")
         found = new if found is None else found.unionByName(new)
         open_ = _named(post, found)
     # Whatever list still holds several components: all its pairs between them.
     outside = open_.filter("c != main").select("sig", F.col("d").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("at").alias("xat"), F.col("spare").alias("xs"))
     apart = (F.col("c") != F.col("cx")) & ((F.col("c") == F.col("main")) | (F.col("x") < F.col("d")))
     cross = (outside.join(open_, "sig").filter(apart & meet("n", "at", "spare", "nx", "xat", "xs")).select(F.least("x", "d").alias("a"), F.greatest("x", "d").alias("b")).distinct())
-    return found.unionByName(_verified(cross, table, percent, "ngram-links"))
+    return found.unionByName(_verified(cross, signed, percent, "ngram-links"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id``, a row per document."""
     table = token_table(docs, size, percent)
-    comp = components(links(table, percent), "ngram-classes")
+    comp = components(links(signed_table(table, percent), percent), "ngram-classes")
     groups = (table.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
     classes = (groups.join(comp, groups["rep"] == comp["node"], "left")
                .select("n", "s1", "s2", F.coalesce("component", "rep").alias("class")))
