@@ -117,7 +117,7 @@ def with_groups(counts: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
              .select("lang", "source", F.when(~small, F.to_json(F.array("lang", "source")))
                      .when(F.col("n_lang") >= min_rows, F.to_json(F.array("lang")))
                      .when(F.col("n_all") >= min_rows, F.lit("[]")).alias("grp")))
-    return counts.join(names, ["lang", "source"], "left")
+    return counts.join(keep(names, "mcd-groups"), ["lang", "source"], "left")
 
 
 def group_quantile(df: DataFrame, value: Column, width: float, share: float) -> DataFrame:
@@ -172,7 +172,9 @@ def nearest(df: DataFrame, d2: str = "d2", share: float = SHARE) -> DataFrame:
     w = Window.partitionBy("grp")  # BINS rows at most in a group
     run = hist.select("grp", "bin", (F.sum("n").over(w.orderBy("bin")) - F.col("n")).alias("before"),
                       F.sum("n").over(w).alias("all"))
-    cut = run.filter(F.col("before") < F.col("all") * share).groupBy("grp").agg(F.max("bin").alias("cut"))
+    # Written, so its size is known: rows of a group stay where they are unless the table of
+    # groups outgrows Spark's broadcast threshold.
+    cut = keep(run.filter(F.col("before") < F.col("all") * share).groupBy("grp").agg(F.max("bin").alias("cut")), "mcd-cut")
     return binned.join(cut, "grp").filter(F.col("bin") <= F.col("cut"))
 
 
@@ -189,7 +191,8 @@ def with_vectors(counts: DataFrame, median: DataFrame, how: str) -> DataFrame:
 def judge(docs: DataFrame, min_rows: int = MIN_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: the counts, ``base_failed``, ``robust_d2`` (null where no estimate
     applies) and ``kept``."""
-    counts = keep(with_groups(text_counts(docs, carry), min_rows), "mcd-counts")
+    counts = keep(text_counts(docs, carry), "mcd-texts")  # texts are read once; the rest is narrow
+    counts = keep(with_groups(counts, min_rows), "mcd-counts")
     good = counts.filter(~F.col("base_failed") & F.col("grp").isNotNull())
     median = keep(group_quantile(good, F.col("word_chars") / F.col("n_words"), 0.01, 0.5), "mcd-median")
     xs = [f"x{i}" for i in range(DIMS)]
