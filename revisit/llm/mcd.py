@@ -120,9 +120,15 @@ def with_groups(counts: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     return counts.join(keep(names, "mcd-groups"), ["lang", "source"], "left")
 
 
+def _histogram(df: DataFrame) -> DataFrame:
+    """Rows per group and bin, written: else the window that follows would have what every
+    task counted of a group dealt to one task, before it is added up."""
+    return keep(df.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n")), "mcd-histogram")
+
+
 def group_quantile(df: DataFrame, value: Column, width: float, share: float) -> DataFrame:
     """Per group, the upper edge of the histogram bin in which the share is reached."""
-    hist = df.groupBy("grp", F.floor(value / width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    hist = _histogram(df.withColumn("bin", F.floor(value / width)))
     w = Window.partitionBy("grp")
     run = hist.select("grp", "bin", F.sum("n").over(w.orderBy("bin")).alias("run"), F.sum("n").over(w).alias("all"))
     return (run.filter(F.col("run") >= F.ceil(F.col("all") * share)).groupBy("grp")
@@ -168,7 +174,7 @@ def d2_bin(d2: Column) -> Column:
 def nearest(df: DataFrame, d2: str = "d2", share: float = SHARE) -> DataFrame:
     """The rows of each group in the nearest bins that hold the share."""
     binned = df.withColumn("bin", d2_bin(F.col(d2)))
-    hist = binned.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n"))
+    hist = _histogram(binned)
     w = Window.partitionBy("grp")  # BINS rows at most in a group
     run = hist.select("grp", "bin", (F.sum("n").over(w.orderBy("bin")) - F.col("n")).alias("before"),
                       F.sum("n").over(w).alias("all"))
