@@ -15,3 +15,9 @@ def spark():
     s = build_session(master="local[4]", shuffle_partitions=4, driver_memory="4g")
     yield s
     s.stop()
+
+
+@pytest.fixture()
+def rows(spark):
+    """Make a DataFrame from tuples and a schema."""
+    return lambda data, schema: spark.createDataFrame(data, schema)
