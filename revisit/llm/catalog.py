@@ -19,7 +19,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"), size=5, percent=80)
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"), size=5, percent=80, counted=True)
 
 
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,11 +27,16 @@ Steps, all spread by hash:
    lies in the prefix of both for just their two sizes. Proposed pairs are verified on the
    token sets.
 4. Links become components by star contractions.
+5. Where links are counted: all links lie inside components, so every pair of distinct sets
+   of a component is tested. Large components are dealt to blocks of sets, and a task gets
+   two blocks and returns a number per set, never a row per pair. Exact copies count by the
+   size of their group.
 
 Defined results: null, empty or blank text has no tokens and links with nothing; texts
 with fewer words than a shingle are one token; rows that share a ``doc_id`` are one node,
 linked with what any of them links with; a null ``doc_id`` is kept with a null component
-and links with nothing; an empty table gives no rows; other columns are ignored.
+and links with nothing; an empty table gives no rows; other columns are ignored. Link
+counts are of rows: the other rows with a ``doc_id`` whose sets are similar enough.
 """
 
 from __future__ import annotations
@@ -54,6 +59,7 @@ PART = 1_000_000  # tokens of a block batch
 HEAVY = 64  # counts stop here: the order of tokens at least so frequent is by hash
 RARE = 16  # a token in more documents is frequent
 TURNS, TESTS = 2, 2  # turns of tests with one text of a list; tests of a text in a turn
+GROUP, COLUMNS = 256, 4096  # sets of a block whose pairs are tested; tokens compared at once
 SUBGROUP = 8  # a subgroup of frequent tokens per so many tokens of a text
 LOW = np.uint64((1 << 40) - 1)
 
@@ -406,14 +412,86 @@ def links(signed: DataFrame, percent: int = 80) -> DataFrame:
     return found.unionByName(_verified(cross, signed, percent, "ngram-links"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id``, a row per document."""
+def _tally(sets: list[tuple], percent: int) -> list[tuple]:
+    """Links of each set of one pair of blocks: ``n, s1, s2`` and the weight of its partners.
+    Of two different blocks only pairs between them."""
+    n = np.array([x[0] for x in sets], np.int64)
+    weight = np.array([x[3] for x in sets], np.int64)
+    block = np.array([x[4] for x in sets])
+    doc = np.repeat(np.arange(len(sets)), [len(x[5]) for x in sets])
+    _, token, count = np.unique(np.concatenate([x[5] for x in sets]), return_inverse=True, return_counts=True)
+    doc, token = doc[count[token] > 1], token[count[token] > 1]
+    order = np.argsort(token, kind="stable")
+    doc, token = doc[order], token[order]
+    token = np.cumsum(np.append(False, token[1:] != token[:-1])) if len(token) else token
+    left = np.flatnonzero(block == block.min())
+    right = np.flatnonzero(block == block.max())
+    both = np.zeros((len(left), len(right)), np.int64)
+    bounds = np.searchsorted(token, np.arange(0, (int(token[-1]) if len(token) else -1) + COLUMNS + 1, COLUMNS))
+    for lo, hi in itertools.pairwise(bounds.tolist()):
+        if lo < hi:
+            has = np.zeros((len(sets), int(token[hi - 1] % COLUMNS) + 1), np.float32)
+            has[doc[lo:hi], token[lo:hi] % COLUMNS] = 1
+            both += (has[left] @ has[right].T).astype(np.int64)
+    linked = both * 100 >= (n[left][:, None] + n[right] - both) * percent
+    links_of = np.zeros(len(sets), np.int64)
+    if block.min() == block.max():
+        np.fill_diagonal(linked, False)
+        links_of[left] = linked @ weight
+    else:
+        links_of[left] = linked @ weight[right]
+        links_of[right] = weight[left] @ linked
+    return [(*x[:3], k) for x, k in zip(sets, links_of.tolist()) if k]
+
+
+def _tallies(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows ordered by component and pair of blocks, one such group after the other."""
+        def rows():
+            for batch in batches:
+                cols = [batch.column(c).to_pylist() for c in ("class", "lo", "hi", "n", "s1", "s2", "weight", "block")]
+                for *row, toks in zip(*cols, batch.column("toks")):
+                    yield tuple(row[:3]), (*row[3:], toks.values.to_numpy())
+
+        for _, part in itertools.groupby(rows(), key=lambda r: r[0]):
+            out = _tally([r[1] for r in part], percent)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["n", "s1", "s2", "links"])
+    return run
+
+
+def link_counts(table: DataFrame, classes: DataFrame, percent: int = 80) -> DataFrame:
+    """Step 5: ``n, s1, s2, links``, the rows of other sets that each distinct set links
+    with, where there are any. ``classes``: component and number of rows per distinct set."""
+    sets = (table.filter(F.col("toks").isNotNull()).groupBy("n", "s1", "s2").agg(F.first("toks").alias("toks"))
+            .join(classes.select("n", "s1", "s2", "class", "weight"), ["n", "s1", "s2"]))
+    sizes = (sets.groupBy("class").agg(F.count(F.lit(1)).alias("m"), F.sum(F.size("toks")).alias("held")).filter("m > 1")
+             .select("class", F.ceil(F.greatest(F.col("m") / GROUP, F.col("held") / PART)).cast("int").alias("blocks")))
+    dealt = (sets.join(sizes, "class").withColumn("block", F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("class", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+                     "n", "s1", "s2", "weight", "block", "toks"))
+    key = ["class", "lo", "hi"]
+    tallied = (dealt.repartition(shuffle_parts(table.sparkSession), *key).sortWithinPartitions(*key)
+               .mapInArrow(_tallies(percent), "n long, s1 long, s2 long, links long"))
+    return keep(tallied.groupBy("n", "s1", "s2").agg(F.sum("links").alias("links")), "ngram-counts")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, counted: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id``, a row per document; if ``counted`` also
+    ``n_links``, with how many others it links."""
     table = token_table(docs, size, percent)
     comp = components(links(signed_table(table, percent), percent), "ngram-classes")
-    groups = (table.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
+    groups = (table.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2")
+              .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight")))
     classes = (groups.join(comp, groups["rep"] == comp["node"], "left")
-               .select("n", "s1", "s2", F.coalesce("component", "rep").alias("class")))
+               .select("n", "s1", "s2", F.coalesce("component", "rep").alias("class"), "weight"))
+    n_links = []
+    if counted:
+        classes = keep(classes, "ngram-sets")
+        classes = classes.join(link_counts(table, classes, percent), ["n", "s1", "s2"], "left")
+        own = F.col("weight") - 1 + F.coalesce("links", F.lit(0))
+        n_links = [F.when(F.col("doc_id").isNotNull(), F.coalesce(own, F.lit(0))).otherwise(0).cast("bigint").alias("n_links")]
     rows = table.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
-    return out
+    return rows.select("doc_id", F.col("n").alias("n_shingles"),
+                       F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"), *n_links)

@@ -48,6 +48,35 @@ def test_given_documents(spark):
     check(docs, [(r.doc_id, r.text) for r in docs.collect()])
 
 
+def check_counts(df, data):
+    """Links of every row, over all pairs of rows."""
+    sets = [(i, token_set(t)) for i, t in data]
+    want = []
+    for k, (i, a) in enumerate(sets):
+        n = 0
+        for j, (o, b) in enumerate(sets):
+            if j != k and i is not None and o is not None and a and b and min(len(a), len(b)) * 5 >= max(len(a), len(b)) * 4:
+                both = len(a & b)
+                n += 100 * both >= 80 * (len(a) + len(b) - both)
+        want.append((i is not None, i or 0, n))
+    got = ngram_join.near_duplicates(df, counted=True).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_links) for r in got) == sorted(want)
+    return max(n for *_, n in want)
+
+
+@pytest.mark.parametrize("group", [ngram_join.GROUP, 16])
+def test_links_are_counted(spark, monkeypatch, group):
+    monkeypatch.setattr(ngram_join, "GROUP", group)
+    data = corpus(4)
+    data += [(2000 + i, data[i % 40][1]) for i in range(60)] + [(None, data[0][1]), (2001, data[1][1]), (2002, "other words here")]
+    assert check_counts(spark.createDataFrame(data, SCHEMA).repartition(3), data) > 30
+
+
+def test_links_of_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    check_counts(docs, [(r.doc_id, r.text) for r in docs.collect()])
+
+
 def prose(rng, n, vocabulary=4000):
     return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
 
