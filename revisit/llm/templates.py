@@ -8,7 +8,8 @@ the matches of a document and an item are grouped by alignment (position in the
 minus position in the item), and within an alignment the slots must agree: the same
 value of the item always stands where the same value of the document stands, and the
 other way round. So a question whose numbers, names or units were replaced throughout is
-found, and a chance meeting of frames is not. A document is reported with an item when
+found, and a chance meeting of frames is not. Windows whose slots hold the item's own values
+count also where other slots of their alignment do not agree. A document is reported with an item when
 the consistent alignments hold ``SHARE`` of the item's templates.
 
 Tasks compute windows of whole texts in numpy and keep those whose hash a template has.
@@ -171,14 +172,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, bl
                          F.col("slots").alias("item_slots"), F.col("total").alias("n_templates"))
     pairs = found.distinct().join(right, ["size", "hash"]).select(
         F.col("id").alias("doc_id"), "item_id", (F.col("at") - F.col("item_at")).alias("offset"), "item_at", "n_templates",
+        F.when(F.col("item_slots") == F.col("slots"), F.col("item_at")).alias("same_at"),
         F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("slots"))
     # A window gives few slots, an alignment no more than the item has words.
     aligned = (pairs.groupBy("doc_id", "item_id", "n_templates", "offset")
-               .agg(F.collect_set("item_at").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")))
+               .agg(F.collect_set("item_at").alias("at"), F.collect_set("same_at").alias("same_at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")))
     same = (F.size("slots") == F.size(F.array_distinct("slots.i"))) & (F.size("slots") == F.size(F.array_distinct("slots.d")))
-    replaced = F.size(F.filter("slots", lambda s: s["i"] != s["d"]))
+    replaced = F.when(same, F.size(F.filter("slots", lambda s: s["i"] != s["d"]))).otherwise(0)
     matched = F.size(F.array_distinct(F.flatten(F.collect_set("at")))).cast("bigint")
-    return (aligned.filter(same).groupBy("doc_id", "item_id", "n_templates")
+    # One slot that does not agree leaves the windows whose slots are the item's own.
+    aligned = aligned.withColumn("at", F.when(same, F.col("at")).otherwise(F.col("same_at"))).filter(F.size("at") > 0)
+    return (aligned.groupBy("doc_id", "item_id", "n_templates")
             .agg(matched.alias("n_matched"), F.min(replaced).cast("bigint").alias("n_replaced"))
             .filter(F.col("n_matched") >= F.greatest(F.col("n_templates") * share, F.least(F.col("n_templates"), F.lit(3))))
             .select("doc_id", "item_id", "n_templates", "n_matched",

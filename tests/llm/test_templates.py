@@ -68,3 +68,13 @@ def test_odd_rows(rows):
     items = items.withColumn("doc_id", F.lit(9)).withColumn("hash", F.lit(9))
     assert set(found(docs, items)) == {(1, 4), (1, 5), (6, 4), (6, 5)}
     assert found(docs.limit(0), items) == {} and found(docs, items.limit(0)) == {}
+
+
+def test_one_edited_value_leaves_the_other_windows(rows):
+    """Equal numbers of the item, one of them edited: the rest is word for word."""
+    text = "Every morning the baker fills 5 baskets with rolls before the shop opens and later that day a driver brings 5 crates of pears to the old market hall."
+    items = rows([(1, text)], ITEM)
+    docs = rows([(1, text.replace("5 crates", "6 crates")), (2, text), (3, text.replace("5", "6"))], DOC)
+    got = found(docs, items)
+    assert set(got) == {(1, 1), (2, 1), (3, 1)}
+    assert [got[i, 1].n_replaced for i in (1, 2, 3)] == [0, 0, 1] and got[1, 1].n_matched < got[2, 1].n_matched
