@@ -42,7 +42,7 @@ address article aside blockquote body button caption center dd details dialog di
 footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section
 select summary table tbody td tfoot th thead tr ul
 """.split())
-SILENT = frozenset("head iframe math noembed noframes noscript object script style svg template textarea title".split())
+SILENT = frozenset("head iframe noembed noframes noscript script style svg template textarea title".split())
 RAW = frozenset("iframe noembed noframes script style textarea title".split())  # no markup inside
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -66,7 +66,8 @@ HINTS = {
 _HINT = {k: re.compile(v) for k, v in HINTS.items()}
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*(?:>|\Z)""", re.S)
 _OPEN_END = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
-_ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+# One attribute after the other: names are whole, and no value is read as a name.
+_ATTR = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 
 
 def _named(tag: str, attributes: str) -> tuple[list[str], bool]:

@@ -96,3 +96,21 @@ def test_odd_pages(rows, field):
     assert [text[i] for i in (1, 2, 4, 5)] == ["", "", "", ""] and text[6] == "a &am" and text[7] == "x <b> é 😀"
     assert text[8].count("\n") == 29_999 and text[None] == "A b." and text[12] == "1 < 2 and 3 > 2."
     assert crf.extract(rows([], SCHEMA), field).collect() == []
+
+
+@pytest.mark.parametrize("markup", ['<a href="/hidden-valley">', "<a href=/hidden>", "<a title='the hidden side'>", '<a data-hidden="false">',
+                                    '<a alt="x style=display:none">', '<a data-aria-hidden="true" data-style="display:none">'])
+def test_only_whole_attribute_names_hide(markup):
+    assert [b[0] for b in crf.blocks(f"<body><p>before {markup}inside</a> after</p></body>")] == ["before inside after"]
+
+
+def test_hidden_elements_and_hints():
+    for markup in ("hidden", 'HIDDEN=""', "aria-hidden=true", "style='display: none'", 'title="a" hidden', "data-x hidden"):
+        assert [b[0] for b in crf.blocks(f"<p>before <b {markup}>inside</b> after</p>")] == ["before after"]
+    assert crf._named("div", ' data-id="sidebar" data-class="nav" data-role="x"') == ([], False)
+    assert crf._named("div", ' ID=sidebar CLASS="nav" role=main')[0] == ["role:main", "hint:nav", "hint:side"]
+
+
+def test_formulas_and_objects_are_text():
+    page = "<p>so <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds</p><object data=x><p>a description</p></object>"
+    assert [b[0] for b in crf.blocks(page)] == ["so E=m holds", "a description"]
