@@ -124,13 +124,15 @@ def _pairs(texts: list[np.ndarray], n: int) -> np.ndarray:
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    wide = len(x) and int(x.max()) > 255
-    return (b"\4" if wide else b"\1") + x.astype("<u4" if wide else "u1").tobytes()
+    """Counts in as many bytes as the largest needs (1, 4 or 8), after that width."""
+    top = int(x.max()) if x.size else 0
+    size = 1 if top < 1 << 8 else 4 if top < 1 << 32 else 8
+    return bytes([size]) + x.astype(f"<u{size}").tobytes()
 
 
 def _wide(raw: memoryview, n: int) -> tuple[np.ndarray, int]:
     size = raw[0]
-    return np.frombuffer(raw, "<u4" if size == 4 else "u1", n, 1).astype(np.int64), 1 + size * n
+    return np.frombuffer(raw, f"<u{size}", n, 1).astype(np.int64), 1 + size * n
 
 
 def _pack48(x: np.ndarray) -> bytes:
@@ -183,19 +185,20 @@ def _read_pairs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _store(path: str, keys: np.ndarray, values: np.ndarray) -> None:
     """Sorted keys and their values in one file, put in place at once."""
+    size = 4 if not values.size or int(values.max()) < 1 << 32 else 8
     part = f"{path}.{os.getpid()}.{os.urandom(4).hex()}"
     with open(part, "wb") as f:
-        f.write(np.array([len(keys), values.shape[1]], "<u8").tobytes())
+        f.write(np.array([len(keys), values.shape[1], size], "<u8").tobytes())
         f.write(keys.astype("<u8").tobytes())
-        f.write(values.astype("<u4").tobytes())
+        f.write(values.astype(f"<u{size}").tobytes())
     os.replace(part, path)
 
 
 def _open(path: str) -> tuple[np.ndarray, np.ndarray]:
     """Memory-mapped keys and values."""
     raw = np.memmap(path, np.uint8, "r")
-    n, k = raw[:16].view("<u8").tolist()
-    return raw[16:16 + 8 * n].view("<u8"), raw[16 + 8 * n:].view("<u4").reshape(n, k)
+    n, k, size = raw[:24].view("<u8").tolist()
+    return raw[24:24 + 8 * n].view("<u8"), raw[24 + 8 * n:].view(f"<u{size}").reshape(n, k)
 
 
 def _add_up(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +223,7 @@ def _merge(groups: int, folder: str):
         target = spot(h[first], groups)
         for b in np.unique(target).tolist():
             own = target == b
-            rows.append((b, _HISTORY, h[first][own].tobytes() + stats[own].astype("<u4").tobytes()))
+            rows.append((b, _HISTORY, np.uint32(np.count_nonzero(own)).tobytes() + h[first][own].tobytes() + _narrow(stats[own])))
         real = h != END
         h, w, c = h[real], w[real], c[real]
         if len(h):
@@ -251,9 +254,9 @@ def _words(folder: str):
         counts = np.zeros(4, np.int64)
         for kind, raw in zip(group.column("kind").to_pylist(), group.column("payload").to_pylist()):
             if kind == _HISTORY:
-                n = len(raw) // 24
-                hs.append(np.frombuffer(raw, "<u8", n))
-                stats.append(np.frombuffer(raw, "<u4", offset=8 * n).reshape(n, 4).astype(np.int64))
+                n = int(np.frombuffer(raw, "<u4", 1)[0])
+                hs.append(np.frombuffer(raw, "<u8", n, 4))
+                stats.append(_wide(memoryview(raw)[4 + 8 * n:], 4 * n)[0].reshape(n, 4))
             elif kind == _CONT:
                 view = memoryview(raw)
                 n = int(np.frombuffer(view, "<u4", 1)[0])

@@ -97,3 +97,18 @@ def test_held_out_text_is_better_than_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = kn.score(docs, kn.fit(docs)).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]
+
+
+def test_counts_beyond_32_bits(tmp_path):
+    """A pair and its history, counted more often than 32 bits hold, keep their counts."""
+    import numpy as np
+    import pyarrow as pa
+    h, w = np.array([kn.START + np.uint64(1)], np.uint64), np.array([7], np.uint64)
+    many = 5_000_000_000
+    block = lambda c: np.array([1, 1], "<u4").tobytes() + h.tobytes() + kn._narrow(np.array([1])) + kn._narrow(np.array([c])) + kn._pack48(w)
+    group = lambda payloads: pa.table({"bucket": pa.array([0] * len(payloads), pa.int64()), "payload": pa.array(payloads, pa.binary())})
+    sent = kn._merge(1, str(tmp_path))(group([block(many), block(3)]))
+    totals = kn._words(str(tmp_path))(sent).to_pylist()[0]
+    assert totals["tokens"] == many + 3
+    assert kn._open(f"{tmp_path}/pairs-0")[1].tolist() == [[many + 3]]
+    assert kn._open(f"{tmp_path}/words-0")[1].tolist() == [[many + 3, 0, 0, 1, 0]]
