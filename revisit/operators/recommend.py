@@ -132,13 +132,14 @@ def als_recommend(folded: DataFrame, n: int = N_RECS, rank: int = ALS_RANK, max_
 
 def popular_recommend(folded: DataFrame, n: int = N_RECS, candidates: int = 2 * N_RECS,
                       algorithm: str = "Popular") -> DataFrame:
-    """per fold, the ``n`` most popular items that a test user has not in train, out of
-    the fold's ``candidates`` most popular. Rows ``algorithm, fold, user, item, rank``.
+    """per fold, the ``n`` most popular items that a test user has not in train.
+    Rows ``algorithm, fold, user, item, rank``.
 
     Popularity is an item's number of train rows in the fold (all rows but the fold's test
     rows); ties go to the smaller item. A deterministic baseline of the same shape as
-    ``als_recommend``: the candidate list of a fold (a fixed number of items) is an array,
-    so users meet it without a cross join.
+    ``als_recommend``: the list of a fold's ``candidates`` most popular items is an array,
+    so users meet it without a cross join. A user with more than ``candidates - n`` train
+    rows gets a longer list: ``n`` and the user's train rows, up to a power of two.
     """
     held = folded.filter("is_test").groupBy("item", "fold").agg(F.count(F.lit(1)).alias("h"))
     folds = folded.select("fold").distinct()
@@ -147,11 +148,22 @@ def popular_recommend(folded: DataFrame, n: int = N_RECS, candidates: int = 2 *
     per_fold = (total.withColumn("fold", F.explode(numbers)).join(held, ["item", "fold"], "left")
                 .withColumn("c", F.col("c") - F.coalesce("h", F.lit(0))).filter("c > 0"))
     w = Window.partitionBy("fold").orderBy(F.desc("c"), "item")  # limited to the first rows before the shuffle
-    best = (per_fold.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= candidates).groupBy("fold")
-            .agg(F.array_sort(F.collect_list(F.struct("r", "item"))).alias("best")))
-    users = folded.filter("is_test").select("user", "fold").distinct().join(best, "fold")
-    lists = users.select("user", "fold", F.explode("best").alias("b")).select("user", "fold", "b.r", "b.item")
     train = folded.filter(~F.col("is_test")).select("user", "item")  # a user's other rows are in train in every fold
+    users = folded.filter("is_test").select("user", "fold").distinct()
+    rows = (train.groupBy("user").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > candidates - n)
+            .select("user", F.pow(F.lit(2), F.ceil(F.log2(F.col("rows") + n))).cast("int").alias("depth")))
+    # distinct list sizes: powers of two up to the longest history (a handful)
+    depths = sorted(d for (d,) in rows.select(F.greatest("depth", F.lit(candidates))).distinct().collect())
+    if depths:
+        users = users.join(rows, "user", "left")
+    depth = F.greatest(F.col("depth"), F.lit(candidates)) if depths else F.lit(candidates)
+    users = users.select("user", "fold", depth.alias("depth"))
+    sizes = sorted({candidates, *depths})
+    ranked = per_fold.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= sizes[-1])
+    best = (ranked.withColumn("depth", F.explode(F.array(*map(F.lit, sizes)))).filter("r <= depth").groupBy("fold", "depth")
+            .agg(F.array_sort(F.collect_list(F.struct("r", "item"))).alias("best")))
+    lists = (users.join(best, ["fold", "depth"]).select("user", "fold", F.explode("best").alias("b"))
+             .select("user", "fold", "b.r", "b.item"))
     left = lists.join(train, ["user", "item"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("user", "fold").orderBy("r")).cast("bigint")
     return left.withColumn("rank", rank).filter(F.col("rank") <= n).select(

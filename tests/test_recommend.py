@@ -71,3 +71,26 @@ def test_folds_with_min_items_equal_filter_then_folds(spark):
     b = recommend.user_folds(r, min_items=1).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
     assert all(x["user"] != 900 for x in b)
+
+
+def test_popular_lists_are_whole(spark):
+    """Users who have most of the popular items get the next ones, down to the last item."""
+    rnd = random.Random(4)
+    n_items, n, candidates = 60, 10, 15
+    rows = {(u, i) for u in range(60) for i in rnd.sample(range(n_items), rnd.randrange(2, 6))}
+    rows |= {(100, i) for i in range(45)} | {(101, i) for i in range(56)} | {(102, i) for i in range(20)} | {(103, i) for i in range(n_items)}
+    folded = recommend.user_folds(spark.createDataFrame([(*r, 3) for r in sorted(rows)], "user long, item long, rating long"))
+    data = folded.collect()
+    want = set()
+    for fold in {r["fold"] for r in data}:
+        count = {}
+        for r in data:
+            if not (r["is_test"] and r["fold"] == fold):
+                count[r["item"]] = count.get(r["item"], 0) + 1
+        order = sorted(count, key=lambda i: (-count[i], i))
+        for u in {r["user"] for r in data if r["fold"] == fold}:
+            train = {r["item"] for r in data if r["user"] == u and not r["is_test"]}
+            want |= {(fold, u, i, k + 1) for k, i in enumerate([i for i in order if i not in train][:n])}
+    got = [(r["fold"], r["user"], r["item"], r["rank"]) for r in recommend.popular_recommend(folded, n=n, candidates=candidates).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sum(u == 100 for _, u, _, _ in got) == n
