@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revisit.llm import chat, hilbert, html_crf, kneser_ney, licences, mcd, ngram_join, sentencepiece_bpe, templates, warc
+from revisit.llm import chat, hilbert, html_crf, kneser_ney, licences, mcd, ngram_join, sentencepiece_bpe, simhash_trie, templates, warc
 from revisit.llm.shared import new_folder
 
 
@@ -67,9 +67,13 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score(docs, kneser_ney.fit(docs))
 
 
+def op13_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trie.near_duplicates(read(spark, sf_dir, "documents"), size=4, errors=4)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard, op2_hilbert_shards, op3_html_crf, op4_sentencepiece, op5_warc, op6_templates,
-    op7_chat_format, op8_robust_outliers, op9_licences, op10_kneser_ney)}
+    op7_chat_format, op8_robust_outliers, op9_licences, op10_kneser_ney, op13_simhash_trie)}
 
 SQL = {
     "op7_chat_format": r"""
