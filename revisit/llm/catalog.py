@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revisit.llm import chat, hilbert, html_crf, kneser_ney, licences, mcd, ngram_join, sentencepiece_bpe, simhash_trie, templates, warc
+from revisit.llm import chat, hilbert, html_crf, kneser_ney, licences, mcd, ngram_join, prefix_trie, sentencepiece_bpe, simhash_trie, templates, warc
 from revisit.llm.shared import new_folder
 
 
@@ -67,13 +67,18 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score(docs, kneser_ney.fit(docs))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(prefix_trie.grouped_by_five(read(spark, sf_dir, "conversations")))
+
+
 def op13_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(read(spark, sf_dir, "documents"), size=4, errors=4)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard, op2_hilbert_shards, op3_html_crf, op4_sentencepiece, op5_warc, op6_templates,
-    op7_chat_format, op8_robust_outliers, op9_licences, op10_kneser_ney, op13_simhash_trie)}
+    op7_chat_format, op8_robust_outliers, op9_licences, op10_kneser_ney, op12_prefix_trie,
+    op13_simhash_trie)}
 
 SQL = {
     "op7_chat_format": r"""
@@ -91,4 +96,40 @@ SELECT conv_id, count(*) AS n_turns,
     + length(replace(replace(text, '\', '\0'), '<|', '<\|'))) AS BIGINT) AS formatted_chars,
   regexp_full_match(string_agg(role || ';', '' ORDER BY turn, role, text), '(system;)?(user;assistant;)+') AS valid
 FROM rows GROUP BY conv_id""",
+    "op12_prefix_trie": r"""
+WITH RECURSIVE own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+digits AS (
+  SELECT c, CAST(c AS VARCHAR) AS s, list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(c AS VARCHAR), i, 1)) AS BIGINT)) AS b
+  FROM (SELECT DISTINCT c FROM own)),
+heads AS (
+  SELECT c, c - c % 5 AS base, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], b),
+    lambda a, x: list_reduce(list_concat([xor(a, x)], [CAST(0 AS BIGINT)] || [0, 0, 0, 0, 0, 0, 0]),
+      lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y >> 1, CAST(3988292384 AS BIGINT)) ELSE y >> 1 END)), CAST(4294967295 AS BIGINT)) % 9 AS h
+  FROM digits),
+mixed AS (
+  SELECT d.c, 0 AS seg, o.pos, o.role, o.text FROM heads d JOIN own o ON o.c = d.base AND o.pos < d.h
+  UNION ALL SELECT d.c, 1, o.pos, o.role, o.text FROM heads d JOIN own o ON o.c = d.c AND o.pos >= d.h),
+rebuilt AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY seg, pos) AS d FROM mixed),
+sizes AS (SELECT h.c, count(r.c) AS len FROM heads h LEFT JOIN rebuilt r ON r.c = h.c GROUP BY h.c),
+paths AS (
+  SELECT c, CAST(0 AS BIGINT) AS d, md5('') AS k, CAST(NULL AS VARCHAR) AS p, CAST(0 AS BIGINT) AS bytes FROM sizes
+  UNION ALL
+  SELECT r.c, r.d, md5(p.k || length(r.role) || ':' || r.role || r.text), p.k, CAST(octet_length(encode(r.text)) AS BIGINT)
+  FROM paths p JOIN rebuilt r ON r.c = p.c AND r.d = p.d + 1),
+nodes AS (
+  SELECT k, d, min(p) AS p, min(c) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes FROM paths GROUP BY k, d),
+above AS (
+  SELECT k, k AS top FROM nodes
+  UNION ALL SELECT a.k, n.p FROM above a JOIN nodes n ON n.k = a.top WHERE n.p IS NOT NULL),
+kids AS (SELECT p AS k, count(*) AS n FROM nodes WHERE p IS NOT NULL GROUP BY p),
+sums AS (
+  SELECT a.top AS k, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n.n_convs - 1) * n.bytes) AS saved
+  FROM above a JOIN nodes n ON n.k = a.k LEFT JOIN kids ON kids.k = a.k GROUP BY a.top),
+ends AS (SELECT p.k, string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) AS ids FROM paths p JOIN sizes s ON s.c = p.c AND s.len = p.d GROUP BY p.k)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children,
+  CAST(sums.leaves AS BIGINT) AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes u ON u.k = n.p LEFT JOIN kids ON kids.k = n.k JOIN sums ON sums.k = n.k LEFT JOIN ends ON ends.k = n.k""",
 }
