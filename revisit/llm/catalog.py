@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revisit.llm import chat, hilbert, html_crf, kneser_ney, licences, mcd, ngram_join, prefix_trie, sentencepiece_bpe, simhash_trie, templates, warc
+from revisit.llm import chat, hilbert, html_crf, kneser_ney, licences, mcd, ngram_join, phrases, prefix_trie, sentencepiece_bpe, simhash_trie, templates, warc
 from revisit.llm.shared import new_folder
 
 
@@ -67,6 +67,10 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score(docs, kneser_ney.fit(docs))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"), least=30, longest=4, top=2000)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(prefix_trie.grouped_by_five(read(spark, sf_dir, "conversations")))
 
@@ -77,7 +81,7 @@ def op13_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard, op2_hilbert_shards, op3_html_crf, op4_sentencepiece, op5_warc, op6_templates,
-    op7_chat_format, op8_robust_outliers, op9_licences, op10_kneser_ney, op12_prefix_trie,
+    op7_chat_format, op8_robust_outliers, op9_licences, op10_kneser_ney, op11_phrases, op12_prefix_trie,
     op13_simhash_trie)}
 
 SQL = {
@@ -96,6 +100,32 @@ SELECT conv_id, count(*) AS n_turns,
     + length(replace(replace(text, '\', '\0'), '<|', '<\|'))) AS BIGINT) AS formatted_chars,
   regexp_full_match(string_agg(role || ';', '' ORDER BY turn, role, text), '(system;)?(user;assistant;)+') AS valid
 FROM rows GROUP BY conv_id""",
+    "op11_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+places AS (SELECT lang, w, CAST(unnest(range(1, len(w) + 1)) AS BIGINT) AS i FROM w),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM places, (VALUES (1), (2), (3), (4)) v(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.k, j.j, l.f AS l, r.f AS r,
+    CAST((CAST(2000000 AS HUGEINT) * c.a) // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+  FROM c, (VALUES (1), (2), (3)) j(j), f l, f r
+  WHERE j.j < c.k AND l.lang = c.lang AND r.lang = c.lang
+    AND l.phrase = array_to_string(c.w[1:j.j], ' ') AND r.phrase = array_to_string(c.w[j.j + 1:c.k], ' ')),
+low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM cuts),
+over AS (
+  SELECT c.lang, array_to_string(c.w[p.i:p.i + v.s - 1], ' ') AS phrase, max(c.a) AS a
+  FROM c, (VALUES (2), (3)) v(s), (VALUES (1), (2), (3)) p(i) WHERE v.s < c.k AND p.i + v.s - 1 <= c.k GROUP BY 1, 2),
+hidden AS (SELECT c.lang, c.phrase FROM c JOIN over o USING (lang, phrase) WHERE CAST(100 AS HUGEINT) * o.a >= CAST(80 AS HUGEINT) * c.a),
+ranked AS (
+  SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM low WHERE o = 1 AND NOT EXISTS (SELECT 1 FROM hidden h WHERE h.lang = low.lang AND h.phrase = low.phrase))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
     "op12_prefix_trie": r"""
 WITH RECURSIVE own AS (
   SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,

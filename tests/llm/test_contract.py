@@ -19,6 +19,7 @@ CONTRACT = {
                                           "base_failed": B, "kept": B}),
     "op9_licences": ("documents", {"doc_id": L, "n_words": L, "n_base": L, "first_word": L, "last_word": L, "base_labels": S, "labels": S, "score": F8}),
     "op10_kneser_ney": ("documents", {"doc_id": L, "held_out": B, "n_tokens": L, "n_known": L, "train_tokens": L, "base_score": F8, "score": F8}),
+    "op11_phrases": (None, {"lang": S, "rank": L, "phrase": S, "a": L, "l": L, "r": L, "n": L, "score": L}),
     "op12_prefix_trie": (None, {"conv_id": L, "depth": L, "parent_conv_id": L, "n_convs": L, "n_children": L, "n_leaves": L,
                                 "saved_tokens": L, "ends_sha256": S}),
     "op13_simhash_trie": ("documents", {"doc_id": L, "fingerprint": S, "component_id": L}),
