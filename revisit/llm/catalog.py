@@ -109,14 +109,14 @@ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
 n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
 places AS (SELECT lang, w, CAST(unnest(range(1, len(w) + 1)) AS BIGINT) AS i FROM w),
 grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM places, (VALUES (1), (2), (3), (4)) v(k) WHERE i + k - 1 <= len(w)),
-f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY 1, 2, 3 HAVING count(*) >= 30),
-c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+parts AS MATERIALIZED (
+  SELECT c.lang, c.phrase, c.a, j.j, array_to_string(c.w[1:j.j], ' ') AS head, array_to_string(c.w[j.j + 1:c.k], ' ') AS tail
+  FROM c, (VALUES (1), (2), (3)) j(j) WHERE j.j < c.k),
 cuts AS (
-  SELECT c.lang, c.phrase, c.a, c.k, j.j, l.f AS l, r.f AS r,
-    CAST((CAST(2000000 AS HUGEINT) * c.a) // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
-  FROM c, (VALUES (1), (2), (3)) j(j), f l, f r
-  WHERE j.j < c.k AND l.lang = c.lang AND r.lang = c.lang
-    AND l.phrase = array_to_string(c.w[1:j.j], ' ') AND r.phrase = array_to_string(c.w[j.j + 1:c.k], ' ')),
+  SELECT p.lang, p.phrase, p.a, p.j, l.f AS l, r.f AS r, CAST((CAST(2000000 AS HUGEINT) * p.a) // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+  FROM parts p JOIN f l ON l.lang = p.lang AND l.phrase = p.head JOIN f r ON r.lang = p.lang AND r.phrase = p.tail),
 low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM cuts),
 over AS (
   SELECT c.lang, array_to_string(c.w[p.i:p.i + v.s - 1], ' ') AS phrase, max(c.a) AS a
