@@ -46,7 +46,7 @@ from revisit.llm.words import as_bytes, mix
 
 LEAST = 30  # occurrences of a candidate
 LONGEST = 4  # words
-SHARDS = 4
+SHARDS = 3
 SLOTS = 1 << 23  # bytes of a table of reached phrases; some eight times their number
 PART = 8 << 20  # bytes of text that a task counts at once
 SALTS = 8  # copies of the counts that phrases meet their parts in
