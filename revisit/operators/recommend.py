@@ -79,23 +79,20 @@ def dense_ids(df: DataFrame, col: str, out: str) -> DataFrame:
 
 def als_recommend(folded: DataFrame, n: int = N_RECS, rank: int = ALS_RANK, max_iter: int = 20,
                   reg: float = 0.1, alpha: float = 40.0, seed: int = 42,
-                  algorithm: str = "ImplicitALS", min_margin: int = 64, n_folds: int = N_FOLDS) -> DataFrame:
+                  algorithm: str = "ImplicitALS", n_folds: int = N_FOLDS) -> DataFrame:
     """J6 + J7: per fold, fit implicit ALS on the train rows and recommend ``n``
     unrated items to the fold's test users. Rows ``algorithm, fold, user, item, rank, score``.
 
     ``user`` and ``item`` may be of any type; they are numbered densely for the fits
     (Spark's ALS wants integers) and the lists carry the original ids. Ratings are
-    treated as implicit (all 1, confidence weight ``alpha``). Items the user has in
-    train are excluded exactly: a user with ``m`` train items is asked for
-    ``n + m'`` items (``m'`` = ``m`` rounded up to a power of two) and the train
-    items are then removed. ``m'`` is at least ``min_margin`` (one call serves almost
-    every user); above it users are grouped by ``m'``, so list sizes stay linear in
-    the train rows even for a huge history. Runs the fits eagerly; the id tables, the
-    folds and the returned lists are checkpointed (shared ``spark.checkpoint.dir``),
-    so later metrics do not refit.
+    treated as implicit (all 1, confidence weight ``alpha``). The lists are exact top lists
+    by the models' factors without the user's train items (``factors.top_products``). Runs
+    the fits eagerly; the id tables, the folds and the returned lists are checkpointed (shared
+    ``spark.checkpoint.dir``), so later metrics do not refit.
     """
     from pyspark.ml.recommendation import ALS
 
+    from revisit.operators.factors import top_products
     from revisit.session import ensure_checkpoint_dir
 
     spark = folded.sparkSession
@@ -105,27 +102,17 @@ def als_recommend(folded: DataFrame, n: int = N_RECS, rank: int = ALS_RANK, max_
     out = None
     for f in range(n_folds):  # one model per fold: the loop is over the fold parameter
         train = folded.filter(~(F.col("is_test") & (F.col("fold") == f))).select("u", "i")
-        test_users = folded.filter(F.col("is_test") & (F.col("fold") == f)).select("u").distinct()
-        sizes = (train.join(test_users, "u", "left_semi").groupBy("u").count()
-                 .select("u", F.greatest(F.lit(min_margin), F.pow(F.lit(2), F.ceil(F.log2(F.col("count")))))
-                         .cast("bigint").alias("m")))
+        asked = folded.filter(F.col("is_test") & (F.col("fold") == f)).select("u").distinct()
         als = ALS(rank=rank, maxIter=max_iter, regParam=reg, alpha=alpha, implicitPrefs=True,
                   userCol="u", itemCol="i", ratingCol="r", seed=seed, coldStartStrategy="drop")
         model = als.fit(train.withColumn("r", F.lit(1.0)))
-        # distinct list sizes: powers of two up to the longest history (a handful)
-        margins = sorted(r[0] for r in sizes.select("m").distinct().collect())
-        for m in margins:
-            recs = model.recommendForUserSubset(sizes.filter(F.col("m") == m).select("u"), n + int(m))
-            flat = recs.select("u", F.posexplode("recommendations").alias("pos", "rec")).select(
-                "u", F.col("rec.i").alias("i"), F.col("rec.rating").alias("score"), "pos")
-            flat = flat.join(train, ["u", "i"], "left_anti")
-            w = Window.partitionBy("u").orderBy(F.col("pos"))
-            top = flat.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= n)
-            top = top.select(F.lit(algorithm).alias("algorithm"), F.lit(f).cast("bigint").alias("fold"),
-                             "u", "i", "rank", "score")
-            out = top if out is None else out.unionByName(top)
+        mine = model.userFactors.select(F.col("id").alias("u"), F.col("features").alias("vec")).join(asked, "u", "left_semi")
+        theirs = model.itemFactors.select(F.col("id").alias("i"), F.col("features").alias("vec"))
+        top = top_products(mine, theirs, train.join(asked, "u", "left_semi"), n, numbered=True)
+        top = top.select(F.lit(algorithm).alias("algorithm"), F.lit(f).cast("bigint").alias("fold"), "u", "i", "rank", "score")
+        out = top if out is None else out.unionByName(top)
     if out is None:
-        out = spark.createDataFrame([], "algorithm string, fold bigint, u int, i int, rank bigint, score float")
+        out = spark.createDataFrame([], "algorithm string, fold bigint, u int, i int, rank bigint, score double")
     out = out.join(users, "u").join(items, "i").select("algorithm", "fold", "user", "item", "rank", "score")
     return out.checkpoint()  # reliable: written to spark.checkpoint.dir
 

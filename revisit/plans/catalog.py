@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revisit.operators import counts, courses, intervals, quality, recommend, report, sequences
+from revisit.operators import counts, courses, factors, intervals, neighbours, quality, recommend, report, sequences
 from revisit.plans import pipelines
 from revisit.plans.oracle import PIVOT_ITEMS, REP_THRESH, ROW_IDS
 from revisit.schemas import ADJUSTED_BINS, GAP_QUANTILES, MIN_ITEMS, RAW_BINS, REP_COL, RUN_COL, SESSION_COL
@@ -546,6 +546,57 @@ def q_metrics_fixed(spark, sf_dir):
     return out.select("algorithm", "discount", *[F.round(c, 9).alias(c) for c in ("ndcg", "precision", "recall")])
 
 
+def _folded(spark, sf_dir):
+    """Folds of the filtered ratings, written: several branches read them."""
+    ensure_checkpoint_dir(spark)
+    return recommend.user_folds(_ratings(spark, sf_dir), min_items=MIN_ITEMS).checkpoint()
+
+
+@register
+def q_item_knn(spark, sf_dir):
+    """The top 100 unrated items of every test user, by the 10 nearest of the user's items."""
+    prepare(spark)
+    return neighbours.knn_recommend(_folded(spark, sf_dir), by="item")
+
+
+@register
+def q_user_knn(spark, sf_dir):
+    """The top 100 unrated items of every test user, by the 10 nearest users that rated them."""
+    prepare(spark)
+    return neighbours.knn_recommend(_folded(spark, sf_dir), by="user")
+
+
+@register
+def q_metrics_knn(spark, sf_dir):
+    """J8 and D11 of both neighbourhood recommenders, in both discount modes."""
+    prepare(spark)
+    folded = _folded(spark, sf_dir)
+    recs = neighbours.knn_recommend(folded, by="item").unionByName(neighbours.knn_recommend(folded, by="user")).checkpoint()
+    test = folded.filter("is_test").select("user", "item")
+    modes = [recommend.mean_metrics(recommend.topn_metrics(recs, test, k=10, discount=m)).withColumn("discount", F.lit(m))
+             for m in ("library", "textbook")]
+    out = modes[0].unionByName(modes[1])
+    return out.select("algorithm", "discount", *[F.round(c, 9).alias(c) for c in ("ndcg", "precision", "recall")])
+
+
+@register
+def q_top_factors(spark, sf_dir):
+    """Exact top 20 unrated items of every user by the inner product of given factors."""
+    prepare(spark)
+    r = _filtered_ratings(spark, sf_dir).select(F.col("user").alias("u"), F.col("item").alias("i"))
+    top = factors.top_products(factors.hashed_factors(r, "u", 4), factors.hashed_factors(r, "i", 4, seed=7), r, n=20, block=32)
+    return top.select(F.col("u").alias("user"), F.col("i").alias("item"), "rank", "score")
+
+
+@register
+def q_als_step(spark, sf_dir):
+    """One half-step of implicit ALS from a start that depends on the ids, three features."""
+    prepare(spark)
+    r = _filtered_ratings(spark, sf_dir).select(F.col("user").alias("u"), F.col("item").alias("i"), "rating")
+    x = factors.als_half_step(r, factors.hashed_factors(r, "i", 3), weight="rating")
+    return x.select(F.col("u").alias("user"), *[F.round(F.col("vec")[f], 9).alias(f"x{f}") for f in range(3)])
+
+
 @register
 def q_als(spark, sf_dir):
     prepare(spark)
@@ -612,6 +663,16 @@ def q_p6_exploration(spark, sf_dir):
                                          out_dir=_folder(spark, "p6"))["session_counts"]
 
 
+@register
+def q_p7_evaluation(spark, sf_dir):
+    """P-7 over files: mean metrics of all three algorithms. The rows of ItemItem and UserUser
+    are those of q_metrics_knn; ALS starts at random, so the table has no SQL."""
+    prepare(spark)
+    c = views.rate_view(spark, sf_dir).select(
+        F.col("user").alias("user_id"), F.col("item").alias("ccid"), F.col("rating").alias("num_watched"))
+    return pipelines.rewatch_recommendation(c, _folder(spark, "p7"))["means"]
+
+
 @register
 def q_p8_confidence(spark, sf_dir):
     prepare(spark)

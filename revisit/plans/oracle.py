@@ -406,7 +406,7 @@ pop AS (
   FROM (SELECT DISTINCT fold FROM folded) f, folded t
   WHERE NOT (t.is_test AND t.fold = f.fold) GROUP BY 1, 2),
 best AS (
-  SELECT * FROM (SELECT fold, item, row_number() OVER (PARTITION BY fold ORDER BY c DESC, item) AS r FROM pop) WHERE r <= 150),
+  SELECT * FROM (SELECT fold, item, row_number() OVER (PARTITION BY fold ORDER BY c DESC, item) AS r FROM pop)),
 lists AS (
   SELECT u."user", u.fold, b.item, row_number() OVER (PARTITION BY u."user", u.fold ORDER BY b.r) AS rank
   FROM (SELECT DISTINCT "user", fold FROM folded WHERE is_test) u JOIN best b ON u.fold = b.fold
@@ -426,6 +426,91 @@ SELECT 'Popular' AS algorithm, d.discount,
        round(avg(good / n), 9) AS precision, round(avg(good / 1.0::DOUBLE), 9) AS recall
 FROM per, (VALUES ('library'), ('textbook')) d(discount) GROUP BY d.discount"""
 
+# Neighbourhood recommenders: similarities and scores in whole 1e-9.
+KNN_CTES = RATE_CTES + """,
+folded AS MATERIALIZED (
+  SELECT "user", item, rating,
+         CAST(CAST('0x' || substr(md5(CAST("user" AS VARCHAR) || '|42'), 1, 8) AS BIGINT) % 5 AS BIGINT) AS fold,
+         item = arg_min(item, md5(CAST("user" AS VARCHAR) || '|' || CAST(item AS VARCHAR) || '|42'))
+                OVER (PARTITION BY "user") AS is_test
+  FROM filt),
+train AS MATERIALIZED (
+  SELECT g.fold AS g, f."user", f.item, f.rating, f.fold = g.fold AS asked
+  FROM folded f, (SELECT DISTINCT fold FROM folded) g WHERE NOT (f.is_test AND f.fold = g.fold))"""
+
+
+def _knn(name: str, algorithm: str, least: int) -> str:
+    """Lists of one algorithm as CTEs. p: points (whose similarity counts), c: features."""
+    p, c = ("item", '"user"') if algorithm == "ItemItem" else ('"user"', "item")
+    return f"""
+mean_{name} AS MATERIALIZED (SELECT g, {p} AS p, avg(rating) AS m FROM train GROUP BY 1, 2),
+dev_{name} AS MATERIALIZED (SELECT t.g, t.{p} AS p, t.{c} AS c, t.rating - s.m AS dev, t.asked FROM train t JOIN mean_{name} s ON s.g = t.g AND s.p = t.{p}),
+norm_{name} AS (SELECT g, p, sqrt(sum(dev * dev)) AS n FROM dev_{name} GROUP BY 1, 2),
+unit_{name} AS MATERIALIZED (SELECT d.g, d.p, d.c, d.dev / n.n AS x, d.asked FROM dev_{name} d JOIN norm_{name} n ON n.g = d.g AND n.p = d.p WHERE n.n > 0),
+sim_{name} AS MATERIALIZED (
+  SELECT a.g, a.p AS a, b.p AS b, CAST(floor(sum(a.x * b.x) * 1e9::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS s
+  FROM unit_{name} a JOIN unit_{name} b ON b.g = a.g AND b.c = a.c
+  WHERE a.p <> b.p {"" if algorithm == "ItemItem" else "AND a.asked"} GROUP BY 1, 2, 3),
+near_{name} AS (
+  SELECT s.g, s.a, d.c, s.s, d.dev, row_number() OVER (PARTITION BY s.g, s.a, d.c ORDER BY s.s DESC, s.b) AS r
+  FROM sim_{name} s JOIN dev_{name} d ON d.g = s.g AND d.p = s.b WHERE s.s > {least} {"AND d.asked" if algorithm == "ItemItem" else ""}),
+sums_{name} AS (SELECT g, a, c, sum(s * dev) / sum(s) AS w FROM near_{name} WHERE r <= 10 GROUP BY 1, 2, 3),
+score_{name} AS (
+  SELECT n.g, n.a AS {p}, n.c AS {c}, CAST(floor((m.m + n.w) * 1e9::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS score
+  FROM sums_{name} n JOIN mean_{name} m ON m.g = n.g AND m.p = n.a
+  LEFT JOIN dev_{name} t ON t.g = n.g AND t.p = n.a AND t.c = n.c WHERE t.p IS NULL),
+list_{name} AS (
+  SELECT '{algorithm}' AS algorithm, g AS fold, "user", item, rank, score / 1e9::DOUBLE AS score
+  FROM (SELECT *, row_number() OVER (PARTITION BY g, "user" ORDER BY score DESC, item) AS rank FROM score_{name}) WHERE rank <= 100)"""
+
+
+SQL["q_item_knn"] = f"WITH {KNN_CTES}, {_knn('ii', 'ItemItem', 1000)} SELECT * FROM list_ii"
+SQL["q_user_knn"] = f"WITH {KNN_CTES}, {_knn('uu', 'UserUser', 0)} SELECT * FROM list_uu"
+SQL["q_metrics_knn"] = f"""WITH {KNN_CTES}, {_knn('ii', 'ItemItem', 1000)}, {_knn('uu', 'UserUser', 0)},
+top AS (
+  SELECT r.*, t.item IS NOT NULL AS hit
+  FROM (SELECT * FROM list_ii UNION ALL SELECT * FROM list_uu) r
+  LEFT JOIN folded t ON t.is_test AND t."user" = r."user" AND t.item = r.item WHERE r.rank <= 10),
+per AS (
+  SELECT algorithm, "user", count(*) AS n, sum(CASE WHEN hit THEN 1 ELSE 0 END) AS good,
+         sum(CASE WHEN hit THEN 1.0::DOUBLE / greatest(1.0::DOUBLE, log2(rank::DOUBLE)) ELSE 0 END) AS dcg_library,
+         sum(CASE WHEN hit THEN 1.0::DOUBLE / log2(rank::DOUBLE + 1) ELSE 0 END) AS dcg_textbook
+  FROM top GROUP BY 1, 2)
+SELECT algorithm, d.discount,
+       round(avg(CASE WHEN d.discount = 'library' THEN dcg_library ELSE dcg_textbook END), 9) AS ndcg,
+       round(avg(good / n), 9) AS precision, round(avg(good / 1.0::DOUBLE), 9) AS recall
+FROM per, (VALUES ('library'), ('textbook')) d(discount) GROUP BY algorithm, d.discount"""
+
+# Factor models: factors are hashes of (id, feature, seed) in [0, 1).
+def _factors(col: str, seed: int, rank: int) -> str:
+    return ", ".join(f"""CAST(CAST('0x' || substr(md5(CAST({col} AS VARCHAR) || '|{f}|{seed}'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS f{f}"""
+                     for f in range(rank))
+
+
+SQL["q_top_factors"] = f"""WITH {RATE_CTES},
+u AS (SELECT "user", {_factors('"user"', 42, 4)} FROM (SELECT DISTINCT "user" FROM filt)),
+i AS (SELECT item, {_factors("item", 7, 4)} FROM (SELECT DISTINCT item FROM filt)),
+s AS (SELECT u."user", i.item, CAST(floor((u.f0 * i.f0 + u.f1 * i.f1 + u.f2 * i.f2 + u.f3 * i.f3) * 1e9::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS s
+      FROM u, i WHERE NOT EXISTS (SELECT 1 FROM filt t WHERE t."user" = u."user" AND t.item = i.item))
+SELECT "user", item, rank, s / 1e9::DOUBLE AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY s DESC, item) AS rank FROM s) WHERE rank <= 20"""
+
+_CELLS = ("00", "01", "02", "11", "12", "22")
+SQL["q_als_step"] = f"""WITH {RATE_CTES},
+y AS (SELECT item, {_factors("item", 42, 3)} FROM (SELECT DISTINCT item FROM filt)),
+g AS (SELECT {", ".join(f"sum(f{c[0]} * f{c[1]}) AS g{c}" for c in _CELLS)} FROM y),
+n AS (
+  SELECT r."user", {", ".join(f"40.0::DOUBLE * sum(r.rating * y.f{c[0]} * y.f{c[1]}) AS a{c}" for c in _CELLS)},
+         {", ".join(f"sum((1.0::DOUBLE + 40.0::DOUBLE * r.rating) * y.f{f}) AS b{f}" for f in range(3))}
+  FROM filt r JOIN y USING (item) GROUP BY r."user"),
+m AS (SELECT "user", {", ".join(f"a{c} + g{c}" + (" + 0.1::DOUBLE" if c[0] == c[1] else "") + f" AS m{c}" for c in _CELLS)}, b0, b1, b2 FROM n, g),
+d AS (SELECT *, m00 * (m11 * m22 - m12 * m12) - m01 * (m01 * m22 - m12 * m02) + m02 * (m01 * m12 - m11 * m02) AS det FROM m)
+SELECT "user",
+  round((b0 * (m11 * m22 - m12 * m12) - m01 * (b1 * m22 - m12 * b2) + m02 * (b1 * m12 - m11 * b2)) / det, 9) AS x0,
+  round((m00 * (b1 * m22 - m12 * b2) - b0 * (m01 * m22 - m12 * m02) + m02 * (m01 * b2 - b1 * m02)) / det, 9) AS x1,
+  round((m00 * (m11 * b2 - b1 * m12) - m01 * (m01 * b2 - b1 * m02) + b0 * (m01 * m12 - m11 * m02)) / det, 9) AS x2
+FROM d"""
+
 # Pipelines give what the operators give.
 SQL["q_p1_p2_clean_layout"] = f"""WITH {SEQ_CTES}
 SELECT CAST(user_id AS VARCHAR) AS user_id, video_id, ccid, n_seg AS n_segments FROM clean"""

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revisit.operators import counts, courses, intervals, recommend, report, sequences
+from revisit.operators import counts, courses, intervals, neighbours, recommend, report, sequences
 from revisit.schemas import REP_COL, RUN_COL, SESSION_COL
 from revisit.sources import io
 
@@ -164,15 +164,17 @@ def _ratings_table(counts_df: DataFrame, out_dir: str | None) -> DataFrame:
 
 def rewatch_recommendation(counts_df: DataFrame, out_dir: str | None = None, n: int = 100, k: int = 10,
                            n_folds: int = 5, seed: int = 42) -> dict[str, DataFrame]:
-    """P-7: rewatch ratings, user folds, implicit ALS top-n lists, metrics per algorithm."""
+    """P-7: rewatch ratings, user folds, top-n lists of the three algorithms (item-item and
+    user-user neighbours, implicit ALS), metrics per algorithm and user, and their means. With
+    ``out_dir`` the ratings, the folds, the lists and the metrics are written and read back."""
     ratings = _ratings_table(counts_df, out_dir)
-    folded = recommend.user_folds(ratings, n_folds, seed)
-    recs = recommend.als_recommend(folded, n=n, seed=seed, n_folds=n_folds)
+    folded = _written(recommend.user_folds(ratings, n_folds, seed), out_dir, "folds")
+    lists = [neighbours.knn_recommend(folded, by="item", n=n), neighbours.knn_recommend(folded, by="user", n=n),
+             recommend.als_recommend(folded, n=n, seed=seed, n_folds=n_folds)]
+    recs = _written(lists[0].unionByName(lists[1]).unionByName(lists[2]), out_dir, "recs")
     test = folded.filter("is_test").select("user", "item")
-    metrics = recommend.topn_metrics(recs, test, k)
+    metrics = _written(recommend.topn_metrics(recs, test, k), out_dir, "rep_rs_metrics")
     means = recommend.mean_metrics(metrics)
-    if out_dir:
-        io.write_parquet(metrics, f"{out_dir}/rep_rs_metrics")
     return {"ratings": ratings, "density": counts.density(ratings), "folds": folded, "recs": recs,
             "metrics": metrics, "means": means}
 

@@ -6,12 +6,13 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 
-ROWS_ONLY = {"q_als", "q_metrics"}
+ROWS_ONLY = {"q_als", "q_metrics", "q_p7_evaluation"}
 FAST = ["q_repetition", "q_sessions", "q_watch_counts", "q_dedupe", "q_alternating_intent",
         "q_gap_quantiles", "q_gap_describe", "q_seq_len_describe", "q_histogram", "q_folds", "q_tfidf", "q_reduction",
         "q_explode_sequences", "q_pivot", "q_metrics_fixed", "q_recs_popular", "q_coverage_fraction", "q_join_violations",
         "q_concept_field", "q_p1_p2_clean_layout", "q_p3_sessions", "q_p4_lectures", "q_p5_courses", "q_p6_exploration",
-        "q_p8_confidence", "q_distinct_sessions", "q_duration_filter_strict", "q_row_filter", "q_session2video"]
+        "q_p8_confidence", "q_distinct_sessions", "q_duration_filter_strict", "q_row_filter", "q_session2video",
+        "q_item_knn", "q_user_knn", "q_metrics_knn", "q_top_factors", "q_als_step"]
 
 
 def test_entry_runs(spark):
