@@ -47,8 +47,8 @@ from revisit.llm.words import as_bytes, mix
 LEAST = 30  # occurrences of a candidate
 LONGEST = 4  # words
 SHARDS = 3
-SLOTS = 1 << 23  # bytes of a table of reached phrases; some eight times their number
-PART = 8 << 20  # bytes of text that a task counts at once
+SLOTS = 1 << 22  # bytes of a table of reached phrases; some eight times their number
+PART = 6 << 20  # bytes of text that a task counts at once
 SALTS = 8  # copies of the counts that phrases meet their parts in
 NEVER = 255
 _LANE = 8  # longest words, in groups of eight bytes, that are hashed together
@@ -77,8 +77,8 @@ class Block:
         self.flat = np.where(word, raw, 32)[kept].astype(np.uint8)
         self.length = to - at
         self.start = np.concatenate(([0], np.cumsum(self.length + 1)))[:-1]
-        breaks = np.cumsum(kind == 2)
-        self.piece = breaks[at] if self.n else np.zeros(0, np.int64)
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[at]
+        del kind, word, kept, edges
         ends = np.cumsum([len(t) + 1 for t in texts])
         which = np.searchsorted(ends, at, side="right")
         names = sorted(set(langs))
@@ -120,13 +120,16 @@ class Block:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     langs, texts, held = [], [], 0
     for batch in batches:
-        for lang, text in zip(as_bytes(batch.column(0)), as_bytes(batch.column(1))):
+        names, column = as_bytes(batch.column(0)), batch.column(1).cast(pa.binary())
+        for lang, text in zip(names, column):  # one text at a time becomes a Python object
             langs.append(lang)
-            texts.append(text)
-            held += len(text) + 1
+            texts.append(text.as_py())
+            held += len(texts[-1]) + 1
             if held >= PART:
-                yield Block(langs, texts)
+                block = Block(langs, texts)
                 langs, texts, held = [], [], 0
+                yield block
+                del block
     if texts:
         yield Block(langs, texts)
 
