@@ -13,7 +13,8 @@ equal payloads are found by an aggregate over digests; payloads are written by t
 that reads them, so one that a third of the pages share is spread like any other.
 
 Defined results: null html is an empty payload; a null URL is empty; line breaks in a URL
-are dropped in the archive; rows equal in id, URL and html are one capture; a null
+are dropped in the archive; of rows equal in id, URL and html each is a capture: the
+first as told above, the others revisits of it, or responses if the payload is smaller; a null
 ``page_id`` is kept (it sorts last among equal payloads); an empty table gives no records
 and no rows; other columns are ignored.
 """
@@ -32,6 +33,7 @@ from revisit.llm.shared import keep
 
 REVISIT_BYTES = 100
 FILE_BYTES = 32 << 20  # payload bytes aimed at in a file
+COPIES = 10_000  # copies of a repeated row made by one task
 DATE = "2025-01-01T00:00:00Z"  # the pages tell no time of capture
 _END = "\r\n"
 
@@ -71,20 +73,34 @@ def _keyed(pages: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "digest", "url")))
 
 
+def _copies(once: DataFrame, found: DataFrame) -> DataFrame:
+    """The second and further copies of repeated rows, with keys of their own, numbered in
+    blocks so that many copies of one row come from many tasks. Payloads that only their
+    first copy is written with are left out."""
+    n = found.filter("copies > 1").select("key", F.explode(F.expr(f"sequence(2, copies, {COPIES})")).alias("start"), "copies")
+    rows = once.withColumn("html", F.when(F.col("bytes") < REVISIT_BYTES, F.col("html")).otherwise("")).join(n, "key")
+    rows = rows.repartition("key", "start").withColumn("copy", F.explode(F.expr(f"sequence(start, least(copies, start + {COPIES - 1}))")))
+    refers = F.when(F.col("bytes") >= REVISIT_BYTES, F.coalesce("refers_key", "key"))
+    return rows.withColumn("refers_key", refers).withColumn("key", F.md5(F.concat_ws("|", "key", F.col("copy").cast("string")))).drop("start", "copies", "copy")
+
+
 def write_captures(pages: DataFrame, folder: str) -> None:
     """Write the archives below ``folder``."""
     found = captures(pages)
-    size = found.agg(F.sum(F.when(F.col("refers_key").isNull(), F.col("bytes")).otherwise(0)).alias("bytes"), F.count(F.lit(1)).alias("n"),
+    size = found.agg(F.sum(F.when(F.col("refers_key").isNull(), F.col("bytes")).otherwise(0)).alias("bytes"), F.sum("copies").alias("n"),
                      F.count(F.when(F.col("copies") > 1, 1)).alias("repeated")).first()
-    per_file = max(1, int(FILE_BYTES / (1000 + (size["bytes"] or 0) / max(size["n"], 1))))
+    per_file = max(1, int(FILE_BYTES / (1000 + (size["bytes"] or 0) / max(size["n"] or 0, 1))))
     # Payloads are written from where they are read: revisits and repeated rows are small
     # written tables, which Spark broadcasts below its threshold and else joins by shuffle.
     refers = keep(found.filter(F.col("refers_key").isNotNull()).select("key", "refers_key"), "warc-refers")
     rows = _keyed(pages)
     if size["repeated"]:
         repeated = keep(found.filter("copies > 1").select("key"), "warc-repeated")
-        rows = rows.join(repeated, "key", "left_anti").unionByName(rows.join(repeated, "key", "left_semi").dropDuplicates(["key"]))
-    rows = rows.join(refers, "key", "left")
+        once = rows.join(repeated, "key", "left_semi").dropDuplicates(["key"])
+        rows = rows.join(repeated, "key", "left_anti").unionByName(once).join(refers, "key", "left")
+        rows = rows.unionByName(_copies(once.join(refers, "key", "left"), found))
+    else:
+        rows = rows.join(refers, "key", "left")
     me, revisit = _uuid("response", F.col("key")), F.col("refers_key").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "),
                     F.col("bytes").cast("string"), F.lit(_END * 2))
