@@ -20,8 +20,10 @@ gives no rows; other columns are ignored. Whole texts are scanned, whatever thei
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -66,6 +68,21 @@ IDENTIFIERS = {
     "lgpl-2.1": "lgpl", "lgpl-3.0": "lgpl", "agpl-3.0": "agpl", "mpl-2.0": "mpl-2", "cc0-1.0": "cc0", "cc-by-4.0": "cc-by",
     "cc-by-sa-4.0": "cc-by-sa", "cc-by-nc-4.0": "cc-by-nc",
 }
+# Further identifiers of the public SPDX list, in lower case, without -only, -or-later and +.
+SPDX = frozenset("""
+0bsd aal afl-1.1 afl-1.2 afl-2.0 afl-2.1 afl-3.0 agpl-1.0 agpl-3.0 apache-1.0 apache-1.1 apache-2.0 apl-1.0 apsl-1.0 apsl-1.1 apsl-1.2 apsl-2.0
+artistic-1.0 artistic-1.0-cl8 artistic-1.0-perl artistic-2.0 beerware blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent
+bsd-3-clause bsd-3-clause-clear bsd-3-clause-lbnl bsd-4-clause bsd-4-clause-uc bsl-1.0 busl-1.1 bzip2-1.0.6 catosl-1.1
+cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-nc-1.0 cc-by-nc-2.0 cc-by-nc-2.5 cc-by-nc-3.0 cc-by-nc-4.0
+cc-by-nc-nd-3.0 cc-by-nc-nd-4.0 cc-by-nc-sa-2.0 cc-by-nc-sa-2.5 cc-by-nc-sa-3.0 cc-by-nc-sa-4.0 cc-by-nd-3.0 cc-by-nd-4.0
+cc-by-sa-1.0 cc-by-sa-2.0 cc-by-sa-2.5 cc-by-sa-3.0 cc-by-sa-4.0 cc-pddc cc0-1.0 cddl-1.0 cddl-1.1 cecill-1.0 cecill-1.1 cecill-2.0 cecill-2.1 cecill-b cecill-c
+cnri-python cpal-1.0 cpl-1.0 curl ecl-1.0 ecl-2.0 efl-1.0 efl-2.0 elastic-2.0 epl-1.0 epl-2.0 eudatagrid eupl-1.0 eupl-1.1 eupl-1.2 fair ftl
+gfdl-1.1 gfdl-1.2 gfdl-1.3 gpl-1.0 gpl-2.0 gpl-3.0 hpnd icu ijg imagemagick intel ipa ipl-1.0 isc json lgpl-2.0 lgpl-2.1 lgpl-3.0 libpng libpng-2.0 libtiff
+lpl-1.0 lpl-1.02 lppl-1.0 lppl-1.1 lppl-1.2 lppl-1.3a lppl-1.3c miros mit mit-0 motosoto mpl-1.0 mpl-1.1 mpl-2.0 ms-pl ms-rl mulanpsl-1.0 mulanpsl-2.0 multics
+nasa-1.3 naumen ncsa ngpl nokia npl-1.0 npl-1.1 nposl-3.0 ntp oclc-2.0 odbl-1.0 odc-by-1.0 ofl-1.0 ofl-1.1 ogtsl openssl osl-1.0 osl-2.0 osl-2.1 osl-3.0
+pddl-1.0 php-3.0 php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 rpl-1.1 rpl-1.5 rpsl-1.0 rscpl ruby simpl-2.0 sissl sleepycat spl-1.0 sspl-1.0
+tcl ucl-1.0 unicode-dfs-2015 unicode-dfs-2016 unlicense upl-1.0 vim vsl-1.0 w3c watcom-1.0 wtfpl x11 xnet zend-2.0 zlib zpl-2.0 zpl-2.1
+""".split())
 PERMISSIVE = frozenset(("mit", "apache-2", "bsd", "isc", "cc0", "cc-by", "unlicense", "0bsd", "zlib"))
 # How sure a label is by what it was found with.
 WEIGHT_TAG, WEIGHT_BASE, WEIGHT_LONG, WEIGHT_SHORT = 0.95, 0.8, 0.9, 0.6
@@ -76,9 +93,20 @@ _TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*)")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
-def to_postfix(text: str) -> list[str]:
-    """The longest well formed licence expression at the start of ``text``, in postfix
-    order; empty if there is none."""
+def plain(token: str) -> str:
+    """An identifier without its version suffix."""
+    return token.removesuffix("+").removesuffix("-only").removesuffix("-or-later")
+
+
+def is_identifier(token: str) -> bool:
+    """Is this lower-case token a licence's identifier, or one of the user's own?"""
+    return plain(token) in SPDX or token in IDENTIFIERS or token.startswith("licenseref-")
+
+
+def to_postfix(text: str, known: Callable[[str], bool] = bool) -> list[str]:
+    """The longest well formed licence expression at the start of ``text`` whose licences are
+    all ``known``, in postfix order; empty if there is none. After WITH stands an exception's
+    name, which may be any."""
     best: list[str] = []
     out: list[str] = []
     stack: list[str] = []
@@ -91,6 +119,8 @@ def to_postfix(text: str) -> list[str]:
                 stack.append(token)
             elif token == ")" or low in _BINDS:
                 break
+            elif not known(low) and not (stack and stack[-1] == "with"):
+                break
             else:
                 out.append(low)
                 operand_next = False
@@ -123,7 +153,7 @@ def evaluate(postfix: list[str]) -> tuple[list[str], bool]:
             stack.append(left if token == "with" else (
                 left[0] + right[0], left[1] or right[1] if token == "or" else left[1] and right[1]))
         else:
-            label = IDENTIFIERS.get(token.removesuffix("+"), token.removesuffix("+"))
+            label = IDENTIFIERS.get(token.removesuffix("+"), IDENTIFIERS.get(plain(token), plain(token)))
             stack.append(([label], label in PERMISSIVE))
     return stack[0] if stack else ([], False)
 
@@ -145,13 +175,14 @@ def scan(text: bytes, a: ahocorasick.Automaton) -> tuple:
     words = text.translate(_WORD_BYTES).split()
     line = (b" " + b" ".join(words) + b" ").decode("latin-1")  # a byte is a character
     starts, places, sure, base_labels, tagged = [], [], {}, set(), False
+    blanks = [0, *itertools.accumulate(len(w) + 1 for w in words)]  # places of the blanks in ``line``
     for end, (phrase, label, base) in a.iter(line):
         if label is None:
             tagged = True
             continue
         weight = WEIGHT_BASE if base else WEIGHT_LONG if phrase.count(" ") >= 4 else WEIGHT_SHORT
         sure[label] = max(sure.get(label, 0.0), weight)
-        at = line.count(" ", 0, end - len(phrase)) - 1
+        at = bisect.bisect_left(blanks, end - len(phrase)) - 1
         places.append((at, phrase.count(" ") + 1, label))
         if base:
             starts.append(at)
@@ -159,7 +190,7 @@ def scan(text: bytes, a: ahocorasick.Automaton) -> tuple:
     expressions, permissive = [], None
     if tagged:
         for m in _TAG.finditer(text):
-            if postfix := to_postfix(m[1].decode("utf-8", "replace")):
+            if postfix := to_postfix(m[1].decode("utf-8", "replace"), is_identifier):
                 labels, free = evaluate(postfix)
                 expressions.append(" ".join(postfix))
                 permissive = free if permissive is None else permissive and free

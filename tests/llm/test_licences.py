@@ -1,4 +1,5 @@
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -73,3 +74,19 @@ def test_tags():
     a = lic.automaton()
     r = lic.scan(b"# SPDX-License-Identifier: (GPL-3.0-or-later OR MIT)\nSPDX-License-Identifier: GPL-2.0-only", a)
     assert r[5] == "gpl-2,gpl-3,mit" and r[7] == ["gpl-3.0-or-later mit or", "gpl-2.0-only"] and r[8] is False
+
+
+def test_no_label_from_prose():
+    a = lic.automaton()
+    for text in (b"License expression: see below", b"SPDX-License-Identifier: the file LICENSE", b"the license expression is parsed here"):
+        assert lic.scan(text, a)[5] == "", text
+    assert lic.scan(b"SPDX-License-Identifier: MIT and then", a)[7] == ["mit"]
+    assert lic.scan(b"SPDX-License-Identifier: lgpl-2.1-only OR AGPL-3.0-or-later OR LicenseRef-mine", a)[5] == "agpl,lgpl,licenseref-mine"
+
+
+def test_many_places():
+    """Places are found in one pass, however many there are."""
+    text = b"under the MIT license, cc by nc " * 50_000
+    began = time.perf_counter()
+    r = lic.scan(text, lic.automaton())
+    assert r[:4] == (350_000, 100_000, 0, 349_997) and time.perf_counter() - began < 10
