@@ -322,7 +322,10 @@ def fit(docs: DataFrame) -> dict:
     merged = blocks.groupBy("bucket").applyInArrow(_merge(groups, folder), _BLOCK)
     totals = merged.groupBy("bucket").applyInArrow(_words(folder), ", ".join(f"{n} long" for n in _TOTALS))
     row = totals.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _TOTALS]).first()
-    return {"folder": folder, "buckets": buckets, "groups": groups, "hot": hot, **row.asDict()}
+    files = frozenset(os.listdir(folder))
+    if row["words"] and not files:
+        raise RuntimeError(f"the model's files are not in {folder} as the driver sees it: the shared folder must be mounted everywhere")
+    return {"folder": folder, "files": files, "buckets": buckets, "groups": groups, "hot": hot, **row.asDict()}
 
 
 class Model:
@@ -337,12 +340,13 @@ class Model:
         # Mass that the lower level's discounts free, as a share of its total.
         free = self.low[1] * m1 + self.low[2] * m2 + self.low[3] * (fitted["followers"] - m1 - m2)
         self.free = float(free) / self.pairs if self.pairs else 1.0
-        self.files: dict[str, tuple] = {}
+        self.names, self.files = fitted["files"], {}
 
     def _file(self, kind: str, bucket: int) -> tuple[np.ndarray, np.ndarray] | None:
         path = f"{self.folder}/{kind}-{bucket}"
         if path not in self.files:
-            self.files[path] = _open(path) if os.path.exists(path) else None
+            # A bucket without counts has no file; a file that was written must be there.
+            self.files[path] = _open(path) if f"{kind}-{bucket}" in self.names else None
         return self.files[path]
 
     def look_up(self, kind: str, bucket: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:

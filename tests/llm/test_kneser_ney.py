@@ -112,3 +112,12 @@ def test_counts_beyond_32_bits(tmp_path):
     assert totals["tokens"] == many + 3
     assert kn._open(f"{tmp_path}/pairs-0")[1].tolist() == [[many + 3]]
     assert kn._open(f"{tmp_path}/words-0")[1].tolist() == [[many + 3, 0, 0, 1, 0]]
+
+
+def test_missing_files_are_an_error(spark, rows):
+    """A model whose files a task can't see does not score as if it had counted nothing."""
+    docs = rows([(i, f"a b c d{i % 5}") for i in range(60)], "doc_id long, text string")
+    model = kn.fit(docs)
+    assert kn.score(docs, model).count() == 60
+    with pytest.raises(Exception, match="No such file"):
+        kn.score(docs, {**model, "folder": model["folder"] + "-elsewhere"}).collect()
