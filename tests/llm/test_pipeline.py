@@ -61,7 +61,7 @@ def test_odd_rows(spark, rows):
     df = rows(data, SCHEMA).withColumn("kept", F.lit(1)).withColumn("row_key", F.lit("k")).withColumn("component_id", F.lit(3))
     first = keep(corpus_pipeline.quality(spark, df, d), "test-odd")
     assert first.columns == df.columns
-    assert sorted(r.doc_id or 0 for r in first.collect()) == [0, 1, 1, 2]
+    assert sorted(r.doc_id or 0 for r in first.collect()) == [0, 1, 1, 2] and {r.row_key for r in first.collect()} == {"k"}
     second = keep(corpus_pipeline.one_of_each_group(spark, first, d), "test-odd")
     assert sorted(r.doc_id or 0 for r in second.collect()) == [0, 1] and second.columns == df.columns
     assert corpus_pipeline.without_benchmark(spark, second, d).count() == 2
