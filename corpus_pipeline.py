@@ -22,13 +22,16 @@ from revisit.llm.shared import give_back, keep, named
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality rules keep. Rows are matched by a digest of id and text, so
-    rows that share an id are judged apart."""
-    columns = docs.columns
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    verdict = mcd.judge(keyed, carry=("row_key",))
-    rejected = verdict.filter(~F.col("kept")).select("row_key").distinct()
-    return keyed.join(rejected, "row_key", "left_anti").select(*columns)
+    """Rows that the quality rules keep. Rows are matched by 128 bits of id and text, so
+    rows that share an id are judged apart, in a column that no document has."""
+    columns, key = docs.columns, "row_key"
+    while key in map(str.lower, columns):
+        key += "_"
+    bits = [F.hex(F.xxhash64(F.lit(salt), "doc_id", "text")) for salt in (1, 2)]
+    keyed = docs.withColumn(key, F.concat_ws("-", *bits))
+    verdict = mcd.judge(keyed, carry=(key,))
+    rejected = verdict.filter(~F.col("kept")).select(key).distinct()
+    return keyed.join(rejected, key, "left_anti").select(*columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
