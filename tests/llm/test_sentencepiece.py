@@ -1,5 +1,7 @@
 import hashlib
 import random
+import string
+import time
 
 import numpy as np
 import public_tokenizers
@@ -73,3 +75,40 @@ def test_merges_one_by_one_and_together_agree():
     v.one_by_one[:] = True
     alone = bpe.merge_rounds(words, v)
     assert all(np.array_equal(a, b) for a, b in zip(together, alone))
+
+
+def ids_of(text, v):
+    words = bpe.WordIds(v)
+    cut = np.array(words.cut(text), np.int64)
+    words.settle()
+    return bpe.spread(words.flat, words.start[cut], words.length[cut]).tolist()
+
+
+UNBROKEN = {"spaces": lambda r, n: " " * n, "spaces before a word": lambda r, n: "x" + " " * n + "the end",
+            "letters": lambda r, n: "".join(r.choices(string.ascii_lowercase, k=n)),
+            "base64": lambda r, n: "".join(r.choices(string.ascii_letters + string.digits + "+/", k=n)),
+            "one letter": lambda r, n: "a" * n, "dashes": lambda r, n: "-" * n, "lines": lambda r, n: "\n" * n,
+            "frequent letters": lambda r, n: "".join(r.choices("etaoinshr", k=n))}
+
+
+@pytest.mark.parametrize("kind", UNBROKEN)
+def test_unbroken_text_takes_time_in_proportion(kind, library):
+    """A million characters without a break: ids of the library, in seconds."""
+    v = bpe.load(PATH)
+    text = UNBROKEN[kind](random.Random(5), 1_000_000)
+    start = time.monotonic()
+    got = ids_of(text, v)
+    assert time.monotonic() - start < 30  # 1 to 3 s on an idle machine
+    assert got == library.encode(text)
+
+
+def test_runs_of_one_character(library):
+    """Runs of every length around the cuts, with words and other runs beside them."""
+    v = bpe.load(PATH)
+    rng = random.Random(6)
+    chars = ["▁", " ", "a", "-", "=", "\t", "0", "the", "é", "\n"]
+    for n in [*range(120, 230), 500, 1001]:
+        assert ids_of(" " * n, v) == library.encode(" " * n)
+    for _ in range(300):
+        text = "".join(rng.choice(chars) * rng.choice([1, 1, 2, 5, 130, 180, 333]) for _ in range(rng.randrange(1, 8)))
+        assert ids_of(text, v) == library.encode(text), text
