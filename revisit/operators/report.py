@@ -1,42 +1,120 @@
 """Distribution reports: describe, exact quantiles, equal-width histograms.
 
 Quantiles are exact (linear interpolation between the two nearest ranks, as the
-pandas default) and distributed: values are first reduced to (value, count)
-with partial aggregation, range-partitioned by value, and each distinct value's
-rank range comes from a chunked running sum (one chunk per range partition).
-The rows at the wanted ranks are picked by one aggregation. No step holds all
-values in one task.
+pandas default) by distributed selection. The column is written once. A sketch of all
+values gives a narrow bracket of values around each wanted rank, one pass counts the rows
+below and inside the brackets exactly, and a bracket that still holds too many rows is
+narrowed again by a sketch of its own rows. Only the rows inside the last brackets are
+shuffled, grouped by value and ranked; a bracket of one value is settled by the counts, so
+a value that a third of the rows share moves nothing. A few numbers per quantile reach the
+driver. NULL and NaN are skipped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revisit.operators.scan import with_prefix
 from revisit.session import ensure_checkpoint_dir
 
+MOST_INSIDE = 1_000_000  # rows of a bracket that one task may rank
+ACCURACY = 10_000  # of the sketches: a rank is off by 1 / ACCURACY of the rows at most
+
+Bracket = tuple[float, float, int, int]  # least and greatest value, rows below, rows inside
+
+
+def _written_column(df: DataFrame, col: str, partitions: int | None) -> DataFrame:
+    """The values as DOUBLE column ``x``, written (a checkpoint in the shared folder) in at
+    most ``partitions`` parts, so the input runs once however often they are read."""
+    ensure_checkpoint_dir(df.sparkSession)
+    vals = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    return (vals.coalesce(partitions) if partitions else vals).checkpoint()
+
+
+def _cell(marks: Sequence[tuple[float, int]]) -> Column:
+    """How many of the sorted marks ``x`` has passed: ``(v, 0)`` is passed by ``x >= v``,
+    ``(v, 1)`` by ``x > v``. A tree of comparisons as deep as the logarithm of their number."""
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        value, above = marks[mid]
+        passed = F.col("x") > F.lit(value) if above else F.col("x") >= F.lit(value)
+        return F.when(passed, tree(mid + 1, hi)).otherwise(tree(lo, mid))
+    return tree(0, len(marks))
+
+
+def _rows_before(vals: DataFrame, values: Sequence[float]) -> dict[tuple[float, int], int]:
+    """Exact rows below each value ``(v, 0)``, and up to it ``(v, 1)``: one pass, and as many
+    counts as marks."""
+    marks = [(v, k) for v in sorted(values) for k in (0, 1)]
+    found = {r["cell"]: r["n"] for r in
+             vals.groupBy(_cell(marks).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    out, total = {}, 0
+    for i, mark in enumerate(marks):
+        total += found.get(i, 0)
+        out[mark] = total
+    return out
 
-def _ranked(df: DataFrame, col: str, partitions: int | None) -> DataFrame:
-    """(value ``x``, count ``c``) with ``before`` (rows with a smaller value), the
-    total ``n`` and the sum of values ``sx`` on every row: one chunked pass.
 
-    The (value, count) table is range-partitioned and written (a checkpoint in the
-    shared folder) with its partition number as the chunk. Both branches of the
-    chunked pass read that table, so they agree on the chunks whatever the planner
-    reuses, and the input runs once.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    vals = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    counts = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    hist = counts.repartitionByRange(n_parts, "x").withColumn("chunk", F.spark_partition_id()).checkpoint()
-    return with_prefix(hist, [], ["x"], F.col("chunk"),
-                       [("before", F.col("c"), "sum", False), ("__sx", F.col("x") * F.col("c"), "sum", False)],
-                       totals=("n", "sx")).drop("__sx", "chunk")
+def _narrowed(rank: int, old: Bracket, low: float, high: float, before: dict) -> Bracket:
+    """The part of a bracket that holds the rank, given counts at two values inside it."""
+    a, b, below, inside = old
+    if rank < before[low, 0]:
+        return a, low, below, before[low, 1] - below
+    if rank >= before[high, 1]:
+        return high, b, before[high, 0], below + inside - before[high, 0]
+    for v in (low, high):  # a value that holds the rank
+        if before[v, 0] <= rank < before[v, 1]:
+            return v, v, before[v, 0], before[v, 1] - before[v, 0]
+    return low, high, before[low, 0], before[high, 1] - before[low, 0]
+
+
+def _brackets(vals: DataFrame, ranks: Sequence[int], whole: Bracket) -> dict[int, Bracket]:
+    """For each rank a bracket of one value or of at most ``MOST_INSIDE`` rows."""
+    found = dict.fromkeys(ranks, whole)
+    inside = lambda a, b: F.col("x").between(F.lit(a), F.lit(b))
+    while True:
+        wide: dict[Bracket, list[int]] = {}
+        for r, old in found.items():
+            if old[3] > MOST_INSIDE and old[0] < old[1]:
+                wide.setdefault(old, []).append(r)
+        if not wide:
+            return found
+        sketches, any_ = [], F.lit(False)
+        for (a, b, below, n), rs in wide.items():
+            shares = [min(1.0, max(0.0, (r - below + 0.5) / n + d / ACCURACY)) for r in rs for d in (-2, 2)]
+            sketches.append(F.percentile_approx(F.when(inside(a, b), F.col("x")), shares, ACCURACY))
+            any_ = any_ | inside(a, b)
+        cuts = list(vals.filter(any_).agg(*sketches).first())
+        before = _rows_before(vals, {v for c in cuts for v in c})
+        for c, (old, rs) in zip(cuts, wide.items()):
+            for i, r in enumerate(rs):
+                found[r] = _narrowed(r, old, c[2 * i], c[2 * i + 1], before)
+        if all(found[r] == old for old, rs in wide.items() for r in rs):
+            return found  # nothing got narrower; the ranking below is exact all the same
+
+
+def _ranked(vals: DataFrame, qs: Sequence[float], n: int, low: float | None, high: float | None) -> DataFrame:
+    """(value ``x``, count ``c``) of the values inside the brackets of the wanted quantiles,
+    with ``before`` (rows with a smaller value) and the total ``n``."""
+    ranks = sorted({int(f((n - 1) * q)) for q in qs for f in (np.floor, np.ceil)}) if n else []
+    found = set(_brackets(vals, ranks, (low, high, 0, n)).values())
+    base = {}
+    for a, b, below, inside in found:
+        base[a, 0], base[b, 1] = below, below + inside
+    marks = sorted(base)
+    wanted = [k for k in range(1, len(marks))
+              if any((a, 0) <= marks[k - 1] and marks[k] <= (b, 1) for a, b, _, _ in found)]
+    counts = (vals.withColumn("cell", _cell(marks)).filter(F.col("cell").isin(wanted))
+              .groupBy("cell", "x").agg(F.count(F.lit(1)).alias("c")))
+    earlier = Window.partitionBy("cell").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.get(F.array(F.lit(0).cast("bigint"), *[F.lit(base[m]).cast("bigint") for m in marks]), F.col("cell"))
+    return counts.select("x", "c", (start + F.coalesce(F.sum("c").over(earlier), F.lit(0))).alias("before"),
+                         F.lit(n).cast("bigint").alias("n"))
 
 
 def _quantile_aggs(qs: Sequence[float]) -> list:
@@ -50,7 +128,7 @@ def _quantile_aggs(qs: Sequence[float]) -> list:
         lo_v = F.max(F.when(inside(lo), F.col("x")))
         hi_v = F.max(F.when(inside(hi), F.col("x")))
         frac = F.max(pos - lo)
-        out.append(F.when(frac == 0, lo_v).otherwise(lo_v + (hi_v - lo_v) * frac).alias(f"__q{i}"))
+        out.append(F.when((frac == 0) | (lo_v == hi_v), lo_v).otherwise(lo_v + (hi_v - lo_v) * frac).alias(f"__q{i}"))
     return out
 
 
@@ -60,7 +138,7 @@ def quantiles(df: DataFrame, col: str, qs: Sequence[float], partitions: int | No
 
     Rank position ``(n - 1) * q``; between two ranks the value is
     ``lo + (hi - lo) * frac``. The values at the wanted ranks are picked by two
-    conditional maxima per quantile in one aggregation over the ranked values. With ``approx_accuracy`` Spark's
+    conditional maxima per quantile in one aggregation over the brackets' values. With ``approx_accuracy`` Spark's
     ``percentile_approx`` (a mergeable sketch, one pass, no interpolation) is
     used instead: rank error about 1 / accuracy.
     """
@@ -71,7 +149,9 @@ def quantiles(df: DataFrame, col: str, qs: Sequence[float], partitions: int | No
                                                  F.col("__v").alias("value"))).alias("e")).select(
             F.col("e.q").alias("q"), F.col("e.value").alias("value"))
     wanted = list(dict.fromkeys(float(q) for q in qs))
-    one = _ranked(df, col, partitions).agg(*_quantile_aggs(wanted))
+    vals = _written_column(df, col, partitions)
+    n, low, high = vals.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    one = _ranked(vals, wanted, n, low, high).agg(*_quantile_aggs(wanted))
     pairs = F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"__q{i}").alias("value")) for i, q in enumerate(wanted)])
     return one.select(F.explode(pairs).alias("e")).select("e.q", "e.value")
 
@@ -79,16 +159,19 @@ def quantiles(df: DataFrame, col: str, qs: Sequence[float], partitions: int | No
 def describe(df: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
     """L1: count, mean, sample std, min, 25/50/75 %, max of ``col``. One row of DOUBLEs.
 
-    One (value, count) histogram of the input, one chunked pass for ranks and
-    totals, one aggregation: the mean from the totals, the sample std as
-    ``sqrt(sum(c * (x - mean)^2) / (n - 1))`` (two-pass form, no cancellation),
-    the quantiles as in ``quantiles``. The std of a single value is NULL.
+    One pass over the written column gives count, sum and extremes, another the sample
+    std as ``sqrt(sum((x - mean)^2) / (n - 1))`` (two-pass form, no cancellation); the
+    quantiles are as in ``quantiles``. The std of a single value is NULL; without values
+    the count is 0 and the rest NULL.
     """
-    ranked = _ranked(df, col, partitions).withColumn("__mean", F.col("sx") / F.col("n"))
-    d = F.col("x") - F.col("__mean")
-    one = ranked.agg(F.max("n").cast("double").alias("count"), F.max("__mean").alias("mean"),
-                     F.sum(F.col("c") * d * d).alias("__m2"), F.min("x").alias("min"),
-                     F.max("x").alias("max"), *_quantile_aggs([0.25, 0.5, 0.75]))
+    vals = _written_column(df, col, partitions)
+    n, total, low, high = vals.agg(F.count("x"), F.sum("x"), F.min("x"), F.max("x")).first()
+    mean = F.lit(total / n if n else None).cast("double")
+    d = F.col("x") - mean
+    quartiles = [0.25, 0.5, 0.75]
+    one = _ranked(vals, quartiles, n, low, high).agg(*_quantile_aggs(quartiles)).select(
+        "*", F.lit(float(n)).alias("count"), mean.alias("mean"), vals.agg(F.sum(d * d)).scalar().alias("__m2"),
+        F.lit(low).cast("double").alias("min"), F.lit(high).cast("double").alias("max"))
     std = F.when(F.col("count") > 1, F.sqrt(F.col("__m2") / (F.col("count") - F.lit(1.0))))
     return one.select("count", "mean", std.alias("std"), "min", F.col("__q0").alias("p25"),
                       F.col("__q1").alias("p50"), F.col("__q2").alias("p75"), "max")

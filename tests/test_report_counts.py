@@ -122,3 +122,43 @@ def test_quantiles_do_not_depend_on_the_planner(spark):
     finally:
         for k, v in zip(keys, before):
             spark.conf.set(k, v)
+
+
+def test_quantiles_by_narrowed_brackets(spark, monkeypatch):
+    """Brackets of a few rows: several rounds, hot values, ties at the cuts, infinities."""
+    rnd = random.Random(9)
+    many = [rnd.gauss(0, 1) for _ in range(1500)]
+    inf = float("inf")
+    cases = {"hot": (many + [0.5] * 1000 + [7.0] * 700, 7, 20), "few": ([float(rnd.randrange(4)) for _ in range(900)], 7, 20),
+             "ends": ([-inf] * 3 + many + [inf] * 2, 40, 100)}
+    qs = [0.0, 0.001, 0.25, 0.4999, 0.5, 0.9, 0.99, 1.0]
+
+    def linear(ordered, q):
+        pos = (len(ordered) - 1) * q
+        lo, hi = ordered[int(np.floor(pos))], ordered[int(np.ceil(pos))]
+        return lo if lo == hi else lo + (hi - lo) * (pos - int(pos))
+
+    for name, (vals, most, accuracy) in cases.items():
+        monkeypatch.setattr(report, "MOST_INSIDE", most)
+        monkeypatch.setattr(report, "ACCURACY", accuracy)
+        df = spark.createDataFrame([(v,) for v in [*vals, None, float("nan")]], "x double").repartition(3)
+        got = {r["q"]: r["value"] for r in report.quantiles(df, "x", qs).collect()}
+        assert np.allclose([got[q] for q in qs], [linear(sorted(vals), q) for q in qs], rtol=0, atol=1e-9), name
+
+
+def test_quantiles_rank_only_the_rows_inside(spark):
+    """2,000,000 distinct values: exact, and the ranked rows are a small part of them."""
+    n = 2_000_000
+    df = spark.range(n).select((F.pmod(F.col("id") * 1_000_003, F.lit(n)) / 4).cast("double").alias("x"))
+    qs = [0.25, 0.5, 0.75, 0.9, 0.99]
+    got = {r["q"]: r["value"] for r in report.quantiles(df, "x", qs).collect()}
+    assert all(abs(got[q] - (n - 1) * q / 4) < 1e-6 for q in qs)
+    vals = report._written_column(df, "x", None)
+    assert report._ranked(vals, qs, n, 0.0, (n - 1) / 4).count() < 0.02 * n
+
+
+def test_describe_and_quantiles_without_values(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),)], "x double")
+    d = report.describe(df, "x").first().asDict()
+    assert d.pop("count") == 0 and set(d.values()) == {None}
+    assert [tuple(r) for r in report.quantiles(df, "x", [0.5]).collect()] == [(0.5, None)]
