@@ -1,6 +1,7 @@
 """Sharding along a Hilbert curve over quantised metadata.
 
-Language, source and size of a document are quantised to ``2**bits`` cells each;
+Language, source and size of a document are quantised to ``2**bits`` cells each (whole
+values of language and source, ranked in byte order and weighted by their rows);
 the position of the document's cell on the Hilbert curve through that grid orders
 the documents, and equal runs of that order are the shards. Neighbours on the curve
 are neighbours in all dimensions, so a shard covers few values of each of them and a
@@ -28,18 +29,29 @@ from revisit.llm.shared import keep
 TEXT_BUCKETS, ROW_BUCKETS = 64, 4096
 
 
-def as_number(text: Column) -> Column:
-    """The first six bytes of a string as a number that sorts like the string."""
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(text, "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("bigint")
+def cut_numbers(rows: DataFrame, name: str, bits: int) -> list:
+    """``2**bits - 1`` cut points of a number, from a quantile sketch over all rows."""
+    shares = [i / 2 ** bits for i in range(1, 2 ** bits)]
+    return sorted(set(rows.agg(F.percentile_approx(name, shares, 10000)).first()[0] or []))
 
 
-def cut_points(df: DataFrame, dims: dict[str, Column], bits: int) -> dict[str, list]:
-    """``2**bits - 1`` cut points for each dimension, from quantile sketches over all
-    rows. That many numbers come to the driver and become literals, so a stage that
-    is run again after a loss uses the same ones."""
-    shares = [i / 2 ** bits for i in range(1, 2 ** bits)]
-    row = df.agg(*[F.percentile_approx(c, shares, 10000).alias(n) for n, c in dims.items()]).first()
-    return {n: sorted(set(row[n] or [])) for n in dims}
+def cut_strings(rows: DataFrame, name: str, bits: int) -> list[str]:
+    """At most ``2**bits - 1`` cut points of a string column: the distinct whole values in
+    byte order at which the rows so far pass another ``2**bits``-th of all rows.
+
+    Rows are counted per value first, so a frequent value is one row. The table of values
+    is written in ranges with the range's number; a window runs inside each range and one
+    over the ranges' totals."""
+    values = rows.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    values = keep(values.repartitionByRange(name).withColumn("part", F.spark_partition_id()), f"hilbert-{name}")
+    totals = values.groupBy("part").agg(F.sum("n").alias("n"))
+    before = running_base(totals, [], "part").select("part", F.col("base").alias("earlier"))
+    upto = (running_base(values, ["part"], name).join(before, "part")
+            .withColumn("from", F.col("base") + F.col("earlier")).withColumn("total", totals.agg(F.sum("n")).scalar()))
+    share = lambda at: F.expr(f"({at}) * {2 ** bits} div total")
+    # The first value begins every row's cell; no cut is needed there.
+    cuts = upto.filter((F.col("from") > 0) & (share("`from` - 1") < share("`from` + n - 1"))).select(name)
+    return sorted((r[0] for r in cuts.collect()), key=str.encode)
 
 
 def cell(value: Column, cuts: list) -> Column:
@@ -104,12 +116,13 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 4, carry: tupl
         "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
         (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
-    raw = keep(raw.select("*", as_number(F.col("lang")).alias("lang_no"),
-                          as_number(F.col("source")).alias("source_no")), "hilbert-meta")
-    dims = {"lang_no": F.col("lang_no"), "source_no": F.col("source_no"), "size": F.col("size")}
-    cuts = cut_points(raw, dims, bits)
+    raw = keep(raw, "hilbert-meta")
+    # At most 2**bits - 1 values each come to the driver and become literals, so a stage that
+    # is run again after a loss uses the same ones.
+    dims = {"lang": cut_strings(raw, "lang", bits), "source": cut_strings(raw, "source", bits),
+            "size": cut_numbers(raw, "size", bits)}
     cells = raw.select(*more, "doc_id", "size", "text_crc32", "text_hash",
-                       *[cell(c, cuts[n]).alias(f"cell_{n}") for n, c in dims.items()])
+                       *[cell(F.col(n), cuts).alias(f"cell_{n}") for n, cuts in dims.items()])
     rows = cells.select(
         *more, "doc_id", "size", "text_crc32", "text_hash",
         curve_index([F.col(f"cell_{n}") for n in dims], bits).alias("curve"),

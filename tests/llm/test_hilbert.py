@@ -83,3 +83,26 @@ def test_written_files_prune(spark, tmp_path):
         stats = {n: meta.row_group(0).column(names.index(n)).statistics for n in ("lang", "source")}
         met += stats["lang"].min <= "fr" <= stats["lang"].max and stats["source"].min <= "src5" <= stats["source"].max
     assert len(files) >= 48 and met < 0.4 * len(files)
+
+
+def test_cuts_of_strings_follow_whole_values(rows):
+    """Cells of about equal numbers of rows, whatever prefix the values share."""
+    site = lambda i: f"https://www.example.org/site{i:03d}"
+    data = [(i, "x", "en", site(i % 200)) for i in range(2000)]
+    cuts = hilbert.cut_strings(rows(data, SCHEMA), "source", 4)
+    ordered = sorted(d[3] for d in data)
+    assert len(cuts) == 15
+    cells = [sum(c <= s for c in cuts) for s in ordered]
+    assert set(cells) == set(range(16)) and max(map(cells.count, range(16))) <= 2000 / 16 + 10
+    # One value with two thirds of the rows, and fewer values than cells.
+    hot = [(i, "x", "en", "b" if i % 3 else "ac"[i % 2]) for i in range(300)]
+    assert hilbert.cut_strings(rows(hot, SCHEMA), "source", 4) == ["b", "c"]
+    assert hilbert.cut_strings(rows([], SCHEMA), "source", 4) == []
+
+
+def test_shards_prune_sources_with_a_long_common_prefix(spark, rows):
+    """200 sources that share 20 bytes: a shard holds few of them."""
+    data = [(i, "t" * (i * 37 % 1000), ("en", "fr")[i % 2], f"https://www.example.org/site{i % 200:03d}") for i in range(4000)]
+    df = rows(data, SCHEMA)
+    out = hilbert.hilbert_shards(df).join(df, "doc_id").groupBy("shard").agg(F.countDistinct("source").alias("n")).collect()
+    assert len(out) == 16 and sum(r.n for r in out) / 16 < 0.4 * 200
