@@ -64,10 +64,11 @@ HINTS = {
     "content": r"article|content|post|entry|story|text|body|main|prose",
 }
 _HINT = {k: re.compile(v) for k, v in HINTS.items()}
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*(?:>|\Z)""", re.S)
+# A tag with a quote that nothing closes ends at the next ">", or with the page.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+(?=>)|[^>]*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _OPEN_END = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 # One attribute after the other: names are whole, and no value is read as a name.
-_ATTR = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+_ATTR = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?""")
 
 
 def _named(tag: str, attributes: str) -> tuple[list[str], bool]:

@@ -114,3 +114,13 @@ def test_hidden_elements_and_hints():
 def test_formulas_and_objects_are_text():
     page = "<p>so <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds</p><object data=x><p>a description</p></object>"
     assert [b[0] for b in crf.blocks(page)] == ["so E=m holds", "a description"]
+
+
+def test_a_quote_that_nothing_closes_ends_with_its_tag():
+    texts = lambda page: [b[0] for b in crf.blocks(page)]
+    assert texts('<article><p title="x>Hello you all</p><p>Next one</p></article>') == ["Hello you all", "Next one"]
+    assert texts("<p title='x>It is so</p><p>Next</p>") == ["It is so", "Next"]
+    assert texts('<p title="hidden>Seen text</p>') == ["Seen text"]
+    assert texts('<p title="a > b">Whole value</p>') == ["Whole value"]
+    assert texts("<p>" + "<b x='" * 3 + "end") == []
+    assert texts("<p " * 20_000 + '"' + "<p>" * 20_000 + "last") == ["last"]
