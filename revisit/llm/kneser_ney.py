@@ -6,8 +6,9 @@ writes its pairs as a file of sorted hashes and counts, and passes on what other
 need to know: how often and before how many followers a history stands (c, N1, N2, N3+),
 and after how many different words a word stands (its continuation count). A second
 exchange brings those to the words' buckets, which write the word files. The driver sees
-one row of totals. Frequent histories (found in a first look at the data; the choice only
-balances buckets) are spread over all buckets by their followers.
+one row of totals. Frequent histories are spread over all buckets by their followers; a
+first pass over all training texts finds them from counts that tasks have added up (the
+choice only balances buckets).
 
 Scoring: tasks memory-map the bucket files from the shared folder and look up their batch's
 distinct words and pairs by binary search, so a task holds its own batch and no model.
@@ -34,6 +35,7 @@ from __future__ import annotations
 import itertools
 import os
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -48,9 +50,9 @@ from revisit.llm.words import as_bytes, fold, mix
 
 HELD = 1  # documents with crc32(doc_id) % 5 == HELD are held out
 FOLDS = 5
-LOOK_ROWS = 2000  # rows in which frequent histories are looked for
-LOOK_SHARE = 1e-3
+LOOK_SHARE = 1e-3  # a history with more than this share of a portion's tokens may be frequent
 PART = 2_000_000  # tokens that a task counts or scores at a time
+MOST_OPEN = 512  # model files that a task keeps mapped
 W48 = np.uint64((1 << 48) - 1)
 # A word holds no space, so no word has the hash of these.
 START, END, STOP = (np.uint64(xxhash.xxh64_intdigest(m)) for m in (b" start", b" end", b" stop"))
@@ -294,15 +296,27 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with more than ``LOOK_SHARE`` of a portion's tokens, and (null) all its tokens."""
+    for _, texts, words in _portions(batches, all_rows=False):
+        count = np.bincount(np.concatenate(texts), minlength=len(words.hashes))
+        at = np.flatnonzero(count > LOOK_SHARE * count.sum())
+        hashes = np.array(words.hashes, np.uint64)[at].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([None, *hashes.tolist()], pa.int64()), pa.array([int(count.sum()), *count[at].tolist()], pa.int64())],
+                                         ["hash", "n"])
+
+
 def frequent(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of words that are often a history in the first rows met. Which words
-    are named changes only how evenly the buckets are filled."""
-    words = BatchWords()
-    texts = [words.of(None if r[0] is None else r[0].encode()) for r in docs.select("text").limit(LOOK_ROWS).collect()]
-    if not texts:
+    """Sorted hashes of the words that are often a history, over all training texts. A word
+    with 1.5 times ``LOOK_SHARE`` of all tokens is always among them: portions in which it
+    has less than ``LOOK_SHARE`` lose at most that share. At most 2 / ``LOOK_SHARE`` words
+    can have half of ``LOOK_SHARE``, so that many rows (and the total) reach the driver."""
+    counts = _texts(docs).mapInArrow(_often, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    most = int(2 / LOOK_SHARE) + 1
+    rows = counts.orderBy(F.col("hash").isNull().desc(), F.col("n").desc()).limit(most).collect()
+    if not rows:
         return np.zeros(0, np.uint64)
-    count = np.bincount(np.concatenate(texts), minlength=len(words.hashes))
-    hot = np.array(words.hashes, np.uint64)[count > LOOK_SHARE * count.sum()]
+    hot = np.array([r.hash for r in rows[1:] if r.n > LOOK_SHARE / 2 * rows[0].n], np.int64).view(np.uint64)
     return np.sort(hot[hot != END])
 
 
@@ -340,14 +354,21 @@ class Model:
         # Mass that the lower level's discounts free, as a share of its total.
         free = self.low[1] * m1 + self.low[2] * m2 + self.low[3] * (fitted["followers"] - m1 - m2)
         self.free = float(free) / self.pairs if self.pairs else 1.0
-        self.names, self.files = fitted["files"], {}
+        self.names, self.files = fitted["files"], OrderedDict()
 
     def _file(self, kind: str, bucket: int) -> tuple[np.ndarray, np.ndarray] | None:
-        path = f"{self.folder}/{kind}-{bucket}"
-        if path not in self.files:
-            # A bucket without counts has no file; a file that was written must be there.
-            self.files[path] = _open(path) if f"{kind}-{bucket}" in self.names else None
-        return self.files[path]
+        """A bucket's mapped file; the one used longest ago is closed beyond ``MOST_OPEN``."""
+        name = f"{kind}-{bucket}"
+        if name not in self.names:
+            return None  # a bucket without counts has no file
+        if name in self.files:
+            self.files.move_to_end(name)
+        else:
+            # A file that was written must be there.
+            self.files[name] = _open(f"{self.folder}/{name}")
+            if len(self.files) > MOST_OPEN:
+                self.files.popitem(last=False)
+        return self.files[name]
 
     def look_up(self, kind: str, bucket: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
         """Values of the keys, 0 where there is none."""

@@ -73,6 +73,18 @@ def test_frequent_histories_are_spread(spark, monkeypatch):
     check(spark.createDataFrame(data, SCHEMA).repartition(3), data)
 
 
+def test_frequent_histories_of_later_rows(spark, monkeypatch):
+    """Counts cover all training texts, not the first ones; one mapped file at a time is enough."""
+    monkeypatch.setattr(kn, "MOST_OPEN", 1)
+    monkeypatch.setattr(kn, "LOOK_SHARE", 0.01)
+    data = [(i, " ".join(f"w{i}x{k}" for k in range(5))) for i in range(2500)]
+    data += [(i, "late word " * 60) for i in range(2500, 2700)]
+    df = spark.createDataFrame(data, SCHEMA).repartitionByRange(6, "doc_id")
+    hot = set(kn.frequent(df).tolist())
+    assert {kn.xxhash.xxh64_intdigest(w) for w in ("late", "word")} <= hot and len(hot) <= 2 / kn.LOOK_SHARE
+    check(df, data)
+
+
 def test_odd_rows(rows):
     data = [(1, None), (2, ""), (2, ""), (None, "a b"), (None, "a b"), (3, "A  b\n\tc"), (4, "é É x\x1cy"), (5, "zz " * 9000)]
     check(rows(data, SCHEMA).withColumn("score", F.lit(1)).withColumn("words", F.lit("w")), data)
