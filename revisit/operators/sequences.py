@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revisit.functions.columns import nan_to_null, safe_div, seconds_component
-from revisit.operators.scan import TARGET_ROWS, add_time_chunks, with_neighbors, with_prefix
+from revisit.operators.scan import TARGET_ROWS, add_time_chunks, pinned, with_neighbors, with_prefix
 from revisit.schemas import (DURATION_THRESH_S, GAP_COL, LECTURE_PREFIX, RUN_COL, SESSION_COL,
                              SESSION_THRESH_S)
 
@@ -122,9 +122,8 @@ def sessionize(segments: DataFrame, session_thresh: float = SESSION_THRESH_S, us
     with more than ``target_rows`` rows and cuts them into slices of time, and a
     burst at one instant by the first ``tie`` column (``scan.add_time_chunks``).
 
-    Plan: a shuffle on (user, chunk); the chunk summary shuffles its own
-    narrower copy of the key, order, video and duration columns (the two are not
-    reused because Catalyst prunes them differently). Inside a chunk, windows give the
+    Plan: one scan and one shuffle on (user, chunk), shared by the rows and the chunk
+    summary (``scan.pinned``), so columns that are not wanted should go before. Inside a chunk, windows give the
     change flags, gaps and running sums for every row whose neighbours are in the
     chunk; the first row's change flag and the last row's gap depend on the
     neighbouring chunks and are settled from a one-row-per-chunk summary. With
@@ -157,7 +156,7 @@ def sessionize(segments: DataFrame, session_thresh: float = SESSION_THRESH_S, us
     })
     loc = loc.withColumns({"__c": F.sum("__chg").over(run_w),
                            "__s": F.coalesce(F.sum("__split").over(before_w), F.lit(0))})
-    loc = loc.withColumn("__r", F.max(F.when(F.col("__chg") == 1, F.col("__s"))).over(run_w))
+    loc = pinned(loc.withColumn("__r", F.max(F.when(F.col("__chg") == 1, F.col("__s"))).over(run_w)), seg.columns)
 
     summary = loc.groupBy(user, _B).agg(
         F.min_by(F.struct(v.alias("v"), t.alias("t")), "__rn").alias("first"),
@@ -243,8 +242,8 @@ def sessions_by_video(segments: DataFrame, session_thresh: float = SESSION_THRES
     names = list(modes)
     loc = loc.withColumns({f"__sp{i}": F.when(~last, _split_flag(F.col("__gap"), session_thresh, modes[m]))
                            .otherwise(0) for i, m in enumerate(names)})
-    loc = loc.withColumns({f"__s{i}": F.coalesce(F.sum(f"__sp{i}").over(before_w), F.lit(0))
-                           for i in range(len(names))})
+    loc = pinned(loc.withColumns({f"__s{i}": F.coalesce(F.sum(f"__sp{i}").over(before_w), F.lit(0))
+                                  for i in range(len(names))}), d.columns)
     summary = loc.groupBy(user, video, _B).agg(
         F.min_by("local_start_time", "__rn").alias("first_t"),
         F.max_by("local_end_time", "__rn").alias("last_end"),

@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 import __spark_entry__ as E
 from conftest import SF_SMALL
 
@@ -14,12 +16,14 @@ def _final_plan(df):
     return plan.split("== Initial Plan ==")[0]
 
 
-def test_sessions_plan_is_one_chunked_pass(spark):
-    p = _final_plan(E.queries()["q_sessions"](spark, SF_SMALL))
-    # rows and chunk summary each shuffle once on (user, chunk); the summary's
-    # cross-chunk window shuffles only the per-chunk rows, by user
-    assert len(re.findall(r"Exchange hashpartitioning", p)) <= 3
-    assert len(re.findall(r"FileScan parquet", p)) <= 2
+@pytest.mark.parametrize("query", ["q_sessions", "q_gaps", "q_run_ids", "q_sessions_by_video", "q_dedupe"])
+def test_ordered_steps_scan_and_shuffle_their_rows_once(spark, query):
+    p = _final_plan(E.queries()[query](spark, SF_SMALL))
+    # rows and chunk summary share one scan and one shuffle on (user, chunk), whatever the
+    # query selects; the other two move the summary's one row per chunk
+    assert "ReusedExchange" in p
+    assert len(re.findall(r"(?<!Reused)Exchange hashpartitioning", p)) <= 3
+    assert len(re.findall(r"FileScan parquet", p)) == 1
     row_windows = re.findall(r"Window \[.*?\], \[([^\]]*)\]", p)
     assert row_windows
     # every window over rows is partitioned by the chunk; only summary windows are by user alone

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 import brute
-from revisit.operators import sequences
+from revisit.operators import scan, sequences
 from revisit.schemas import SEQ_SCHEMA
 
 SEG_SCHEMA = ("seg_id bigint, user_id string, video_id string, local_start_time bigint, "
@@ -263,3 +263,27 @@ def test_null_keys_drop_out(spark):
     assert sorted(r["seg_id"] for r in sequences.segment_index(df).collect()) == [3, 4]
     kept = sequences.dedupe_consecutive(df, item="video_id", time="local_start_time", tie=("seg_id",)).collect()
     assert sorted(r["seg_id"] for r in kept) == [2, 3]
+
+
+def test_heavy_buckets_are_looked_for_once(spark, tmp_path):
+    """A second use of the same rows finds the table again; files that changed keep the order."""
+    path = str(tmp_path / "t")
+    schema = "user_id string, t long, seg_id long"
+    spark.createDataFrame([("u", i, i) for i in range(500)], schema).write.parquet(path)
+    chunks = lambda: scan.add_time_chunks(spark.read.parquet(path), ["user_id"], "t", 1000, 50, out="c", tie="seg_id")
+    chunks()
+    known = len(scan._kept)
+    assert len({tuple(r.c) for r in chunks().collect()}) == 10 and len(scan._kept) == known
+    # 400 rows at one instant, others before and behind the range that was counted.
+    rows = [("u", t, i) for i, t in enumerate([*range(-900, 0, 9), *range(1, 400), *[450] * 400, *range(900, 2500)])]
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(path)
+    spark.catalog.refreshByPath(path)
+    got = sorted(((r.t, r.seg_id), tuple(r.c)) for r in chunks().collect())
+    assert len(got) == len(rows) and [c for _, c in got] == sorted(c for _, c in got)
+
+
+def test_map_columns_pass_ordered_steps(spark):
+    df = spark.createDataFrame([("u", "v", i, i, {"k": i}) for i in range(20)],
+                               "user_id string, video_id string, local_start_time long, seg_id long, m map<string,long>")
+    out = sequences.segment_index(df, bucket_seconds=7).collect()
+    assert sorted((r.segment_idx, r.m["k"]) for r in out) == [(i, i) for i in range(20)]
