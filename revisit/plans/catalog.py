@@ -633,6 +633,19 @@ def q_p1_p2_clean_layout(spark, sf_dir):
     return back.select("user_id", "video_id", "ccid", F.size("seq.segment").cast("bigint").alias("n_segments"))
 
 
+@register
+def q_line_aligned(spark, sf_dir):
+    """Two line-aligned text files, written in order with different numbers of parts,
+    zipped by line number."""
+    prepare(spark)
+    d = _folder(spark, "lines")
+    orders = views.table(spark, sf_dir, "orders")
+    for name, col, parts in (("keys", F.col("o_orderkey").cast("string"), 8), ("names", F.col("o_orderpriority"), 3)):
+        sides = orders.repartitionByRange(parts, "o_orderkey").sortWithinPartitions("o_orderkey")
+        sides.select(col).write.text(f"{d}/{name}")
+    return io.read_line_aligned(spark, f"{d}/keys", f"{d}/names", ("order_key", "priority"))
+
+
 @register
 def q_p3_sessions(spark, sf_dir):
     prepare(spark)

@@ -203,6 +203,10 @@ SELECT c.c_custkey, n.n_name, r.r_name
 FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 LEFT JOIN region r ON n.n_regionkey = r.r_regionkey"""
 
+SQL["q_line_aligned"] = """
+SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS line, CAST(o_orderkey AS VARCHAR) AS order_key,
+       o_orderpriority AS priority FROM orders"""
+
 # ------------------------------------------------------------------ P-4 lecture sequences
 
 CLICK_V = """click_v AS (

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from revisit.operators.scan import pinned
 from revisit.schemas import EXPLODED_SCHEMA, PLACE_SCHEMA, SEQ_SCHEMA, USER_PARTS, VIDEO_CCID_SCHEMA
 
 
@@ -35,14 +36,25 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
     """Lines of text files with their number ``line`` (0-based, over all files in the order
-    of their paths). Each file is read whole, so its numbers do not depend on how it is
-    split; meant for dictionaries, not for logs."""
-    files = (spark.read.option("wholetext", "true").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n").alias("lines")))
-    order = Window.partitionBy().orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    first = F.coalesce(F.sum(F.size("lines")).over(order), F.lit(0))
-    return files.withColumn("first", first).select("first", F.posexplode("lines").alias("pos", name)).select(
-        (F.col("first") + F.col("pos")).cast("bigint").alias("line"), name)
+    of their paths; lines end with LF or CRLF, an empty file has none).
+
+    Big files are read in splits like any text: lines are numbered inside each split (a
+    window no larger than a split), and the number of lines before a split is a running sum
+    over one row per split, then one row per file. One scan, one shuffle of the lines.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    d = text.select(F.regexp_replace("value", "\r$", "").alias(name), F.col("_metadata.file_path").alias("__file"),
+                    F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__at"))
+    keys = ["__file", "__split"]
+    rows = pinned(d.withColumn("__pos", F.row_number().over(Window.partitionBy(*keys).orderBy("__at"))), d.columns)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    of_file = Window.partitionBy("__file")
+    splits = rows.groupBy(*keys).agg(F.max("__pos").alias("__n")).withColumns({
+        "__above": F.coalesce(F.sum("__n").over(before(of_file.orderBy("__split"))), F.lit(0)), "__of_file": F.sum("__n").over(of_file)})
+    files = splits.groupBy("__file").agg(F.max("__of_file").alias("__n"))
+    files = files.select("__file", F.coalesce(F.sum("__n").over(before(Window.partitionBy().orderBy("__file"))), F.lit(0)).alias("__first"))
+    offsets = splits.join(files, "__file").select(*keys, (F.col("__first") + F.col("__above")).alias("__before"))
+    return rows.join(offsets, keys).select((F.col("__before") + F.col("__pos") - 1).cast("bigint").alias("line"), name)
 
 
 def read_line_aligned(spark: SparkSession, left: str, right: str,

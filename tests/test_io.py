@@ -102,8 +102,25 @@ def test_line_numbers_do_not_depend_on_splits(spark):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        rows = io.read_line_aligned(spark, f"{d}/a", f"{d}/b.txt").collect()
+        assert spark.read.text(f"{d}/b.txt").rdd.getNumPartitions() > 5  # several splits of one file
+        both = io.read_line_aligned(spark, f"{d}/a", f"{d}/b.txt")
+        rows = both.collect()
+        assert both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan text") == 2
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     got = {r.line: (r.field_zh, r.field_en) for r in rows}
     assert got == {i: (lines[i] if i < 3000 else None, f"en {i}") for i in range(3001)}
+
+
+def test_lines_of_odd_files(spark):
+    """Empty files have no lines; blank lines, long lines and a missing last line end count."""
+    d = _tmp()
+    texts = {"0": "", "1": "a\n\n\r\nb", "2": "\n", "3": "é" * 50_000 + "\nlast\n"}
+    for k, t in texts.items():
+        with open(f"{d}/{k}.txt", "w", newline="") as f:
+            f.write(t)
+    got = [(r.line, r.x) for r in io.read_lines(spark, d, "x").orderBy("line").collect()]
+    assert got == list(enumerate(["a", "", "", "b", "", "é" * 50_000, "last"]))
+    os.makedirs(f"{d}/none")
+    open(f"{d}/none/e.txt", "w").close()
+    assert io.read_lines(spark, f"{d}/none", "x").collect() == []
