@@ -17,7 +17,8 @@ The scans end when every active phrase has completed its cycle.
 hash of a phrase the number of the scan from which it counts as reached. The tables have
 ``slots`` bytes each, whatever the data are (that bounds the broadcast). Hashes that share a
 slot can only activate a phrase too early, which costs time, and its cycle still is a full
-one, as a slot never changes once it is set. Counts so far are tables of (hash, start,
+one, as a slot never changes once it is set and a phrase is activated no earlier than its
+subphrases are. Counts so far are tables of (hash, start,
 count) in the shared folder, without the words; after its cycle a phrase that has not
 reached ``least`` is dropped there.
 
@@ -146,7 +147,8 @@ def grow(block: Block, tables: list[np.ndarray], longest: int, now: int) -> Iter
             return
         table = tables[length - 1]
         reached = np.full(block.n + 1, NEVER, np.uint8)
-        reached[at] = table[keys & np.uint64(len(table) - 1)]
+        # Not before the phrase is counted itself, though another one may have taken its slot earlier.
+        reached[at] = np.maximum(table[keys & np.uint64(len(table) - 1)], since)
         by_place = np.zeros(block.n, np.uint64)
         by_place[at] = keys
         at = at[at + length < block.n]

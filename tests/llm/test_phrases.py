@@ -112,3 +112,31 @@ def test_activation_by_subphrases():
     assert [(length, at.tolist(), since.tolist()) for length, at, _, since in P.grow(block, tables, 4, 2)][1][1] == []
     length, at, keys, since = list(P.grow(block, tables, 4, 3))[1]
     assert at.tolist() == [0, 1, 3] and since.tolist() == [3, 3, 3] and keys[0] == keys[2]
+
+
+def test_activation_not_before_subphrases():
+    """A slot that another phrase has taken early activates no longer phrase before its
+    subphrases are counted: its cycle would miss a shard."""
+    block = P.Block([b"en"], [b"p q r"])
+    tables = [np.full(1 << 12, P.NEVER, np.uint8) for _ in range(3)]
+    slot = lambda h: int(h) & (1 << 12) - 1
+    for word, scan in ((0, 3), (1, 1), (2, 1)):
+        tables[0][slot(block.first[word])] = scan
+    for key in list(P.grow(block, tables, 4, 9))[1][2]:
+        tables[1][slot(key)] = 2
+    length, at, _, since = list(P.grow(block, tables, 4, 9))[2]
+    assert (length, at.tolist(), since.tolist()) == (3, [0], [3])
+
+
+def test_whole_cycles_with_shared_slots():
+    """Whatever scans the slots were taken in, all places of a phrase are found in every scan of its cycle."""
+    rnd = np.random.default_rng(3)
+    block = P.Block([b"en"], [" ".join(f"w{x}" for x in rnd.zipf(1.4, 3000) % 40).encode()])
+    tables = [rnd.choice(np.array([1, 2, 3, 4, 5, P.NEVER], np.uint8), 256) for _ in range(3)]
+    places = {}
+    for now in range(12):
+        for length, at, _, since in P.grow(block, tables, 4, now):
+            for a, s in zip(at.tolist(), since.tolist()):
+                places.setdefault((length, a, s), set()).add(now)
+    assert len({length for length, _, _ in places}) == 4
+    assert all(scans == set(range(s, 12)) for (_, _, s), scans in places.items())
