@@ -490,6 +490,18 @@ def _filtered_ratings(spark, sf_dir):
     return recommend.filter_min_items(_ratings(spark, sf_dir))
 
 
+def _once(df, name):
+    """``df`` written and read back: it feeds several jobs, which would each compute it again."""
+    path = _folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _filtered_once(spark, sf_dir):
+    """``_filtered_ratings`` for queries of several jobs; both sides of the filter read the written ratings."""
+    return _once(recommend.filter_min_items(_once(_ratings(spark, sf_dir), "ratings")), "filtered")
+
+
 @register
 def q_ratings(spark, sf_dir):
     prepare(spark)
@@ -549,7 +561,7 @@ def q_metrics_fixed(spark, sf_dir):
 def _folded(spark, sf_dir):
     """Folds of the filtered ratings, written: several branches read them."""
     ensure_checkpoint_dir(spark)
-    return recommend.user_folds(_ratings(spark, sf_dir), min_items=MIN_ITEMS).checkpoint()
+    return recommend.user_folds(_once(_ratings(spark, sf_dir), "ratings"), min_items=MIN_ITEMS).checkpoint()
 
 
 @register
@@ -583,7 +595,7 @@ def q_metrics_knn(spark, sf_dir):
 def q_top_factors(spark, sf_dir):
     """Exact top 20 unrated items of every user by the inner product of given factors."""
     prepare(spark)
-    r = _filtered_ratings(spark, sf_dir).select(F.col("user").alias("u"), F.col("item").alias("i"))
+    r = _filtered_once(spark, sf_dir).select(F.col("user").alias("u"), F.col("item").alias("i"))
     top = factors.top_products(factors.hashed_factors(r, "u", 4), factors.hashed_factors(r, "i", 4, seed=7), r, n=20, block=32)
     return top.select(F.col("u").alias("user"), F.col("i").alias("item"), "rank", "score")
 
@@ -592,7 +604,7 @@ def q_top_factors(spark, sf_dir):
 def q_als_step(spark, sf_dir):
     """One half-step of implicit ALS from a start that depends on the ids, three features."""
     prepare(spark)
-    r = _filtered_ratings(spark, sf_dir).select(F.col("user").alias("u"), F.col("item").alias("i"), "rating")
+    r = _filtered_once(spark, sf_dir).select(F.col("user").alias("u"), F.col("item").alias("i"), "rating")
     x = factors.als_half_step(r, factors.hashed_factors(r, "i", 3), weight="rating")
     return x.select(F.col("u").alias("user"), *[F.round(F.col("vec")[f], 9).alias(f"x{f}") for f in range(3)])
 
@@ -600,14 +612,14 @@ def q_als_step(spark, sf_dir):
 @register
 def q_als(spark, sf_dir):
     prepare(spark)
-    folded = recommend.user_folds(_filtered_ratings(spark, sf_dir))
+    folded = _once(recommend.user_folds(_filtered_once(spark, sf_dir)), "folds")
     return recommend.als_recommend(folded)
 
 
 @register
 def q_metrics(spark, sf_dir):
     prepare(spark)
-    folded = recommend.user_folds(_filtered_ratings(spark, sf_dir))
+    folded = _once(recommend.user_folds(_filtered_once(spark, sf_dir)), "folds")
     recs = recommend.als_recommend(folded)
     test = folded.filter("is_test").select("user", "item")
     return recommend.mean_metrics(recommend.topn_metrics(recs, test, k=10))

@@ -44,3 +44,15 @@ def test_repetition_has_no_join_between_segments(spark):
 def test_dimension_join_broadcasts_small_map(spark):
     p = _final_plan(E.queries()["q_watch_counts"](spark, SF_SMALL))
     assert "BroadcastHashJoin" in p
+
+
+@pytest.mark.parametrize("query", ["q_als_step", "q_top_factors", "q_metrics"])
+def test_ratings_are_computed_once(spark, query, monkeypatch):
+    """Queries of several jobs read the written ratings, not the join of the raw tables again."""
+    from revisit.operators import recommend
+    folds = []
+    monkeypatch.setattr(recommend, "als_recommend", lambda folded: folds.append(folded) or folded.selectExpr(
+        "'ALS' AS algorithm", "fold", "user", "item", "1L AS rank"))
+    out = E.queries()[query](spark, SF_SMALL)
+    files = [f for df in (out, *folds) for f in df.inputFiles()]
+    assert not any("lineitem" in f or "orders" in f for f in files)
