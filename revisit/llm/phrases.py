@@ -19,8 +19,8 @@ hash of a phrase the number of the scan from which it counts as reached. The tab
 slot can only activate a phrase too early, which costs time, and its cycle still is a full
 one, as a slot never changes once it is set and a phrase is activated no earlier than its
 subphrases are. Counts so far are tables of (hash, start,
-count) in the shared folder, without the words; after its cycle a phrase that has not
-reached ``least`` is dropped there.
+count) in the shared folder, without the words, as arrays by bucket of the hashes (more
+buckets for more text); after its cycle a phrase that has not reached ``least`` is dropped there.
 
 *Result.* A last scan counts the phrases that reached ``least`` by their words, so shared
 hashes have no part in the result. Scores use exact decimals.
@@ -36,7 +36,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
@@ -50,6 +49,7 @@ LONGEST = 4  # words
 SHARDS = 3
 SLOTS = 1 << 22  # bytes of a table of reached phrases; some eight times their number
 PART = 6 << 20  # bytes of text that a task counts at once
+BUCKET = 4 << 20  # bytes of all texts for a bucket of hashes, whose counts a task merges at once
 SALTS = 8  # copies of the counts that phrases meet their parts in
 NEVER = 255
 _LANE = 8  # longest words, in groups of eight bytes, that are hashed together
@@ -158,21 +158,70 @@ def grow(block: Block, tables: list[np.ndarray], longest: int, now: int) -> Iter
         keys = mix(by_place[at] * _P + by_place[at + 1])
 
 
-_COUNTS = "words tinyint, hash bigint, since tinyint, n bigint"
+_COUNTS = "bucket int, words tinyint, hash binary, since binary, n binary"
 
 
-def scan(rows: DataFrame, tables: Broadcast, now: int, shards: int, longest: int) -> DataFrame:
-    """Counts of the phrases that are active in scan ``now``, as ``words, hash, since, n``."""
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers as bytes of equal weight side by side, which compress well if sorted."""
+    return np.ascontiguousarray(values[:, None].view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _packed(words: int, bucket: np.ndarray, keys: np.ndarray, since: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Counts in the order of ``bucket``, one row for each."""
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(keys) else np.zeros(1, np.int64)
+    cut = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+    small = [x.astype(np.uint8) if len(x) and x.max() < 256 else x for x in (n[i:j] for i, j in cut)]  # most counts fit a byte
+    return pa.RecordBatch.from_arrays([
+        pa.array(bucket[edges[:-1]] if len(keys) else [], pa.int32()), pa.array([words] * len(cut), pa.int8()),
+        pa.array([_planes(keys[i:j]) for i, j in cut], pa.binary()), pa.array([since[i:j].tobytes() for i, j in cut], pa.binary()),
+        pa.array([_planes(x) for x in small], pa.binary())], ["bucket", "words", "hash", "since", "n"])
+
+
+def scan(rows: DataFrame, tables: Broadcast, now: int, shards: int, longest: int, buckets: int) -> DataFrame:
+    """Counts of the phrases that are active in scan ``now``, as arrays by bucket of their hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
             for length, _, keys, since in grow(block, tables.value, longest, now):
                 active = since.astype(np.int64) + shards > now
                 key, place, n = np.unique(keys[active], return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), length, np.int8)), pa.array(key.view(np.int64)),
-                                                  pa.array(since[active][place].astype(np.int8)), pa.array(n)], ["words", "hash", "since", "n"])
+                bucket = (key & np.uint64(buckets - 1)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                yield _packed(length, bucket[order], key[order], since[active][place][order], n[order].astype(np.int64))
     return rows.mapInArrow(run, _COUNTS)
 
 
+def merged(counts: DataFrame, now: int, shards: int, least: int, slots: int, buckets: int) -> DataFrame:
+    """Counts added up by bucket, without phrases that completed their cycle below ``least``;
+    ``reached`` is a bit map of the bucket's slots of phrases with ``least`` occurrences so far."""
+    shift = np.uint64(buckets.bit_length() - 1)
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, words = key[0].as_py(), key[1].as_py()
+        parts = []
+        for batch in batches:
+            for h, s, n in zip(*(batch.column(c).to_pylist() for c in ("hash", "since", "n"))):
+                keys = _numbers(h, np.uint64)
+                parts.append((keys, np.frombuffer(s, np.uint8), _numbers(n, np.uint8 if len(n) == len(keys) else np.int64).astype(np.int64)))
+        keys, since, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        del parts
+        order = np.argsort(keys)
+        keys, since, n = keys[order], since[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))  # a phrase has one start
+        keys, since, n = keys[first], since[first], np.add.reduceat(n, first)
+        kept = (since.astype(np.int64) + shards > now + 1) | (n >= least)
+        bits = np.zeros(slots // buckets, bool)
+        bits[(keys[n >= least] & np.uint64(slots - 1)) >> shift] = True
+        out = _packed(words, np.full(int(kept.sum()), bucket, np.int32), keys[kept], since[kept], n[kept])
+        if out.num_rows:
+            yield out.append_column("reached", pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()))
+    return counts.groupBy("bucket", "words").applyInArrow(run, _COUNTS + ", reached binary")
+
+
 def named(rows: DataFrame, tables: Broadcast, longest: int) -> DataFrame:
     """Counts by their words of all phrases that are in the tables: ``lang, words, phrase, n``;
     with no words the number of words of the language."""
@@ -194,20 +243,16 @@ def named(rows: DataFrame, tables: Broadcast, longest: int) -> DataFrame:
     return counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _mark(counts: DataFrame, tables: list[np.ndarray], least: int, value: int) -> int:
-    """Set the free slots of the phrases with ``least`` occurrences so far to ``value``; how
-    many there are. The slots come as 64-bit words of a bit map, at most ``slots / 64`` a length."""
-    slot = F.col("hash").bitwiseAND(F.lit(len(tables[0]) - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))
-    maps = (counts.filter(F.col("n") >= least).groupBy("words", F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))).toArrow()
+def _mark(held: DataFrame, tables: list[np.ndarray], value: int, buckets: int) -> int:
+    """Set the free slots of the phrases that are reached so far to ``value``; how many there
+    are. The slots come as bit maps, one bit for each slot of a length."""
+    maps = held.select("bucket", "words", "reached").toArrow()
     new = 0
-    for length in range(1, len(tables) + 1):
-        mine = maps.filter(pc.equal(maps["words"], length))
-        bits = np.unpackbits(mine["bits"].to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
-        slots = (mine["word"].to_numpy()[:, None] * 64 + np.arange(64))[bits]
-        slots = slots[tables[length - 1][slots] == NEVER]
-        tables[length - 1][slots] = value
-        new += len(slots) if length < len(tables) else 0
+    for bucket, words, reached in zip(*(maps[c].to_pylist() for c in ("bucket", "words", "reached"))):
+        table = tables[words - 1][bucket::buckets]
+        free = np.unpackbits(np.frombuffer(reached, np.uint8), bitorder="little")[:len(table)].astype(bool) & (table == NEVER)
+        table[free] = value
+        new += int(free.sum()) if words < len(tables) else 0
     return new
 
 
@@ -220,19 +265,19 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards:
     (rows.withColumn("shard", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(shards)))
      .write.partitionBy("shard").parquet(path))
     written = spark.read.schema("lang string, text string, shard int").parquet(path)
+    size = written.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(slots, 1 << max(4, (size // BUCKET).bit_length()))
     tables = [np.full(slots, NEVER, np.uint8) for _ in range(longest)]
     now, end, held = 0, shards, None
     while now < end:
         sent = spark.sparkContext.broadcast(tables[:-1])
-        step = scan(written.filter(F.col("shard") == now % shards).select("lang", "text"), sent, now, shards, longest)
-        step = step if held is None else step.unionByName(held)
-        complete = F.col("since") + shards <= now + 1
-        merged = step.groupBy("words", "hash", "since").agg(F.sum("n").alias("n"))
-        held = keep(merged.filter(~complete | (F.col("n") >= least)), "counts")
+        step = scan(written.filter(F.col("shard") == now % shards).select("lang", "text"), sent, now, shards, longest, buckets)
+        step = step if held is None else step.unionByName(held.drop("reached"))
+        held = keep(merged(step, now, shards, least, slots, buckets), "counts")
         now += 1
         if now >= NEVER - shards:
             raise ValueError("too many scans: use fewer shards")
-        if _mark(held, tables, least, now):
+        if _mark(held, tables, now, buckets):
             end = now + shards
         sent.destroy()
     sent = spark.sparkContext.broadcast(tables)
