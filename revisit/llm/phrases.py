@@ -21,9 +21,12 @@ one, as a slot never changes once it is set and a phrase is activated no earlier
 subphrases are. Counts so far are tables of (hash, start,
 count) in the shared folder, without the words, as arrays by bucket of the hashes (more
 buckets for more text); after its cycle a phrase that has not reached ``least`` is dropped there.
+Of a hash five bytes travel: phrases that share them are counted as one, which lasts until the
+last one's cycle ends, so that too can only add phrases. A table is deleted once the next is written.
 
 *Result.* A last scan counts the phrases that reached ``least`` by their words, so shared
-hashes have no part in the result. Scores use exact decimals.
+hashes have no part in the result; its phrases travel sorted, many to a row, by bucket and
+language. Scores use exact decimals.
 
 Defined results: a null ``lang`` is ``und``; null or empty texts have no words; repeated
 rows count repeatedly; an empty table gives no rows; other columns are ignored, whatever
@@ -36,12 +39,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revisit.llm.shared import keep, new_folder
+from revisit.llm.shared import discard, keep, new_folder
 from revisit.llm.words import as_bytes, mix
 
 LEAST = 30  # occurrences of a candidate
@@ -50,6 +54,8 @@ SHARDS = 3
 SLOTS = 1 << 22  # bytes of a table of reached phrases; some eight times their number
 PART = 6 << 20  # bytes of text that a task counts at once
 BUCKET = 4 << 20  # bytes of all texts for a bucket of hashes, whose counts a task merges at once
+KEY = np.uint64((1 << 40) - 1)  # the part of a hash that counts are kept by; no less than that of the slots
+NAMED = 4  # buckets of hashes for one of phrases by their words
 SALTS = 8  # copies of the counts that phrases meet their parts in
 NEVER = 255
 _LANE = 8  # longest words, in groups of eight bytes, that are hashed together
@@ -158,6 +164,7 @@ def grow(block: Block, tables: list[np.ndarray], longest: int, now: int) -> Iter
         keys = mix(by_place[at] * _P + by_place[at + 1])
 
 
+_NAMES = ["bucket", "lang", "words", "phrases", "n"]
 _COUNTS = "bucket int, words tinyint, hash binary, since binary, n binary"
 
 
@@ -171,27 +178,42 @@ def _numbers(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def _narrow(n: np.ndarray) -> np.ndarray:
+    """Counts as bytes if they fit, as most do, else as eight bytes each."""
+    return n.astype(np.uint8) if len(n) and n.max() < 256 else n
+
+
 def _packed(words: int, bucket: np.ndarray, keys: np.ndarray, since: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """Counts in the order of ``bucket``, one row for each."""
     edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(keys) else np.zeros(1, np.int64)
     cut = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
-    small = [x.astype(np.uint8) if len(x) and x.max() < 256 else x for x in (n[i:j] for i, j in cut)]  # most counts fit a byte
+    small = [_narrow(n[i:j]) for i, j in cut]
     return pa.RecordBatch.from_arrays([
         pa.array(bucket[edges[:-1]] if len(keys) else [], pa.int32()), pa.array([words] * len(cut), pa.int8()),
         pa.array([_planes(keys[i:j]) for i, j in cut], pa.binary()), pa.array([since[i:j].tobytes() for i, j in cut], pa.binary()),
         pa.array([_planes(x) for x in small], pa.binary())], ["bucket", "words", "hash", "since", "n"])
 
 
+def _summed(keys: np.ndarray, since: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts added up by key, in their order; phrases that share a key last as long as the latest."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    if not len(first):
+        return keys, since, n
+    return keys[first], np.maximum.reduceat(since[order], first), np.add.reduceat(n[order], first)
+
+
 def scan(rows: DataFrame, tables: Broadcast, now: int, shards: int, longest: int, buckets: int) -> DataFrame:
     """Counts of the phrases that are active in scan ``now``, as arrays by bucket of their hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
             for length, _, keys, since in grow(block, tables.value, longest, now):
                 active = since.astype(np.int64) + shards > now
-                key, place, n = np.unique(keys[active], return_index=True, return_counts=True)
+                key, began, n = _summed(keys[active] & KEY, since[active], np.ones(int(active.sum()), np.int64))
                 bucket = (key & np.uint64(buckets - 1)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
-                yield _packed(length, bucket[order], key[order], since[active][place][order], n[order].astype(np.int64))
+                yield _packed(length, bucket[order], key[order], began[order], n[order])
     return rows.mapInArrow(run, _COUNTS)
 
 
@@ -209,10 +231,7 @@ def merged(counts: DataFrame, now: int, shards: int, least: int, slots: int, buc
                 parts.append((keys, np.frombuffer(s, np.uint8), _numbers(n, np.uint8 if len(n) == len(keys) else np.int64).astype(np.int64)))
         keys, since, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
         del parts
-        order = np.argsort(keys)
-        keys, since, n = keys[order], since[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))  # a phrase has one start
-        keys, since, n = keys[first], since[first], np.add.reduceat(n, first)
+        keys, since, n = _summed(keys, since, n)
         kept = (since.astype(np.int64) + shards > now + 1) | (n >= least)
         bits = np.zeros(slots // buckets, bool)
         bits[(keys[n >= least] & np.uint64(slots - 1)) >> shift] = True
@@ -222,25 +241,50 @@ def merged(counts: DataFrame, now: int, shards: int, least: int, slots: int, buc
     return counts.groupBy("bucket", "words").applyInArrow(run, _COUNTS + ", reached binary")
 
 
-def named(rows: DataFrame, tables: Broadcast, longest: int) -> DataFrame:
-    """Counts by their words of all phrases that are in the tables: ``lang, words, phrase, n``;
-    with no words the number of words of the language."""
+def named(rows: DataFrame, tables: Broadcast, longest: int, least: int, buckets: int) -> DataFrame:
+    """Counts by their words of all phrases that are in the tables and occur ``least`` times:
+    ``lang, words, phrase, n``; with no words the number of words of the language."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
             langs = pa.array(block.names, pa.binary()).cast(pa.string())
             each = np.bincount(block.lang, minlength=len(langs))
-            yield pa.RecordBatch.from_arrays([langs, pa.array(np.zeros(len(langs), np.int8)), pa.array([""] * len(langs)), pa.array(each)],
-                                             ["lang", "words", "phrase", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(langs), np.int32)), langs, pa.array(np.zeros(len(langs), np.int8)),
+                                              pa.array([""] * len(langs)), pa.array([x.tobytes() for x in each])], _NAMES)
             for length, at, keys, _ in grow(block, tables.value, longest, NEVER - 1):
                 table = tables.value[length - 1]
                 found = table[keys & np.uint64(len(table) - 1)] != NEVER
                 at = at[found]
-                _, place, n = np.unique(keys[found], return_index=True, return_counts=True)
+                keys, place, n = np.unique(keys[found], return_index=True, return_counts=True)
+                if not len(keys):
+                    continue
                 at = at[place]
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(block.lang[at])), pa.array(np.full(len(at), length, np.int8)),
-                                                  block.phrases(at, length), pa.array(n)], ["lang", "words", "phrase", "n"])
-    counted = rows.mapInArrow(run, "lang string, words tinyint, phrase string, n bigint")
-    return counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+                groups = (keys & np.uint64(buckets - 1)).astype(np.int64) * len(langs) + block.lang[at]
+                phrases = block.phrases(at, length)
+                order = pc.sort_indices(pa.table({"group": groups, "phrase": phrases}), [("group", "ascending"), ("phrase", "ascending")])
+                groups, n = groups[order], n[order]
+                edges = np.flatnonzero(np.diff(groups, prepend=-1, append=-1))
+                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), phrases.take(order))
+                groups, cut = groups[edges[:-1]], zip(edges[:-1].tolist(), edges[1:].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array((groups // len(langs)).astype(np.int32)), langs.take(pa.array(groups % len(langs))),
+                                                  pa.array(np.full(len(groups), length, np.int8)), pc.binary_join(lists, "\n"),
+                                                  pa.array([_planes(_narrow(n[i:j])) for i, j in cut], pa.binary())], _NAMES)
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], []
+        for batch in batches:
+            for phrases, counts in zip(batch.column("phrases"), batch.column("n").to_pylist()):
+                parts.append(pa.array(phrases.as_py().split("\n"), pa.large_string()))  # no phrase has a line end
+                n.append(_numbers(counts, np.uint8 if len(counts) == len(parts[-1]) else np.int64).astype(np.int64))
+        total = pa.table({"phrase": pa.chunked_array(parts), "n": np.concatenate(n)}).group_by("phrase", use_threads=False).aggregate([("n", "sum")])
+        if key[2].as_py():
+            total = total.filter(pc.greater_equal(total["n_sum"], least))
+        for batch in total.to_batches():
+            size = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([key[1].as_py()] * size, pa.string()), pa.array([key[2].as_py()] * size, pa.int8()),
+                                              batch.column("phrase").cast(pa.string()), batch.column("n_sum")], ["lang", "words", "phrase", "n"])
+
+    packed = rows.mapInArrow(run, "bucket int, lang string, words tinyint, phrases string, n binary")
+    return packed.groupBy("bucket", "lang", "words").applyInArrow(add, "lang string, words tinyint, phrase string, n bigint")
 
 
 def _mark(held: DataFrame, tables: list[np.ndarray], value: int, buckets: int) -> int:
@@ -263,7 +307,7 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards:
     path = new_folder(spark, "shards")
     rows = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text").filter("length(text) > 0")
     (rows.withColumn("shard", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(shards)))
-     .write.partitionBy("shard").parquet(path))
+     .write.partitionBy("shard").option("compression", "zstd").parquet(path))
     written = spark.read.schema("lang string, text string, shard int").parquet(path)
     size = written.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(slots, 1 << max(4, (size // BUCKET).bit_length()))
@@ -273,7 +317,9 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards:
         sent = spark.sparkContext.broadcast(tables[:-1])
         step = scan(written.filter(F.col("shard") == now % shards).select("lang", "text"), sent, now, shards, longest, buckets)
         step = step if held is None else step.unionByName(held.drop("reached"))
-        held = keep(merged(step, now, shards, least, slots, buckets), "counts")
+        old, held = held, keep(merged(step, now, shards, least, slots, buckets), "counts")
+        if old is not None:
+            discard(old)
         now += 1
         if now >= NEVER - shards:
             raise ValueError("too many scans: use fewer shards")
@@ -281,7 +327,7 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards:
             end = now + shards
         sent.destroy()
     sent = spark.sparkContext.broadcast(tables)
-    return keep(named(written.select("lang", "text"), sent, longest).filter((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
+    return keep(named(written.select("lang", "text"), sent, longest, least, max(1, buckets // NAMED)), "phrases")
 
 
 def best(found: DataFrame, top: int = 2000, inside: int = 80, scale: int = 2_000_000) -> DataFrame:

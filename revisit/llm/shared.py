@@ -64,6 +64,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(kept: DataFrame) -> None:
+    """Delete the table that ``keep`` wrote, once nothing reads it any more."""
+    spark = kept.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in kept.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _MADE[:] = [path for path in _MADE if not folder.endswith(path.split(":", 1)[-1])]
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, the knob a user sizes to the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -140,3 +140,28 @@ def test_whole_cycles_with_shared_slots():
                 places.setdefault((length, a, s), set()).add(now)
     assert len({length for length, _, _ in places}) == 4
     assert all(scans == set(range(s, 12)) for (_, _, s), scans in places.items())
+
+
+def test_shared_keys(spark, monkeypatch):
+    """Phrases that share what travels of their hash last until the latest one's cycle ends."""
+    keys, since, n = P._summed(np.array([7, 3, 7, 7], np.uint64), np.array([1, 4, 5, 2], np.uint8), np.array([1, 2, 3, 4]))
+    assert (keys.tolist(), since.tolist(), n.tolist()) == ([3, 7], [4, 5], [2, 8])
+    monkeypatch.setattr(P, "KEY", np.uint64(255))
+    monkeypatch.setattr(P, "PART", 1500)
+    data = made(5)
+    got = P.collocations(spark.createDataFrame(data, SCHEMA).repartition(3), least=9, slots=256).collect()
+    assert sorted(map(tuple, got)) == sorted(slow(data, 9))
+
+
+def test_disk(spark):
+    """Tables of counts that are replaced are deleted; phrases travel many to a row."""
+    from revisit.llm import shared
+    before = shared.named()
+    words = [f"w{i} x{i % 7} y{i % 5} z{i % 3}" for i in range(400)] * 30
+    got = P.counts(spark.createDataFrame([("en", " ".join(words))], SCHEMA), least=30)
+    assert sum("/counts-" in path for path in shared._MADE[before:]) == 1
+    assert got.filter("words > 0").count() > 1000
+    tables = spark.sparkContext.broadcast([np.full(1 << 16, 1, np.uint8)] * 4)
+    rows = spark.createDataFrame([("en", " ".join(words))], SCHEMA)
+    plan = P.named(rows, tables, 4, 1, 1)._jdf.queryExecution().analyzed().toString()
+    assert "phrases" in plan and P.named(rows, tables, 4, 1, 1).filter("words = 1").count() == 415
