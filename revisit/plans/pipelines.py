@@ -63,8 +63,10 @@ def clean_repeaters(user_video: DataFrame, video_ccid: DataFrame, out_dir: str |
 
 def layout_by_user(user_video: DataFrame, out_path: str, n: int = 30) -> None:
     """P-2: hash-partition sequences by user into ``n`` parts, sorted, with a pinned schema
-    (the cleaned table of P-1, or raw lists)."""
-    io.write_nested(io.partition_by_user(user_video, n), out_path, compression=None)
+    (the cleaned table of P-1, or raw lists). Parts of more users' rows than a task should
+    sort are several files (see ``io.partition_by_user``)."""
+    slices = io.user_slices(user_video, n)
+    io.write_nested(io.partition_by_user(user_video, n, slices=slices), out_path, compression=None)
 
 
 def to_segments(user_video: DataFrame, out_dir: str | None = None) -> DataFrame:

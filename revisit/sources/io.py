@@ -133,12 +133,32 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool =
 
 # ---------------------------------------------------------------- layout
 
-def partition_by_user(df: DataFrame, n: int = USER_PARTS, user: str = "user_id") -> DataFrame:
+SLICE_ITEMS = 2_000_000  # rows, list elements and segments that a task sorts at once
+
+
+def user_slices(df: DataFrame, n: int, items: int = SLICE_ITEMS) -> int:
+    """Into how many slices of users each of ``n`` parts is cut so that one holds some ``items``
+    rows, list elements and segments (one job that reads the lengths of the lists)."""
+    size = lambda c: F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)).cast("bigint")
+    held = F.lit(1).cast("bigint")
+    if "seq" in df.columns:
+        if isinstance(df.schema["seq"].dataType, T.ArrayType):
+            inner = F.aggregate("seq.segment", F.lit(0).cast("bigint"), lambda n, x: n + 1 + size(x))
+            held = held + F.coalesce(inner, F.lit(0))
+        else:
+            held = held + size(F.col("seq.segment"))
+    total = df.agg(F.sum(held)).first()[0] or 0
+    return max(1, -(-total // (n * items)))
+
+
+def partition_by_user(df: DataFrame, n: int = USER_PARTS, user: str = "user_id", slices: int = 1) -> DataFrame:
     """Hash-partition on the user into ``n`` parts, sorted by user inside each part.
 
-    Written out, every user lies in exactly one part file.
+    Written out, every user lies in exactly one part file. With ``slices`` a part is that many
+    files of different users, each sorted by a task of its own: file ``j`` belongs to part ``j % n``,
+    which has the same users whatever the number of slices.
     """
-    return df.repartition(n, user).sortWithinPartitions(user)
+    return df.repartition(n * slices, user).sortWithinPartitions(user)
 
 
 def write_bucketed(df: DataFrame, table: str, n: int = USER_PARTS, user: str = "user_id",

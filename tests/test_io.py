@@ -124,3 +124,23 @@ def test_lines_of_odd_files(spark):
     os.makedirs(f"{d}/none")
     open(f"{d}/none/e.txt", "w").close()
     assert io.read_lines(spark, f"{d}/none", "x").collect() == []
+
+
+def test_large_parts_are_sliced(spark, monkeypatch):
+    """A task sorts a bounded number of rows; a part keeps its users and each user one sorted file."""
+    from revisit.plans import pipelines
+    seqs = [(str(u), [("v", [(1.0, 0.0, 1.0, t) for t in range(3)])] * 5) for u in range(40)] + [("x", []), ("y", None), ("z", [("v", None)])]
+    df = spark.createDataFrame(seqs, SEQ_SCHEMA)
+    assert io.user_slices(df, 4, 10**6) == 1 and io.user_slices(df.limit(0), 4, 1) == 1
+    assert io.user_slices(df, 4, 100) == 3  # 43 rows, 201 elements, 600 segments
+    rows = df.select("user_id", F.explode_outer("seq").alias("seq"), F.lit("v").alias("video_id"), F.lit("c").alias("ccid"))
+    assert io.user_slices(rows, 4, 100) == 3  # 203 rows, 600 segments
+    place = lambda d: {r.user_id: r.p for r in d.select("user_id", F.spark_partition_id().alias("p")).distinct().collect()}
+    whole, cut = place(io.partition_by_user(df, 4)), place(io.partition_by_user(df, 4, slices=3))
+    assert whole == {u: p % 4 for u, p in cut.items()} and max(cut.values()) > 3
+    monkeypatch.setattr(io, "user_slices", lambda d, n: 3)
+    d = _tmp()
+    pipelines.layout_by_user(df, f"{d}/p", 4)
+    files = [f"{d}/p/{f}" for f in os.listdir(f"{d}/p") if f.endswith(".parquet")]
+    users = [[r.user_id for r in spark.read.parquet(f).select("user_id").collect()] for f in files]
+    assert len(files) > 4 and all(u == sorted(u) for u in users) and sorted(sum(users, [])) == sorted(u for u, _ in seqs)
