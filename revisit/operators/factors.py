@@ -2,9 +2,12 @@
 
 ``top_products`` finds the ``n`` items with the greatest inner product for every user, without
 scoring all items: items lie in blocks by falling norm; each user is scored against the first
-block, and by the Cauchy-Schwarz bound only blocks whose largest norm, times the user's norm,
+blocks, and by the Cauchy-Schwarz bound only blocks whose largest norm, times the user's norm,
 reaches the user's n-th score so far can hold a better item. Those blocks are a prefix of the
-list of blocks, so each block of users meets just that prefix.
+list of blocks, so each block of users meets just that prefix. The rest of the list is cut into
+some ``PARTS`` parts, and the blocks of users into ``SLICES``: a block of users travels once for
+each part that it needs and an item once for each slice, however many blocks there are. A part
+is read block by block under a rising bound and gives each user at most ``n`` items, packed.
 
 ``als_half_step`` solves the regularised normal equations of implicit ALS for one side. A block
 of users takes its blocks of ratings, each beside the factors of its items, in a stream and adds
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revisit.operators.neighbours import FEATURES, POINTS, UNIT, _blocks, _list, ordered_ids
@@ -26,6 +29,10 @@ from revisit.session import ensure_checkpoint_dir
 ITEMS = 1024  # of a block
 USERS = 256  # of a block
 NONE = -(1 << 62)  # a threshold below every score
+FIRST = 8  # blocks of items that every user meets
+PARTS = 6  # of the further blocks, more if a part had over PART blocks
+PART = 64
+SLICES = 6  # of the blocks of users
 OUTER = 2048  # outer products held at once
 
 
@@ -49,14 +56,23 @@ def _nth(scores: np.ndarray, n: int) -> np.ndarray:
     return np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
 
 
-def _item_blocks(items: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """``block, vectors, top`` (its greatest norm) and ``place, i``: places by falling norm."""
+def _item_blocks(items: DataFrame, block: int, numbered: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``block, ids, vectors, top`` (its greatest norm) and ``place, i, id``: places by falling
+    norm; ``id`` is the item's number in the order of ``i``, ``i`` itself if ``numbered``."""
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    items = items.withColumn("id", F.col("i").cast("int")) if numbered else items.join(ordered_ids(items, "i", "id"), "i")
     items = items.withColumn("key", F.struct((-norm).alias("fall"), "i"))
     placed = items.join(ordered_ids(items, "key", "place"), "key").checkpoint()
     rows = placed.groupBy(F.floor(F.col("place") / block).cast("int").alias("block")).agg(
-        F.sort_array(F.collect_list(F.struct("place", "vec"))).alias("rows"), F.max(-F.col("key.fall")).alias("top"))
-    return rows.select("block", F.col("rows.vec").alias("vectors"), "top").checkpoint(), placed.select("place", "i")
+        F.sort_array(F.collect_list(F.struct("place", "id", "vec"))).alias("rows"), F.max(-F.col("key.fall")).alias("top"))
+    blocks = rows.select("block", F.col("rows.id").alias("ids"), F.col("rows.vec").alias("vectors"), "top")
+    return blocks.checkpoint(), placed.select("place", "i", "id")
+
+
+def _together(blocks: DataFrame, part: Column) -> DataFrame:
+    """``part, block`` (its first), ``ids, items``: blocks of a part one after the other."""
+    rows = blocks.groupBy(part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("block", "ids", "vectors"))).alias("rows"))
+    return rows.select("part", F.col("rows.block")[0].alias("block"), F.col("rows.ids").alias("ids"), F.col("rows.vectors").alias("items"))
 
 
 def _user_blocks(users: DataFrame, seen: DataFrame) -> DataFrame:
@@ -78,69 +94,132 @@ def _users_of(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np
     return local, vectors, np.searchsorted(local, su[known]), sp[known]
 
 
-def _first(n: int):  # noqa: ANN202
+class _Lists:
+    """The best ``n`` items of each of ``size`` users: greatest score, then smaller id."""
+
+    def __init__(self, size: int, n: int) -> None:
+        self.size, self.n, self.more, self.waiting = size, n, [], 0
+        self.user, self.item, self.score = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def add(self, user: np.ndarray, item: np.ndarray, score: np.ndarray) -> bool:
+        """Whether the lists were settled: newcomers wait until there are many."""
+        self.more.append((user, item, score))
+        self.waiting += len(user)
+        if self.waiting < self.n * self.size:
+            return False
+        self.settle()
+        return True
+
+    def settle(self) -> None:
+        user, item, score = (np.concatenate(c) for c in zip((self.user, self.item, self.score), *self.more, strict=True))
+        order = np.lexsort((item, -score, user))
+        first = np.searchsorted(user[order], user[order])
+        order = order[np.arange(len(order)) - first < self.n]
+        self.user, self.item, self.score = user[order], item[order], score[order]
+        self.more, self.waiting = [], 0
+
+    def nth(self) -> np.ndarray:
+        """The n-th score of each user, ``NONE`` where there are fewer."""
+        out = np.full(self.size, NONE)
+        last = np.searchsorted(self.user, np.arange(self.size), "left") + self.n - 1
+        full = np.flatnonzero(np.bincount(self.user, minlength=self.size) == self.n)
+        out[full] = self.score[last[full]]
+        return out
+
+
+def _scan(n: int, size: int):  # noqa: ANN202
+    """Blocks of items in order of falling norms, until no user can find a better one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 local, users, su, sp = _users_of(batch, r)
-                scores = _scores(users, _matrix(batch.column("items"), r), su, sp, 0)
-                nth = _nth(scores, n)
-                x, y = np.nonzero((scores >= nth[:, None]) & (scores > NONE))
-                norms = np.linalg.norm(users, axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
+                nth, norms = _list(batch.column("nth"), r).copy(), np.linalg.norm(users, axis=1)
+                ids, vectors, base = batch.column("ids")[r].values, batch.column("items")[r].values, batch.column("block")[r].as_py() * size
+                lists = _Lists(len(local), n)
+                for b in range(len(ids)):
+                    items = _matrix(vectors, b)
                     # slack of two units for the rounding of scores
+                    todo = np.flatnonzero(norms * np.linalg.norm(items, axis=1).max() * (1 + 1e-12) * UNIT + 2 >= nth)
+                    if not len(todo):
+                        break
+                    at = np.full(len(local), -1)
+                    at[todo] = np.arange(len(todo))
+                    mine = at[su] >= 0
+                    scores = _scores(users[todo], items, at[su[mine]], sp[mine], base + b * size)
+                    x, y = np.nonzero((scores >= np.maximum(nth[todo], _nth(scores, n))[:, None]) & (scores > NONE))
+                    if lists.add(todo[x].astype(np.int32), _list(ids, b)[y], scores[x, y]):
+                        nth = np.maximum(nth, lists.nth())
+                lists.settle()
+                nth = np.maximum(nth, lists.nth())
+                with np.errstate(divide="ignore", invalid="ignore"):
                     reach = np.where((nth == NONE) | (norms == 0), -np.inf, (nth - 2) / UNIT / norms * (1 - 1e-12))
                 yield pa.RecordBatch.from_pydict({
-                    "p": batch.column("p").slice(r, 1), "nth": pa.array([nth]), "reach": pa.array([reach.min()]), "cu": pa.array([local[x].astype(np.int32)]),
-                    "ci": pa.array([y.astype(np.int32)]), "cs": pa.array([scores[x, y]])})
+                    "p": batch.column("p").slice(r, 1), "nth": pa.array([nth]), "reach": pa.array([reach.min()]),
+                    "cu": pa.array([local[lists.user].astype(np.int32)]), "ci": pa.array([lists.item]), "cs": pa.array([lists.score])})
     return run
 
 
-def _further(n: int, size: int):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(n: int):  # noqa: ANN202
+    """One list per user from those of a block of users, which come in a stream."""
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = _Lists(USERS, n)
         for batch in batches:
             for r in range(batch.num_rows):
-                local, users, su, sp = _users_of(batch, r)
-                nth, base = _list(batch.column("nth"), r), batch.column("block")[r].as_py() * size
-                bound = np.linalg.norm(users, axis=1) * batch.column("top")[r].as_py() * (1 + 1e-12) * UNIT + 2
-                todo = np.flatnonzero(bound >= nth)
-                if not len(todo):
-                    continue
-                at = np.full(len(local), -1)
-                at[todo] = np.arange(len(todo))
-                mine = at[su] >= 0
-                scores = _scores(users[todo], _matrix(batch.column("items"), r), at[su[mine]], sp[mine], base)
-                x, y = np.nonzero((scores >= np.maximum(nth[todo], _nth(scores, n))[:, None]) & (scores > NONE))
-                yield pa.RecordBatch.from_pydict({"un": (batch.column("p")[r].as_py() * USERS + local[todo][x]).astype(np.int32),
-                                                  "place": (base + y).astype(np.int32), "score": scores[x, y]})
+                lists.add(*(_list(batch.column(c), r) for c in ("cu", "ci", "cs")))
+        lists.settle()
+        users, first = np.unique(lists.user, return_index=True)
+        ends = pa.array(np.append(first, len(lists.user)).astype(np.int32))
+        yield pa.RecordBatch.from_pydict({"un": (key[0].as_py() * USERS + users).astype(np.int32),
+                                          "ids": pa.ListArray.from_arrays(ends, pa.array(lists.item)),
+                                          "scores": pa.ListArray.from_arrays(ends, pa.array(lists.score))})
     return run
 
 
-def top_products(users: DataFrame, items: DataFrame, seen: DataFrame, n: int, block: int = ITEMS, numbered: bool = False) -> DataFrame:
+def top_products(users: DataFrame, items: DataFrame, seen: DataFrame, n: int, block: int = ITEMS, numbered: bool = False,
+                 packed: bool = False) -> DataFrame:
     """``u, i, rank, score`` of the ``n`` items with the greatest inner product for each
     user, without those of ``seen`` (``u, i``). ``users``: ``u, vec``; ``items``: ``i, vec``.
 
     Exact: scores are rounded to 1e-9, equal ones ranked by the smaller item. ``numbered``
-    tells that ``u`` are small whole numbers already (0, 1, 2, ..), which need no numbering.
+    tells that ``u`` and ``i`` are small whole numbers already (0, 1, 2, ..), which need no
+    numbering. ``packed`` gives such lists as one row per user: ``u, list`` of ``i, score``.
     """
+    if packed and not numbered:
+        raise ValueError("packed lists are of numbers")
     ensure_checkpoint_dir(users.sparkSession)
-    blocks, places = _item_blocks(items, block)
-    numbers = users.select("u", F.col("u").cast("int").alias("un")) if numbered else ordered_ids(users, "u", "un")
-    mine = _user_blocks(users.join(numbers, "u"), seen.join(numbers, "u").join(places, "i").select("un", "place").distinct()).checkpoint()
-    first = F.broadcast(blocks.filter("block = 0").select("block", F.col("vectors").alias("items")))  # one row of ``block`` vectors
-    tried = (mine.withColumn("block", F.lit(0)).join(first, "block")
-             .mapInArrow(_first(n), "p int, nth array<bigint>, reach double, cu array<int>, ci array<int>, cs array<bigint>").checkpoint())
-    found = tried.select("p", F.explode(F.arrays_zip("cu", "ci", "cs")).alias("c")).select(
-        (F.col("p") * USERS + F.col("c.cu")).cast("int").alias("un"), F.col("c.ci").alias("place"), F.col("c.cs").alias("score"))
-    tops = blocks.agg(F.sort_array(F.collect_list("top"), asc=False)).scalar()  # one number per block of items
-    need = (tried.select("p", "nth", "reach", tops.alias("tops"))
-            .select("p", "nth", F.size(F.filter("tops", lambda t: t >= F.col("reach"))).alias("k")).filter("k > 1"))
-    rows = (need.withColumn("block", F.explode(F.expr("sequence(1, k - 1)"))).join(mine, "p")
-            .join(blocks.select("block", F.col("vectors").alias("items"), "top"), "block"))
-    found = found.unionByName(rows.mapInArrow(_further(n, block), "un int, place int, score bigint"))
-    order = Window.partitionBy("un").orderBy(F.desc("score"), "i")
-    top = found.join(places, "place").withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= n)
-    return top.join(numbers, "un").select("u", "i", "rank", (F.col("score") / UNIT).alias("score"))
+    blocks, places = _item_blocks(items, block, numbered)
+    if numbered:
+        users, seen = (df.withColumn("un", F.col("u").cast("int")) for df in (users, seen))
+    else:
+        numbers = ordered_ids(users, "u", "un")
+        users, seen = users.join(numbers, "u"), seen.join(numbers, "u")
+    mine = _user_blocks(users, seen.join(places, "i").select("un", "place").distinct()).checkpoint()
+    found = "p int, nth array<bigint>, reach double, cu array<int>, ci array<int>, cs array<bigint>"
+    first = F.broadcast(_together(blocks.filter(F.col("block") < FIRST), F.lit(0)))  # one row of FIRST blocks
+    tried = (mine.withColumn("part", F.lit(0)).withColumn("nth", F.transform("local", lambda _: F.lit(NONE))).join(first, "part")
+             .mapInArrow(_scan(n, block), found).checkpoint())
+    lists = tried.select("p", "cu", "ci", "cs")
+    further = blocks.count() - FIRST
+    if further > 0:
+        size = min(PART, -(-further // PARTS))
+        tops = blocks.agg(F.sort_array(F.collect_list("top"), asc=False)).scalar()  # one number per block of items
+        need = (tried.select("p", "nth", "reach", tops.alias("tops"))
+                .select("p", "nth", F.size(F.filter("tops", lambda t: t >= F.col("reach"))).alias("k")).filter(F.col("k") > FIRST))
+        need = need.select("p", "nth", (F.col("p") % SLICES).alias("slice"), F.explode(F.sequence(
+            F.lit(0), F.floor((F.col("k") - 1 - FIRST) / size).cast("int"))).alias("part"))
+        parts = _together(blocks.filter(F.col("block") >= FIRST), F.floor((F.col("block") - FIRST) / size).cast("int"))
+        parts = parts.withColumn("slice", F.explode(F.array(*map(F.lit, range(SLICES)))))
+        rows = need.join(mine, "p").join(parts, ["part", "slice"])
+        lists = lists.unionByName(rows.mapInArrow(_scan(n, block), found).select("p", "cu", "ci", "cs").filter(F.size("cu") > 0))
+    lists = lists.groupBy("p").applyInArrow(_merge(n), "un int, ids array<int>, scores array<bigint>")
+    pairs = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct(x["ids"].alias("i"), (x["scores"] / UNIT).alias("score")))
+    if packed:
+        return lists.select(F.col("un").alias("u"), pairs.alias("list"))
+    top = lists.select("un", F.posexplode(pairs).alias("rank", "x")).select(
+        "un", F.col("x.i").alias("id"), (F.col("rank") + 1).cast("bigint").alias("rank"), "x.score")
+    if numbered:
+        return top.select(F.col("un").alias("u"), F.col("id").alias("i"), "rank", "score")
+    return top.join(numbers, "un").join(places.select("i", "id"), "id").select("u", "i", "rank", "score")
 
 
 # ------------------------------------------------------------------ J6: one half-step

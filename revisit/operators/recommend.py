@@ -108,12 +108,14 @@ def als_recommend(folded: DataFrame, n: int = N_RECS, rank: int = ALS_RANK, max_
         model = als.fit(train.withColumn("r", F.lit(1.0)))
         mine = model.userFactors.select(F.col("id").alias("u"), F.col("features").alias("vec")).join(asked, "u", "left_semi")
         theirs = model.itemFactors.select(F.col("id").alias("i"), F.col("features").alias("vec"))
-        top = top_products(mine, theirs, train.join(asked, "u", "left_semi"), n, numbered=True)
-        top = top.select(F.lit(algorithm).alias("algorithm"), F.lit(f).cast("bigint").alias("fold"), "u", "i", "rank", "score")
+        top = top_products(mine, theirs, train.join(asked, "u", "left_semi"), n, numbered=True, packed=True)
+        top = top.select(F.lit(algorithm).alias("algorithm"), F.lit(f).cast("bigint").alias("fold"), "u", "list")
         out = top if out is None else out.unionByName(top)
     if out is None:
-        out = spark.createDataFrame([], "algorithm string, fold bigint, u int, i int, rank bigint, score double")
-    out = out.join(users, "u").join(items, "i").select("algorithm", "fold", "user", "item", "rank", "score")
+        out = spark.createDataFrame([], "algorithm string, fold bigint, u int, list array<struct<i: int, score: double>>")
+    out = out.join(users, "u").select("algorithm", "fold", "user", F.posexplode("list").alias("place", "top"))
+    out = out.select("algorithm", "fold", "user", F.col("top.i").alias("i"), (F.col("place") + 1).cast("bigint").alias("rank"), "top.score")
+    out = out.join(items, "i").select("algorithm", "fold", "user", "item", "rank", "score")
     return out.checkpoint()  # reliable: written to spark.checkpoint.dir
 
 

@@ -117,6 +117,23 @@ def test_bound_prunes(spark):
     assert all(r["i"] < 5 for r in factors.top_products(users, items, seen, n=5, block=8).collect())
 
 
+def test_users_travel_once_per_part(spark, monkeypatch):
+    """With equal norms every user needs every block of items; users meet parts of many blocks."""
+    rnd = random.Random(6)
+    turn = [rnd.random() * 6.28 for _ in range(480)]
+    items = [(i, [math.cos(t), math.sin(t)]) for i, t in enumerate(turn)]
+    users = [(u, [rnd.gauss(0, 1) for _ in range(2)]) for u in range(300)]
+    frame = spark.createDataFrame(users, "u long, vec array<double>")
+    sent, run = [], type(frame).mapInArrow
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, *a, **k: sent.append(self.count()) or run(self, *a, **k))
+    got = factors.top_products(frame, spark.createDataFrame(items, "i long, vec array<double>"),
+                               spark.createDataFrame([(0, 0)], "u long, i long"), n=4, block=8).collect()
+    assert sum(sent) <= 2 * 8  # two blocks of users, 60 of items
+    want = {(u, i, k + 1) for u, x in users for k, (_, i) in enumerate(
+        sorted((-math.floor(float(np.dot(x, y)) * 1e9 + 0.5), i) for i, y in items if (u, i) != (0, 0))[:4])}
+    assert {(r["u"], r["i"], r["rank"]) for r in got} == want and len(got) == len(want)
+
+
 def test_half_step(spark):
     rnd = random.Random(9)
     rows = sorted({(f"u{u}", i): rnd.randrange(1, 4) for u in range(300) for i in rnd.sample(range(40), 4)}.items())
